@@ -1,4 +1,69 @@
-"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline: bad texts, near duplicates and benchmark passages go; personal data is replaced; what stays is packed.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontamination, jaccard_join, packing, pii, quality
+from millrace.llm.common import fold_of, materialise
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the classifier's threshold. The model learns from the labelled rows outside fold 0 of 5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs.select("doc_id", "text"), labels, fold_of(F.col("doc_id"), 5) != 0)
+    return _documents(quality.score(spark, docs, model, "quality_score").where(F.col("quality_score") >= quality.THRESHOLD))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id. Rows with a null id are in no group and stay."""
+    found = materialise(jaccard_join.near_duplicates(docs.select("doc_id", "text")))
+    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return _documents(docs.join(copies, "doc_id", "left_anti"))
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Rows with a null id can't be told apart and stay only if none of them holds one."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = materialise(decontamination.contained_items(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("leaked_id")).distinct())
+    return _documents(docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms; n_chars is that of the new text."""
+    return _documents(pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs.select("doc_id", "text", "source"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near duplicates", keep_one_of_each_group),
+    ("benchmark passages", drop_benchmark_passages),
+    ("personal data", replace_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Neither the classifier nor the tokenizer can be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written to shared storage and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language, packing, pii, quality, sharding, topk, url_filter
+from . import decontamination, html_extract, jaccard_join, language, packing, pii, quality, sharding, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_ppm": language.op3_language_ppm,
         "op4_topk_kdtree": topk.op4_topk_kdtree,
         "op5_html_consensus": html_extract.op5_html_consensus,
+        "op6_decontaminate_minhash": decontamination.op6_decontaminate_minhash,
         "op7_pack_mixture": packing.op7_pack_mixture,
         "op8_pii_feistel": pii.op8_pii_feistel,
+        "op9_jaccard_partition": jaccard_join.op9_jaccard_partition,
         "op10_shard_bestfit": sharding.op10_shard_bestfit,
     }
 
