@@ -11,14 +11,17 @@ the smaller set of a pair, and only H + 1 units of its own choice have to be pro
 
 Allocation by cost. Small bands use one-deletion segments, where exact segments would hold too few elements to tell texts apart. Larger bands use exact segments and have
 more of them than H + 1, and each set probes those whose signatures are the rarest in its partition's rows: a passage that many documents share doesn't meet itself.
-Empty segments of larger sets are neither indexed nor probed as long as enough others are left.
+Empty segments, which many sets share, are probed only by sets that have too few others, and their index rows are spread over all tasks.
 
 From candidates to groups, without ever listing the pairs of a group:
 
-1. The rows of a signature form a star around one probing member. All stars' edges are verified on the texts, and linked texts
-   merge into components.
-2. What remains are signatures whose members lie in several components. Their members' texts are compared block by block by one
-   matrix product of their shingle incidences, which finds every link between components; only edges that merge components leave a task.
+1. The rows of a signature form a star around one probing member. The stars' edges are verified, and linked texts merge into components.
+2. What remains are signatures whose members lie in several components. Their members are compared block by block, and pairs of different
+   components that may still link are verified too.
+
+A pair is first held against its parity sketches: some bits for each element of a set, each the parity of the elements that fall on it. As
+many bits as differ, so many elements at least differ, so a pair whose sketches are further apart than H can't link. The others are verified
+exactly, on their texts, which only then have to travel.
 
 Signatures travel as packed arrays, 8 bytes each; equal sets of one partition travel once.
 
@@ -32,7 +35,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, forget, materialise, mix64, shingle_set, sizes_of, words_of
-from .components import Forest, components
+from .components import components
 
 PERCENT = 80
 #: Sets of at least so many shingles use exact segments.
@@ -51,7 +53,7 @@ SLACK = 1.35
 #: Documents and signatures that a task packs at a time.
 PACK_DOCS, PACK_SIGNATURES = 30_000, 3_000_000
 #: Texts that are compared at a time are two blocks of this many.
-BLOCK = 512
+BLOCK = 1024
 
 
 def links(shared: int, a: int, b: int) -> bool:
@@ -63,6 +65,30 @@ def differences(size: int) -> int:
     return (size + size * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a set: a power of two from four for each element."""
+    return 1 << min(max((4 * size - 1).bit_length(), 6), 14)
+
+
+def sketch(mixed: np.ndarray) -> bytes:
+    """Parities of the elements by their low bits; halves of it, xored, are the sketch of half the length."""
+    bits = sketch_bits(len(mixed))
+    return np.packbits((np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (a row of 64-bit words each) cut down to so many words."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def may_link(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can link whose sketches differ in so many bits."""
+    return ((100 + PERCENT) * distance <= (100 - PERCENT) * (a + b)) & (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
+
+
 class Band:
     """Segments of a size band: limits in the hash range, and how many of them, from the first, are one-deletion segments."""
 
@@ -131,6 +157,8 @@ class Packer:
     def __init__(self, bands: Bands, groups: int) -> None:
         self.bands, self.groups = bands, groups
         self.ids: list[int] = []
+        self.sizes: list[int] = []
+        self.sketches: list[bytes] = []
         self.known: dict[bytes, int] = {}
         self.copies: list[tuple[int, int]] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # signatures, empty, document, units to probe
@@ -144,15 +172,13 @@ class Packer:
         self.known[key] = number = len(self.ids)
         self.ids.append(doc_id)
         mixed = mix64(hashes ^ np.uint64(0x5851F42D4C957F2D))
+        self.sizes.append(len(hashes))
+        self.sketches.append(sketch(mixed))
         for band, probes in self.bands.roles(len(hashes)):
             signatures, empty = band.signatures(hashes, mixed)
             need = differences(len(hashes)) + 1 if band.exact else len(signatures)
             if not probes:
                 need = 0
-                if band.exact:
-                    signatures, empty = signatures[~empty], empty[~empty]
-            elif band.exact and len(empty) - empty.sum() >= need:
-                signatures, empty = signatures[~empty], empty[~empty]
             self.parts.append((signatures, empty, number, need))
             self.count += len(signatures)
 
@@ -171,9 +197,17 @@ class Packer:
         order = np.lexsort((signature, cost, part))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        word = (document << 1 | (rank < needed)).astype(np.uint32)
-        group = (signature % np.uint64(self.groups)).astype(np.int64)
+        empty = np.concatenate([p[1] for p in self.parts])
+        probing = rank < needed
+        word = (document << 1 | probing).astype(np.uint32)
         short = signature // np.uint64(self.groups)
+        # a set probes empty segments only if it has too few others; such rare rows go to all groups, and the many others may lie anywhere
+        group = (np.where(empty, mix64(signature ^ np.uint64(flush)), signature) % np.uint64(self.groups)).astype(np.int64)
+        wide = np.flatnonzero(empty & probing)
+        if len(wide):
+            keep = np.flatnonzero(~(empty & probing))
+            group = np.concatenate([group[keep], np.tile(np.arange(self.groups), len(wide))])
+            short, word = (np.concatenate([x[keep], np.repeat(x[wide], self.groups)]) for x in (short, word))
         order = np.lexsort((short, group))
         group, short, word = group[order], short[order], word[order]
         ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
@@ -186,7 +220,7 @@ class Packer:
 
 
 # Kinds of rows.
-SIGNATURES, DOCUMENTS, COPIES, STARS, BUCKETS = range(5)
+SIGNATURES, DOCUMENTS, COPIES, NAMES, STARS, BUCKETS = range(6)
 _ROW = "grp int, kind int, flush long, a binary, b binary"
 
 
@@ -204,7 +238,7 @@ def _sign(groups: int):  # noqa: ANN202
                 [
                     (int(spread), DOCUMENTS, flush, np.packbits(known).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<i8").tobytes()),
                     (int(spread), COPIES, flush, np.array([a for a, _ in packer.copies], "<i8").tobytes(), np.array([b for _, b in packer.copies], "<i8").tobytes()),
-                    (int(spread), -1, flush, np.array(packer.ids, "<i8").tobytes(), b""),
+                    (int(spread), NAMES, flush, np.array(packer.ids, "<i8").tobytes() + np.array(packer.sizes, "<i8").tobytes(), b"".join(packer.sketches)),
                 ]
             )
             held = []
@@ -295,11 +329,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id: ids of the documents by the number they have in their pack."""
-    for rows in arrow_rows(batches, ["flush", "a"], 64):
-        for flush, a in zip(rows["flush"], rows["a"], strict=True):
-            ids = np.frombuffer(a, "<i8")
-            yield _longs(["rid", "doc_id"], (flush << 15) + np.arange(len(ids)), ids)
+    """rid, doc_id, n, sketch of the packed documents, by the number they have in their pack."""
+    for rows in arrow_rows(batches, ["flush", "a", "b"], 8):
+        for flush, a, b in zip(rows["flush"], rows["a"], rows["b"], strict=True):
+            ids, sizes = np.frombuffer(a, "<i8").reshape(2, -1)
+            ends = np.cumsum([sketch_bits(int(n)) // 8 for n in sizes])
+            sketches = [b[e - sketch_bits(int(n)) // 8 : e] for e, n in zip(ends, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array((flush << 15) + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["rid", "doc_id", "n", "sketch"])
+
+
+def _words(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "<u8")[None, :]
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges whose sketches leave a link possible."""
+    for rows in arrow_rows(batches, ["a", "b", "na", "nb", "sa", "sb"], 4096):
+        kept = []
+        for a, b, na, nb, sa, sb in zip(*rows.values(), strict=True):
+            words = min(len(sa), len(sb)) // 8
+            distance = int(np.bitwise_count(folded(_words(sa), words) ^ folded(_words(sb), words)).sum())
+            if a != b and may_link(distance, na, nb):
+                kept.append((min(a, b), max(a, b)))
+        yield _longs(["a", "b"], np.array([a for a, _ in kept], np.int64), np.array([b for _, b in kept], np.int64))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,11 +375,22 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _longs(["k1", "k2", "rid", "probes"], *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed words."""
-    tool = zstd.ZstdCompressor(level=3)
-    for rows in arrow_rows(batches, ["doc_id", "text"], 1024):
-        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array([tool.compress(b" ".join(words_of(t or ""))) for t in rows["text"]], pa.binary())], names=["doc_id", "z"])
+#: Bits of the filter of wanted ids, whatever the input's size.
+FILTER_BITS = 1 << 23
+
+
+def _squeeze(shared):  # noqa: ANN001, ANN202
+    """Texts of the ids that pass the filter, as compressed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
+        tool = zstd.ZstdCompressor(level=3)
+        for batch in batches:
+            wanted = bits[batch.column(batch.schema.get_field_index("h")).to_numpy()]
+            for rows in arrow_rows([batch.filter(pa.array(wanted))], ["doc_id", "text"], 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array([tool.compress(b" ".join(words_of(t or ""))) for t in rows["text"]], pa.binary())], names=["doc_id", "z"])
+
+    return run
 
 
 class Sets:
@@ -360,41 +423,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _longs(["a", "b"], np.array([a for a, _ in good], np.int64), np.array([b for _, b in good], np.int64))
 
 
-def merging_links(ids: list[int], groups: list[int], sets: list[np.ndarray], columns: int = 2048) -> list[tuple[int, int]]:
-    """Links that merge different groups of some texts, found by exact counts of shared shingles of all pairs."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.append(True, flat[1:] != flat[:-1])
-    column = np.cumsum(new) - 1
-    often = np.bincount(column) > 1  # a shingle of one text is shared with none
-    renumber = np.cumsum(often) - 1
-    keep = often[column]
-    column, owner = renumber[column[keep]], owner[keep]
-    shared = np.zeros((n, n), np.float32)  # counts up to 2**24 are exact
-    total = int(often.sum())
-    for at in range(0, total, columns):
-        a, b = np.searchsorted(column, [at, at + columns])
-        incidence = np.zeros((n, min(columns, total - at)), np.float32)
-        incidence[owner[a:b], column[a:b] - at] = 1
-        shared += incidence @ incidence.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    linked = np.triu(100 * shared >= PERCENT * union, 1)
-    forest, out = Forest(), []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        if groups[i] != groups[j] and forest.union(groups[i], groups[j]):
-            out.append((ids[i], ids[j]))
-    return out
+def near_pairs(ids: np.ndarray, groups: np.ndarray, probes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], chunk: int = 1 << 22) -> np.ndarray:
+    """Pairs of ids of different groups, one of them probing, whose sketches leave a link possible."""
+    lengths = np.array([len(x) // 8 for x in sketches])
+    out = []
+    for words in np.unique(lengths):
+        short, wide = np.flatnonzero(lengths == words), np.flatnonzero(lengths >= words)
+        cut = np.empty((len(ids), words), np.uint64)
+        for n in np.unique(lengths[wide]):
+            at = np.flatnonzero(lengths == n)
+            cut[at] = folded(np.frombuffer(b"".join(sketches[i] for i in at), "<u8").reshape(len(at), n), words)
+        step = max(1, chunk // (len(wide) * int(words)))
+        for start in range(0, len(short), step):
+            i, j = short[start : start + step, None], wide[None, :]
+            open_ = (groups[i] != groups[j]) & (probes[i] | probes[j]).astype(bool) & ((lengths[j] > words) | (i < j))
+            if not open_.any():
+                continue
+            distance = np.bitwise_count(cut[i[:, 0]][:, None, :] ^ cut[wide][None, :, :]).sum(2, dtype=np.int64)
+            a, b = np.nonzero(open_ & may_link(distance, sizes[i], sizes[j]))
+            x, y = ids[i[a, 0]], ids[wide[b]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    rows = table.select(["doc_id", "component", "z"]).to_pydict()
-    sets = Sets(0)
-    found = merging_links(rows["doc_id"], rows["component"], [sets(z) for z in rows["z"]])
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    column = lambda n: table.column(n).to_numpy()
+    pairs = near_pairs(column("doc_id"), column("component"), column("probes"), column("n"), table.column("sketch").to_pylist())
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges (a, b, each once) whose texts link."""
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    wanted = materialise(edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct())
+    # a filter of fixed size, so that most texts don't have to be shuffled; the join decides
+    marks = wanted.select(place.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("m")).collect()
+    held = bytearray(FILTER_BITS // 8)
+    for r in marks:
+        held[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["m"]
+    shared = spark.sparkContext.broadcast(bytes(held))
+    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", place.alias("h"))
+    texts = materialise(some.mapInArrow(_squeeze(shared), "doc_id long, z binary").join(wanted, "doc_id", "left_semi"), "none")
+    side = lambda a, z: texts.select(F.col("doc_id").alias(a), F.col("z").alias(z))
+    good = materialise(edges.join(side("a", "za"), "a").join(side("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long").distinct())
+    forget(texts)
+    forget(wanted)
+    return good
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -405,31 +480,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = docs.mapInArrow(_sign(groups), _ROW)
     met = materialise(signed.groupBy("grp").applyInArrow(_meet, _ROW))
     kind = lambda k: met.where(F.col("kind") == k)
-    names = materialise(kind(-1).select("flush", "a").mapInArrow(_names, "rid long, doc_id long"))
+    names = materialise(kind(NAMES).select("flush", "a", "b").mapInArrow(_names, "rid long, doc_id long, n long, sketch binary"), "none")
     copies = kind(COPIES).select("a", "b").mapInArrow(_pairs, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    end = lambda x, a, n, z: names.select(F.col("rid").alias(x), F.col("doc_id").alias(a), F.col("n").alias(n), F.col("sketch").alias(z))
 
     # stars
     stars = kind(STARS).select("a", "b").mapInArrow(_pairs, "x long, y long").distinct()
-    named = stars.join(names.select(F.col("rid").alias("x"), F.col("doc_id").alias("a")), "x").join(names.select(F.col("rid").alias("y"), F.col("doc_id").alias("b")), "y")
-    edges = materialise(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    wanted = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).join(wanted, "doc_id", "left_semi").mapInArrow(_squeeze, "doc_id long, z binary"), "none")
-    side = lambda a, z: texts.select(F.col("doc_id").alias(a), F.col("z").alias(z))
-    good = edges.join(side("a", "za"), "a").join(side("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long")
+    named = stars.join(end("x", "a", "na", "sa"), "x").join(end("y", "b", "nb", "sb"), "y").select("a", "b", "na", "nb", "sa", "sb")
+    good = verified(docs, materialise(named.mapInArrow(_near, "a long, b long").distinct()))
     first = materialise(components(good.unionByName(copies)))
 
     # signatures whose members are not all of one component
     members = kind(BUCKETS).select("a", "b").mapInArrow(_members, "k1 long, k2 long, rid long, probes long").distinct()
-    placed = members.join(names, "rid").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    placed = materialise(placed.select("k1", "k2", "doc_id", "probes", F.coalesce("component", "doc_id").alias("component")))
-    open_ = placed.groupBy("k1", "k2").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = placed.join(open_, ["k1", "k2"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("k1", "k2", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "component")
-    found = rows.join(texts, "doc_id").groupBy("k1", "k2", "i", "j").applyInArrow(_compare, "a long, b long")
-    found = materialise(found)
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    who = names.select("rid", "doc_id")
+    placed = members.join(who, "rid").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = materialise(placed.select("k1", "k2", "rid", "doc_id", "probes", F.coalesce("component", "doc_id").alias("component")))
+    open_ = placed.groupBy("k1", "k2").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most")
+    rows = placed.join(open_.select("k1", "k2", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), ["k1", "k2"])
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("k1", "k2", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rid", "component", "probes")
+    near = rows.join(names, "rid").drop("rid").groupBy("k1", "k2", "i", "j").applyInArrow(_compare, "a long, b long")
+    later = verified(docs, materialise(near.distinct()))
+    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later))
 
     counts = kind(DOCUMENTS).select("a", "b").mapInArrow(_counts, "doc_id long, n_shingles long")
     out = counts.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
