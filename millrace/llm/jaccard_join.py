@@ -51,7 +51,7 @@ EXACT_FROM = 50
 #: Exact segments for each that the pigeonhole needs.
 SLACK = 1.35
 #: Documents and signatures that a task packs at a time.
-PACK_DOCS, PACK_SIGNATURES = 30_000, 3_000_000
+PACK_DOCS, PACK_SIGNATURES = 30_000, 1_000_000
 #: Texts that are compared at a time are two blocks of this many.
 BLOCK = 1024
 
@@ -186,20 +186,31 @@ class Packer:
         """(group, signatures, documents with probe bits) of what was added."""
         if not self.parts:
             return
-        signature = np.concatenate([p[0] for p in self.parts])
         sizes = np.array([len(p[0]) for p in self.parts])
-        document = np.repeat(np.array([p[2] for p in self.parts], np.int64), sizes)
-        needed = np.repeat(np.array([p[3] for p in self.parts], np.int64), sizes)
-        part = np.repeat(np.arange(len(self.parts)), sizes)
+        signature = np.concatenate([p[0] for p in self.parts])
+        empty = np.concatenate([p[1] for p in self.parts])
+        document = np.repeat(np.array([p[2] for p in self.parts], np.uint32), sizes)
+        needed = np.array([p[3] for p in self.parts], np.int32)
+        self.parts.clear()
+        part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         # the rarest signatures here are the cheapest to probe; empty segments come last
-        _, inverse, counts = np.unique(signature, return_inverse=True, return_counts=True)
-        cost = counts[inverse] + np.concatenate([p[1] for p in self.parts]) * (1 << 40)
-        order = np.lexsort((signature, cost, part))
-        rank = np.empty(len(order), np.int64)
+        order = np.argsort(signature)
+        run = signature[order]
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        del run
+        counts = np.diff(np.append(first, len(signature))).astype(np.int32)
+        cost = np.empty(len(signature), np.int32)
+        cost[order] = np.repeat(counts, counts)
+        cost[empty] = np.iinfo(np.int32).max
+        order = np.lexsort((cost, part))
+        del cost
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        empty = np.concatenate([p[1] for p in self.parts])
-        probing = rank < needed
-        word = (document << 1 | probing).astype(np.uint32)
+        del order
+        probing = rank < needed[part]
+        del rank, part
+        word = document << np.uint32(1) | probing
+        del document
         short = signature // np.uint64(self.groups)
         # a set probes empty segments only if it has too few others; such rare rows go to all groups, and the many others may lie anywhere
         group = (np.where(empty, mix64(signature ^ np.uint64(flush)), signature) % np.uint64(self.groups)).astype(np.int64)
