@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SHA256_HEX = "^[0-9a-f]{64}$"
 UUID4 = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
@@ -74,7 +75,7 @@ def decode_frame(line: Column) -> Column:
     return F.when((F.size(parts) >= 2) & (given == crc16(body)), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON objects with sorted keys, no spaces and plain UTF-8; null for what isn't an object or holds NaN or infinities.
 
