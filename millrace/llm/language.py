@@ -100,6 +100,8 @@ def compile_trees(samples: dict[str, list[bytes]], order: int = ORDER) -> Langua
     ``leave`` has one entry more than ``grams``: its last, single row is the escape from the empty context.
     """
     languages = sorted(samples)
+    if not languages:
+        return LanguageModel([], np.zeros(256, np.int32))
     seen = np.zeros(256, bool)
     for texts in samples.values():
         for t in texts:
