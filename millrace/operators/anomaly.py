@@ -133,7 +133,8 @@ def search_thresholds(scores: DataFrame, target: float, keys: list[str], views:
     """
     first, last, count = SEARCH
     grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(first) + i * F.lit((last - first) / (count - 1)))
-    tables = scores.groupBy(*keys, "view").agg(F.expr(f"percentile(score, transform(sequence(0, {count - 1}), i -> ({first} + i * {(last - first) / (count - 1)}) / 100))").alias("t"))
+    places = ", ".join(f"{(first + i * ((last - first) / (count - 1))) / 100!r}D" for i in range(count))  # percentile takes constants only
+    tables = scores.groupBy(*keys, "view").agg(F.expr(f"percentile(score, array({places}))").alias("t"))
     # the thresholds ascend, so a score exceeds the first so many of them
     above = scores.join(tables, [*keys, "view"]).select(*keys, "vec_id", F.aggregate("t", F.lit(0), lambda n, x: n + F.when(F.col("score") > x, 1).otherwise(0)).alias("n"))
     worst = above.groupBy(*keys, "vec_id").agg(F.max("n").alias("n"))
@@ -144,9 +145,7 @@ def search_thresholds(scores: DataFrame, target: float, keys: list[str], views:
     listed = held.groupBy(*keys).agg(F.collect_list(F.struct("n", "c")).alias("h"))  # at most one entry for each grid place
     rates = listed.join(total.drop("zero"), keys).join(usable, keys).withColumn("grid", grid)
     rate = F.transform("grid", lambda g, i: F.struct(g.alias("percentile"), (F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["n"] > i, x["c"]).otherwise(0)) / F.col("products")).alias("fpr"), i.alias("i")))
-    found = F.element_at(F.filter(rate, lambda r: (r["i"] >= F.col("unsafe")) & (r["fpr"] <= target)), 1)
     chosen = rates.where((F.col("views") == views) & (F.col("products") >= 100)).select(*keys, F.try_element_at(F.filter(rate, lambda r: (r["i"] >= F.col("unsafe")) & (r["fpr"] <= target)), F.lit(1)).alias("f")).where("f IS NOT NULL")
-    del found
     return chosen.join(tables, keys).select(*keys, F.col("f.percentile").alias("percentile"), F.col("f.fpr").alias("fpr"), "view", F.element_at("t", F.col("f.i") + 1).alias("threshold"))
 
 

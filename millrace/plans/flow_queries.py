@@ -115,7 +115,7 @@ def alignment(t: Tables) -> DataFrame:
     return rows.agg(F.bool_and(F.col("physical_state") >= F.col("nxt")).alias("aligned"), F.count_if(F.col("physical_state") < F.col("nxt")).alias("behind"))
 
 
-@query("w06_completed_prefix", "SELECT product_id, fifo_sequence FROM ledger WHERE fifo_sequence < (SELECT min(fifo_sequence) FROM ledger WHERE NOT completed)")
+@query("w06_completed_prefix", "SELECT product_id, fifo_sequence FROM ledger WHERE NOT EXISTS (SELECT 1 FROM ledger f WHERE NOT f.completed AND f.fifo_sequence <= ledger.fifo_sequence)")
 def prefix(t: Tables) -> DataFrame:
     return L.completed_prefix(t.ledger).select("product_id", "fifo_sequence")
 
@@ -220,7 +220,7 @@ def edges(t: Tables) -> DataFrame:
 def station_ledger(t: Tables) -> DataFrame:
     rows = t.station_terminal.select("product_id", F.col("revision").alias("arrival"), "station_id", F.col("terminal_kind").alias("kind"), "revision", "verdict", F.col("inference_job_id").alias("job"))
     locks = t.lock_arrival.select(F.concat(F.lit("P-"), F.lpad(F.col("fifo_sequence").cast("string"), 6, "0")).alias("product_id"), (F.col("arrival") - 100).alias("arrival"), F.lit(0).alias("station_id"), F.lit("LOCK").alias("kind"), F.lit(0).cast("bigint").alias("revision"), F.lit(None).cast("int").alias("verdict"), F.lit("s3").alias("job"))
-    return fold(rows.unionByName(locks), "product_id", "arrival", M.StationLedger).where("kind = 'LOCK'").select("product_id", "outcome", "verdict")
+    return fold(rows.unionByName(locks), "product_id", "arrival", M.StationLedger).where("kind = 'LOCK'").select("product_id", "outcome", F.col("final_verdict").alias("verdict"))
 
 
 @query("st12_reorder_buffer")

@@ -146,7 +146,7 @@ class StationLedger:
     ``kind`` is RESULT, FAILURE or LOCK.
     """
 
-    columns = ("outcome", "verdict")
+    columns = ("outcome", "final_verdict")
 
     def __init__(self, saved: str | None = None) -> None:
         self.state = json.loads(saved) if saved else {"stations": {}, "locked": None}
