@@ -131,7 +131,7 @@ FIXTURES: dict[str, str] = {
             WHEN 6 THEN 'ALL_CONVEYORS_RUNNING' WHEN 7 THEN 'PAUSE_REQUEST' WHEN 8 THEN 'RECOVERABLE_DEVICE_FAULT' WHEN 9 THEN 'ALL_CONVEYORS_STOPPED' WHEN 10 THEN 'PAUSE_FAILED' WHEN 11 THEN 'PAUSE_TIMEOUT'
             WHEN 12 THEN 'RESUME_REQUEST' WHEN 13 THEN 'DEVICE_RECOVERED' WHEN 14 THEN 'RESUME_FAILED' WHEN 15 THEN 'CRITICAL_FAULT' WHEN 16 THEN 'RESET_REQUEST' WHEN 17 THEN 'RESET_SUCCEEDED_EMPTY_LINE'
             WHEN 18 THEN 'RESET_SUCCEEDED_IN_PLACE' WHEN 19 THEN 'RESET_FAILED' WHEN 20 THEN 'RESET_TIMEOUT' ELSE 'ESTOP_ASSERTED' END AS event
-        FROM {events} WHERE event_id < 400""",
+        FROM {events}""",
     "inference_job": """
         SELECT event_id AS job_id, user_id AS fifo_sequence, CAST(1 + event_id % 2 AS INT) AS station_id, event_id * 1000000 AS enqueued_ns, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(500 + event_id % 2500 AS BIGINT) END AS timeout_ms,
           CASE WHEN event_id % 6 = 0 THEN 'CUDA out of memory at layer' WHEN event_id % 6 = 1 THEN 'bad shape' ELSE '' END AS failure_text FROM {events}""",
