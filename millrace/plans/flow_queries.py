@@ -136,6 +136,12 @@ def queue_order(t: Tables) -> DataFrame:
     return t.inference_job.where("job_id < 500").orderBy("fifo_sequence", "enqueued_ns", "station_id").select("job_id")
 
 
+@query("t05_queue_order_whole", "SELECT job_id FROM inference_job ORDER BY fifo_sequence, enqueued_ns, station_id")
+def whole_queue_order(t: Tables) -> DataFrame:
+    """All jobs; ``t05_queue_order`` is its part below job 500, as its SQL says."""
+    return t.inference_job.orderBy("fifo_sequence", "enqueued_ns", "station_id").select("job_id")
+
+
 @query("c22_job_deadlines", "SELECT job_id, coalesce(job_id * 1000000 + 1500000000 - enqueued_ns > timeout_ms * 1000000, false) AS expired, CASE WHEN failure_text = '' THEN NULL WHEN lower(failure_text) LIKE '%cuda out of memory%' THEN 'CUDA_OOM' ELSE 'MODEL' END AS failure, CASE WHEN failure_text = '' THEN 0 WHEN lower(failure_text) LIKE '%cuda out of memory%' THEN 2003 ELSE 2000 END AS error_code FROM inference_job")
 def deadlines(t: Tables) -> DataFrame:
     text = F.col("failure_text")

@@ -1,10 +1,12 @@
 """Queries that once read only some of their rows: every row has to count."""
 
-from millrace.plans import catalogue
+import binascii
+
+from millrace.plans import catalogue, registry
 from millrace.sources.tables import Tables
 from millrace.streaming import machines as M
 
-QUERIES = catalogue.queries()
+QUERIES, QUERIES_OF = catalogue.queries(), registry._QUERIES
 
 
 def test_system_machine_folds_every_event(spark, data):
@@ -15,3 +17,20 @@ def test_system_machine_folds_every_event(spark, data):
         expected[r.session_id, r.arrival] = machines.setdefault(r.session_id, M.SystemMachine()).take(r.asDict())
     assert len(rows) == Tables(spark, data).events.count() > 400
     assert found == expected
+
+
+def test_queue_order_and_frames_cover_all_events(spark, data):
+    jobs = Tables(spark, data).inference_job.collect()
+    found = [r.job_id for r in QUERIES["t05_queue_order_whole"](spark, data).collect()]
+    assert found == [r.job_id for r in sorted(jobs, key=lambda r: (r.fifo_sequence, r.enqueued_ns, r.station_id))]
+    assert [j for j in found if j < 500] == [r.job_id for r in QUERIES["t05_queue_order"](spark, data).collect()]
+    # ids above 2000, which no small table holds
+    events = spark.range(1990, 2100, 1, 2).selectExpr("id AS event_id", "id % 150 AS user_id")
+    made = Tables(spark, data)
+    made._made["events"] = events
+    frames = {r.event_id: r for r in QUERIES_OF["c07_serial_frames"](made).collect()}
+    assert sorted(frames) == list(range(1990, 2100))
+    for i, r in frames.items():
+        body = f"E|SENSOR|{i % 150 % 3 + 1}|{i}"
+        assert r.line == f"{body}|{binascii.crc_hqx(body.encode(), 0xFFFF):04X}\n"
+        assert r.fields == (0 if i % 9 == 0 else 4)
