@@ -138,4 +138,10 @@ def heartbeats(beats: DataFrame) -> DataFrame:
     return beats.withColumn("accepted", top.isNull() | (F.col("sequence") > top)).withColumn("restarted", F.coalesce(F.lag("instance_id").over(line) != F.col("instance_id"), F.lit(False)))
 
 
+def later_heartbeats(beats: DataFrame) -> DataFrame:
+    """node_id, arrival, later: for each heartbeat, how many of its instance have its sequence or a higher one, itself included."""
+    own = W.partitionBy("node_id", "instance_id").orderBy("sequence").rangeBetween(W.currentRow, W.unboundedFollowing)
+    return beats.where("node_id IS NOT NULL AND instance_id IS NOT NULL AND sequence IS NOT NULL").select("node_id", "arrival", F.count(F.lit(1)).over(own).alias("later"))
+
+
 FSM_SCHEMA = T.StructType([T.StructField(n, T.StringType() if n != "arrival" else T.LongType()) for n in ("session_id", "arrival", "event", "state", "rule", "next_state")])

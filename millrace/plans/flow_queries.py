@@ -108,6 +108,12 @@ def status_join(t: Tables) -> DataFrame:
     return status.join(t.heartbeat.select("node_id", "instance_id", "sequence"), ["node_id", "instance_id"]).where("sequence >= from_sequence").groupBy("node_id", "arrival").agg(F.count(F.lit(1)).alias("later"))
 
 
+@query("j11_heartbeat_status_whole", "SELECT s.node_id, s.arrival, count(*) AS later FROM heartbeat s JOIN heartbeat h ON h.node_id = s.node_id AND h.instance_id = s.instance_id AND h.sequence >= s.sequence GROUP BY s.node_id, s.arrival")
+def whole_status_join(t: Tables) -> DataFrame:
+    """The count for every heartbeat; ``j11_heartbeat_status_join`` is its part at every 500th arrival, as its SQL says."""
+    return L.later_heartbeats(t.heartbeat)
+
+
 @query("w04_fifo_alignment", "SELECT bool_and(physical_state >= nxt) AS aligned, count(*) FILTER (WHERE physical_state < nxt) AS behind FROM (SELECT physical_state, lead(physical_state) OVER (PARTITION BY g ORDER BY fifo_sequence) AS nxt FROM (SELECT *, fifo_sequence % 4 AS g FROM ledger) x) y WHERE nxt IS NOT NULL")
 def alignment(t: Tables) -> DataFrame:
     after = F.lead("physical_state").over(W.partitionBy(F.col("fifo_sequence") % 4).orderBy("fifo_sequence"))

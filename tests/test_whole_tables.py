@@ -34,3 +34,12 @@ def test_queue_order_and_frames_cover_all_events(spark, data):
         body = f"E|SENSOR|{i % 150 % 3 + 1}|{i}"
         assert r.line == f"{body}|{binascii.crc_hqx(body.encode(), 0xFFFF):04X}\n"
         assert r.fields == (0 if i % 9 == 0 else 4)
+
+
+def test_later_heartbeats_of_every_arrival(spark, data):
+    beats = Tables(spark, data).heartbeat.collect()
+    expected = {(b.node_id, b.arrival): sum(h.node_id == b.node_id and h.instance_id == b.instance_id and h.sequence >= b.sequence for h in beats) for b in beats}
+    found = {(r.node_id, r.arrival): r.later for r in QUERIES["j11_heartbeat_status_whole"](spark, data).collect()}
+    assert len(beats) > 500 and found == expected
+    part = {(r.node_id, r.arrival): r.later for r in QUERIES["j11_heartbeat_status_join"](spark, data).collect()}
+    assert part == {k: v for k, v in found.items() if k[1] % 500 == 0}
