@@ -11,6 +11,8 @@ from ..functions.numbers import euclidean, ratio, softmax_weight, top_k_count
 VIEWS, PATCHES = 4, 16
 #: Rows of a bank that may be sent to every task; a larger bank is joined block by block.
 BANK_ROWS = 100_000
+#: Vectors of a block where all meet all, the least number of blocks, and vectors that ask at a time.
+BLOCK_ROWS, LEAST_BLOCKS, CHUNK = 16_384, 4, 256
 # The candidates of the model selection.
 EPSILON_RATIOS = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.2)
 FLOOR_RATIOS = (0.05, 0.1, 0.2)
@@ -51,6 +53,51 @@ def nearest_distance(queries: DataFrame, bank: DataFrame) -> DataFrame:
     return pairs.groupBy("vec_id").agg(F.min("d").alias("d")).select("vec_id", "d.distance", "d.bank_id")
 
 
+def _nearest_in_block(asking, held, k: int):  # noqa: ANN001, ANN202
+    """The k nearest of ``held`` for each vector of ``asking`` but itself, as a pandas frame. Products find the candidates; their distances are sums of squared differences."""
+    import numpy as np
+    import pandas as pd
+
+    held = held.sort_values("bank_id")
+    ids, bank = held["bank_id"].to_numpy(), np.stack(held["bank_vec"].to_numpy()).astype(float)
+    lengths, found = (bank * bank).sum(1), []
+    for start in range(0, len(asking), CHUNK):
+        part = asking.iloc[start : start + CHUNK]
+        own, q = part["vec_id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(float)
+        norms = (q * q).sum(1)[:, None]
+        far = norms + lengths - 2 * (q @ bank.T)
+        far[own[:, None] == ids] = np.inf
+        last = np.partition(far, min(k, len(ids)) - 1, axis=1)[:, [min(k, len(ids)) - 1]]
+        row, col = np.nonzero((far <= last + 1e-9 * (norms + lengths.max())) & np.isfinite(far))  # wider than the rounding of the products
+        squares = np.zeros(len(row))
+        for i in range(bank.shape[1]):
+            squares += (q[row, i] - bank[col, i]) ** 2
+        order = np.lexsort((col, squares, row))
+        row, col, squares = row[order], col[order], squares[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, squares = row[rank < k], col[rank < k], squares[rank < k]
+        found.append(pd.DataFrame({"vec_id": own[row], "bank_id": ids[col], "distance": np.sqrt(squares)}))
+    return pd.concat(found)
+
+
+def nearest_others(vectors: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """vec_id, bank_id, distance, rank: the k nearest of all other vectors for every vector, block against block."""
+    rows = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    n = max(LEAST_BLOCKS, -(-rows.count() // block))
+    blocks, own = F.sequence(F.lit(0), F.lit(n - 1)), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    asking = rows.select(own.alias("i"), F.explode(blocks).alias("j"), "vec_id", "embedding")
+    held = rows.select(F.explode(blocks).alias("i"), own.alias("j"), F.col("vec_id").alias("bank_id"), F.col("embedding").alias("bank_vec"))
+    schema = "vec_id bigint, bank_id bigint, distance double"
+
+    def meet(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return _nearest_in_block(a, b, k) if len(a) and len(b) else pd.DataFrame({"vec_id": [], "bank_id": [], "distance": []})
+
+    near = asking.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInPandas(meet, schema)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy("distance", "bank_id"))).where(F.col("rank") <= k)
+
+
 def reweighted(near: DataFrame) -> DataFrame:
     """Image score of the nearest distances: the nearest one, weighted by how much it stands out among them."""
     listed = near.groupBy("vec_id").agg(F.sort_array(F.collect_list("distance")).alias("d"))  # k entries

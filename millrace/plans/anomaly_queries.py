@@ -38,6 +38,25 @@ def image_score(t: Tables) -> DataFrame:
     return rounded(A.reweighted(A.nearest(t.query_vector, t.memory_bank, 5)))
 
 
+NEAR = f"near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, bank_id) AS r FROM (SELECT q.vec_id, b.bank_id, {DIST} AS d FROM embeddings q, (SELECT vec_id AS bank_id, embedding AS bank_vec FROM embeddings) b WHERE b.bank_id <> q.vec_id) x) y WHERE r <= 5)"
+
+
+@query("j08_nearest_bank_vector_whole", f"WITH {NEAR} SELECT vec_id, round(d, 6) AS distance, bank_id FROM near WHERE r = 1")
+def nearest_whole(t: Tables) -> DataFrame:
+    """Every vector against all others; ``j08_nearest_bank_vector`` asks a tenth against another tenth, as its inputs are."""
+    return rounded(A.nearest_others(t.embeddings, 1)).select("vec_id", "distance", "bank_id")
+
+
+@query("t08_nearest_k_whole", f"WITH {NEAR} SELECT vec_id, bank_id, round(d, 6) AS distance, CAST(r AS INT) AS rank FROM near")
+def nearest_k_whole(t: Tables) -> DataFrame:
+    return rounded(A.nearest_others(t.embeddings, 5)).select("vec_id", "bank_id", "distance", "rank")
+
+
+@query("m03_reweighted_score_whole", f"WITH {NEAR} SELECT vec_id, round((1 - exp(ds[1] - ds[5]) / list_sum(list_transform(ds, lambda z: exp(z - ds[5])))) * ds[1], 6) AS score FROM (SELECT vec_id, list(d ORDER BY d) AS ds FROM near GROUP BY vec_id) z")
+def image_score_whole(t: Tables) -> DataFrame:
+    return rounded(A.reweighted(A.nearest_others(t.embeddings, 5)))
+
+
 @query("a14_position_moments", f"WITH {PATCHES}, {MOMENTS} SELECT view, patch, round(center, 6) AS center, round(scale, 6) AS scale FROM moments")
 def moments(t: Tables) -> DataFrame:
     return rounded(A.moments(A.patches(t.embeddings).where("split = 0")))

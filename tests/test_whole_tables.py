@@ -2,7 +2,10 @@
 
 import binascii
 
+import numpy as np
+
 from millrace.plans import catalogue, registry
+from millrace.operators import anomaly as A
 from millrace.sources.tables import Tables
 from millrace.streaming import machines as M
 
@@ -43,3 +46,20 @@ def test_later_heartbeats_of_every_arrival(spark, data):
     assert len(beats) > 500 and found == expected
     part = {(r.node_id, r.arrival): r.later for r in QUERIES["j11_heartbeat_status_join"](spark, data).collect()}
     assert part == {k: v for k, v in found.items() if k[1] % 500 == 0}
+
+
+def test_every_vector_meets_all_others(spark, data):
+    rows = Tables(spark, data).embeddings.select("vec_id", "embedding").collect()
+    copies = [(1000 + r.vec_id, r.embedding) for r in rows[:40]] + [(2000 + i, rows[7].embedding) for i in range(9)]
+    for vectors in ([(r.vec_id, r.embedding) for r in rows], [(r.vec_id, r.embedding) for r in rows] + copies):
+        ids, x = np.array([v for v, _ in vectors]), np.array([e for _, e in vectors], float)
+        expected = {}
+        for i, e in enumerate(x):
+            d = np.sqrt(((x - e) ** 2).sum(1))
+            expected[int(ids[i])] = [(int(ids[j]), round(float(d[j]), 6)) for j in np.lexsort((ids, d)) if j != i][:5]
+        table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+        found = {}
+        for r in sorted(A.nearest_others(table, 5, block=90).collect(), key=lambda r: (r.vec_id, r["rank"])):
+            found.setdefault(r.vec_id, []).append((r.bank_id, round(r.distance, 6)))
+        assert found == expected
+    assert {r.vec_id for r in QUERIES["j08_nearest_bank_vector_whole"](spark, data).collect()} == {r.vec_id for r in rows}
