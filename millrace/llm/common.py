@@ -51,6 +51,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
 
 
+def spread(text: Column, size: int, count: int = 16) -> Column:
+    """Array of texts: the whole text if it has at most ``size`` characters, else ``count`` pieces of together ``size``, from its first to its last character."""
+    piece = size // count
+    room = (F.length(text) - piece).cast("bigint")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(text, (F.floor(room * i / (count - 1)) + 1).cast("int"), F.lit(piece)))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
+
+
 def sizes_of(frame: DataFrame) -> int:
     """Partitions that the scan of ``frame`` makes; a plan-only question."""
     return max(1, frame.rdd.getNumPartitions())

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_rows, fold_of
+from .common import arrow_rows, fold_of, spread
 
 #: Longest context in bytes.
 ORDER = 3
@@ -183,18 +183,21 @@ def compile_trees(samples: dict[str, list[bytes]], order: int = ORDER) -> Langua
 
 
 def fit(docs: DataFrame, learn: Column, *, per_language: int = 500, languages: int = 200, clip: int = 4096, order: int = ORDER) -> LanguageModel:
-    """Learn from a bounded sample: of each language that ``learn`` admits, ``per_language`` documents in the order of a hash of the
-    id, the first ``clip`` characters of each; of more than ``languages`` languages, those with the most documents. Documents with
+    """Learn every language from a bounded sample: of each that ``learn`` admits, ``per_language`` documents in the order of a hash of
+    the id; with more than ``languages`` languages so many fewer that all have ``per_language * languages`` together, one each at least.
+    Of a text with more than ``clip`` characters it takes pieces of that total from all over the text. Documents with
     null or empty text or null language teach nothing. Without any, the model knows no language and every text is ``und``.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & learn)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    many = known.select("lang").distinct().count()
+    share = max(1, min(per_language, per_language * languages // max(many, 1)))
     rank = W.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").join(F.broadcast(counts.select("lang")), "lang").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language)
-    picked = docs.where(F.length("text") > 0).select("doc_id", "lang", F.substring("text", 1, clip).alias("text")).join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+    ids = known.select("lang", "doc_id").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= share)
+    texts = docs.where(F.length("text") > 0).select("doc_id", "lang", "text")
+    picked = texts.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", spread(F.col("text"), clip).alias("pieces"))
     samples: dict[str, list[bytes]] = {}
     for r in sorted(picked.collect()):
-        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
+        samples.setdefault(r["lang"], []).extend(x.encode("utf-8", "surrogatepass") for x in r["pieces"])
     return compile_trees(samples, order)
 
 

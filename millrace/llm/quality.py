@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, fold_of
+from .common import arrow_rows, fold_of, spread
 
 #: Bytes of a text that are compressed at a time, each block with a fresh window.
 BLOCK = 512
@@ -73,9 +73,17 @@ def design(measures: np.ndarray) -> np.ndarray:
     return np.stack([d, r, r * r, d * r, np.ones(len(d))], 1)
 
 
+def spread_bytes(data: bytes, size: int, count: int = 16) -> bytes:
+    """At most ``size`` bytes: all of the data, or ``count`` pieces from its first to its last byte."""
+    if len(data) <= size:
+        return data
+    n, room = size // count, len(data) - size // count
+    return b"".join(data[room * i // (count - 1) :][:n] for i in range(count))
+
+
 def book(texts: list[str], room: int, piece: int) -> bytes:
     """A trained dictionary; where there is too little text to train one, the text itself as raw content."""
-    parts = [t.encode("utf-8", "surrogatepass")[:piece] for t in texts]
+    parts = [spread_bytes(t.encode("utf-8", "surrogatepass"), piece) for t in texts]
     try:
         return zstd.train_dictionary(room, parts).as_bytes()
     except zstd.ZstdError:
@@ -106,7 +114,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_label: int = 2400, clip: int = 16384, room: int = 256 << 10, piece: int = 4096) -> QualityModel:
     """Fit on a bounded sample: ``per_label`` documents of each label, in the order of a hash of the id, among the rows
-    of ``labels`` for which ``learn`` holds, and the first ``clip`` characters of each. Half fill the dictionaries, half fit the curve,
+    of ``labels`` for which ``learn`` holds, and ``clip`` characters of each, from all over a longer text. Half fill the dictionaries, half fit the curve,
     weighted to the labels' true shares. The sample reaches the driver, at most ``2 * per_label * clip`` characters.
 
     Labels other than 0 and 1, and labels of null ids or null texts, teach nothing. Of several labels of a document, the greatest counts.
@@ -118,8 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_label: int = 2
     for q in (0, 1):
         part = known.where(F.col("quality") == q).select("doc_id", "quality", order.alias("o")).orderBy("o", "doc_id").limit(per_label)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select("doc_id", F.substring("text", 1, clip).alias("text")).where(F.length("text") > 0)
-    rows = sorted(texts.join(F.broadcast(sample), "doc_id").select("o", "doc_id", "quality", "text").collect())
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
+    parts = F.array_join(spread(F.col("text"), clip), "").alias("text")
+    rows = sorted(texts.join(F.broadcast(sample), "doc_id").select("o", "doc_id", "quality", parts).collect())
     ordered = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     model = QualityModel(book(ordered[1][::2], room, piece), book(ordered[0][::2], room, piece))
     tools = model.compressors()
