@@ -20,11 +20,13 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder on storage that driver and executors share.
 
-    It lies in the folder that ``spark.checkpoint.dir`` names. Only where that is unset, as in local tests,
-    a folder of this machine takes its place.
+    It lies in the folder that ``spark.checkpoint.dir`` names. Only where that is unset and the master is local, as in tests,
+    a folder of this machine takes its place; on a cluster that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
@@ -46,6 +48,51 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a filter of ids, whatever the input's size.
+FILTER_BITS = 1 << 23
+
+
+def filter_place(number: Column) -> Column:
+    """Place of an id in a filter of ids."""
+    return F.pmod(F.xxhash64(number), F.lit(FILTER_BITS))
+
+
+def id_bitmaps(ids: DataFrame, name: str) -> DataFrame:
+    """chunk, bitmap: bits at the places of all ids of a long column; ``FILTER_BITS`` in all, a row for each 32768."""
+    place = filter_place(F.col(name))
+    return ids.select(F.floor(place / 32768).alias("chunk"), (place % 32768).alias("at")).groupBy("chunk").agg(F.expr("bitmap_construct_agg(at)").alias("bitmap"))
+
+
+def id_filter(ids: DataFrame, name: str) -> bytes:
+    """The bitmaps end to end, the lowest bit of each byte first."""
+    held = bytearray(FILTER_BITS // 8)
+    for r in id_bitmaps(ids, name).collect():  # FILTER_BITS at most
+        held[r["chunk"] * 4096 : (r["chunk"] + 1) * 4096] = r["bitmap"]
+    return bytes(held)
+
+
+def without_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose long ``key`` is not among ``ids`` (a frame with a column of that name). Rows with a null key stay.
+
+    Rows that a filter of ``FILTER_BITS`` clears stay where they are; only the others meet the ids in a join, and travel for it.
+    """
+    place = filter_place(F.col(key))
+    # FILTER_BITS // 8 bytes, whatever the input
+    marked = rows.withColumn("__chunk", F.floor(place / 32768)).join(F.broadcast(id_bitmaps(ids, key).withColumnRenamed("chunk", "__chunk")), "__chunk", "left")
+    byte = F.conv(F.hex(F.substr("bitmap", (F.floor((place % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("__held", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    free, held = (marked.where(c).select(*rows.columns) for c in (~F.col("__held"), F.col("__held")))
+    return free.unionByName(held.join(ids.select(key), key, "left_anti").select(*rows.columns))
+
+
+def with_row_key(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a long that tells its rows apart and rises with doc_id (null ids last): doc_id itself where that is unique and never null."""
+    n, known, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == known == distinct:
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return materialise(docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls in no fold."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)

@@ -61,33 +61,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LIMIT = 1_000_000
 
 
-def _sum(edges: DataFrame) -> tuple:
-    # addition of hashes wraps in no place: they are taken modulo 2**31 first
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars already: no node has two roots, and no root has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component for every node of an edge (columns a, b, long); the component is its least node. Loops and repeated edges don't matter."""
+    """node, component for every node of an edge (columns a, b, long); the component is its least node. Loops and repeated edges don't matter.
+    Without edges there are no nodes."""
     clean = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
     now = materialise(clean.mapInArrow(_contract, "u long, v long").distinct())
-    state = _sum(now)
     for _ in range(MAX_ROUNDS):
-        if not state[0]:
+        if _settled(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large)
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that both sides of the join are shuffles, of which Spark may split a hot node's
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m")))
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         after = large.join(small, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(after)
-        changed = _sum(after)
-        forget(large)
-        forget(now)
+        for done in (least, large, small, now):
+            forget(done)
         now = after
-        if changed == state:
-            break
-        state = changed
     else:
         raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

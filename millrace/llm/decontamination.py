@@ -11,7 +11,8 @@ A document holds an item if at least ``SHARE`` of the item's distinct word shing
 
 Minima of a partition's windows come from those of the next smaller one, and whole batches of documents are hashed at once. No shuffle.
 
-The items of one pass are bounded in number and words (``BLOCK_ITEMS``, ``BLOCK_WORDS``), and so is what is broadcast; more items take more passes.
+Items are indexed in blocks of bounded number and words (``BLOCK_ITEMS``, ``BLOCK_WORDS``), each a broadcast of its own. A task hashes a chunk of documents
+once and holds it against one block after another, of which it keeps one in memory. ``PASS_BLOCKS`` blocks make a pass over the documents.
 
 Null and empty items and documents have no shingles: they hold nothing and are held by nothing. A text with fewer words than a shingle is
 one shingle, which only an equal text has. Repeated items and documents are compared each on their own.
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shingle_hashes, words_of
+from .common import shingle_hashes, words_of
 
 SHARE = (80, 100)
 HASHES = 48
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 4_000_000
+PASS_BLOCKS = 32
 BATCH = 256
-_BITS = 20
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -42,12 +43,17 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass
 class ItemIndex:
-    """Shingles of the items, and for each partition and hash the items' minima, sorted."""
+    """Shingles of the items, and for each partition and hash the items' minima, sorted, with a filter of their first ``bits`` bits."""
 
     ids: list
     sets: list[np.ndarray]
-    shingles: list[dict[int, bytes]]
+    words: list[list[bytes]]
     minima: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # partition: values, items, filter
+    bits: int = 12
+
+    def shingles(self, item: int) -> dict[int, bytes]:
+        words = self.words[item]
+        return dict(zip(shingle_hashes(words).tolist(), grams(words), strict=True))
 
 
 def grams(words: list[bytes]) -> list[bytes]:
@@ -57,7 +63,7 @@ def grams(words: list[bytes]) -> list[bytes]:
 
 def build_index(rows: list[tuple]) -> ItemIndex:
     """Index of (id, text) rows."""
-    index = ItemIndex([], [], [], {})
+    index = ItemIndex([], [], [], {}, min(max((64 * len(rows)).bit_length(), 12), 21))
     parts: dict[int, list[int]] = {}
     for item_id, text in rows:
         words = words_of(text or "")
@@ -68,15 +74,15 @@ def build_index(rows: list[tuple]) -> ItemIndex:
         parts.setdefault(int(len(kept)).bit_length() - 1, []).append(len(index.ids))
         index.ids.append(item_id)
         index.sets.append(kept)
-        index.shingles.append(dict(zip(hashes.tolist(), grams(words), strict=True)))
+        index.words.append(words)
     for c, members in sorted(parts.items()):
         index.minima[c] = []
         for m in MULTIPLIERS:
             values = np.array([(index.sets[i] * m).min() for i in members], np.uint64)
             order = np.argsort(values, kind="stable")
-            seen = np.zeros(1 << _BITS, bool)
-            seen[values >> np.uint64(64 - _BITS)] = True
-            index.minima[c].append((values[order], np.array(members)[order], np.packbits(seen)))
+            seen = np.zeros(1 << index.bits, bool)
+            seen[values >> np.uint64(64 - index.bits)] = True
+            index.minima[c].append((values[order], np.array(members)[order], seen))
     return index
 
 
@@ -94,7 +100,6 @@ def candidates(index: ItemIndex, hashes: list[np.ndarray]) -> set[tuple[int, int
     sizes = np.array([len(h) for h in hashes])
     if not index.minima or not sizes.sum():
         return found
-    filters = {c: [np.unpackbits(f).view(bool) for _, _, f in rows] for c, rows in index.minima.items()}
     flat = np.concatenate(hashes)
     low, high = min(index.minima), max(index.minima)
     plans = []  # starts of this level's runs among the level below, stretch of each run, last run of its stretch
@@ -115,20 +120,18 @@ def candidates(index: ItemIndex, hashes: list[np.ndarray]) -> set[tuple[int, int
             after = np.append(level[1:], _NONE)
             after[last] = _NONE
             windows = np.minimum(level, after)
-            maybe = np.flatnonzero(filters[c][j][windows >> np.uint64(64 - _BITS)])
+            values, items, seen = index.minima[c][j]
+            maybe = np.flatnonzero(seen[windows >> np.uint64(64 - index.bits)])
             if len(maybe):
-                values, items, _ = index.minima[c][j]
                 a, b = np.searchsorted(values, windows[maybe]), np.searchsorted(values, windows[maybe], "right")
                 for w, i, k in zip(maybe[b > a], a[b > a], b[b > a], strict=True):
                     found.update((int(owner[w]), int(item)) for item in items[i:k])
     return found
 
 
-def match_batch(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+def match_batch(index: ItemIndex, words: list[list[bytes]], hashes: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
     """(document's place, item's place, item's shingles, shared shingles) of the pairs that hold."""
-    words = [words_of(t or "") for t in texts]
-    hashes = [shingle_hashes(w) for w in words]
-    out = []
+    out, shingles = [], {}
     for d, i in sorted(candidates(index, hashes)):
         wanted, have = index.sets[i], hashes[d]
         order = np.argsort(have, kind="stable")
@@ -136,41 +139,101 @@ def match_batch(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, in
         at = np.minimum(at, len(have) - 1)
         hit = have[order[at]] == wanted
         k = min(5, len(words[d]))
-        shared = sum(b" ".join(words[d][p : p + k]) == index.shingles[i][int(h)] for p, h in zip(order[at[hit]].tolist(), wanted[hit].tolist(), strict=True))
+        if i not in shingles:
+            shingles[i] = index.shingles(i)
+        shared = sum(b" ".join(words[d][p : p + k]) == shingles[i][int(h)] for p, h in zip(order[at[hit]].tolist(), wanted[hit].tolist(), strict=True))
         if shared * SHARE[1] >= SHARE[0] * len(wanted):
             out.append((d, i, len(wanted), int(shared)))
     return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, batch: int = BATCH) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared: each item that a document holds. ``docs``: doc_id, text; ``items``: item_id, text."""
-    spark = docs.sparkSession
+class Search:
+    """Items in the documents of a task: blocks of the index one after another, one in memory if there are several."""
+
+    def __init__(self, blocks: list) -> None:
+        self.blocks = blocks
+
+    def __call__(self, texts: list[str | None], batch: int = BATCH) -> Iterator[tuple[int, int, int, int]]:
+        """(document's place, item_id, item's shingles, shared shingles)."""
+        words = [words_of(t or "") for t in texts]
+        hashes = [shingle_hashes(w) for w in words]
+        for block in self.blocks:
+            index = block.value
+            for at in range(0, len(texts), batch):
+                for d, i, n, shared in match_batch(index, words[at : at + batch], hashes[at : at + batch]):
+                    yield at + d, index.ids[i], n, shared
+            if len(self.blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again from its file for the next chunk
+
+
+def _passes(items: DataFrame) -> Iterator[list]:
+    """Broadcast blocks of the index, ``PASS_BLOCKS`` at most at a time; a list at least, which may be empty."""
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length(F.trim("text")) > 0)
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil(size["chars"] / (4 * BLOCK_WORDS)))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = None
+    blocks = math.ceil(max(size["n"] / BLOCK_ITEMS, size["chars"] / (4 * BLOCK_WORDS)))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1)))
+    held = []
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(block == b).collect()]  # bounded by BLOCK_ITEMS and BLOCK_WORDS, on the mean
-        part = _search(spark, docs, build_index(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))), batch)
+        held.append(spark.sparkContext.broadcast(build_index(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))))
+        if len(held) == PASS_BLOCKS and b + 1 < blocks:
+            yield held
+            held = []
+    yield held
+
+
+def _chunk(blocks: list) -> int:
+    """Documents of a chunk: more if a block has to be read anew for each."""
+    return BATCH if len(blocks) < 2 else 16 * BATCH
+
+
+def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared: each item that a document holds. ``docs``: doc_id, text; ``items``: item_id, text.
+
+    Other columns of either are left out. Empty tables, of documents or items, give an empty result.
+    """
+    out = None
+    for blocks in _passes(items):
+        part = _search(docs, blocks)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _search(spark: SparkSession, docs: DataFrame, index: ItemIndex, batch: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)
-    kind = pa.int64() if dict(docs.dtypes)["doc_id"] == "bigint" else None
+def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns; each row is judged on its own, whatever its id."""
+    for blocks in _passes(items):
+        docs = _clean(docs, blocks)
+    return docs
+
+
+def _search(docs: DataFrame, blocks: list) -> DataFrame:
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "item_id", "n_item", "n_shared"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(blocks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _chunk(blocks)):
+                part = batch.slice(at, _chunk(blocks))
+                found = list(search(part.column(1).to_pylist()))
+                ids = part.column(0).take(pa.array([d for d, *_ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3)]], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, n_item long, n_shared long")
+
 
+def _clean(docs: DataFrame, blocks: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for rows in arrow_rows(batches, ["doc_id", "text"], batch):
-            found = match_batch(index, rows["text"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows["doc_id"][d] for d, *_ in found], kind or pa.int64()), pa.array([index.ids[i] for _, i, *_ in found], pa.int64()), pa.array([n for *_, n, _ in found], pa.int64()), pa.array([s for *_, s in found], pa.int64())],
-                names=["doc_id", "item_id", "n_item", "n_shared"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, n_item long, n_shared long")
+        search = Search(blocks)
+        for batch in batches:
+            texts = batch.schema.get_field_index("text")
+            for at in range(0, batch.num_rows, _chunk(blocks)):
+                part = batch.slice(at, _chunk(blocks))
+                held = {d for d, *_ in search(part.column(texts).to_pylist())}
+                yield part.filter(pa.array([d not in held for d in range(part.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_decontaminate_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,16 @@
 2. In Spark, the pages of a host vote for paths; those with at least ``WINNER_SHARE`` of the votes win.
 3. Each page is extracted again from its most voted winning path that it has; a page with none uses its own best container.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by tag, role or class
-words, inside the article too. A ``header`` inside an ``article`` or ``main`` belongs to the article.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by tag, role or class,
+inside the article and inside a paragraph too. A class or id names noise if each of its parts is a noise word or a word of layout, and one a noise word:
+``cookie-banner`` and ``ad_slot_2`` do, ``banner-story`` and ``share-prices`` don't. A ``header`` inside an ``article`` or ``main`` belongs to the article.
 Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by one space.
 
-Null and empty html gives the empty text. Pages without host vote together as one host. Repeated rows get equal results.
+Pages are read once from left to right, in time and memory that grow with their length, whatever they hold. From a tag whose quotes never end, quotes
+count for nothing in the rest of the page; a tag that never ends is text.
+
+Null and empty html gives the empty text. Pages without host vote together as one host. Containers of equal score: the one nearest the root, then the first
+by name; paths of equal votes: the first by name. Repeated rows get equal results. An empty table gives an empty one. All columns but ``text`` pass through.
 """
 
 from __future__ import annotations
@@ -46,138 +51,250 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner menu nav navbar navigation topnav breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus share sharing social related recommended widget pagination pager search form skip".split()
 )
+#: Words of layout that name no content.
+LAYOUT = frozenset("area bar block box button buttons col column container content div frame global header holder icon icons inner item items left link links list main outer page panel right row section site slot small space text title top bottom unit user widget widgets wrap wrapper zone x y l r".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|noscript|template|textarea|svg|math)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+#: Elements whose content isn't markup.
+RAW = frozenset("script style title noscript template textarea svg math".split())
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def is_noise(name: str) -> bool:
+    """Whether a class or id names what isn't the article."""
+    parts = _PART.findall(_CAMEL.sub(" ", name).lower())
+    return any(p in NOISE for p in parts) and all(p in NOISE or p in LAYOUT for p in parts)
+
+
 def _step(tag: str, attributes: str) -> tuple[str, bool]:
     """Generalised ``tag.class`` of an element, and whether it is noise."""
-    if not attributes or "=" not in attributes:
-        return tag, "hidden" in attributes.lower().split()
-    name, noise = "", False
+    name, noise, seen = "", False, set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
+        if key in seen:  # the first counts
+            continue
+        seen.add(key)
         if key == "class":
             words = sorted({re.sub(r"\d+", "", w).strip("-_") for w in value.lower().split()} - {""})
             name = ".".join(words)
         if key in ("class", "id"):
-            noise |= any(w in NOISE for w in _WORD.findall(_CAMEL.sub(" ", value).lower()))
+            noise |= any(is_noise(w) for w in value.split())
         noise |= key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
     return (f"{tag}.{name}" if name else tag), noise
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path of the container, text, unlinked characters) of each block outside noise, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
-    pieces: list[str] = []
-    linked = depth = 0
-    path, noise = "", False
-
-    def flush() -> None:
-        nonlocal linked, depth
-        if pieces:
-            if not noise:
-                text = " ".join("".join(pieces).split())
-                if text:
-                    out.append((path, text, max(0, len(text) - linked)))
-            pieces.clear()
-        linked = depth = 0
-
-    def top() -> None:
-        nonlocal path, noise
-        path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw and not noise:
-            text = entities.unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            if depth:
-                linked += len(text)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        start = m.start()
-        if start > at:
-            add(page[at:start])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        closing = bool(m.group(2))
-        if tag in INLINE:
-            if tag == "a":
-                depth = 0 if closing else 1
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, tag, attributes): the text before each tag, the tag (``/`` in front of a closing one) and its attributes; the last text has no tag."""
+    text, at, size = 0, 0, len(page)  # where the text began that is still to be given, and where to look on
+    last = page.rfind(">")
+    quotes = True
+    while at <= last and (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[text:at], "", ""
+            text = at = end + 3 if end >= 0 else size
             continue
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                pieces.append(" ")
+        m = _NAME.match(page, at + 1)
+        if at > last:
+            break
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                yield page[text:at], "", ""
+                text = at = end + 1
+            else:
+                at += 1
             continue
-        flush()
-        if tag in VOID:
-            continue
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        end = -1
+        if quotes:
+            look = m.end()
+            while stop := _STOP.search(page, look):
+                if stop.group() == ">":
+                    end = stop.start()
                     break
-            top()
-            continue
-        if stack and stack[-1][0] in ("p", "head"):  # any block ends a paragraph or a head left open
-            stack.pop()
-            top()
-        for closed in (CLOSES.get(tag),) if tag in CLOSES else ():
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
+                look = page.find(stop.group(), stop.end()) + 1
+                if not look:
                     break
-                if stack[i][0] in SCOPES:
+            quotes = end >= 0
+        if end < 0:
+            end = page.find(">", m.end())
+        name = m.group(1).lower()
+        closing = page[at + 1] == "/"
+        yield page[text:at], f"/{name}" if closing else name, page[m.end() : end]
+        text = at = end + 1
+        if name in RAW and not closing:
+            done = _CLOSE[name].search(page, at)
+            text = at = done.end() if done else size
+    if page.startswith("<!--", at) and at >= text:  # a comment that never ends
+        yield page[text:at], "", ""
+        return
+    rest = page.find("<!--", max(at, 0)) if at >= 0 else -1
+    yield page[text : rest if rest >= 0 else size], "", ""
+
+
+class Page:
+    """Blocks of a page outside noise, in page order: container, text, unlinked characters. Containers are numbers; a parent's is smaller than its children's."""
+
+    def __init__(self, page: str) -> None:
+        self.blocks: list[tuple[int, str, int]] = []
+        self.up, self.steps, self.depth = [-1], [""], [0]  # of each container; 0 is the page
+        self.known: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple[str, int, bool]] = []  # tag, container, noise
+        self._open: dict[str, list[int]] = {}  # places on the stack of each tag
+        self._scopes: list[int] = []
+        self._inline: list[tuple[str, bool]] = []
+        self._inline_open: dict[str, int] = {}
+        self._hidden = self._links = 0
+        self._pieces: list[str] = []
+        self._linked = 0
+        self._read(page)
+
+    def _flush(self) -> None:
+        """The end of a block; inline elements end with it."""
+        if self._pieces:
+            text = " ".join("".join(self._pieces).split())
+            if text:
+                self.blocks.append((self._stack[-1][1] if self._stack else 0, text, max(0, len(text) - self._linked)))
+            self._pieces.clear()
+        if self._inline:
+            self._inline.clear()
+            self._inline_open.clear()
+        self._linked = self._hidden = self._links = 0
+
+    def _cut(self, at: int) -> None:
+        """Close the elements from place ``at`` of the stack."""
+        while len(self._stack) > at:
+            tag = self._stack.pop()[0]
+            self._open[tag].pop()
+            if tag in SCOPES:
+                self._scopes.pop()
+
+    def _close_open(self, tags: set[str]) -> None:
+        """Close the innermost of the tags that is open in the innermost scope, and what is inside it."""
+        at = max((self._open[t][-1] for t in tags if self._open.get(t)), default=-1)
+        if at >= 0 and at > (self._scopes[-1] if self._scopes else -1):
+            self._cut(at)
+
+    def _container(self, parent: int, step: str) -> int:
+        number = self.known.setdefault((parent, step), len(self.up))
+        if number == len(self.up):
+            self.up.append(parent)
+            self.steps.append(step)
+            self.depth.append(self.depth[parent] + 1)
+        return number
+
+    def _inline_tag(self, tag: str, attributes: str) -> None:
+        name = tag.lstrip("/")
+        if name == tag:
+            noise = "=" in attributes and _step(tag, attributes)[1] or attributes.strip().lower() == "hidden"
+            if tag == "a" and self._inline_open.get("a"):  # a link ends the one before
+                self._inline_tag("/a", "")
+            self._inline.append((tag, noise))
+            self._inline_open[tag] = self._inline_open.get(tag, 0) + 1
+            self._hidden += noise
+            self._links += tag == "a"
+        elif self._inline_open.get(name):
+            while True:
+                open_, noise = self._inline.pop()
+                self._inline_open[open_] -= 1
+                self._hidden -= noise
+                self._links -= open_ == "a"
+                if open_ == name:
                     break
-            top()
-        step, bad = _step(tag, m.group(4))
-        masthead = tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
-        bad = (bad and tag not in ("html", "body", "article", "main")) or tag in DROPPED or masthead
-        stack.append((tag, f"{path}>{step}" if tag in CONTAINERS else path, noise or bad))
-        top()
-    add(page[at:])
-    flush()
-    return out
-
-
-def best_path(found: list[tuple[str, str, int]]) -> str | None:
-    """The container with the highest score; ties go to the shorter path, then by name."""
-    scores: dict[str, float] = {}
-    for path, _, plain in found:
-        scores[path] = scores.get(path, 0) + plain
-        up = path.rpartition(">")[0]
-        if up:
-            scores[up] = scores.get(up, 0) + plain / 2
-    return min(scores, key=lambda p: (-scores[p], p.count(">"), p)) if scores else None
-
 
-def under(path: str, top: str) -> bool:
-    return path == top or path.startswith(top + ">")
+    def _read(self, page: str) -> None:
+        for raw, tag, attributes in tokens(page):
+            if raw and not self._hidden and not (self._stack and self._stack[-1][2]):
+                text = entities.unescape(raw) if "&" in raw else raw
+                self._pieces.append(text)
+                if self._links:
+                    self._linked += len(text)
+            if not tag or tag in RAW:
+                continue
+            closing, name = tag[0] == "/", tag.lstrip("/")
+            if name in INLINE:
+                self._inline_tag(tag, attributes)
+                continue
+            if name == "br":
+                if not (self._stack and self._stack[-1][2]):
+                    self._pieces.append(" ")
+                continue
+            if name == "wbr":
+                continue
+            self._flush()
+            if name in VOID:
+                continue
+            if closing:
+                if self._open.get(name):
+                    self._cut(self._open[name][-1])
+                continue
+            if self._stack and self._stack[-1][0] in ("p", "head"):  # any block ends a paragraph or a head left open
+                self._cut(len(self._stack) - 1)
+            if name in CLOSES:
+                self._close_open(CLOSES[name])
+            _, above, noise = self._stack[-1] if self._stack else ("", 0, False)
+            step, bad = _step(name, attributes)
+            masthead = name == "header" and not self._open.get("article") and not self._open.get("main")
+            bad = (bad and name not in ("html", "body", "article", "main")) or name in DROPPED or masthead
+            self._open.setdefault(name, []).append(len(self._stack))
+            if name in SCOPES:
+                self._scopes.append(len(self._stack))
+            self._stack.append((name, self._container(above, step) if name in CONTAINERS else above, noise or bad))
+        self._flush()
+
+    def path(self, container: int) -> str:
+        steps = []
+        while container > 0:
+            steps.append(self.steps[container])
+            container = self.up[container]
+        return "".join(f">{s}" for s in reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        """The container of a path."""
+        at = 0
+        for step in path.split(">")[1:]:
+            if (at := self.known.get((at, step), -1)) < 0:
+                return None
+        return at
+
+    def best(self) -> int | None:
+        """The container with the highest score; ties go to the shorter path, then by name."""
+        scores: dict[int, float] = {}
+        for container, _, plain in self.blocks:
+            scores[container] = scores.get(container, 0) + plain
+            up = self.up[container]
+            if up > 0:
+                scores[up] = scores.get(up, 0) + plain / 2
+        if not scores:
+            return None
+        top = max(scores.values())
+        few = [c for c, x in scores.items() if x == top]
+        least = min(self.depth[c] for c in few)
+        few = [c for c in few if self.depth[c] == least]
+        return min(few, key=self.path) if len(few) > 1 else few[0]
+
+    def under(self, top: int) -> list[str]:
+        """Texts of the blocks in a container."""
+        inside = [False] * len(self.up)
+        inside[top] = True
+        for c in range(top + 1, len(self.up)):
+            inside[c] = inside[self.up[c]]
+        return [text for c, text, _ in self.blocks if inside[c]]
 
 
 def extract(page: str | None, winners: list[str] | None) -> str:
     """Text of the page under the first winning path that holds any of its text, else under its own best one."""
-    found = blocks(page or "")
-    for top in [*(winners or []), best_path(found)]:
-        if top is not None and (texts := [t for p, t, _ in found if under(p, top)]):
+    read = Page(page or "")
+    for path in winners or []:
+        if (top := read.find(path)) is not None and (texts := read.under(top)):
             return " ".join(texts)
-    return ""
+    top = read.best()
+    return "" if top is None else " ".join(read.under(top))
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -187,9 +304,10 @@ def votes(pages: DataFrame) -> DataFrame:
         for rows in arrow_rows(batches, ["url", "html"], 512):
             hosts, paths = [], []
             for url, page in zip(rows["url"], rows["html"], strict=True):
-                if page and (path := best_path(blocks(page))) is not None:
+                read = Page(page or "")
+                if (top := read.best()) is not None:
                     hosts.append(split_url(url)[0])
-                    paths.append(path)
+                    paths.append(read.path(top))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
 
     return pages.select("url", "html").mapInArrow(run, "host string, path string")

@@ -20,10 +20,12 @@ From candidates to groups, without ever listing the pairs of a group:
    components that may still link are verified too.
 
 A pair is first held against its parity sketches: some bits for each element of a set, each the parity of the elements that fall on it. As
-many bits as differ, so many elements at least differ, so a pair whose sketches are further apart than H can't link. The others are verified
-exactly, on their texts, which only then have to travel.
+many bits as differ, so many elements at least differ, so a pair whose sketches are further apart than H can't link. A brief sketch, folded from the full one,
+goes to every star and every signature; full ones only to the members that it leaves with a possible partner. Sets with equal 128-bit
+digests are the same set. The others are verified exactly, on their texts, which only then have to travel.
 
-Signatures travel as packed arrays, 8 bytes each; equal sets of one partition travel once.
+Signatures travel as packed arrays: 4 bytes each beside their group, and 2 for the document. Groups grow in number with the input, so signatures that agree in
+these bits by chance stay as rare as they are in one group; they cost a comparison and change no result. Equal sets of one partition travel once.
 
 Null and empty texts and texts without words have no shingles and link with nothing. A text with fewer than five words is one shingle.
 Rows with a null id are counted but link with nothing. Rows of one id are one node: it links where any of its rows does.
@@ -31,6 +33,7 @@ Rows with a null id are counted but link with nothing. Rows of one id are one no
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -42,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, forget, materialise, mix64, shingle_set, sizes_of, words_of
+from .common import arrow_rows, filter_place, forget, id_filter, materialise, mix64, shingle_set, sizes_of, words_of
 from .components import components
 
 PERCENT = 80
@@ -67,7 +70,12 @@ def differences(size: int) -> int:
 
 def sketch_bits(size: int) -> int:
     """Bits of the sketch of a set: a power of two from four for each element."""
-    return 1 << min(max((4 * size - 1).bit_length(), 6), 14)
+    return 1 << min(max((4 * size - 1).bit_length(), 6), 16)
+
+
+def brief_bits(size: int) -> int:
+    """Bits of its brief sketch: from one for each element. Unrelated sets then differ in half of them, more than twice of what links allow."""
+    return 1 << min(max((size - 1).bit_length(), 6), 14)
 
 
 def sketch(mixed: np.ndarray) -> bytes:
@@ -159,6 +167,7 @@ class Packer:
         self.ids: list[int] = []
         self.sizes: list[int] = []
         self.sketches: list[bytes] = []
+        self.digests: list[bytes] = []
         self.known: dict[bytes, int] = {}
         self.copies: list[tuple[int, int]] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # signatures, empty, document, units to probe
@@ -174,6 +183,7 @@ class Packer:
         mixed = mix64(hashes ^ np.uint64(0x5851F42D4C957F2D))
         self.sizes.append(len(hashes))
         self.sketches.append(sketch(mixed))
+        self.digests.append(key)
         for band, probes in self.bands.roles(len(hashes)):
             signatures, empty = band.signatures(hashes, mixed)
             need = differences(len(hashes)) + 1 if band.exact else len(signatures)
@@ -211,22 +221,25 @@ class Packer:
         del rank, part
         word = document << np.uint32(1) | probing
         del document
-        short = signature // np.uint64(self.groups)
-        # a set probes empty segments only if it has too few others; such rare rows go to all groups, and the many others may lie anywhere
-        group = (np.where(empty, mix64(signature ^ np.uint64(flush)), signature) % np.uint64(self.groups)).astype(np.int64)
+        short = (signature // np.uint64(self.groups)).astype("<u4")
+        # a set probes empty segments only if it has too few others; such a signature is shared by many sets, which lie in ``fan`` of the groups,
+        # and the rare rows that probe it go to all of these
+        fan = math.isqrt(self.groups - 1) + 1
+        at = np.where(empty, signature + mix64(np.array([flush], np.uint64))[0] % np.uint64(fan), signature)
+        group = (at % np.uint64(self.groups)).astype(np.int64)
         wide = np.flatnonzero(empty & probing)
         if len(wide):
             keep = np.flatnonzero(~(empty & probing))
-            group = np.concatenate([group[keep], np.tile(np.arange(self.groups), len(wide))])
-            short, word = (np.concatenate([x[keep], np.repeat(x[wide], self.groups)]) for x in (short, word))
+            every = ((np.repeat(signature[wide], fan) + np.tile(np.arange(fan, dtype=np.uint64), len(wide))) % np.uint64(self.groups)).astype(np.int64)
+            group = np.concatenate([group[keep], every])
+            short, word = (np.concatenate([x[keep], np.repeat(x[wide], fan)]) for x in (short, word))
         order = np.lexsort((short, group))
         group, short, word = group[order], short[order], word[order]
         ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
         start = 0
         width = np.dtype("<u2") if len(self.ids) < 1 << 15 else np.dtype("<u4")
         for end in ends:
-            six = np.ascontiguousarray(short[start:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            yield int(group[start]), six.tobytes(), word[start:end].astype(width).tobytes()
+            yield int(group[start]), short[start:end].tobytes(), word[start:end].astype(width).tobytes()
             start = end
 
 
@@ -249,7 +262,7 @@ def _sign(groups: int):  # noqa: ANN202
                 [
                     (int(spread), DOCUMENTS, flush, np.packbits(known).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<i8").tobytes()),
                     (int(spread), COPIES, flush, np.array([a for a, _ in packer.copies], "<i8").tobytes(), np.array([b for _, b in packer.copies], "<i8").tobytes()),
-                    (int(spread), NAMES, flush, np.array(packer.ids, "<i8").tobytes() + np.array(packer.sizes, "<i8").tobytes(), b"".join(packer.sketches)),
+                    (int(spread), NAMES, flush, np.array(packer.ids, "<i8").tobytes() + np.array(packer.sizes, "<i8").tobytes() + b"".join(packer.digests), b"".join(packer.sketches)),
                 ]
             )
             held = []
@@ -293,11 +306,9 @@ def _meet(table: pa.Table) -> pa.Table:
         if kind != SIGNATURES:
             out.append((0, kind, flushes[i], a, b))
             continue
-        n = len(a) // 6
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(a, np.uint8).reshape(n, 6)
-        word = np.frombuffer(b, np.dtype(f"<u{len(b) // n}")).astype(np.int64)
-        signature.append(wide.view("<u8").reshape(-1))
+        found = np.frombuffer(a, "<u4")
+        word = np.frombuffer(b, np.dtype(f"<u{len(b) // len(found)}")).astype(np.int64)
+        signature.append(found)
         member.append(flushes[i] << 15 | word >> 1)
         probes.append((word & 1).astype(bool))
     if signature:
@@ -340,13 +351,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id, n, sketch of the packed documents, by the number they have in their pack."""
+    """rid, doc_id, n, digest, brief and full sketch of the packed documents, by the number they have in their pack."""
     for rows in arrow_rows(batches, ["flush", "a", "b"], 8):
         for flush, a, b in zip(rows["flush"], rows["a"], rows["b"], strict=True):
-            ids, sizes = np.frombuffer(a, "<i8").reshape(2, -1)
-            ends = np.cumsum([sketch_bits(int(n)) // 8 for n in sizes])
-            sketches = [b[e - sketch_bits(int(n)) // 8 : e] for e, n in zip(ends, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array((flush << 15) + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["rid", "doc_id", "n", "sketch"])
+            ids, sizes, *digests = np.frombuffer(a, "<i8").reshape(4, -1)
+            digests = np.stack(digests).reshape(-1, 2)
+            bits = [sketch_bits(int(n)) // 8 for n in sizes]
+            sketches = [b[e - w : e] for e, w in zip(np.cumsum(bits).tolist(), bits, strict=True)]
+            briefs = [folded(_words(x), brief_bits(int(n)) // 64).tobytes() for x, n in zip(sketches, sizes, strict=True)]
+            longs = [(flush << 15) + np.arange(len(ids)), ids, sizes, digests[:, 0], digests[:, 1]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in longs], pa.array(briefs, pa.binary()), pa.array(sketches, pa.binary())], names=["rid", "doc_id", "n", "d1", "d2", "brief", "sketch"])
 
 
 def _words(sketch: bytes) -> np.ndarray:
@@ -354,15 +368,16 @@ def _words(sketch: bytes) -> np.ndarray:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges whose sketches leave a link possible."""
-    for rows in arrow_rows(batches, ["a", "b", "na", "nb", "sa", "sb"], 4096):
+    """Edges whose sketches leave a link possible, and whether the sets are the same."""
+    for rows in arrow_rows(batches, ["a", "b", "na", "nb", "da", "db", "sa", "sb"], 4096):
         kept = []
-        for a, b, na, nb, sa, sb in zip(*rows.values(), strict=True):
+        for a, b, na, nb, da, db, sa, sb in zip(*rows.values(), strict=True):
+            if a == b:
+                continue
             words = min(len(sa), len(sb)) // 8
-            distance = int(np.bitwise_count(folded(_words(sa), words) ^ folded(_words(sb), words)).sum())
-            if a != b and may_link(distance, na, nb):
-                kept.append((min(a, b), max(a, b)))
-        yield _longs(["a", "b"], np.array([a for a, _ in kept], np.int64), np.array([b for _, b in kept], np.int64))
+            if da == db or may_link(int(np.bitwise_count(folded(_words(sa), words) ^ folded(_words(sb), words)).sum()), na, nb):
+                kept.append((min(a, b), max(a, b), int(da == db)))
+        yield _longs(["a", "b", "same"], *np.array(kept, np.int64).reshape(-1, 3).T)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,10 +401,6 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _longs(["k1", "k2", "rid", "probes"], *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-#: Bits of the filter of wanted ids, whatever the input's size.
-FILTER_BITS = 1 << 23
-
-
 def _squeeze(shared):  # noqa: ANN001, ANN202
     """Texts of the ids that pass the filter, as compressed words."""
 
@@ -434,48 +445,134 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _longs(["a", "b"], np.array([a for a, _ in good], np.int64), np.array([b for _, b in good], np.int64))
 
 
-def near_pairs(ids: np.ndarray, groups: np.ndarray, probes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], chunk: int = 1 << 22) -> np.ndarray:
-    """Pairs of ids of different groups, one of them probing, whose sketches leave a link possible."""
-    lengths = np.array([len(x) // 8 for x in sketches])
-    out = []
-    for words in np.unique(lengths):
-        short, wide = np.flatnonzero(lengths == words), np.flatnonzero(lengths >= words)
-        cut = np.empty((len(ids), words), np.uint64)
-        for n in np.unique(lengths[wide]):
-            at = np.flatnonzero(lengths == n)
-            cut[at] = folded(np.frombuffer(b"".join(sketches[i] for i in at), "<u8").reshape(len(at), n), words)
-        step = max(1, chunk // (len(wide) * int(words)))
-        for start in range(0, len(short), step):
-            i, j = short[start : start + step, None], wide[None, :]
-            open_ = (groups[i] != groups[j]) & (probes[i] | probes[j]).astype(bool) & ((lengths[j] > words) | (i < j))
-            if not open_.any():
-                continue
-            distance = np.bitwise_count(cut[i[:, 0]][:, None, :] ^ cut[wide][None, :, :]).sum(2, dtype=np.int64)
-            a, b = np.nonzero(open_ & may_link(distance, sizes[i], sizes[j]))
-            x, y = ids[i[a, 0]], ids[wide[b]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+class Members:
+    """Members of buckets: document, component, whether it probes, size of its set, sketch."""
+
+    def __init__(self, ids: np.ndarray, components: np.ndarray, probes: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> None:
+        self.ids, self.components, self.probes, self.sizes = ids, components, probes.astype(bool), sizes
+        self.lengths = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.place = np.zeros(len(ids), np.int64)
+        self.rows = {}
+        for n in np.unique(self.lengths):
+            at = np.flatnonzero(self.lengths == n)
+            self.place[at] = np.arange(len(at))
+            self.rows[int(n)] = np.frombuffer(b"".join(sketches[i] for i in at), "<u8").reshape(len(at), n)
+
+    def open(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs lie in different components, one of the two probes, and their sizes allow a link."""
+        a, b = self.sizes[i], self.sizes[j]
+        return (self.components[i] != self.components[j]) & (self.probes[i] | self.probes[j]) & (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs' sketches leave a link possible; pairs that occur several times are compared once."""
+        pairs = np.stack([np.minimum(self.ids[i], self.ids[j]), np.maximum(self.ids[i], self.ids[j])], 1)
+        order = np.lexsort(pairs.T)
+        new = np.ones(len(order), bool)
+        new[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(1)
+        x, y = i[order[new]], j[order[new]]
+        once = np.zeros(len(x), bool)
+        shape = self.lengths[x] << 32 | self.lengths[y]
+        for s in np.unique(shape):
+            which = np.flatnonzero(shape == s)
+            m, n = int(s >> 32), int(s & 0xFFFFFFFF)
+            for part in np.array_split(which, len(which) * max(m, n) // (1 << 20) + 1):
+                a, b = self.rows[m][self.place[x[part]]], self.rows[n][self.place[y[part]]]
+                distance = np.bitwise_count(folded(a, min(m, n)) ^ folded(b, min(m, n))).sum(1, dtype=np.int64)
+                once[part] = may_link(distance, self.sizes[x[part]], self.sizes[y[part]])
+        out = np.empty(len(order), bool)
+        out[order] = once[np.cumsum(new) - 1]
+        return out
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    column = lambda n: table.column(n).to_numpy()
-    pairs = near_pairs(column("doc_id"), column("component"), column("probes"), column("n"), table.column("sketch").to_pylist())
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def near_pairs(bucket: np.ndarray, members: Members, few: int = 64, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of members of one bucket, of different components and one of them probing, whose sketches leave a link possible. ``bucket`` is sorted."""
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(bucket)))
+
+    def take(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keep = members.open(i, j)
+        if keep.any():
+            i, j = i[keep], j[keep]
+            near = members.near(i, j)
+            yield i[near], j[near]
+
+    left, held, count = np.flatnonzero(np.repeat(sizes <= few, sizes)), [], 0  # small buckets all at once: first the next neighbours, then those after
+    for step in range(1, few):
+        left = left[left + step < len(bucket)]
+        left = left[bucket[left] == bucket[left + step]]
+        if not len(left):
+            break
+        held.append((left, left + step))
+        count += len(left)
+        if count >= chunk:
+            yield from take(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, count = [], 0
+    if held:
+        yield from take(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    for start, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
+        every = np.arange(start, start + size)
+        for part in np.array_split(every, size * size // chunk + 1):
+            i, j = np.repeat(part, size), np.tile(every, len(part))
+            yield from take(i[i < j], j[i < j])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray, Members]]:
+    """Whole buckets, some ``rows`` rows at a time, of rows that arrive bucket by bucket."""
+
+    def made(table: pa.Table, bucket: np.ndarray) -> tuple[pa.Table, np.ndarray, Members]:
+        column = lambda n: table.column(n).to_numpy()
+        return table, bucket, Members(column("doc_id"), column("component"), column("probes"), column("n"), table.column("sketch").to_pylist())
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            bucket = _bucket_numbers(table)
+            whole = int(np.searchsorted(bucket, bucket[-1]))  # the last one may go on
+            if whole:
+                yield made(table.slice(0, whole), bucket[:whole])
+            held = table.slice(whole).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield made(table, _bucket_numbers(table))
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a near one in their bucket."""
+    for table, bucket, members in _by_bucket(batches):
+        keep = np.zeros(len(bucket), bool)
+        for i, j in near_pairs(bucket, members):
+            keep[i] = keep[j] = True
+        yield from table.select(_PLACED).filter(pa.array(keep)).to_batches()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of near pairs."""
+    for _, bucket, members in _by_bucket(batches):
+        for i, j in near_pairs(bucket, members):
+            a, b = members.ids[i], members.ids[j]
+            got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield _longs(["a", "b"], got[:, 0], got[:, 1])
+
+
+_PLACED = ["k1", "k2", "i", "j", "rid", "component", "probes"]
+
+
+def _bucket_numbers(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(n).to_numpy().astype(np.int64) for n in ("k1", "k2", "i", "j")])
+    return np.cumsum(np.append(False, (keys[:, 1:] != keys[:, :-1]).any(0)))
 
 
 def verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges (a, b, each once) whose texts link."""
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     wanted = materialise(edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct())
-    # a filter of fixed size, so that most texts don't have to be shuffled; the join decides
-    marks = wanted.select(place.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("m")).collect()
-    held = bytearray(FILTER_BITS // 8)
-    for r in marks:
-        held[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["m"]
-    shared = spark.sparkContext.broadcast(bytes(held))
-    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", place.alias("h"))
-    texts = materialise(some.mapInArrow(_squeeze(shared), "doc_id long, z binary").join(wanted, "doc_id", "left_semi"), "none")
+    # a filter of fixed size, so that most texts don't have to be shuffled; the joins decide
+    shared = spark.sparkContext.broadcast(id_filter(wanted, "doc_id"))
+    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", filter_place(F.col("doc_id")).alias("h"))
+    texts = materialise(some.mapInArrow(_squeeze(shared), "doc_id long, z binary"), "none")
     side = lambda a, z: texts.select(F.col("doc_id").alias(a), F.col("z").alias(z))
     good = materialise(edges.join(side("a", "za"), "a").join(side("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long").distinct())
     forget(texts)
@@ -491,30 +588,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = docs.mapInArrow(_sign(groups), _ROW)
     met = materialise(signed.groupBy("grp").applyInArrow(_meet, _ROW))
     kind = lambda k: met.where(F.col("kind") == k)
-    names = materialise(kind(NAMES).select("flush", "a", "b").mapInArrow(_names, "rid long, doc_id long, n long, sketch binary"), "none")
-    copies = kind(COPIES).select("a", "b").mapInArrow(_pairs, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    end = lambda x, a, n, z: names.select(F.col("rid").alias(x), F.col("doc_id").alias(a), F.col("n").alias(n), F.col("sketch").alias(z))
+    names = materialise(kind(NAMES).select("flush", "a", "b").mapInArrow(_names, "rid long, doc_id long, n long, d1 long, d2 long, brief binary, sketch binary"), "none")
+    counts = materialise(kind(DOCUMENTS).select("a", "b").mapInArrow(_counts, "doc_id long, n_shingles long"))
+    copies = materialise(kind(COPIES).select("a", "b").mapInArrow(_pairs, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    end = lambda x, a, n, d, z: names.select(F.col("rid").alias(x), F.col("doc_id").alias(a), F.col("n").alias(n), F.struct("d1", "d2").alias(d), F.col("brief").alias(z))
 
     # stars
     stars = kind(STARS).select("a", "b").mapInArrow(_pairs, "x long, y long").distinct()
-    named = stars.join(end("x", "a", "na", "sa"), "x").join(end("y", "b", "nb", "sb"), "y").select("a", "b", "na", "nb", "sa", "sb")
-    good = verified(docs, materialise(named.mapInArrow(_near, "a long, b long").distinct()))
-    first = materialise(components(good.unionByName(copies)))
+    named = stars.join(end("x", "a", "na", "da", "sa"), "x").join(end("y", "b", "nb", "db", "sb"), "y").select("a", "b", "na", "nb", "da", "db", "sa", "sb")
+    near = materialise(named.mapInArrow(_near, "a long, b long, same long").distinct())
+    good = verified(docs, near.where("same = 0").select("a", "b"))
+    first = materialise(components(good.unionByName(copies).unionByName(near.where("same = 1").select("a", "b"))))
 
     # signatures whose members are not all of one component
     members = kind(BUCKETS).select("a", "b").mapInArrow(_members, "k1 long, k2 long, rid long, probes long").distinct()
-    who = names.select("rid", "doc_id")
-    placed = members.join(who, "rid").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    placed = materialise(placed.select("k1", "k2", "rid", "doc_id", "probes", F.coalesce("component", "doc_id").alias("component")))
-    open_ = placed.groupBy("k1", "k2").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most")
-    rows = placed.join(open_.select("k1", "k2", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), ["k1", "k2"])
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(names.select("rid", "doc_id"), "rid").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = materialise(placed.select("k1", "k2", "rid", "probes", F.coalesce("component", "doc_id").alias("component")))
+    forget(met)
+    blocks = lambda probes: F.ceil(F.sum((F.col("probes") == probes).cast("long")) / BLOCK).cast("int")
+    open_ = placed.groupBy("k1", "k2").agg(F.min("component").alias("least"), F.max("component").alias("most"), blocks(1).alias("asking"), blocks(0).alias("silent")).where("least <> most")
+    rows = placed.join(open_.drop("least", "most"), ["k1", "k2"])
+    # of two members one must probe: blocks of probing members meet each other and the others'
+    mine = F.pmod(F.xxhash64("rid"), F.when(F.col("probes") == 1, F.col("asking")).otherwise(F.col("silent"))).cast("int")
+    others = F.when(F.col("probes") == 1, F.col("asking") + F.col("silent")).otherwise(F.col("asking"))
+    rows = rows.withColumn("mine", mine + F.when(F.col("probes") == 1, 0).otherwise(F.col("asking"))).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     rows = rows.select("k1", "k2", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rid", "component", "probes")
-    near = rows.join(names, "rid").drop("rid").groupBy("k1", "k2", "i", "j").applyInArrow(_compare, "a long, b long")
-    later = verified(docs, materialise(near.distinct()))
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later))
 
-    counts = kind(DOCUMENTS).select("a", "b").mapInArrow(_counts, "doc_id long, n_shingles long")
+    def together(rows: DataFrame, sketch: str) -> DataFrame:
+        """A bucket's rows, at most two blocks, one after another in one partition."""
+        faced = rows.join(names.select("rid", "doc_id", "n", F.col(sketch).alias("sketch")), "rid")
+        return faced.repartition("k1", "k2", "i", "j").sortWithinPartitions("k1", "k2", "i", "j")
+
+    some = materialise(together(rows, "brief").mapInArrow(_with_partners, "k1 long, k2 long, i int, j int, rid long, component long, probes long"))
+    later = materialise(together(some, "sketch").mapInArrow(_compare, "a long, b long").distinct())
+    forget(placed)
+    forget(some)
+    forget(names)
+    final = materialise(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, later))))
+    for done in (near, good, copies, first, later):
+        forget(done)
+
     out = counts.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

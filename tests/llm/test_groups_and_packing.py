@@ -1,7 +1,10 @@
 """Jaccard join, components, packing, sharding, the pipeline."""
 
+import math
+import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -223,6 +226,7 @@ def test_shards(spark):
 def test_pipeline_against_its_parts(spark, data):
     import corpus_pipeline
     from millrace.llm import decontamination, pii, quality
+    from millrace.llm.common import shingle_hashes, words_of
     from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -239,9 +243,82 @@ def test_pipeline_against_its_parts(spark, data):
     assert set(kept["near duplicates"]) == {i for i in texts if groups[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     index = decontamination.build_index(items)
-    clean = {i for i in kept["near duplicates"] if not decontamination.match_batch(index, [texts[i]])}
+    clean = {i for i in kept["near duplicates"] if not decontamination.match_batch(index, [words_of(texts[i])], [shingle_hashes(words_of(texts[i]))])}
     assert set(kept["benchmark passages"]) == clean
-    hidden = {r.doc_id: r.text for r in pii.pseudonymise(docs.select("doc_id", "text")).collect()}
+    hidden = {r.doc_id: r.text for r in pii.pseudonymise(docs.select("doc_id", "text"), pii.DEMO_KEY).collect()}
     assert {i: r.text for i, r in kept["personal data"].items()} == {i: hidden[i] for i in clean}
     assert all(r.n_chars == len(r.text) for r in kept["personal data"].values())
     check_packing(corpus_pipeline.run(spark, data).collect(), [(i, hidden[i], None) for i in sorted(clean)])
+
+
+def test_packing_to_targets():
+    """The closed form against a round-robin that is run token by token."""
+    totals, targets = [6000, 9000, 500, 3000, 40], [Fraction("0.5"), Fraction("0.2"), Fraction("0.2"), None, Fraction(0)]
+    plan = packing.Schedule(totals, 64, 1000, targets)
+    weights, left, sent, now = [5, 2, 2, 1, 0], list(map(Fraction, totals)), [[0] * 5], [Fraction(0)] * 5
+    while any(left):
+        room = Fraction(1000)
+        while room and any(left):
+            rates = [w if n else 0 for w, n in zip(weights, left)]
+            rates = rates if any(rates) else [t if n else 0 for t, n in zip(totals, left)]
+            step = min([room / sum(rates)] + [n / r for n, r in zip(left, rates) if r])
+            for q, r in enumerate(rates):
+                left[q] -= step * r
+                now[q] += step * r
+            room -= step * sum(rates)
+        sent.append([math.floor(x) for x in now])
+    assert [[plan.sent(q, w) for q in range(5)] for w in range(len(sent))] == sent
+    assert sent[2][:3] == [1000, 400, 400] and sent[-1] == totals
+    places = np.zeros(plan.all, bool)
+    for q, t in enumerate(totals):
+        for start in range(0, t, 700):  # as if partitions went on with the deficits of those before
+            for _, n, s, o in plan.pieces(q, start, min(700, t - start)):
+                at = s * 64 + o if s < plan.full else plan.tail[s - plan.full] + o
+                assert not places[at : at + n].any()
+                places[at : at + n] = True
+    assert places.all()
+    with pytest.raises(ValueError):
+        packing.Schedule([1, 1], targets=[Fraction(2, 3), Fraction(2, 3)])
+
+
+def test_packing_with_many_sources_and_targets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FINEST", 8)
+    monkeypatch.setattr(packing, "POOLS", 3)
+    docs = [(i, " ".join(["words", f"n{i}"] * (40 if i < 60 else 30)), "big" if i < 60 else None if i == 60 else f"s{i}") for i in range(160)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    check_packing(packing.pack(frame, window=2048).collect(), docs)
+    by_sequence = check_packing(packing.pack(frame, targets={"big": 0.25, "s70": 0.05, "absent": 0.1}, window=2048).collect(), docs)
+    big = {i for i, _, s in docs if s == "big"}
+    assert abs(sum(r.length for r in by_sequence[0] if r.doc_id in big) / 2048 - 0.25) < 0.02
+    check_packing(packing.pack(frame, targets={None: 0.5, "big": 0.5}, window=2048).collect(), docs)
+
+
+def test_pipeline_stages_with_nulls_repeats_and_other_columns(spark, data):
+    import corpus_pipeline
+
+    good = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) between 400 and 900").limit(4).collect()]
+    item = max((r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()), key=len)
+    rows = [(None, good[0]), (None, good[0]), (None, good[1] + " " + item), (None, None), (1, good[2]), (1, good[2]), (1, good[3]), (2, good[3]), (3, ""), (3, None), (4, "a"), (4, good[1] + " " + item), (5, good[2] + " mail bob@mail.example.com")]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1.0, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, frame: sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in stages[name](spark, frame, data).select("doc_id", "text").collect()))
+    key = lambda found: sorted((i is None, i or 0, t or "") for i, t in found)
+    assert set(run("quality", docs)) <= set(key(rows))
+    left = [(None, good[0]), (None, None), (1, good[2]), (1, good[3]), (3, ""), (3, None), (4, "a"), (4, good[1] + " " + item)]
+    assert run("near duplicates", docs) == key(left)
+    assert run("benchmark passages", docs) == key([(i, t) for i, t in rows if item not in (t or "")])
+    hidden = stages["personal data"](spark, docs, data).collect()
+    assert len(hidden) == len(rows) and not any("bob@" in (r.text or "") for r in hidden)
+    packed = stages["packing"](spark, docs, data).where("start = 0").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in packed) == sorted((i is None, i or 0) for i, _ in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), data).count() == 0, name
+
+
+def test_a_hot_bucket_is_compared_whole(spark):
+    """Many texts that share a long passage, of which only some pairs link."""
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(60)]
+    docs = [(i, " ".join(shared + [f"w{rng.randint(0, 5)}{j}" for j in range(14 + i % 9)])) for i in range(260)]
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute_groups(docs)

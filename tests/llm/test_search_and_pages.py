@@ -1,7 +1,10 @@
 """Exact top-k search, HTML extraction, personal data."""
 
 import datetime
+import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -106,7 +109,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     iban = re.search(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", new).group().replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and by[1].n_values == 13
     other = {r.doc_id: r.text for r in pii.pseudonymise(docs, "other key").collect()}
-    assert other[1] != new and pii.pseudonymise(docs.limit(0)).count() == 0
+    assert other[1] != new and pii.pseudonymise(docs.limit(0), "key").count() == 0
 
 
 def test_feistel_is_a_permutation(spark):
@@ -119,3 +122,110 @@ def test_feistel_is_a_permutation(spark):
 def test_pseudonyms_need_no_python(spark, data):
     plan = pii.op8_pii_feistel(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_noise_inside_paragraphs_and_whole_class_names():
+    page = '<article><p>a <span class="ad">Buy <b>now</b></span> c <a class="x" href="/">d</a></p><div class="social-policy">e</div><div class="banner-story">f</div><div class="share-prices">g</div>'
+    assert H.extract(page + '<div class="cookie-banner">no</div><div id="adSlot2">no</div><p class="site_footer">no</p></article>', None) == "a c d e f g"
+    assert H.extract('<p>a <i hidden>no</i> b <span class="ad">open till the block ends</p><p>c</p>', None) == "a b c"
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, '<a "' * 200_000, '<a ">" ' * 100_000 + '"', "<div>" * 200_000 + "x", "<ul>" + "<x>" * 50_000 + "<li>a</li>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<b class=ad>" * 60_000 + "</i>" * 60_000, "<!--" * 200_000, "<" * 1_000_000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    H.extract(page, None)
+    assert time.perf_counter() - start < 20
+
+
+def test_ties_between_containers_and_votes(spark):
+    two = "<div class=b><p>same</p></div><div class=a><p>size</p></div>"
+    assert H.extract(two, None) == "size"  # by name
+    pages = spark.createDataFrame([(1, "http://h/1", "<div class=b><p>one</p></div>"), (2, "http://h/2", "<div class=a><p>two</p></div>")], "page_id long, url string, html string")
+    assert {r.vote_host: r.winners for r in H.winning_paths(pages).collect()} == {"h": [">div.a", ">div.b"]}
+
+
+def test_mixed_pages_against_their_parts(spark):
+    """Pages put together from known parts: the articles' texts come back, whatever stands around and inside them."""
+    rng = random.Random(7)
+    inline = ["<b>{}</b>", "<a href='/x'>{}</a>", "{}", "<span class='lead'>{}</span>"]
+    noise = ["<aside>side</aside>", '<div class="ad">buy</div>', "<nav><a>home</a></nav>", '<span class="promo">deal</span>', "<script>if (a < b) {}</script>", "<!-- note -->", '<form><input><p>mail</p></form>', '<section class="comment-list"><p>nice</p></section>']
+    rows, want = [], {}
+    for i in range(60):
+        host, blocks, texts = f"h{i % 3}", [], []
+        for _ in range(rng.randint(3, 9)):
+            words = [f"w{rng.randint(0, 999)}" for _ in range(rng.randint(5, 30))]
+            texts.append(" ".join(words))
+            blocks.append("<p>" + " \n".join(rng.choice(inline).format(w) if rng.random() < 0.1 else w for w in words) + (rng.choice(noise[3:4] + [""])) + "</p>" + (rng.choice(noise) if rng.random() < 0.4 else ""))
+        open_, close = [("<article>", "</article>"), ('<div class="post p7">', "</div>"), ("<main><section>", "</section></main>")][i % 3]
+        rows.append((i, f"http://{host}/{i}", f"<html><head><title>t</title></head><body><header>top</header>{open_}{''.join(blocks)}{close}<footer>end</footer></body></html>"))
+        want[i] = " ".join(texts)
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def plain_draw(key, kind, turn, half):
+    return int(hashlib.sha256(f"{key}|{kind}|{turn}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def plain_permute(x, a, b, key, kind):
+    left, right = divmod(x, b)
+    for i in range(1, 9):
+        if i % 2:
+            left = (left + plain_draw(key, kind, i, right)) % a
+        else:
+            right = (right + plain_draw(key, kind, i, left)) % b
+    return left * b + right
+
+
+def plain_permute_text(value, key, kind):
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+
+    def shift(half, other, turn):
+        digest = hashlib.sha256(f"{key}|{kind}|{turn}|{other}".encode()).hexdigest()
+        out = ""
+        for j, c in enumerate(half):
+            n = int(hashlib.sha256(f"{digest}|{j}".encode()).hexdigest()[:15], 16)
+            for base, size in ((48, 10), (97, 26), (65, 26)):
+                if base <= ord(c) < base + size:
+                    c = chr(base + (ord(c) - base + n) % size)
+                    break
+            out += c
+        return out
+
+    for i in range(1, 9):
+        if i % 2:
+            right = shift(right, left, i)
+        else:
+            left = shift(left, right, i)
+    return left + right
+
+
+def test_pseudonyms_match_a_plain_feistel(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(120):
+        user = "".join(rng.choice("abcXYZ019._%+-") for _ in range(rng.randint(1, 40)))
+        day = datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(146_097))
+        octets = [rng.randrange(256) for _ in range(4)]
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randint(1, 99), rng.randint(1, 9999)
+        body = str(rng.randint(4 * 10**14, 5 * 10**14))
+        card = next(body + str(d) for d in range(10) if luhn(body + str(d)))
+        rows.append((i, f"{user}@mail.example.org / {'.'.join(map(str, octets))} / {day} / {area:03}-{group:02}-{serial:04} / {card}"))
+        number = int.from_bytes(bytes(octets), "big")
+        address = plain_permute(number, 65536, 65536, "k", "ipv4").to_bytes(4, "big")
+        date = datetime.date(1800, 1, 1) + datetime.timedelta(plain_permute((day - datetime.date(1800, 1, 1)).days, 189, 773, "k", "date"))
+        person = plain_permute(((area - (2 if area > 666 else 1)) * 99 + group - 1) * 9999 + serial - 1, 88_902, 9_999, "k", "ssn")
+        index, rest = divmod(person, 99 * 9999)
+        new = card[0] + plain_permute_text(card[1:-1], "k", "card")
+        new = next(new + str(d) for d in range(10) if luhn(new + str(d)))
+        want[i] = f"{plain_permute_text(user, 'k', 'email')}@mail.example.org / {'.'.join(map(str, address))} / {date} / {index + (2 if index >= 665 else 1):03}-{rest // 9999 + 1:02}-{rest % 9999 + 1:04} / {new}"
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_values == 5 for r in got)
+
+
+def test_long_texts_of_every_shape_are_pseudonymised(spark):
+    shapes = ["a@" + "a." * 500_000, "a." * 500_000 + "@x.org", "x" * 1_000_000 + "@x.org", "a@a" * 300_000, "+2" * 500_000, "+22222222222222" * 60_000, "1" * 1_000_000, "1.1." * 250_000, "1234-" * 200_000, "GB82 " + "WEST " * 200_000, "1/1/" * 250_000, "(212) " * 160_000, "bob@mail.example.com " * 2_000]
+    docs = spark.createDataFrame(list(enumerate(shapes)), "doc_id long, text string").repartition(4)
+    start = time.perf_counter()
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    assert len(rows) == len(shapes) and time.perf_counter() - start < 120
+    assert all(len(rows[i].text) == len(t) for i, t in enumerate(shapes)) and rows[len(shapes) - 1].n_values == 2_000 and rows[2].n_values == 1 and rows[2].text != shapes[2]
