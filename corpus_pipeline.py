@@ -1,6 +1,8 @@
 """The corpus pipeline: bad texts, near duplicates and benchmark passages go; personal data is replaced; what stays is packed.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return the columns of documents; other
+columns of ``docs`` don't go on. Rows of one id, or of none, are judged and packed each on its own. Null texts count as empty: such rows
+stand by the classifier's score of the empty text, are copies of nothing, hold no item, and are packed as the end id alone. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard_join, packing, pii, quality
-from millrace.llm.common import fold_of, materialise
+from millrace.llm.common import fold_of, materialise, with_row_key, without_ids
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,22 +28,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id. Rows with a null id are in no group and stay."""
-    found = materialise(jaccard_join.near_duplicates(docs.select("doc_id", "text")))
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _documents(docs.join(copies, "doc_id", "left_anti"))
+    """Of each group of near duplicates the row with the smallest id, and one of its rows if several have that id; null ids come last.
+    Every row counts on its own, whatever its id. Texts without words are in no group and stay."""
+    keyed = with_row_key(docs, "row_key")
+    found = materialise(jaccard_join.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")))
+    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("row_key"))
+    return _documents(without_ids(keyed, "row_key", copies))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows with a null id can't be told apart and stay only if none of them holds one."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = materialise(decontamination.contained_items(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("leaked_id")).distinct())
-    return _documents(docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti"))
+    """Rows whose text holds no benchmark item; each is judged by its own text."""
+    return _documents(decontamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms; n_chars is that of the new text."""
-    return _documents(pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")))
+    return _documents(pii.pseudonymise(docs, pii.DEMO_KEY).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
