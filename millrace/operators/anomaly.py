@@ -150,50 +150,67 @@ def normalized(rows: DataFrame, calibrated: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(calibrated), ["view", "patch"]).withColumn("z", (F.col("value") - F.col("center")) / F.col("denominator"))
 
 
-def aggregate_map(values: Column, kind: str, option: float) -> Column:
-    """Score of a map: a linear percentile (100 is the maximum), or the mean of its top share."""
+def aggregate_map(ordered: Column, kind: str, option: float) -> Column:
+    """Score of a map whose values ascend: a linear percentile (100 is the maximum), or the mean of its top share."""
+    n = F.size(ordered)
     if kind == "percentile":
         if option == 100.0:
-            return F.array_max(values)
-        ordered = F.array_sort(values)
-        place = (F.size(values) - 1) * F.lit(option) / 100.0
+            return F.element_at(ordered, -1)
+        place = (n - 1) * F.lit(option) / 100.0
         low = F.floor(place).cast("int")
-        a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(values) - 1))
+        a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, n - 1))
         return a + (b - a) * (place - low)
-    k = top_k_count(F.size(values), option).cast("int")
-    top = F.slice(F.sort_array(values, asc=False), 1, k)
-    return F.aggregate(top, F.lit(0.0), lambda s, v: s + v) / k
+    k = top_k_count(n, option).cast("int")
+    return F.aggregate(F.reverse(F.slice(ordered, n - k + 1, k)), F.lit(0.0), lambda s, v: s + v) / k
 
 
 def view_scores(z: DataFrame, kinds: list[tuple[str, float]] | None = None) -> DataFrame:
     """method, option, kind, level, vec_id, split, view, score: maps are gathered once (sixteen values) and scored under all aggregations."""
-    maps = z.groupBy("method", "option", "vec_id", "split", "view").agg(F.collect_list("z").alias("m"))
+    maps = z.groupBy("method", "option", "vec_id", "split", "view").agg(F.sort_array(F.collect_list("z")).alias("m"))
     listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("level"), aggregate_map(F.col("m"), k, p).alias("score")) for k, p in kinds or aggregations()])
     return maps.select("method", "option", "vec_id", "split", "view", F.explode(listed).alias("s")).select("method", "option", "vec_id", "split", "view", "s.kind", "s.level", "s.score")
 
 
+def grid_percentile(i: Column) -> Column:
+    """The searched percentile of number ``i``, as a share."""
+    first, last, count = SEARCH
+    return (F.lit(first) + i * F.lit((last - first) / (count - 1))) / 100
+
+
+def grid_below(limit: Column, n: Column) -> Column:
+    """How many searched percentiles have a place among ``n`` sorted values that lies below ``limit``: an estimate, put right by its neighbours."""
+    first, last, count = SEARCH
+    guess = F.floor((100 * limit / F.greatest(n - 1, F.lit(1)) - first) / ((last - first) / (count - 1))) - 1
+    near = [F.when((guess + j >= 0) & (guess + j < count) & (grid_percentile(guess + j) * (n - 1) < limit), 1).otherwise(0) for j in range(4)]
+    return F.greatest(F.lit(0), F.least(guess, F.lit(count))) + sum(near[1:], near[0])
+
+
 def search_thresholds(scores: DataFrame, target: float, keys: list[str], views: int = VIEWS) -> DataFrame:
     """The least of the searched percentiles at which no more than ``target`` of the products exceed any view's threshold.
 
-    ``scores``: keys, vec_id, view, score of the calibration split. A product exceeds from no percentile on that lies above all of its
-    views' own ranks, so each product needs only the highest searched percentile at which it still exceeds: the rates of all percentiles are then running counts.
+    ``scores``: keys, vec_id, view, score of the calibration split. The thresholds are linear percentiles, so a score exceeds just those whose place
+    lies below the first place of its own value: its rank says how many, without the thresholds. A product exceeds as long as its highest
+    view does; the rates of all percentiles are then running counts. Only the chosen percentile's thresholds are looked up.
     """
-    first, last, count = SEARCH
-    grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(first) + i * F.lit((last - first) / (count - 1)))
-    places = ", ".join(f"{(first + i * ((last - first) / (count - 1))) / 100!r}D" for i in range(count))  # percentile takes constants only
-    tables = scores.groupBy(*keys, "view").agg(F.expr(f"percentile(score, array({places}))").alias("t"))
-    # the thresholds ascend, so a score exceeds the first so many of them
-    above = scores.join(tables, [*keys, "view"]).select(*keys, "vec_id", F.aggregate("t", F.lit(0), lambda n, x: n + F.when(F.col("score") > x, 1).otherwise(0)).alias("n"))
-    worst = above.groupBy(*keys, "vec_id").agg(F.max("n").alias("n"))
-    usable = tables.groupBy(*keys).agg(F.max(F.aggregate("t", F.lit(0), lambda n, x: n + F.when(x <= 0, 1).otherwise(0))).alias("unsafe"), F.count(F.lit(1)).alias("views"))
-    total = worst.groupBy(*keys).agg(F.count(F.lit(1)).alias("products"), F.expr(f"transform(sequence(0, {count - 1}), i -> CAST(0 AS BIGINT))").alias("zero"))
-    held = worst.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("c"))
-    # products that exceed at grid place i are those with n > i
-    listed = held.groupBy(*keys).agg(F.collect_list(F.struct("n", "c")).alias("h"))  # at most one entry for each grid place
-    rates = listed.join(total.drop("zero"), keys).join(usable, keys).withColumn("grid", grid)
-    rate = F.transform("grid", lambda g, i: F.struct(g.alias("percentile"), (F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["n"] > i, x["c"]).otherwise(0)) / F.col("products")).alias("fpr"), i.alias("i")))
-    chosen = rates.where((F.col("views") == views) & (F.col("products") >= 100)).select(*keys, F.try_element_at(F.filter(rate, lambda r: (r["i"] >= F.col("unsafe")) & (r["fpr"] <= target)), F.lit(1)).alias("f")).where("f IS NOT NULL")
-    return chosen.join(tables, keys).select(*keys, F.col("f.percentile").alias("percentile"), F.col("f.fpr").alias("fpr"), "view", F.element_at("t", F.col("f.i") + 1).alias("threshold"))
+    count, own = SEARCH[2], W.partitionBy(*keys, "view")
+    ranked = scores.select(*keys, "vec_id", "view", "score", F.row_number().over(own.orderBy("score")).alias("place"), F.rank().over(own.orderBy("score")).alias("least"), F.count(F.lit(1)).over(own).alias("n"))
+    worst = ranked.groupBy(*keys, "vec_id").agg(F.max(grid_below(F.col("least") - 1, F.col("n"))).alias("exceeds"))
+    held = worst.groupBy(*keys, "exceeds").agg(F.count(F.lit(1)).alias("c"))  # at most one row for each percentile
+    after = W.partitionBy(*keys).orderBy(F.desc("exceeds")).rowsBetween(W.unboundedPreceding, -1)
+    rates = held.withColumn("above", F.coalesce(F.sum("c").over(after), F.lit(0))).withColumn("products", F.sum("c").over(W.partitionBy(*keys)))
+    # a threshold must be positive: the place at which the sorted values cross 0 says which are
+    low, high = F.max(F.when(F.col("score") <= 0, F.col("score"))), F.min(F.when(F.col("score") > 0, F.col("score")))
+    signs = scores.groupBy(*keys, "view").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") <= 0).alias("negatives"), low.alias("low"), high.alias("high"))
+    crossing = F.when(F.col("negatives") == 0, F.lit(-1.0)).when(F.col("high").isNull(), F.col("n").cast("double")).otherwise(F.col("negatives") - 1 - F.col("low") / (F.col("high") - F.col("low")))
+    unsafe = signs.groupBy(*keys).agg(F.max(grid_below(crossing + F.lit(1e-9), F.col("n"))).alias("unsafe"), F.count(F.lit(1)).alias("views"))
+    listed = rates.groupBy(*keys).agg(F.collect_list(F.struct("exceeds", "c")).alias("h"), F.max("products").alias("products"), F.min(F.when(F.col("above") / F.col("products") <= target, F.col("exceeds"))).alias("i"))
+    chosen = listed.join(unsafe, keys).where((F.col("views") == views) & (F.col("products") >= 100)).withColumn("i", F.greatest("i", "unsafe")).where(F.col("i") < count)
+    fpr = F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["exceeds"] > F.col("i"), x["c"]).otherwise(0)) / F.col("products")
+    chosen = chosen.select(*keys, grid_percentile(F.col("i")).alias("share"), fpr.alias("fpr"))
+    at = F.col("share") * (F.col("n") - 1)
+    found = ranked.join(chosen, keys).where((F.col("place") - 1 == F.floor(at)) | (F.col("place") - 1 == F.ceil(at)))
+    mixed = F.when(F.floor(at) == F.ceil(at), F.col("score")).when(F.col("place") - 1 == F.floor(at), F.col("score") * (F.ceil(at) - at)).otherwise(F.col("score") * (at - F.floor(at)))
+    return found.groupBy(*keys, "view", "fpr", "share").agg(F.sum(mixed).alias("threshold")).select(*keys, (F.col("share") * 100).alias("percentile"), "fpr", "view", "threshold")
 
 
 def predictions(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
@@ -240,3 +257,14 @@ def greedy_coreset(vectors: list[list[float]], size: int, start: int = 0) -> lis
         chosen.append(int(np.argmax(far)))
         far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
     return chosen
+
+
+def parallelism_choice(rows: DataFrame, key: str, faster: float = 0.95) -> DataFrame:
+    """key, streams: of the measured numbers of streams, in their order, the last that is memory-safe, has a median of at most ``faster`` of the best's so far and no worse p95.
+
+    ``rows``: key, streams, memory_safe, median_ms, p95_ms. A key whose single stream isn't safe or measured has no choice and no row.
+    """
+    listed = rows.where("memory_safe AND median_ms IS NOT NULL AND p95_ms IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("streams", "median_ms", "p95_ms"))).alias("c"))  # a few measurements
+    better = lambda best, x: (x["median_ms"] <= best["median_ms"] * faster) & (x["p95_ms"] <= best["p95_ms"])
+    best = F.aggregate(F.slice("c", 2, 1 << 20), F.element_at("c", 1), lambda best, x: F.when(better(best, x), x).otherwise(best))
+    return listed.where(F.element_at("c", 1)["streams"] == 1).select(key, best["streams"].alias("streams"))

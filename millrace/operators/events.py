@@ -13,45 +13,47 @@ DISCARDED, LOCKED, TIMING = "VISION_CAPTURE_DISCARDED", "PRODUCT_RESULT_LOCKED",
 GPU = ("VISION_SESSION_METRICS", "VISION_GPU_METRICS_SNAPSHOT")
 
 
-def differs(payload: Column, field: str, column: Column) -> Column:
-    """The envelope has the field and its text isn't that of the column."""
-    found = F.get_json_object(payload, f"$.{field}")
-    return F.coalesce(found != column.cast("string"), F.lit(False))
-
-
-def reject_reason(e: DataFrame) -> Column:
-    """The first rule that an event breaks, null if none."""
-    p = F.col("payload_json")
-    parsed = F.try_parse_json(p)
-    kind = F.schema_of_variant(parsed)
-    version = F.get_json_object(p, "$.schema_version")
-    body = F.get_json_object(p, "$.payload")
-    severity = F.get_json_object(p, "$.severity")
-    return (
-        F.when(F.col("log_id") == "", "log_id")
-        .when(F.col("revision") < 1, "revision")
-        .when(F.col("event_type") == "", "event_type")
-        .when(F.col("source_node") == "", "source_node")
-        .when(F.col("producer_instance_id") == "", "producer_instance_id")
-        .when(F.col("occurred_at_ns") < 0, "occurred_at_ns")
-        .when(sha256_text(p) != F.col("payload_digest"), "payload_digest")
-        .when(parsed.isNull(), "payload_json")
-        .when(~kind.startswith("OBJECT"), "payload_root")
-        .when(version.isNotNull() & (version != "2"), "schema_version")
-        .when(differs(p, "event_type", F.col("event_type")), "event_type differs")
-        .when(differs(p, "source_node", F.col("source_node")), "source_node differs")
-        .when(differs(p, "producer_instance_id", F.col("producer_instance_id")), "producer_instance_id differs")
-        .when(differs(p, "product_id", F.col("product_id")), "product_id differs")
-        .when(severity.isNotNull() & (severity != F.col("severity").cast("string")), "severity differs")
-        .when(body.isNotNull() & ~body.startswith("{"), "payload")
+def with_reject_reason(events: DataFrame) -> DataFrame:
+    """``events`` with ``reject_reason``: the first rule that an event breaks, null if none.
+
+    A field of the envelope is held against its column if the envelope has it, be it JSON null; the envelope is parsed once. Null columns break their rules.
+    """
+    parsed = events.withColumn("__v", F.try_parse_json("payload_json"))
+    value = lambda name, kind: F.try_variant_get("__v", f"$.{name}", kind)
+    has = lambda name: value(name, "variant").isNotNull()
+    differs = lambda name: has(name) & F.coalesce(value(name, "string") != F.col(name), F.lit(True))
+    empty = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
+    below = lambda name, least: F.coalesce(F.col(name), F.lit(least - 1)) < least
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    severity = value("severity", "double").cast("bigint")
+    reason = (
+        F.when(empty("log_id"), "log_id")
+        .when(below("revision", 1), "revision")
+        .when(empty("event_type"), "event_type")
+        .when(empty("source_node"), "source_node")
+        .when(empty("producer_instance_id"), "producer_instance_id")
+        .when(below("occurred_at_ns", 0), "occurred_at_ns")
+        .when(F.coalesce(sha256_text(F.col("payload_json")) != F.col("payload_digest"), F.lit(True)), "payload_digest")
+        .when(F.col("__v").isNull(), "payload_json")
+        .when(~is_object(F.col("__v")), "payload_root")
+        .when(has("schema_version") & F.coalesce(value("schema_version", "string") != "2", F.lit(True)), "schema_version")
     )
+    for name in ("event_type", "source_node", "producer_instance_id", "product_id"):
+        reason = reason.when(differs(name), f"{name} differs")
+    reason = reason.when(has("severity") & F.coalesce(severity != F.col("severity"), F.lit(True)), "severity differs").when(has("payload") & ~is_object(value("payload", "variant")), "payload")
+    return parsed.withColumn("reject_reason", reason).drop("__v")
 
 
-def tri_state(incoming: DataFrame, stored: DataFrame, keys: list[str], digest: str) -> DataFrame:
-    """``incoming`` with ``state``: NEW key, REPLAY of the same digest, or CONFLICT with another."""
+def tri_state(incoming: DataFrame, stored: DataFrame, keys: list[str], digest: str, order: list | None = None) -> DataFrame:
+    """``incoming`` with ``state``: NEW key, REPLAY of the same digest, or CONFLICT with another.
+
+    Of several rows of one new key the first in ``order`` (by digest if none is given) is NEW; the others are held against it.
+    """
     known = stored.select(*keys, F.col(digest).alias("__known"))
-    state = F.when(F.col("__known").isNull(), "NEW").when(F.col("__known") == F.col(digest), "REPLAY").otherwise("CONFLICT")
-    return incoming.join(known, keys, "left").withColumn("state", state).drop("__known")
+    arrival = W.partitionBy(*keys).orderBy(*(order or [digest]))
+    rows = incoming.join(known, keys, "left").withColumn("__turn", F.row_number().over(arrival)).withColumn("__first", F.first(digest).over(arrival))
+    state = F.when(F.col("__known").isNull() & (F.col("__turn") == 1), "NEW").when(F.coalesce("__known", "__first") == F.col(digest), "REPLAY").otherwise("CONFLICT")
+    return rows.withColumn("state", state).drop("__known", "__turn", "__first")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

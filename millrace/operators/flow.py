@@ -145,3 +145,19 @@ def later_heartbeats(beats: DataFrame) -> DataFrame:
 
 
 FSM_SCHEMA = T.StructType([T.StructField(n, T.StringType() if n != "arrival" else T.LongType()) for n in ("session_id", "arrival", "event", "state", "rule", "next_state")])
+
+
+def neighbours(line: DataFrame, order: str, value: str, width: int = 100_000) -> DataFrame:
+    """order, value, follows, next_state: every row of one line but the last, beside the row after it.
+
+    The line is cut into stretches of ``width`` numbers; neighbours within one meet in a window, the ends of stretches in a table of two rows for each.
+    """
+    stretch = F.floor(F.col(order) / width)
+    rows = line.select(order, value, stretch.alias("stretch"))
+    own = W.partitionBy("stretch").orderBy(order, F.desc(value))
+    inside = rows.select(order, value, F.lead(order).over(own).alias("follows"), F.lead(value).over(own).alias("next_state")).where("follows IS NOT NULL")
+    first, last = F.min(F.struct(F.col(order), -F.col(value))), F.max(F.struct(F.col(order), -F.col(value)))
+    ends = rows.groupBy("stretch").agg(first.alias("first"), last.alias("last"))
+    line_up = W.orderBy("stretch")
+    across = ends.select(F.col("last")[order].alias(order), (-F.col("last")["col2"]).alias(value), F.lead(F.col("first")[order]).over(line_up).alias("follows"), (-F.lead(F.col("first")["col2"]).over(line_up)).alias("next_state"))
+    return inside.unionByName(across.where("follows IS NOT NULL"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..functions.numbers import finite, top_k_count
 from ..operators import anomaly as A
+from ..sources.stored import stored
 from ..sources.tables import Tables
 from .registry import query
 
@@ -23,37 +24,22 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
-@query("j08_nearest_bank_vector", f"SELECT vec_id, round(min(d), 6) AS distance, arg_min(bank_id, d) AS bank_id FROM (SELECT q.vec_id, b.bank_id, {DIST} AS d FROM query_vector q, memory_bank b) x GROUP BY vec_id")
-def nearest(t: Tables) -> DataFrame:
-    return rounded(A.nearest_distance(t.query_vector, t.memory_bank))
-
-
-@query("t08_nearest_k", f"SELECT vec_id, bank_id, round(d, 6) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, bank_id) AS r FROM (SELECT q.vec_id, b.bank_id, {DIST} AS d FROM query_vector q, memory_bank b) x) y WHERE r <= 5")
-def nearest_k(t: Tables) -> DataFrame:
-    return rounded(A.nearest(t.query_vector, t.memory_bank, 5)).select("vec_id", "bank_id", "distance", "rank")
-
-
-@query("m03_reweighted_score", f"SELECT vec_id, round((1 - exp(ds[1] - ds[5]) / list_sum(list_transform(ds, lambda z: exp(z - ds[5])))) * ds[1], 6) AS score FROM (SELECT vec_id, list(d ORDER BY d) AS ds FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, bank_id) AS r FROM (SELECT q.vec_id, b.bank_id, {DIST} AS d FROM query_vector q, memory_bank b) x) y WHERE r <= 5 GROUP BY vec_id) z")
-def image_score(t: Tables) -> DataFrame:
-    return rounded(A.reweighted(A.nearest(t.query_vector, t.memory_bank, 5)))
-
-
 NEAR = f"near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, bank_id) AS r FROM (SELECT q.vec_id, b.bank_id, {DIST} AS d FROM embeddings q, (SELECT vec_id AS bank_id, embedding AS bank_vec FROM embeddings) b WHERE b.bank_id <> q.vec_id) x) y WHERE r <= 5)"
 
 
-@query("j08_nearest_bank_vector_whole", f"WITH {NEAR} SELECT vec_id, round(d, 6) AS distance, bank_id FROM near WHERE r = 1")
-def nearest_whole(t: Tables) -> DataFrame:
-    """Every vector against all others; ``j08_nearest_bank_vector`` asks a tenth against another tenth, as its inputs are."""
+@query("j08_nearest_bank_vector", f"WITH {NEAR} SELECT vec_id, round(d, 6) AS distance, bank_id FROM near WHERE r = 1")
+def nearest(t: Tables) -> DataFrame:
+    """Every vector against all others."""
     return rounded(A.nearest_others(t.embeddings, 1)).select("vec_id", "distance", "bank_id")
 
 
-@query("t08_nearest_k_whole", f"WITH {NEAR} SELECT vec_id, bank_id, round(d, 6) AS distance, CAST(r AS INT) AS rank FROM near")
-def nearest_k_whole(t: Tables) -> DataFrame:
+@query("t08_nearest_k", f"WITH {NEAR} SELECT vec_id, bank_id, round(d, 6) AS distance, CAST(r AS INT) AS rank FROM near")
+def nearest_k(t: Tables) -> DataFrame:
     return rounded(A.nearest_others(t.embeddings, 5)).select("vec_id", "bank_id", "distance", "rank")
 
 
-@query("m03_reweighted_score_whole", f"WITH {NEAR} SELECT vec_id, round((1 - exp(ds[1] - ds[5]) / list_sum(list_transform(ds, lambda z: exp(z - ds[5])))) * ds[1], 6) AS score FROM (SELECT vec_id, list(d ORDER BY d) AS ds FROM near GROUP BY vec_id) z")
-def image_score_whole(t: Tables) -> DataFrame:
+@query("m03_reweighted_score", f"WITH {NEAR} SELECT vec_id, round((1 - exp(ds[1] - ds[5]) / list_sum(list_transform(ds, lambda z: exp(z - ds[5])))) * ds[1], 6) AS score FROM (SELECT vec_id, list(d ORDER BY d) AS ds FROM near GROUP BY vec_id) z")
+def image_score(t: Tables) -> DataFrame:
     return rounded(A.reweighted(A.nearest_others(t.embeddings, 5)))
 
 
@@ -125,13 +111,13 @@ pick AS (SELECT min(r.i) AS i FROM rates r JOIN safe USING (i) WHERE r.fpr <= 0.
 
 @query("m06_threshold_search", f"{CHOSEN}{THRESHOLDS} SELECT x.view, round(90.0 + p.i * 0.01, 4) AS percentile, round(r.fpr, 6) AS fpr, round(x.t[p.i + 1], 6) AS threshold FROM pick p JOIN rates r ON r.i = p.i, tables x")
 def thresholds(t: Tables) -> DataFrame:
-    found = A.search_thresholds(chosen_scores(t).where("split = 1").withColumn("k", F.lit(1)), 0.1, ["k"])
+    found = A.search_thresholds(stored(chosen_scores(t).where("split = 1").withColumn("k", F.lit(1))), 0.1, ["k"])
     return rounded(found.withColumn("percentile", F.round("percentile", 4)).select("view", "percentile", "fpr", "threshold"))
 
 
 @query("m09_final_evaluation", f"{CHOSEN}{THRESHOLDS}, pred AS (SELECT s.vec_id, s.split, bool_or(s.score > x.t[p.i + 1]) AS ng FROM scores s JOIN tables x ON x.view = s.view, pick p WHERE s.split IN (2, 3) GROUP BY s.vec_id, s.split) SELECT count(*) FILTER (WHERE split = 2 AND NOT ng) AS tn, count(*) FILTER (WHERE split = 2 AND ng) AS fp, count(*) FILTER (WHERE split = 3 AND NOT ng) AS fn, count(*) FILTER (WHERE split = 3 AND ng) AS tp FROM pred")
 def evaluation(t: Tables) -> DataFrame:
-    scores = chosen_scores(t).withColumn("k", F.lit(1))
+    scores = stored(chosen_scores(t).withColumn("k", F.lit(1)))
     found = A.search_thresholds(scores.where("split = 1"), 0.1, ["k"])
     rows = A.predictions(scores.where("split IN (2, 3)"), found, ["k"]).withColumn("truth", (F.col("split") == 3).cast("int"))
     return A.metrics(rows, ["k"]).select("tn", "fp", "fn", "tp")
@@ -148,12 +134,17 @@ def measured(t: Tables) -> DataFrame:
     """All candidates in one plan: every normalization and aggregation over the same gathered maps."""
     rows = A.patches(t.embeddings).where("split < 4")
     keys = ["method", "option", "kind", "level"]
-    scores = A.view_scores(A.normalized(rows.where("split > 0"), A.calibration(rows.where("split = 0"))))
+    scores = stored(A.view_scores(A.normalized(rows.where("split > 0"), A.calibration(rows.where("split = 0")))))
     found = A.search_thresholds(scores.where("split = 1"), 0.1, keys)
     pred = A.predictions(scores.where("split IN (2, 3)"), found, keys).withColumn("truth", (F.col("split") == 3).cast("int"))
     names = F.create_map(*[F.lit(x) for pair in A.COMPLEXITY.items() for x in pair])
     out = A.metrics(pred, keys).withColumn("complexity", F.element_at(names, F.col("method")))
-    return out.withColumn("candidate_id", F.concat_ws("/", "method", F.col("option").cast("string"), "kind", F.col("level").cast("string"))).withColumn("p95_ms", F.lit(0.0))
+    # a timing sample of each candidate: the events that fall to its number in the order of the grid
+    order = W.orderBy("method", "option", "kind", "level")  # 342 rows
+    named = out.withColumn("candidate_id", F.concat_ws("/", "method", F.col("option").cast("string"), "kind", F.col("level").cast("string"))).withColumn("number", F.row_number().over(order) - 1)
+    count = len(A.normalizations()) * len(A.aggregations())
+    timing = t.events.groupBy(F.pmod("event_id", F.lit(count)).alias("number")).agg(F.percentile("value", F.lit(0.95)).alias("p95_ms"))
+    return named.join(F.broadcast(timing), "number", "left").drop("number")  # a row for each candidate
 
 
 @query("m08_candidate_metrics")
@@ -325,9 +316,18 @@ def canonical(t: Tables) -> DataFrame:
     return t.envelope.select("event_id", F.sha2(X.canonical_json("payload_json"), 256).alias("digest"))
 
 
-@query("a25_parallelism_choice", "SELECT user_id, arg_min(event_type, v) AS fastest FROM (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY user_id, event_type) x GROUP BY user_id")
-def fastest(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v")).groupBy("user_id").agg(F.min_by("event_type", "v").alias("fastest"))
+BENCH = """bench AS (SELECT user_id AS model_no, CAST(1 + event_id % 3 AS INT) AS streams, quantile_cont(value, 0.5) AS median_ms, quantile_cont(value, 0.95) AS p95_ms, user_id % 11 <> 0 OR 1 + event_id % 3 = 1 AS memory_safe FROM events GROUP BY ALL),
+wide AS (SELECT model_no, max(median_ms) FILTER (WHERE streams = 1) AS m1, max(p95_ms) FILTER (WHERE streams = 1) AS p1, max(median_ms) FILTER (WHERE streams = 2 AND memory_safe) AS m2, max(p95_ms) FILTER (WHERE streams = 2 AND memory_safe) AS p2,
+  max(median_ms) FILTER (WHERE streams = 3 AND memory_safe) AS m3, max(p95_ms) FILTER (WHERE streams = 3 AND memory_safe) AS p3 FROM bench GROUP BY model_no HAVING m1 IS NOT NULL),
+two AS (SELECT *, coalesce(m2 <= m1 * 0.95 AND p2 <= p1, false) AS take2 FROM wide)"""
+
+
+@query("a25_parallelism_choice", f"WITH {BENCH} SELECT model_no, CAST(CASE WHEN m3 <= CASE WHEN take2 THEN m2 ELSE m1 END * 0.95 AND p3 <= CASE WHEN take2 THEN p2 ELSE p1 END THEN 3 WHEN take2 THEN 2 ELSE 1 END AS INT) AS streams FROM two")
+def parallelism(t: Tables) -> DataFrame:
+    streams = (1 + F.col("event_id") % 3).cast("int")
+    safe = (F.col("user_id") % 11 != 0) | (streams == 1)
+    rows = t.events.groupBy(F.col("user_id").alias("model_no"), streams.alias("streams"), safe.alias("memory_safe")).agg(F.percentile("value", F.lit(0.5)).alias("median_ms"), F.percentile("value", F.lit(0.95)).alias("p95_ms"))
+    return A.parallelism_choice(rows, "model_no")
 
 
 @query("c18_enum_names", "SELECT station_id, verdict, CASE verdict WHEN 1 THEN 'PASS' WHEN 2 THEN 'NG' WHEN 3 THEN 'FORCED_NG' END AS verdict_name, count(*) AS n FROM station_terminal GROUP BY 1, 2, 3")

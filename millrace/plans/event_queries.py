@@ -24,7 +24,7 @@ SELECT event_id, CASE WHEN log_id = '' THEN 'log_id' WHEN revision < 1 THEN 'rev
 
 @query("f01_validate_event", REJECT)
 def validate(t: Tables) -> DataFrame:
-    return t.log_event.select("event_id", E.reject_reason(t.log_event).alias("reject_reason"))
+    return E.with_reject_reason(t.log_event).select("event_id", "reject_reason")
 
 
 @query("f02_reject_counts", f"SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS n FROM ({REJECT}) r GROUP BY 1")

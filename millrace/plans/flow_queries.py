@@ -102,23 +102,15 @@ def beat_handling(t: Tables) -> DataFrame:
     return L.heartbeats(t.heartbeat).groupBy("node_id", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j11_heartbeat_status_join", "SELECT s.node_id, s.arrival, count(*) AS later FROM (SELECT * FROM heartbeat WHERE arrival % 500 = 0) s JOIN heartbeat h ON h.node_id = s.node_id AND h.instance_id = s.instance_id AND h.sequence >= s.sequence GROUP BY s.node_id, s.arrival")
+@query("j11_heartbeat_status_join", "SELECT s.node_id, s.arrival, count(*) AS later FROM heartbeat s JOIN heartbeat h ON h.node_id = s.node_id AND h.instance_id = s.instance_id AND h.sequence >= s.sequence GROUP BY s.node_id, s.arrival")
 def status_join(t: Tables) -> DataFrame:
-    status = t.heartbeat.where("arrival % 500 = 0").select("node_id", "instance_id", "arrival", F.col("sequence").alias("from_sequence"))
-    return status.join(t.heartbeat.select("node_id", "instance_id", "sequence"), ["node_id", "instance_id"]).where("sequence >= from_sequence").groupBy("node_id", "arrival").agg(F.count(F.lit(1)).alias("later"))
-
-
-@query("j11_heartbeat_status_whole", "SELECT s.node_id, s.arrival, count(*) AS later FROM heartbeat s JOIN heartbeat h ON h.node_id = s.node_id AND h.instance_id = s.instance_id AND h.sequence >= s.sequence GROUP BY s.node_id, s.arrival")
-def whole_status_join(t: Tables) -> DataFrame:
-    """The count for every heartbeat; ``j11_heartbeat_status_join`` is its part at every 500th arrival, as its SQL says."""
     return L.later_heartbeats(t.heartbeat)
 
 
-@query("w04_fifo_alignment", "SELECT bool_and(physical_state >= nxt) AS aligned, count(*) FILTER (WHERE physical_state < nxt) AS behind FROM (SELECT physical_state, lead(physical_state) OVER (PARTITION BY g ORDER BY fifo_sequence) AS nxt FROM (SELECT *, fifo_sequence % 4 AS g FROM ledger) x) y WHERE nxt IS NOT NULL")
+@query("w04_fifo_alignment", "SELECT bool_and(physical_state >= nxt AND fifo_sequence < follows) AS aligned, count(*) FILTER (WHERE physical_state < nxt) AS behind FROM (SELECT fifo_sequence, physical_state, lead(physical_state) OVER w AS nxt, lead(fifo_sequence) OVER w AS follows FROM ledger WINDOW w AS (ORDER BY fifo_sequence)) y WHERE nxt IS NOT NULL")
 def alignment(t: Tables) -> DataFrame:
-    after = F.lead("physical_state").over(W.partitionBy(F.col("fifo_sequence") % 4).orderBy("fifo_sequence"))
-    rows = t.ledger.withColumn("nxt", after).where("nxt IS NOT NULL")
-    return rows.agg(F.bool_and(F.col("physical_state") >= F.col("nxt")).alias("aligned"), F.count_if(F.col("physical_state") < F.col("nxt")).alias("behind"))
+    rows = L.neighbours(t.ledger, "fifo_sequence", "physical_state")
+    return rows.agg(F.bool_and((F.col("physical_state") >= F.col("next_state")) & (F.col("fifo_sequence") < F.col("follows"))).alias("aligned"), F.count_if(F.col("physical_state") < F.col("next_state")).alias("behind"))
 
 
 @query("w06_completed_prefix", "SELECT product_id, fifo_sequence FROM ledger WHERE NOT EXISTS (SELECT 1 FROM ledger f WHERE NOT f.completed AND f.fifo_sequence <= ledger.fifo_sequence)")
@@ -137,14 +129,8 @@ def oldest(t: Tables) -> DataFrame:
     return t.ledger.where("NOT removed").groupBy("physical_state").agg(F.min("fifo_sequence").alias("oldest"), F.min_by("product_id", "fifo_sequence").alias("product_id"))
 
 
-@query("t05_queue_order", "SELECT job_id FROM inference_job WHERE job_id < 500 ORDER BY fifo_sequence, enqueued_ns, station_id")
+@query("t05_queue_order", "SELECT job_id FROM inference_job ORDER BY fifo_sequence, enqueued_ns, station_id")
 def queue_order(t: Tables) -> DataFrame:
-    return t.inference_job.where("job_id < 500").orderBy("fifo_sequence", "enqueued_ns", "station_id").select("job_id")
-
-
-@query("t05_queue_order_whole", "SELECT job_id FROM inference_job ORDER BY fifo_sequence, enqueued_ns, station_id")
-def whole_queue_order(t: Tables) -> DataFrame:
-    """All jobs; ``t05_queue_order`` is its part below job 500, as its SQL says."""
     return t.inference_job.orderBy("fifo_sequence", "enqueued_ns", "station_id").select("job_id")
 
 
@@ -162,9 +148,13 @@ def cancelled(t: Tables) -> DataFrame:
     return t.inference_job.join(scope, ["fifo_sequence", "station_id"], "left_anti").select("job_id")
 
 
-@query("f09_command_gate", "SELECT command_no, CASE WHEN health_state <> 1 THEN 9002 WHEN session_id <> 'live' OR command_epoch <> command_epoch % 30 OR NOT regexp_matches(command_id, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') OR NOT regexp_matches(payload_digest, '^[0-9a-f]{64}$') OR system_state <> 3 THEN 9000 ELSE 0 END AS error_code FROM command")
+#: The command epoch at which the gate stands.
+NODE_EPOCH = 7
+
+
+@query("f09_command_gate", "SELECT command_no, CASE WHEN health_state <> 1 THEN 9002 WHEN session_id <> 'live' OR command_epoch <> 7 OR NOT regexp_matches(command_id, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') OR NOT regexp_matches(payload_digest, '^[0-9a-f]{64}$') OR system_state <> 3 THEN 9000 ELSE 0 END AS error_code FROM command")
 def command_gate(t: Tables) -> DataFrame:
-    fine = (F.col("session_id") == "live") & (F.col("command_epoch") == F.col("command_epoch") % 30) & is_uuid4(F.col("command_id")) & is_sha256_hex(F.col("payload_digest")) & (F.col("system_state") == 3)
+    fine = (F.col("session_id") == "live") & (F.col("command_epoch") == NODE_EPOCH) & is_uuid4(F.col("command_id")) & is_sha256_hex(F.col("payload_digest")) & (F.col("system_state") == 3)
     return t.command.select("command_no", F.when(F.col("health_state") != 1, 9002).when(~fine, 9000).otherwise(0).alias("error_code"))
 
 

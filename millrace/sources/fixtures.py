@@ -148,10 +148,22 @@ FIXTURES: dict[str, str] = {
         SELECT vec_id, CASE v WHEN 0 THEN 'CAM_A_1' WHEN 1 THEN 'CAM_A_2' WHEN 2 THEN 'CAM_A_3' ELSE 'CAM_B_1' END AS view, CASE vec_id % 5 WHEN 0 THEN 'calibration_set_A' WHEN 1 THEN 'calibration_set_B' WHEN 2 THEN 'validation_normal' WHEN 3 THEN 'validation_anomaly' ELSE 'test' END AS split,
           'p' || CAST(vec_id AS {text}) || CASE WHEN vec_id % 77 = 0 THEN '.PNG' WHEN vec_id % 79 = 0 THEN '.txt' ELSE '.png' END AS filename
         FROM {embeddings} e, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) w WHERE NOT (vec_id % 101 = 0 AND v = 2)""",
-    "memory_bank": """
-        SELECT vec_id AS bank_id, embedding AS bank_vec FROM {embeddings} WHERE vec_id % 10 = 0""",
-    "query_vector": """
-        SELECT vec_id, embedding FROM {embeddings} WHERE vec_id % 10 = 3""",
+    # images of capture results: three cameras at station 1, one at station 2
+    "capture_image": """
+        SELECT event_id AS capture_no, CAST(2 - (event_id + 1) % 2 AS INT) AS station_id, k AS image_no, 'CAM' || CAST(CASE WHEN event_id % 2 = 1 THEN 3 WHEN event_id % 46 = 0 AND k = 2 THEN 1 WHEN event_id % 58 = 0 AND k = 2 THEN 3 ELSE k END AS {text}) AS camera_id,
+          CASE WHEN event_id % 53 = 0 THEN '' ELSE 'b' || CAST(event_id AS {text}) END AS frame_batch_id, CAST(CASE WHEN event_id % 61 = 0 THEN 0 ELSE 1 END AS INT) AS attempt_count, CASE WHEN event_id % 47 = 0 AND k = 0 THEN 'zz' ELSE sha256_hex(props) END AS sha256,
+          CASE WHEN event_id % 59 = 0 THEN 0 ELSE 1000 END AS file_size, CASE WHEN event_id % 67 = 0 THEN 'RGB8' ELSE 'MONO8_PNG' END AS pixel_format, event_id * 1000 AS requested_ns, event_id * 1000 + CASE WHEN event_id % 71 = 0 THEN -5 ELSE 80 END AS returned_ns,
+          CAST(CASE WHEN event_id % 79 = 0 AND k = 0 THEN 2 ELSE 0 END AS INT) AS lost_packets, CASE WHEN event_id % 83 = 0 THEN 'img/' ELSE '/data/' END || CAST(event_id AS {text}) || '.png' AS file_path
+        FROM {events} e, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) w WHERE (event_id % 2 = 0 OR k = 0) AND NOT (event_id % 62 = 0 AND k = 1)""",
+    "model_view": """
+        SELECT event_id AS job_id, CAST(2 - (event_id + 1) % 2 AS INT) AS station_id, k AS view_no, CAST(CASE WHEN event_id % 73 = 0 THEN 7 WHEN (event_id + k) % 5 = 0 THEN 2 ELSE 1 END AS INT) AS view_verdict,
+          CASE WHEN event_id % 89 = 0 AND k = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS view_score, CAST(CASE WHEN event_id % 37 = 0 THEN 2 WHEN event_id % 5 = 0 OR event_id % 2 = 0 AND event_id % 5 IN (3, 4) THEN 2 ELSE 1 END AS INT) AS verdict
+        FROM {events} e, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) w WHERE (event_id % 2 = 0 OR k = 0) AND NOT (event_id % 62 = 0 AND k = 1)""",
+    "master_beat": """
+        SELECT 'n' || CAST(user_id % 7 AS {text}) AS node_id, event_id AS arrival, CASE WHEN event_id % 31 = 0 THEN '1.0' ELSE '2.0' END AS interface_version, CASE WHEN event_id % 29 = 0 THEN 'old' ELSE 'live' END AS session_id,
+          CAST(floor(event_id / 100) AS BIGINT) - CASE WHEN event_id % 17 = 0 THEN 3 ELSE 0 END AS command_epoch, CAST(event_id % 12 AS INT) AS system_state FROM {events}""",
+    "actuation": """
+        SELECT event_id AS arrival, 'act-' || CAST(event_id % 700 AS {text}) AS actuation_id, 'P-' || CAST(CASE WHEN event_id % 13 = 0 THEN user_id ELSE event_id % 700 END AS {text}) AS product_id, CASE WHEN event_id % 3 = 0 THEN 'NG' WHEN event_id % 3 = 1 THEN 'FORCED_NG' ELSE 'PASS' END AS verdict FROM {events}""",
     "prediction": """
         SELECT doc_id, CAST(toxic AS INT) AS truth, CAST(1 - quality AS INT) AS predicted FROM {labels} WHERE toxic IS NOT NULL AND quality IS NOT NULL""",
     "disk_sample": """

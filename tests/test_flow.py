@@ -1,5 +1,6 @@
 """State machines, their streams, and scalar functions, against values worked out by hand or in plain Python."""
 
+import hashlib
 import json
 import random
 
@@ -199,3 +200,58 @@ def catalogue_rows(spark, data):
     from millrace.plans import catalogue
 
     return catalogue.queries()["j01_session_report"](spark, data).where("session_id = 's1'").orderBy("fifo_sequence")
+
+
+def test_reject_reasons_of_nulls_and_types(spark):
+    from millrace.operators.events import with_reject_reason
+
+    good = {"event_type": "E", "source_node": "n", "producer_instance_id": "p", "product_id": "P", "severity": 20, "schema_version": 2, "payload": {}}
+    row = ("l", 1, "E", "n", "p", 0, "P", 20)
+    cases = [(row, good, None), (row, good | {"severity": 20.0}, None), (row, {}, None)]
+    cases += [(row, good | {k: None}, f"{k} differs") for k in ("event_type", "source_node", "producer_instance_id", "product_id", "severity")]
+    cases += [(row, good | {"payload": None}, "payload"), (row, good | {"payload": []}, "payload"), (row, good | {"schema_version": 3}, "schema_version"), (row, good | {"severity": 21}, "severity differs")]
+    cases += [((None, *row[1:]), good, "log_id"), ((*row[:2], None, *row[3:]), good, "event_type"), ((row[0], None, *row[2:]), good, "revision"), ((*row[:5], None, *row[6:]), good, "occurred_at_ns")]
+    rows = [(i, *r, json.dumps(e), hashlib.sha256(json.dumps(e).encode()).hexdigest()) for i, (r, e, _) in enumerate(cases)]
+    rows += [(100, *row, json.dumps(good), None), (101, *row, None, None), (102, *row, "[1]", hashlib.sha256(b"[1]").hexdigest()), (103, *row, "{", hashlib.sha256(b"{").hexdigest())]
+    frame = spark.createDataFrame(rows, "i int, log_id string, revision int, event_type string, source_node string, producer_instance_id string, occurred_at_ns long, product_id string, severity int, payload_json string, payload_digest string")
+    got = {r.i: r.reject_reason for r in with_reject_reason(frame).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(cases)} | {100: "payload_digest", 101: "payload_digest", 102: "payload_root", 103: "payload_json"}
+
+
+def test_repeats_within_a_batch(spark):
+    from millrace.operators.events import tri_state
+
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "b", "z"), (5, "c", "q"), (6, "c", "r")]
+    stored = spark.createDataFrame([("c", "q")], "k string, d string")
+    got = tri_state(spark.createDataFrame(rows, "n int, k string, d string"), stored, ["k"], "d", ["n"]).collect()
+    assert {r.n: r.state for r in got} == {1: "NEW", 2: "REPLAY", 3: "CONFLICT", 4: "NEW", 5: "REPLAY", 6: "CONFLICT"}
+
+
+def test_neighbours_across_stretches(spark):
+    from millrace.operators.flow import neighbours
+
+    rows = [(i * 3 % 50, i % 4) for i in range(50)] + [(7, 2), (7, 0)]
+    line = sorted(rows, key=lambda r: (r[0], -r[1]))
+    got = neighbours(spark.createDataFrame(rows, "s long, v int"), "s", "v", width=7).collect()
+    assert sorted((r.s, r.v, r.follows, r.next_state) for r in got) == sorted((*a, *b) for a, b in zip(line, line[1:]))
+
+
+def test_threshold_search_matches_plain_percentiles(spark):
+    import numpy as np
+    from millrace.operators import anomaly as A
+
+    rng = np.random.default_rng(4)
+    for shift, n in ((0.5, 150), (-1.2, 137), (-9.0, 120), (2.0, 99)):
+        x = np.round(rng.normal(shift, 1, (n, 4)), 2)
+        rows = [(1, i, v, float(x[i, v])) for i in range(n) for v in range(4)]
+        got = A.search_thresholds(spark.createDataFrame(rows, "k int, vec_id long, view int, score double"), 0.1, ["k"]).collect()
+        want = None
+        for p in np.linspace(90, 100, 1001) if n >= 100 else ():
+            t = np.percentile(x, p, axis=0)
+            if (t > 0).all() and (fpr := (x > t + 1e-12).any(1).mean()) <= 0.1:
+                want = (p, fpr, t)
+                break
+        if want is None:
+            assert not got
+            continue
+        assert len(got) == 4 and all(abs(r.percentile - want[0]) < 1e-6 and abs(r.fpr - want[1]) < 1e-9 and abs(r.threshold - want[2][r.view]) < 1e-9 for r in got)
