@@ -218,13 +218,6 @@ def edges(t: Tables) -> DataFrame:
     return found.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("detected").alias("detections"))
 
 
-@query("st06_station_ledger")
-def station_ledger(t: Tables) -> DataFrame:
-    rows = t.station_terminal.select("product_id", F.col("revision").alias("arrival"), "station_id", F.col("terminal_kind").alias("kind"), "revision", "verdict", F.col("inference_job_id").alias("job"))
-    locks = t.lock_arrival.select(F.concat(F.lit("P-"), F.lpad(F.col("fifo_sequence").cast("string"), 6, "0")).alias("product_id"), (F.col("arrival") - 100).alias("arrival"), F.lit(0).alias("station_id"), F.lit("LOCK").alias("kind"), F.lit(0).cast("bigint").alias("revision"), F.lit(None).cast("int").alias("verdict"), F.lit("s3").alias("job"))
-    return fold(rows.unionByName(locks), "product_id", "arrival", M.StationLedger).where("kind = 'LOCK'").select("product_id", "outcome", F.col("final_verdict").alias("verdict"))
-
-
 @query("st12_reorder_buffer")
 def reorder(t: Tables) -> DataFrame:
     rows = t.events.where("event_id % 311 <> 7").select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("session_id"), (F.col("event_id") * 37 % 301 + 1).alias("fifo_sequence"), F.col("event_id").alias("arrival"))

@@ -164,6 +164,51 @@ FIXTURES: dict[str, str] = {
           CAST(floor(event_id / 100) AS BIGINT) - CASE WHEN event_id % 17 = 0 THEN 3 ELSE 0 END AS command_epoch, CAST(event_id % 12 AS INT) AS system_state FROM {events}""",
     "actuation": """
         SELECT event_id AS arrival, 'act-' || CAST(event_id % 700 AS {text}) AS actuation_id, 'P-' || CAST(CASE WHEN event_id % 13 = 0 THEN user_id ELSE event_id % 700 END AS {text}) AS product_id, CASE WHEN event_id % 3 = 0 THEN 'NG' WHEN event_id % 3 = 1 THEN 'FORCED_NG' ELSE 'PASS' END AS verdict FROM {events}""",
+    # messages of stations and locks; identities, verdicts and revisions that disagree now and then
+    "ledger_message": """
+        SELECT 'P-' || lpad(CAST(user_id AS {text}), 6, '0') AS product_id, CAST(1 + event_id % 2 AS INT) AS station_id, event_id * 2 AS arrival,
+          CASE WHEN event_id % 389 = 0 AND user_id % 2 = 1 THEN 'CONTRACT' WHEN event_type = 'error' AND user_id % 5 = 1 THEN 'FAILURE' ELSE 'RESULT' END AS kind,
+          CAST(floor(event_id / 60) AS BIGINT) + 1 - CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS revision,
+          CAST(CASE WHEN user_id % 6 = 0 THEN 2 WHEN user_id % 3 = 0 AND event_id % 11 = 0 THEN 2 WHEN user_id % 7 = 0 AND event_id % 13 = 0 THEN 2 ELSE 1 END AS INT) AS verdict,
+          'cap-' || CAST(CASE WHEN event_id % 31 = 0 THEN 0 ELSE user_id END AS {text}) AS capture_id, 'cap-' || CAST(user_id AS {text}) AS expected_capture,
+          'fb-' || CAST(CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS {text}) AS frame_batch_id, 'job-' || CAST(CASE WHEN event_id % 41 = 0 THEN 1 ELSE 0 END AS {text}) AS inference_job_id
+        FROM {events}
+        UNION ALL
+        SELECT 'P-' || lpad(CAST(fifo_sequence AS {text}), 6, '0') AS product_id, CAST(0 AS INT) AS station_id, arrival * 2 - 600 + k * (300 + fifo_sequence % 5) + 1 AS arrival, 'LOCK' AS kind, CAST(0 AS BIGINT) AS revision,
+          CAST(NULL AS INT) AS verdict, '' AS capture_id, '' AS expected_capture, '' AS frame_batch_id, 's3-' || CAST(CASE WHEN fifo_sequence % 4 = 3 THEN k ELSE 0 END AS {text}) AS inference_job_id
+        FROM {lock_arrival} l, (SELECT 0 AS k UNION ALL SELECT 1) w""",
+    "registration": """
+        SELECT 's' || CAST(user_id % 5 AS {text}) AS session_id, event_id AS arrival, CASE WHEN event_id % 43 = 0 THEN '' ELSE 'P-' || CAST(CASE WHEN event_id % 7 = 0 THEN event_id - 7 ELSE event_id END AS {text}) END AS product_id,
+          CASE WHEN event_id % 47 = 0 THEN 0 WHEN event_id % 53 = 0 THEN event_id - 60 ELSE event_id END AS fifo_sequence FROM {events}""",
+    "cycle_event": """
+        SELECT product_id, station_id, arrival, CASE CAST(n % 11 AS INT) WHEN 1 THEN 'BEGIN' WHEN 2 THEN 'SETTLED' WHEN 3 THEN 'SETTLED' WHEN 4 THEN 'REQUESTED' WHEN 5 THEN 'RESET' WHEN 6 THEN 'BEGIN' WHEN 7 THEN 'SETTLED' WHEN 8 THEN 'REQUESTED' WHEN 9 THEN 'REQUESTED' WHEN 10 THEN 'SUCCEEDED' ELSE 'FAILED' END AS event,
+          'pos-' || CASE WHEN arrival % 29 = 0 THEN 'x' ELSE '1' END AS position_command, 'cap-' || CASE WHEN arrival % 31 = 0 THEN 'x' ELSE '1' END AS capture_id, 'cmd-' || CASE WHEN arrival % 5 = 0 THEN 'x' ELSE '1' END AS capture_command
+        FROM (SELECT user_id AS product_id, CAST(1 + event_id % 2 AS INT) AS station_id, event_id AS arrival, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS n FROM {events}) x""",
+    "actuation_event": """
+        SELECT product_id, arrival, CASE CAST(n % 5 AS INT) WHEN 1 THEN 'BEGIN' WHEN 2 THEN 'BEGIN' WHEN 3 THEN 'ACCEPTED' ELSE 'COMPLETED' END AS event, 'aj-1' AS actuator_job,
+          'cmd-' || CASE WHEN arrival % 7 = 0 THEN 'x' ELSE '1' END AS command, 'act-' || CAST(arrival AS {text}) AS actuation_id
+        FROM (SELECT user_id AS product_id, event_id AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}) x""",
+    "operator_command": """
+        SELECT event_id AS arrival, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'no-uuid' ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS request_id,
+          CAST(k % 8 AS INT) AS command_type, CASE WHEN event_id % 17 = 0 THEN 'again' ELSE 'shift' END AS reason, CASE WHEN k % 3 = 0 THEN '' ELSE 'op1' END AS operator_id
+        FROM (SELECT event_id, k, sha256_hex(k_text) AS h FROM (SELECT event_id, event_id % 601 AS k, CAST(event_id % 601 AS {text}) AS k_text FROM {events}) y) x""",
+    "capture_goal": """
+        SELECT event_id AS goal_no, CASE WHEN event_id % 19 = 0 THEN '' ELSE 'P-1' END AS product_id, CASE WHEN event_id % 23 = 0 THEN '' ELSE 'cap-' || CAST(event_id AS {text}) END AS capture_id, CAST(event_id % 4 AS INT) AS station_id,
+          CASE WHEN event_id % 29 = 0 THEN 'CAM1,CAM0,CAM2' WHEN event_id % 4 = 2 THEN 'CAM3' ELSE 'CAM0,CAM1,CAM2' END AS camera_list, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'c' END AS command_id, event_id % 37 = 0 AS cancelled, event_id % 41 = 0 AS shutdown FROM {events}""",
+    "worker_state": """
+        SELECT event_id AS check_no, event_id % 13 <> 1 AS action_ready, event_id % 17 <> 1 AS status_verified, 'i1' AS status_instance, CASE WHEN event_id % 19 = 0 THEN 'i2' ELSE 'i1' END AS beat_instance, CASE WHEN event_id % 23 = 0 THEN '' ELSE 'live' END AS status_session,
+          CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'live' END AS beat_session, CASE WHEN event_id % 31 = 0 THEN '1.0' ELSE '2.0' END AS interface_version, CAST(7 - CAST(floor(event_id % 37 / 36) AS BIGINT) AS BIGINT) AS command_epoch, event_id AS status_sequence,
+          event_id + 2 - event_id % 7 % 4 AS beat_sequence, CAST(1 + CAST(floor(event_id % 41 / 40) AS INT) AS INT) AS status_health, CAST(1 + CAST(floor(event_id % 43 / 42) AS INT) AS INT) AS beat_health, event_id * 1000 AS received_ns, event_id * 1000 + event_id % 110 AS now_ns FROM {events}""",
+    "serial_command": """
+        SELECT event_id AS sequence, event_id * 10 AS sent_ms FROM {events} WHERE event_id % 9 <> 4""",
+    "serial_answer": """
+        SELECT event_id AS sequence, event_id * 10 + event_id * 7 % 130 - 5 + k * 3 AS received_ms, CASE WHEN event_id % 8 = 0 AND k = 0 THEN 'ERR_LIMIT' ELSE 'OK' END AS status FROM {events} e, (SELECT 0 AS k UNION ALL SELECT 1) w WHERE event_id % 6 <> 5""",
+    "option_text": """
+        SELECT event_id AS option_no, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '{{"method":"epsilon","epsilon_ratio":' || v || '}}' WHEN 1 THEN '{{"method":"std_floor","std_floor_ratio":' || v || CASE WHEN event_id % 11 = 0 THEN ',"extra":1}}' ELSE '}}' END
+            WHEN 2 THEN '{{"method":"shrinkage","shrinkage_lambda":' || v || '}}' WHEN 3 THEN '{{"method":"mad","mad_epsilon_ratio":' || v || '}}' ELSE '{{"method":"none"}}' END AS normalization,
+          CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '{{"method":"percentile","percentile":' || p || '}}' WHEN 1 THEN '{{"method":"top_k_percent_average","top_k_percent":' || p || ',"rounding":"' || CASE WHEN event_id % 13 = 0 THEN 'floor' ELSE 'ceil' END || '","minimum_patch_count":' || CASE WHEN event_id % 17 = 0 THEN '2' ELSE '1' END || '}}' ELSE '{{"method":"mean"}}' END AS aggregation,
+          '{{"v_threshold":' || CASE WHEN event_id % 19 = 0 THEN '300' WHEN event_id % 23 = 0 THEN '"9"' ELSE '9' END || ',"connectivity":' || CASE WHEN event_id % 29 = 0 THEN '4' ELSE '8' END || ',"remove_disconnected_noise":' || CASE WHEN event_id % 31 = 0 THEN 'false' ELSE 'true' END || CASE WHEN event_id % 37 = 0 THEN '}}' ELSE ',"check_connection":false}}' END AS preprocessing
+        FROM (SELECT event_id, CASE CAST(event_id * 7 % 9 AS INT) WHEN 0 THEN '0.05' WHEN 1 THEN '0.1' WHEN 2 THEN '0.2' WHEN 3 THEN '0' WHEN 4 THEN '-1' WHEN 5 THEN '0.001' WHEN 6 THEN '0.5' WHEN 7 THEN '"x"' ELSE '2' END AS v, CASE CAST(event_id * 5 % 7 AS INT) WHEN 0 THEN '95.0' WHEN 1 THEN '99.25' WHEN 2 THEN '2.0' WHEN 3 THEN '10.0' WHEN 4 THEN '50' WHEN 5 THEN '100.0' ELSE '0.5' END AS p FROM {events}) x""",
     "prediction": """
         SELECT doc_id, CAST(toxic AS INT) AS truth, CAST(1 - quality AS INT) AS predicted FROM {labels} WHERE toxic IS NOT NULL AND quality IS NOT NULL""",
     "disk_sample": """

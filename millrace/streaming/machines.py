@@ -140,59 +140,86 @@ class ReorderBuffer:
         return (out,)
 
 
-class StationLedger:
-    """Station results of one product: the latest revision counts until the lock; a station A that said NG stays NG.
+class LedgerRegister:
+    """Product ids and sequences of a session, one to one, sequences rising; what is refused changes nothing."""
 
-    ``kind`` is RESULT, FAILURE or LOCK.
+    columns = ("outcome",)
+
+    def __init__(self, saved: str | None = None) -> None:
+        self.sequences: dict[str, int] = json.loads(saved) if saved else {}
+        self.owners = {n: p for p, n in self.sequences.items()}
+        self.last = max(self.owners, default=0)
+
+    def saved(self) -> str:
+        return json.dumps(self.sequences)
+
+    def take(self, row: dict) -> tuple[str]:
+        product, n = row["product_id"], row["fifo_sequence"]
+        known = self.sequences.get(product)
+        tests = (
+            (not product or n is None or n < 1, "INVALID"),
+            (known is not None and known == n, "KNOWN"),
+            (known is not None, "ID_CONFLICT"),
+            (n in self.owners, "SEQUENCE_CONFLICT"),
+            (n is not None and n <= self.last, "NOT_RISING"),
+        )
+        for holds, outcome in tests:
+            if holds:
+                return (outcome,)
+        self.sequences[product], self.owners[n], self.last = n, product, n
+        return ("REGISTERED",)
+
+
+class _Steps:
+    """A machine read off a table: event -> (identities that must agree, identities that it fixes, states before -> state after, states that take it as a repeat).
+
+    OK moves on, REPEAT changes nothing, IDENTITY is another's message, REFUSED comes at the wrong time.
     """
 
-    columns = ("outcome", "final_verdict")
+    columns = ("outcome", "state")
+    first: str
+    table: dict[str, tuple[tuple[str, ...], tuple[str, ...], dict[str, str], tuple[str, ...]]]
 
     def __init__(self, saved: str | None = None) -> None:
-        self.state = json.loads(saved) if saved else {"stations": {}, "locked": None}
+        self.state, self.known = json.loads(saved) if saved else (self.first, {})
 
     def saved(self) -> str:
-        return json.dumps(self.state)
-
-    def _verdict(self) -> str:
-        a, b = (self.state["stations"].get(x, {}) for x in ("1", "2"))
-        if a.get("failed") or a.get("conflicted"):
-            return "FORCED_NG"
-        if a.get("verdict") == 2:
-            return "NG"
-        if b.get("failed") or b.get("conflicted") or a.get("verdict") is None or b.get("verdict") is None:
-            return "FORCED_NG"
-        return "PASS" if a["verdict"] == 1 and b["verdict"] == 1 else "NG"
-
-    def take(self, row: dict) -> tuple[str, str | None]:
-        if row["kind"] == "LOCK":
-            if self.state["locked"] is None:
-                self.state["locked"] = [row["job"], self._verdict()]
-                return "LOCKED", self.state["locked"][1]
-            return ("REPLAY" if self.state["locked"][0] == row["job"] else "CONFLICT"), self.state["locked"][1]
-        if self.state["locked"] is not None:
-            return "LATE", None
-        station = self.state["stations"].setdefault(str(row["station_id"]), {})
-        if row["kind"] == "FAILURE":
-            last = station.get("failure_revision", 0)
-            if row["revision"] < last or (row["revision"] == last and station.get("failed")):
-                return "IGNORED", None
-            station |= {"failed": True, "failure_revision": row["revision"]}
-            return "APPLIED", None
-        new = {"verdict": row["verdict"], "revision": row["revision"], "job": row["job"]}
-        old = {k: station.get(k) for k in new}
-        if old["verdict"] is not None:
-            if row["station_id"] == 1 and old["verdict"] == 2:
-                if new["verdict"] != 2 or new["job"] != old["job"]:
-                    station["conflicted"] = True
-                    return "CONFLICT", None
-                return "IGNORED", None
-            if new["revision"] < old["revision"]:
-                return "IGNORED", None
-            if new["revision"] == old["revision"]:
-                if new != old:
-                    station["conflicted"] = True
-                    return "CONFLICT", None
-                return "IGNORED", None
-        station |= new
-        return "APPLIED", None
+        return json.dumps([self.state, self.known])
+
+    def take(self, row: dict) -> tuple[str, str]:
+        agree, fixes, moves, repeats = self.table[row["event"]]
+        if any(self.known.get(n, "") != row[n] for n in agree):
+            return "IDENTITY", self.state
+        if self.state in repeats:
+            return ("REPEAT" if all(self.known.get(n) == row[n] for n in fixes) else "IDENTITY"), self.state
+        if self.state not in moves:
+            return "REFUSED", self.state
+        self.state = moves[self.state]
+        self.known = {} if self.state == self.first else self.known | {n: row[n] for n in fixes}
+        return "OK", self.state
+
+
+class StationCycle(_Steps):
+    """Positioning and capture of one product at one station. A capture's end counts whenever it comes, by its identity alone."""
+
+    first = "PENDING"
+    states = ("PENDING", "POSITIONING", "POSITION_SETTLED", "CAPTURE_REQUESTED", "CAPTURE_COMPLETED", "FAILED")
+    table = {
+        "BEGIN": ((), ("position_command", "capture_id"), {"PENDING": "POSITIONING"}, ()),
+        "SETTLED": (("position_command",), (), {"POSITIONING": "POSITION_SETTLED"}, ("POSITION_SETTLED", "CAPTURE_REQUESTED", "CAPTURE_COMPLETED", "FAILED")),
+        "REQUESTED": (("capture_id",), ("capture_command",), {"POSITION_SETTLED": "CAPTURE_REQUESTED"}, ("CAPTURE_REQUESTED",)),
+        "SUCCEEDED": (("capture_id",), (), dict.fromkeys(states, "CAPTURE_COMPLETED"), ()),
+        "FAILED": (("capture_id",), (), dict.fromkeys(states, "FAILED"), ()),
+        "RESET": ((), (), dict.fromkeys(states[:4], "PENDING"), ()),
+    }
+
+
+class ActuationSteps(_Steps):
+    """Actuation of one product from Sensor3 on. Accepted and completed may come in either order; the completed one is done."""
+
+    first = "AT_SENSOR3"
+    table = {
+        "BEGIN": ((), ("actuator_job", "command"), {"AT_SENSOR3": "BEGUN"}, ("BEGUN",)),
+        "ACCEPTED": (("command",), (), {"BEGUN": "ACTUATING", "ACTUATING": "ACTUATING"}, ()),
+        "COMPLETED": (("command",), ("actuation_id",), {"BEGUN": "DONE", "ACTUATING": "DONE"}, ()),
+    }

@@ -13,6 +13,7 @@ from millrace.functions import text as X
 from millrace.functions.numbers import finite, softmax_weight, top_k_count
 from millrace.operators import anomaly as A
 from millrace.operators import events as E
+from millrace.operators import ledger as L
 from millrace.operators import report as R
 from millrace.sinks import reports
 from millrace.streaming import machines as M
@@ -47,17 +48,38 @@ def test_reorder_and_idempotency():
     assert [s.take({"command_id": c, "payload_digest": d})[0] for c, d in (("a", "1"), ("a", "1"), ("a", "2"), ("b", "1"), ("a", "1"), ("c", "1"), ("b", "1"))] == ["NEW", "REPLAY", "CONFLICT", "NEW", "REPLAY", "NEW", "NEW"]
 
 
-def test_station_ledger_rules():
-    row = lambda kind, station=1, verdict=None, revision=1, job="j": {"kind": kind, "station_id": station, "verdict": verdict, "revision": revision, "job": job}
-    m = M.StationLedger()
-    assert [m.take(r) for r in (row("RESULT", 1, 1), row("RESULT", 2, 1), row("RESULT", 2, 1), row("RESULT", 2, 2, 0), row("LOCK", job="s"), row("LOCK", job="s"), row("LOCK", job="t"), row("RESULT", 1, 2, 9))] == [("APPLIED", None), ("APPLIED", None), ("IGNORED", None), ("IGNORED", None), ("LOCKED", "PASS"), ("REPLAY", "PASS"), ("CONFLICT", "PASS"), ("LATE", None)]
-    m = M.StationLedger()
-    assert [m.take(r) for r in (row("RESULT", 1, 2), row("RESULT", 1, 1, 2), row("LOCK"))] == [("APPLIED", None), ("CONFLICT", None), ("LOCKED", "FORCED_NG")]
-    m = M.StationLedger()
-    assert [m.take(r)[1] for r in (row("RESULT", 1, 2), row("LOCK"))] == [None, "NG"]
-    m = M.StationLedger(M.StationLedger().saved())
-    assert [m.take(r)[1] for r in (row("RESULT", 1, 1), row("FAILURE", 2), row("LOCK"))] == [None, None, "FORCED_NG"]
-    assert M.StationLedger().take(row("LOCK")) == ("LOCKED", "FORCED_NG")
+def test_station_ledger_rules(spark):
+    def judged(*rows):
+        named = ["product_id", "station_id", "kind", "verdict", "revision", "capture_id", "inference_job_id"]
+        full = [dict(zip(named, r)) | {"arrival": i, "expected_capture": "c", "frame_batch_id": "f"} for i, r in enumerate(rows)]
+        schema = "product_id string, station_id int, kind string, verdict int, revision long, capture_id string, inference_job_id string, arrival long, expected_capture string, frame_batch_id string"
+        out = L.station_outcomes(spark.createDataFrame(full, schema))
+        return [r.outcome for r in out.orderBy("arrival").collect()], {r.product_id: (r.verdict, r.locks, r.replays) for r in L.locked_products(out).collect()}
+
+    row = lambda kind="RESULT", station=1, verdict=1, revision=1, product="p", capture="c", job="j": (product, station, kind, verdict, revision, capture, job)
+    lock = lambda job="s", product="p": row("LOCK", 0, None, 0, product, "", job)
+    assert judged(row(), row(station=2), row(station=2), row(station=2, verdict=2, revision=0), lock(), lock(), lock("t"), row(revision=9)) == (["APPLIED", "APPLIED", "IGNORED", "IGNORED", None, None, None, "LATE"], {"p": ("PASS", 3, 1)})
+    assert judged(row(verdict=2), row(verdict=1, revision=2), row(verdict=2, revision=3), lock()) == (["APPLIED", "CONFLICT", "IGNORED", None], {"p": ("FORCED_NG", 1, 0)})
+    assert judged(row(verdict=2), lock()) == (["APPLIED", None], {"p": ("NG", 1, 0)})
+    assert judged(row(), row("FAILURE", 2, None), row("FAILURE", 2, None), lock()) == (["APPLIED", "APPLIED", "IGNORED", None], {"p": ("FORCED_NG", 1, 0)})
+    assert judged(row(), row(job="k", revision=2), row(capture="x", revision=3), row(verdict=2), row(station=2), row("CONTRACT", 2, None), lock()) == (["APPLIED", "IDENTITY", "IDENTITY", "CONFLICT", "APPLIED", "APPLIED", None], {"p": ("FORCED_NG", 1, 0)})
+    assert judged(row(capture="x"), row(), row(product="q"), lock(product="q")) == (["IDENTITY", "APPLIED", "APPLIED", None], {"q": ("FORCED_NG", 1, 0)})
+    assert judged(lock()) == ([None], {"p": ("FORCED_NG", 1, 0)})
+
+
+def test_register_and_step_tables():
+    m = M.LedgerRegister()
+    assert [m.take({"product_id": p, "fifo_sequence": n})[0] for p, n in (("a", 2), ("a", 2), ("a", 3), ("b", 2), ("b", 1), ("", 5), ("b", 0), ("b", 3))] == ["REGISTERED", "KNOWN", "ID_CONFLICT", "SEQUENCE_CONFLICT", "NOT_RISING", "INVALID", "INVALID", "REGISTERED"]
+    assert M.LedgerRegister(m.saved()).take({"product_id": "c", "fifo_sequence": 3}) == ("SEQUENCE_CONFLICT",)
+    step = lambda event, position="p", capture="c", command="k": {"event": event, "position_command": position, "capture_id": capture, "capture_command": command}
+    m = M.StationCycle()
+    rows = [step("REQUESTED"), step("BEGIN"), step("BEGIN"), step("REQUESTED"), step("SETTLED", "x"), step("SETTLED"), step("SETTLED"), step("REQUESTED"), step("REQUESTED"), step("REQUESTED", command="z"), step("SETTLED"), step("SUCCEEDED", capture="x"), step("SUCCEEDED"), step("RESET")]
+    assert [m.take(r)[0] for r in rows] == ["IDENTITY", "OK", "REFUSED", "REFUSED", "IDENTITY", "OK", "REPEAT", "OK", "REPEAT", "IDENTITY", "REPEAT", "IDENTITY", "OK", "REFUSED"]
+    m = M.StationCycle(M.StationCycle().saved())
+    assert [m.take(step(e)) for e in ("BEGIN", "RESET", "SETTLED", "BEGIN", "FAILED")] == [("OK", "POSITIONING"), ("OK", "PENDING"), ("IDENTITY", "PENDING"), ("OK", "POSITIONING"), ("OK", "FAILED")]
+    act = lambda event, command="k", job="j": {"event": event, "actuator_job": job, "command": command, "actuation_id": "a"}
+    m = M.ActuationSteps()
+    assert [m.take(r)[0] for r in (act("ACCEPTED"), act("BEGIN"), act("BEGIN"), act("BEGIN", job="z"), act("ACCEPTED", "x"), act("ACCEPTED"), act("COMPLETED"), act("COMPLETED"))] == ["IDENTITY", "OK", "REPEAT", "IDENTITY", "IDENTITY", "OK", "OK", "REFUSED"]
 
 
 @pytest.mark.parametrize("kind", [M.SensorRegistry, M.SystemMachine, M.ReorderBuffer])
