@@ -138,3 +138,54 @@ def preprocessing_error(text: Column) -> Column:
         .when(whole("connectivity") != 8, "connectivity")
         .when(~flag("remove_disconnected_noise") | flag("check_connection"), "policy")
     )
+
+
+def fingerprint(settings: dict[str, Column]) -> Column:
+    """SHA-256 of the settings as one JSON object, keys sorted, no spaces, nulls kept."""
+    return sha256_text(F.to_json(F.struct(*[settings[n].alias(n) for n in sorted(settings)]), {"ignoreNullFields": "false"}))
+
+
+def model_identity_error(path: Column, version: Column, expected: Column, actual: Column) -> Column:
+    """Why a model's identity is refused, null if it isn't. ``actual`` is the digest of its folder."""
+    return (
+        F.when(~path.startswith("/"), "path")
+        .when(F.coalesce(version, F.lit("")) == "", "version")
+        .when(~F.coalesce(F.lower(expected).rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest")
+        .when(F.lower(expected) != actual, "differs")
+    )
+
+
+def tuned_timeouts(text: Column, identity: dict[str, str], samples: int, factor: float) -> tuple[Column, Column, Column]:
+    """(error, station_a, station_b) of a generated tuning document: another model's or an ineligible one is refused, timeouts count if positive."""
+    v = F.try_parse_json(text)
+    get = lambda n, kind: F.try_variant_get(v, f"$.{n}", kind)
+    is_object = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+    same = F.lit(True)
+    for name, value in identity.items():
+        same = same & (F.coalesce(get(name, "string"), F.lit("")) == value)
+    stations = F.array_sort(F.json_object_keys(F.get_json_object(text, "$.timeouts_ms")))
+    fit = (get("schema_version", "int") == 1) & (get("minimum_samples", "int") >= samples) & (get("safety_factor", "double") == factor) & (stations == F.array(F.lit("station_a"), F.lit("station_b")))
+    error = F.when(~is_object(v), "document").when(~same, "identity").when(~F.coalesce(fit, F.lit(False)), "eligibility")
+    timeout = lambda n: F.when(error.isNull() & (get(f"timeouts_ms.{n}", "long") > 0), get(f"timeouts_ms.{n}", "long"))
+    return error, timeout("station_a"), timeout("station_b")
+
+
+def spatial_errors(patches: DataFrame, size: int) -> DataFrame:
+    """payload_no, error: the first rule that a spatial calibration of ``size`` patches breaks, null if none."""
+    finite = lambda n: F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    every = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    found = patches.groupBy("payload_no").agg(
+        F.count_distinct("patch").alias("n"),
+        every(finite("center") & finite("denominator") & finite("raw_scale")).alias("finite"),
+        every(F.col("denominator") > 0).alias("denominator"),
+        every(F.col("raw_scale") >= 0).alias("raw_scale"),
+        every(finite("scale_reference") & (F.col("scale_reference") > 0) & (F.col("sample_count") >= 2)).alias("metadata"),
+    )
+    error = F.when(F.col("n") != size, "grid").when(~F.col("finite"), "not finite").when(~F.col("denominator"), "denominator").when(~F.col("raw_scale"), "raw scale").when(~F.col("metadata"), "metadata")
+    return found.select("payload_no", error.alias("error"))
+
+
+def key_set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key, side: keys that only one of two tables of one column ``key`` has: ``missing`` on the right or ``extra`` there. One shuffle."""
+    both = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    return both.groupBy("key").agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l <> r").select("key", F.when(F.col("l") == 1, "missing").otherwise("extra").alias("side"))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions.numbers import finite, top_k_count
 from ..operators import anomaly as A
 from ..sources.stored import stored
+from ..operators.supervision import key_set_differences
 from ..sources.tables import Tables
 from .registry import query
 
@@ -258,10 +259,11 @@ def view_sets(t: Tables) -> DataFrame:
     return t.dataset_file.groupBy("split", "filename").agg(F.count_distinct("view").alias("n")).where("n <> 4").select("split", "filename")
 
 
-@query("x01_missing_files", "SELECT filename FROM dataset_file WHERE view = 'CAM_A_1' EXCEPT SELECT filename FROM dataset_file WHERE view = 'CAM_A_3'")
+@query("x01_missing_files", "(SELECT filename, 'missing' AS side FROM dataset_file WHERE view = 'CAM_A_1' EXCEPT SELECT filename, 'missing' FROM dataset_file WHERE view = 'CAM_A_3') UNION ALL (SELECT filename, 'extra' FROM dataset_file WHERE view = 'CAM_A_3' EXCEPT SELECT filename, 'extra' FROM dataset_file WHERE view = 'CAM_A_1')")
 def missing_files(t: Tables) -> DataFrame:
-    side = lambda v: t.dataset_file.where(F.col("view") == v).select("filename")
-    return side("CAM_A_1").subtract(side("CAM_A_3"))
+    """Files that one of two views lacks, both ways."""
+    side = lambda v: t.dataset_file.where(F.col("view") == v).select(F.col("filename").alias("key"))
+    return key_set_differences(side("CAM_A_1"), side("CAM_A_3")).select(F.col("key").alias("filename"), "side")
 
 
 @query("a23_dataset_provenance", "SELECT split, count(DISTINCT vec_id) AS products, count(*) AS files FROM dataset_file GROUP BY split")

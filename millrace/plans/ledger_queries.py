@@ -137,3 +137,41 @@ def late_operations(t: Tables) -> DataFrame:
     made = S.late_operation(F.create_map(F.lit("operation"), F.lit("mine"), F.lit("product"), F.col("product_id")), F.lit("capture"), F.col("capture_id"))
     rows = t.capture_goal.select("goal_no", made.alias("d"))
     return rows.select("goal_no", F.array_sort(F.map_keys("d")).alias("keys"), F.col("d")["operation"].alias("operation"), F.col("d")["correlation_id"].alias("correlation_id"))
+
+
+@query("st42_queue_pauses")
+def queue_pauses(t: Tables) -> DataFrame:
+    return fold(t.queue_message, "session_id", "arrival", M.QueuePauses).select("session_id", "arrival", "action", "state")
+
+
+@query("f26_model_identity", "SELECT entry_no, CASE WHEN NOT starts_with(path, '/') THEN 'path' WHEN coalesce(version, '') = '' THEN 'version' WHEN NOT regexp_full_match(lower(expected), '[0-9a-f]{64}') THEN 'digest' WHEN lower(expected) <> actual THEN 'differs' END AS error FROM model_entry")
+def identities(t: Tables) -> DataFrame:
+    return t.model_entry.select("entry_no", S.model_identity_error(*map(F.col, ("path", "version", "expected", "actual"))).alias("error"))
+
+
+@query("c21_config_fingerprint", """SELECT entry_no, sha256('{"camera_ids_station_a":["CAM0","CAM1","CAM2"],"model_version":' || CASE WHEN version IS NULL THEN 'null' ELSE '"' || version || '"' END || ',"serialize_model_access":' || CASE WHEN serialize_access THEN 'true' ELSE 'false' END || ',"worker_count":' || CAST(worker_count AS VARCHAR) || '}') AS fingerprint FROM model_entry""")
+def fingerprints(t: Tables) -> DataFrame:
+    settings = {"worker_count": F.col("worker_count"), "serialize_model_access": F.col("serialize_access"), "model_version": F.col("version"), "camera_ids_station_a": F.array(*map(F.lit, ("CAM0", "CAM1", "CAM2")))}
+    return t.model_entry.select("entry_no", S.fingerprint(settings).alias("fingerprint"))
+
+
+@query("s19_timeout_tuning", """WITH p AS (SELECT document_no, CASE WHEN json_valid(document) THEN document END AS d FROM tuning_text), j AS (SELECT document_no, CASE WHEN json_type(d) = 'OBJECT' THEN d END AS d FROM p),
+x AS (SELECT document_no, d, CASE WHEN d IS NULL THEN 'document' WHEN json_extract_string(d, '$.model_version') <> 'm1' OR json_extract_string(d, '$.model_sha256') <> 'sha' OR json_extract_string(d, '$.config_fingerprint') <> 'fp' THEN 'identity'
+  WHEN json_extract_string(d, '$.schema_version') <> '1' OR CAST(json_extract_string(d, '$.minimum_samples') AS INT) < 50 OR CAST(json_extract_string(d, '$.safety_factor') AS DOUBLE) <> 1.5 OR list_sort(json_keys(d, '$.timeouts_ms')) <> ['station_a', 'station_b'] THEN 'eligibility' END AS error FROM j)
+SELECT document_no, error, CASE WHEN error IS NULL AND CAST(json_extract_string(d, '$.timeouts_ms.station_a') AS BIGINT) > 0 THEN CAST(json_extract_string(d, '$.timeouts_ms.station_a') AS BIGINT) END AS station_a, CASE WHEN error IS NULL AND CAST(json_extract_string(d, '$.timeouts_ms.station_b') AS BIGINT) > 0 THEN CAST(json_extract_string(d, '$.timeouts_ms.station_b') AS BIGINT) END AS station_b FROM x""")
+def tuning(t: Tables) -> DataFrame:
+    error, a, b = S.tuned_timeouts(F.col("document"), {"model_version": "m1", "model_sha256": "sha", "config_fingerprint": "fp"}, 50, 1.5)
+    return t.tuning_text.select("document_no", error.alias("error"), a.alias("station_a"), b.alias("station_b"))
+
+
+@query("f29_spatial_payload", "SELECT payload_no, CASE WHEN count(DISTINCT patch) <> 16 THEN 'grid' WHEN NOT bool_and(isfinite(center) AND isfinite(denominator) AND isfinite(raw_scale)) THEN 'not finite' WHEN min(denominator) <= 0 THEN 'denominator' WHEN min(raw_scale) < 0 THEN 'raw scale' WHEN min(scale_reference) <= 0 OR min(sample_count) < 2 THEN 'metadata' END AS error FROM spatial_patch GROUP BY payload_no")
+def spatial(t: Tables) -> DataFrame:
+    return S.spatial_errors(t.spatial_patch, A.PATCHES)
+
+
+@query("c32_policy_counts", "WITH o(percent) AS (VALUES " + ", ".join(f"(CAST({p} AS DOUBLE))" for p in A.TOP_K_PERCENTS) + "), g AS (SELECT view, count(DISTINCT patch) AS patches FROM (SELECT CAST(floor(i / 16) AS INT) AS view, i % 16 AS patch FROM (SELECT unnest(range(0, 64)) AS i) r) x GROUP BY view) SELECT percent, view, CAST(greatest(1, ceil(patches * percent / 100)) AS BIGINT) AS effective FROM o, g")
+def policy_counts(t: Tables) -> DataFrame:
+    """How many patches of a view's grid each top-k option averages."""
+    options = F.explode(F.array(*map(F.lit, A.TOP_K_PERCENTS)))
+    grid = t.spark.range(A.VIEWS).select(F.col("id").cast("int").alias("view"), options.alias("percent"))
+    return grid.select("percent", "view", F.greatest(F.lit(1), F.ceil(F.lit(A.PATCHES) * F.col("percent") / 100)).cast("long").alias("effective"))

@@ -209,6 +209,18 @@ FIXTURES: dict[str, str] = {
           CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '{{"method":"percentile","percentile":' || p || '}}' WHEN 1 THEN '{{"method":"top_k_percent_average","top_k_percent":' || p || ',"rounding":"' || CASE WHEN event_id % 13 = 0 THEN 'floor' ELSE 'ceil' END || '","minimum_patch_count":' || CASE WHEN event_id % 17 = 0 THEN '2' ELSE '1' END || '}}' ELSE '{{"method":"mean"}}' END AS aggregation,
           '{{"v_threshold":' || CASE WHEN event_id % 19 = 0 THEN '300' WHEN event_id % 23 = 0 THEN '"9"' ELSE '9' END || ',"connectivity":' || CASE WHEN event_id % 29 = 0 THEN '4' ELSE '8' END || ',"remove_disconnected_noise":' || CASE WHEN event_id % 31 = 0 THEN 'false' ELSE 'true' END || CASE WHEN event_id % 37 = 0 THEN '}}' ELSE ',"check_connection":false}}' END AS preprocessing
         FROM (SELECT event_id, CASE CAST(event_id * 7 % 9 AS INT) WHEN 0 THEN '0.05' WHEN 1 THEN '0.1' WHEN 2 THEN '0.2' WHEN 3 THEN '0' WHEN 4 THEN '-1' WHEN 5 THEN '0.001' WHEN 6 THEN '0.5' WHEN 7 THEN '"x"' ELSE '2' END AS v, CASE CAST(event_id * 5 % 7 AS INT) WHEN 0 THEN '95.0' WHEN 1 THEN '99.25' WHEN 2 THEN '2.0' WHEN 3 THEN '10.0' WHEN 4 THEN '50' WHEN 5 THEN '100.0' ELSE '0.5' END AS p FROM {events}) x""",
+    "tuning_text": """
+        SELECT event_id AS document_no, CASE WHEN event_id % 37 = 0 THEN '[1]' WHEN event_id % 41 = 0 THEN '{{"schema' ELSE '{{"model_version":"' || CASE WHEN event_id % 11 = 0 THEN 'm2' ELSE 'm1' END || '","model_sha256":"sha","config_fingerprint":"fp","schema_version":' || CASE WHEN event_id % 13 = 0 THEN '2' ELSE '1' END
+            || ',"minimum_samples":' || CAST(20 + event_id % 100 AS {text}) || ',"safety_factor":' || CASE WHEN event_id % 17 = 0 THEN '2.0' ELSE '1.5' END || ',"timeouts_ms":{{"station_a":' || CAST(event_id % 5 * 100 AS {text}) || CASE WHEN event_id % 19 = 0 THEN '}}' WHEN event_id % 3 = 0 THEN ',"station_b":null}}' ELSE ',"station_b":900}}' END || '}}' END AS document
+        FROM {events}""",
+    "spatial_patch": """
+        SELECT CAST(floor(event_id / 16) AS BIGINT) AS payload_no, event_id % 16 AS patch, CASE WHEN event_id % 227 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS center, CASE WHEN event_id % 211 = 0 THEN 0.0 ELSE 0.5 END AS denominator, CASE WHEN event_id % 223 = 0 THEN -1.0 ELSE 0.25 END AS raw_scale,
+          CASE WHEN CAST(floor(event_id / 16) AS BIGINT) % 17 = 0 THEN 0.0 ELSE 1.5 END AS scale_reference, CAST(CASE WHEN CAST(floor(event_id / 16) AS BIGINT) % 13 = 0 THEN 1 ELSE 40 END AS INT) AS sample_count FROM {events} WHERE event_id % 229 <> 0""",
+    "queue_message": """
+        SELECT 's' || CAST(user_id % 5 AS {text}) AS session_id, event_id AS arrival, CASE CAST(event_id * 7 % 5 AS INT) WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'ACCEPTING' WHEN 2 THEN 'STOPPED' WHEN 3 THEN 'BLOCKED' ELSE 'ACCEPTING' END AS kind, event_id % 3 = 0 AS paused, event_id % 23 = 0 AS frozen FROM {events}""",
+    "model_entry": """
+        SELECT event_id AS entry_no, CASE WHEN event_id % 11 = 0 THEN 'models/' ELSE '/models/' END || CAST(event_id % 9 AS {text}) AS path, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN NULL ELSE 'm1' END AS version,
+          CASE WHEN event_id % 19 = 0 THEN 'zz' WHEN event_id % 3 = 0 THEN upper(sha256_hex(props)) ELSE sha256_hex(props) END AS expected, CASE WHEN event_id % 23 = 0 THEN sha256_hex('other') ELSE sha256_hex(props) END AS actual, event_id % 4 AS worker_count, event_id % 2 = 0 AS serialize_access FROM {events}""",
     "prediction": """
         SELECT doc_id, CAST(toxic AS INT) AS truth, CAST(1 - quality AS INT) AS predicted FROM {labels} WHERE toxic IS NOT NULL AND quality IS NOT NULL""",
     "disk_sample": """

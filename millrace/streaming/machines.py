@@ -223,3 +223,33 @@ class ActuationSteps(_Steps):
         "ACCEPTED": (("command",), (), {"BEGUN": "ACTUATING", "ACTUATING": "ACTUATING"}, ()),
         "COMPLETED": (("command",), ("actuation_id",), {"BEGUN": "DONE", "ACTUATING": "DONE"}, ()),
     }
+
+
+class QueuePauses:
+    """Pauses of the line while the inference queue is full. A recovered queue resumes the line once its stop is confirmed.
+
+    ``kind`` is BLOCKED, ACCEPTING or STOPPED; ``paused`` says that the system is PAUSED, ``frozen`` that it is in FAULT_STOP.
+    """
+
+    columns = ("action", "state")
+    # (state, kind, system paused) -> action, state; all else changes nothing
+    table = {
+        ("FREE", "BLOCKED", False): ("PAUSE", "FULL"),
+        ("FREE", "BLOCKED", True): ("PAUSE", "FULL"),
+        ("FULL", "ACCEPTING", False): ("WAIT", "RECOVERED"),
+        ("FULL", "ACCEPTING", True): ("RESUME", "FREE"),
+        ("RECOVERED", "ACCEPTING", True): ("RESUME", "FREE"),
+        ("RECOVERED", "STOPPED", True): ("RESUME", "FREE"),
+    }
+
+    def __init__(self, saved: str | None = None) -> None:
+        self.state = saved or "FREE"
+
+    def saved(self) -> str:
+        return self.state
+
+    def take(self, row: dict) -> tuple[str, str]:
+        if row["frozen"]:
+            return "IGNORED", self.state
+        action, self.state = self.table.get((self.state, row["kind"], bool(row["paused"])), ("NONE", self.state))
+        return action, self.state

@@ -277,3 +277,11 @@ def test_threshold_search_matches_plain_percentiles(spark):
             assert not got
             continue
         assert len(got) == 4 and all(abs(r.percentile - want[0]) < 1e-6 and abs(r.fpr - want[1]) < 1e-9 and abs(r.threshold - want[2][r.view]) < 1e-9 for r in got)
+
+
+def test_queue_pauses():
+    m = M.QueuePauses()
+    row = lambda kind, paused=False, frozen=False: {"kind": kind, "paused": paused, "frozen": frozen}
+    rows = [row("ACCEPTING"), row("BLOCKED", frozen=True), row("BLOCKED"), row("BLOCKED"), row("STOPPED", True), row("ACCEPTING"), row("STOPPED"), row("STOPPED", True), row("BLOCKED"), row("ACCEPTING", True)]
+    assert [m.take(r)[0] for r in rows] == ["NONE", "IGNORED", "PAUSE", "NONE", "NONE", "WAIT", "NONE", "RESUME", "PAUSE", "RESUME"]
+    assert M.QueuePauses(m.saved()).state == "FREE"
