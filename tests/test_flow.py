@@ -285,3 +285,23 @@ def test_queue_pauses():
     rows = [row("ACCEPTING"), row("BLOCKED", frozen=True), row("BLOCKED"), row("BLOCKED"), row("STOPPED", True), row("ACCEPTING"), row("STOPPED"), row("STOPPED", True), row("BLOCKED"), row("ACCEPTING", True)]
     assert [m.take(r)[0] for r in rows] == ["NONE", "IGNORED", "PAUSE", "NONE", "NONE", "WAIT", "NONE", "RESUME", "PAUSE", "RESUME"]
     assert M.QueuePauses(m.saved()).state == "FREE"
+
+
+def test_artifacts(spark, tmp_path):
+    place = tmp_path / "a" / "model"
+    rows = spark.createDataFrame([(0, 1, 0.5), (0, 2, None)], "view int, patch int, center double")
+    reports.write_artifact(rows, {"name": "m", "views": ["A"]}, str(place))
+    manifest, table = reports.read_artifact(str(place))
+    assert manifest["name"] == "m" and table.to_pydict() == {"view": [0, 0], "patch": [1, 2], "center": [0.5, None]}
+    reports.write_artifact(rows.limit(0), {"name": "n"}, str(place))
+    assert reports.read_artifact(str(place))[1].num_rows == 0 and sorted(x.name for x in place.iterdir()) == ["calibration.parquet", "manifest.json"]
+    with pytest.raises(TypeError):
+        reports.write_artifact(rows, {"name": object()}, str(place))
+    assert reports.read_artifact(str(place))[0]["name"] == "n" and len(list(place.parent.iterdir())) == 1
+    (place / "calibration.parquet").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        reports.read_artifact(str(place))
+    for bad in ("[1]", "{", ""):
+        (place / "manifest.json").write_text(bad)
+        with pytest.raises(ValueError):
+            reports.read_artifact(str(place))
