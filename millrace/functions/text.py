@@ -27,6 +27,12 @@ def is_uuid4(text: Column) -> Column:
     return F.coalesce(text.rlike(UUID4), F.lit(False))
 
 
+def uuid4_of(key: Column) -> Column:
+    """An id of the form of a random one that follows from ``key``: a task that is run again gives the same."""
+    h = sha256_text(key)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 13, 3)), F.concat(F.lit("8"), F.substring(h, 16, 3)), F.substring(h, 19, 12))
+
+
 def is_safe_name(text: Column) -> Column:
     """Names that can be a file of their own; ``.`` and ``..`` can't."""
     return F.coalesce(text.rlike(SAFE_NAME) & ~text.isin(".", ".."), F.lit(False))

@@ -221,6 +221,36 @@ FIXTURES: dict[str, str] = {
     "model_entry": """
         SELECT event_id AS entry_no, CASE WHEN event_id % 11 = 0 THEN 'models/' ELSE '/models/' END || CAST(event_id % 9 AS {text}) AS path, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN NULL ELSE 'm1' END AS version,
           CASE WHEN event_id % 19 = 0 THEN 'zz' WHEN event_id % 3 = 0 THEN upper(sha256_hex(props)) ELSE sha256_hex(props) END AS expected, CASE WHEN event_id % 23 = 0 THEN sha256_hex('other') ELSE sha256_hex(props) END AS actual, event_id % 4 AS worker_count, event_id % 2 = 0 AS serialize_access FROM {events}""",
+    # inference jobs with the times at which they are looked at, and the attempts to read their images
+    "job_run": """
+        SELECT event_id AS job_id, enqueued_ns, timeout_ms, dequeued_ns, dequeued_ns + event_id % 23 * 1000000 AS loaded_ns, dequeued_ns + (event_id % 23 + event_id % 31) * 1000000 AS completed_ns,
+          CASE WHEN event_id % 3 = 0 THEN enqueued_ns + event_id * 7 % 110 * 1000000 END AS cancelled_ns,
+          CASE CAST(event_id % 29 AS INT) WHEN 0 THEN 'CUDA out of memory at layer' WHEN 1 THEN 'bad shape' WHEN 2 THEN 'deadline' ELSE '' END AS forward_error
+        FROM (SELECT event_id, event_id * 1000000 AS enqueued_ns, (event_id + event_id % 50) * 1000000 AS dequeued_ns, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 40 + event_id % 60 END AS timeout_ms FROM {events}) e""",
+    "job_image": """
+        SELECT event_id AS job_id, k AS image_no, CASE WHEN (event_id * 3 + k) % 37 = 0 THEN 'preprocessing' WHEN (event_id * 5 + k) % 11 = 0 THEN 'io' ELSE '' END AS first_error,
+          CASE WHEN event_id % 13 = 0 THEN 'preprocessing' WHEN event_id % 2 = 0 THEN 'io' ELSE '' END AS second_error, (event_id + event_id % 50) * 1000000 + event_id % 23 * 500000 AS retried_ns
+        FROM {events} e, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) w""",
+    "phase_timer": """
+        SELECT event_id AS timer_no, CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'CAPTURE_GOAL' WHEN 1 THEN 'WAITING_CAPTURE_RESULT' WHEN 2 THEN 'WAITING_POSITION' WHEN 3 THEN 'RESUME_PENDING' WHEN 4 THEN 'WAITING_RESULT' WHEN 5 THEN 'GOAL_PENDING' ELSE 'POSITIONED' END AS phase,
+          CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id * 1000 END AS deadline_ns, event_id * 1000 + event_id % 5 - 2 AS now_ns, event_id % 3 = 0 AS queue_paused, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id % 2 = 0 END AS conveyor_running FROM {events}""",
+    "actuation_goal": """
+        SELECT event_id AS arrival, 'cmd-' || CAST(event_id % 601 AS {text}) AS command_id, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE 'same' END AS payload_digest, event_id % 19 <> 0 AS header_valid,
+          CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'ERR_LIMIT' ELSE 'OK' END AS answer FROM {events}""",
+    "discard_event": """
+        SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'VISION_INFERENCE_CANCELED' ELSE 'VISION_CAPTURE_DISCARDED' END AS event_type,
+          '{{"image_paths":[' || CASE WHEN event_id % 5 = 0 THEN '' ELSE '"/img/' || CAST(event_id AS {text}) || '/0.png"' || CASE WHEN event_id % 2 = 0 THEN ',"","/img/2.png"' ELSE '' END END || ']}}' AS payload_json FROM {events}""",
+    "old_file": """
+        SELECT CASE CAST(vec_id % 4 AS INT) WHEN 0 THEN 'training_set' WHEN 1 THEN 'val_set' WHEN 2 THEN 'test_set_normal' ELSE 'test_set_anomaly' END AS split, 'V' || CAST(v AS {text}) AS view, 'p' || CAST(vec_id AS {text}) || '.png' AS filename
+        FROM {embeddings} e, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) w WHERE NOT (vec_id % 23 = 0 AND v = 2) AND NOT (vec_id % 29 = 0 AND v = 0)""",
+    "library_set": """
+        SELECT event_id AS set_no, CASE WHEN event_id % 7 = 0 THEN '2.6.1' WHEN event_id % 11 = 0 THEN NULL ELSE '2.6.0' END AS anomalib, CASE WHEN event_id % 5 = 0 THEN '2.12.1' ELSE '2.12.1+cu132' END AS torch, CASE WHEN event_id % 3 = 0 THEN '2.6.50' ELSE '2.6.5' END AS lightning FROM {events}""",
+    "station_context": """
+        SELECT 'P-' || CAST(event_id AS {text}) AS product_id, event_id AS fifo_sequence, CASE WHEN event_id % 2 = 0 THEN 'STATION_A_DONE' ELSE 'SENSOR3_WAIT' END AS physical_state, event_id % 9 AS revision, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'NG' ELSE 'PASS' END AS verdict,
+          station, 'cap-' || station || CAST(event_id AS {text}) AS capture_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'PASS' END AS result, CASE WHEN event_id % 7 = 0 AND station = 'A' THEN 'model' ELSE '' END AS failure_reason, CASE WHEN event_id % 11 = 0 AND station = 'B' THEN 'after A' WHEN event_id % 13 = 0 THEN NULL ELSE '' END AS skip_reason
+        FROM {events} e, (SELECT 'A' AS station UNION ALL SELECT 'B') w""",
+    "sensor_pass": """
+        SELECT event_id AS arrival, user_id AS product_id, CAST(event_id % 3 + 1 AS INT) AS sensor_index, 'e' || CAST(user_id AS {text}) || CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '' END AS sensor_event FROM {events}""",
     "prediction": """
         SELECT doc_id, CAST(toxic AS INT) AS truth, CAST(1 - quality AS INT) AS predicted FROM {labels} WHERE toxic IS NOT NULL AND quality IS NOT NULL""",
     "disk_sample": """

@@ -13,12 +13,15 @@ from millrace.functions import text as X
 from millrace.functions.numbers import finite, softmax_weight, top_k_count
 from millrace.operators import anomaly as A
 from millrace.operators import events as E
+from millrace.operators import execution
 from millrace.operators import ledger as L
 from millrace.operators import report as R
 from millrace.sinks import reports
 from millrace.streaming import machines as M
 from millrace.streaming.fold import fold, fold_stream, replay
 
+MS = 1_000_000
+
 
 def test_sensor_registry_outcomes():
     m = M.SensorRegistry()
@@ -305,3 +308,29 @@ def test_artifacts(spark, tmp_path):
         (place / "manifest.json").write_text(bad)
         with pytest.raises(ValueError):
             reports.read_artifact(str(place))
+
+
+def test_accuracy_report(tmp_path):
+    counts = {"tn": 8, "fp": 2, "fn": 1, "tp": 9}
+    reports.write_accuracy({"accuracy": 0.85, "recall": 0.9, "precision": 9 / 11, "fpr": 0.2}, counts, {"V0": {"threshold": 1.25, "margin": 0.1, "epsilon": 1e-6}}, str(tmp_path / "a.txt"))
+    lines = (tmp_path / "a.txt").read_text().split("\n")
+    assert lines[:4] == ["Accuracy: 0.8500000000", "Recall: 0.9000000000", "Precision: 0.8181818182", "FPR: 0.2000000000"]
+    assert lines[4:] == ["TN: 8", "FP: 2", "FN: 1", "TP: 9", "View decision settings:", "  V0: threshold=1.25, margin=0.1, normalized_boundary=0.9, epsilon=1e-06", ""]
+
+
+def test_job_stages_by_hand(spark):
+    jobs = spark.createDataFrame(
+        [(n, 0, limit, 10 * MS, 20 * MS, 30 * MS, gone, error) for n, limit, gone, error in [(1, None, None, ""), (2, 5, None, ""), (3, 25, None, ""), (4, None, 10 * MS, ""), (5, 5, 10 * MS, ""), (6, None, 25 * MS, ""), (7, 12, None, ""), (8, None, None, "bad"), (9, None, None, "")]],
+        "job_id long, enqueued_ns long, timeout_ms long, dequeued_ns long, loaded_ns long, completed_ns long, cancelled_ns long, forward_error string",
+    )
+    images = spark.createDataFrame([(1, 0, "io", "", 15 * MS), (7, 0, "io", "", 15 * MS), (9, 1, "preprocessing", "", 0), (9, 0, "io", "io", 15 * MS)], "job_id long, image_no int, first_error string, second_error string, retried_ns long")
+    found = {r.job_id: (r.outcome, r.total_ms) for r in execution.job_outcomes(jobs, images).collect()}
+    assert found == {
+        1: ("SUCCESS", 30.0), 2: ("TIMEOUT", None), 3: ("TIMEOUT", 30.0), 4: ("DEQUEUED_BEFORE_LOAD", None), 5: ("DEQUEUED_BEFORE_LOAD", None),
+        6: ("DISCARDED_AFTER_FORWARD", 30.0), 7: ("TIMEOUT", None), 8: ("MODEL", None), 9: ("FILE_READ", None),
+    }
+
+
+def test_ids_made_of_keys(spark):
+    made = spark.range(5).select(X.uuid4_of(F.col("id").cast("string")).alias("u"))
+    assert made.where(~X.is_uuid4(F.col("u"))).count() == 0 and made.distinct().count() == 5
