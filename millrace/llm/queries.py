@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, jaccard_join, language, packing, pii, quality, sharding, topk, url_filter
+from . import decontamination, html_extract, jaccard_join, language, packing, pii, quality, sharding, token_alignment, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_feistel": pii.op8_pii_feistel,
         "op9_jaccard_partition": jaccard_join.op9_jaccard_partition,
         "op10_shard_bestfit": sharding.op10_shard_bestfit,
+        "op12_dangling_suffix": token_alignment.op12_dangling_suffix,
     }
 
 
