@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, jaccard_join, language, packing, pii, quality, sharding, token_alignment, topk, url_filter
+from . import decontamination, html_extract, jaccard_join, language, packing, pii, quality, rolling_median, sharding, token_alignment, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_feistel": pii.op8_pii_feistel,
         "op9_jaccard_partition": jaccard_join.op9_jaccard_partition,
         "op10_shard_bestfit": sharding.op10_shard_bestfit,
+        "op11_rolling_median": rolling_median.op11_rolling_median,
         "op12_dangling_suffix": token_alignment.op12_dangling_suffix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_digests": url_filter.ORACLE_SQL, "op4_topk_kdtree": topk.ORACLE_SQL}
+    return {"op2_url_digests": url_filter.ORACLE_SQL, "op4_topk_kdtree": topk.ORACLE_SQL, "op11_rolling_median": rolling_median.ORACLE_SQL}
