@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, jaccard_join, language, packing, pii, quality, rolling_median, sharding, token_alignment, topk, url_filter
+from . import decontamination, fingerprints, html_extract, jaccard_join, language, packing, pii, quality, rolling_median, sharding, token_alignment, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_shard_bestfit": sharding.op10_shard_bestfit,
         "op11_rolling_median": rolling_median.op11_rolling_median,
         "op12_dangling_suffix": token_alignment.op12_dangling_suffix,
+        "op13_weighted_sampling": fingerprints.op13_weighted_sampling,
     }
 
 
