@@ -90,6 +90,14 @@ FIXTURES: dict[str, str] = {
           CASE WHEN event_id % 17 = 0 THEN sha256_hex('changed') ELSE sha256_hex(props) END AS payload_digest FROM {events} WHERE event_id % 4 <> 1""",
     "stored": """
         SELECT log_id, revision, payload_digest FROM {spool} WHERE CAST(substr(log_id, 5) AS BIGINT) % 2 = 0""",
+    # events in the order of arrival, some sent again later, some of those with another text
+    "arrival_event": """
+        SELECT arrival, log_id, revision, severity, event_type, source_node, producer_instance_id, product_id, occurred_at_ns, payload_json, payload_digest FROM (
+          SELECT event_id * 2 AS arrival, log_id, revision, severity, event_type, source_node, producer_instance_id, product_id, occurred_at_ns, payload_json, payload_digest FROM {log_event}
+          UNION ALL
+          SELECT arrival, log_id, revision, severity, event_type, source_node, producer_instance_id, product_id, occurred_at_ns, payload_json, sha256_hex(payload_json) AS payload_digest FROM (
+            SELECT event_id * 2 + 777 AS arrival, log_id, revision, severity, event_type, source_node, producer_instance_id, product_id, occurred_at_ns,
+              CASE WHEN event_id % 5 = 0 THEN payload_json || ' ' ELSE payload_json END AS payload_json FROM {log_event} WHERE event_id % 9 = 4) again) a""",
     "sensor_event": """
         SELECT sensor_id, event_id, sequence, digest, arrival FROM (
           SELECT 'S' || CAST(user_id % 3 + 1 AS {text}) AS sensor_id, 'ev-' || CAST(event_id AS {text}) AS event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS sequence,
