@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from ..functions.numbers import expired
 from ..functions.text import is_sha256_hex, is_uuid4
 from ..operators import flow as L
+from ..operators import system
 from ..sources.tables import Tables
 from ..streaming import machines as M
 from ..streaming.fold import fold
@@ -199,7 +200,27 @@ fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival
   UNION ALL SELECT f.session_id, x.n, x.arrival, x.event, f.next_state, r.rule, coalesce(r.next_state, f.next_state) FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1 LEFT JOIN rules r ON r.state = f.next_state AND r.event = x.event)
 SELECT session_id, arrival, event, state, rule, next_state FROM fold WHERE n > 0""")
 def machine(t: Tables) -> DataFrame:
-    return fold(t.system_event, "session_id", "arrival", M.SystemMachine).select("session_id", "arrival", "event", "state", "rule", "next_state")
+    return system.system_states(t.system_event).select("session_id", "arrival", "event", "state", "rule", "next_state")
+
+
+@query("st34_entry_points", f"""WITH RECURSIVE rules(state, event, rule, next_state) AS (VALUES {VALUES}), numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS n,
+  CASE call WHEN 'initialize' THEN 'APP_STARTED' WHEN 'initialization_done' THEN 'INIT_DONE' WHEN 'initialization_failed' THEN 'INIT_FAILED' WHEN 'initialization_timeout' THEN 'INIT_TIMEOUT' WHEN 'run' THEN 'START_REQUEST' WHEN 'running' THEN 'ALL_CONVEYORS_RUNNING'
+    WHEN 'pause' THEN 'PAUSE_REQUEST' WHEN 'stopped' THEN 'ALL_CONVEYORS_STOPPED' WHEN 'pause_failed' THEN 'PAUSE_FAILED' WHEN 'pause_timeout' THEN 'PAUSE_TIMEOUT' WHEN 'resume' THEN 'RESUME_REQUEST' WHEN 'resume_automatic' THEN 'DEVICE_RECOVERED' WHEN 'reset' THEN 'RESET_REQUEST'
+    WHEN 'reset_cleared' THEN 'RESET_SUCCEEDED_EMPTY_LINE' WHEN 'reset_in_place' THEN 'RESET_SUCCEEDED_IN_PLACE' WHEN 'reset_failed' THEN 'RESET_FAILED' WHEN 'reset_timeout' THEN 'RESET_TIMEOUT' WHEN 'run_failed' THEN 'RESUME_FAILED' WHEN 'estop' THEN 'ESTOP_ASSERTED'
+    ELSE CASE WHEN starts_with(call, 'fault') THEN 'CRITICAL_FAULT' ELSE 'RECOVERABLE_DEVICE_FAULT' END END AS event FROM system_call),
+fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS call, CAST(NULL AS VARCHAR) AS rule, 'BOOT' AS state, FALSE AS pending, '' AS pause, 'NONE' AS recovery FROM (SELECT DISTINCT session_id FROM system_call) s
+  UNION ALL SELECT f.session_id, x.n, x.arrival, x.call, r.rule, coalesce(r.next_state, f.state),
+    CASE WHEN x.event IN ('CRITICAL_FAULT', 'ESTOP_ASSERTED') THEN FALSE WHEN r.rule IS NULL THEN f.pending WHEN x.event IN ('START_REQUEST', 'RESUME_REQUEST', 'DEVICE_RECOVERED') THEN TRUE WHEN x.event IN ('ALL_CONVEYORS_RUNNING', 'RESUME_FAILED', 'PAUSE_REQUEST', 'RECOVERABLE_DEVICE_FAULT') THEN FALSE ELSE f.pending END,
+    CASE WHEN r.rule IS NULL THEN f.pause WHEN x.event IN ('ALL_CONVEYORS_RUNNING', 'RESET_SUCCEEDED_EMPTY_LINE') THEN '' WHEN x.event = 'RESET_SUCCEEDED_IN_PLACE' THEN 'FAULT_RECOVERY' WHEN x.event = 'PAUSE_REQUEST' THEN 'OPERATOR'
+      WHEN x.call = 'pause_automatic' THEN 'DEVICE_RECOVERY_AUTO' WHEN x.call = 'pause_manual' THEN 'DEVICE_RECOVERY_MANUAL' WHEN x.call = 'pause_storage' THEN 'STORAGE_RECOVERY' ELSE f.pause END,
+    CASE WHEN x.call = 'fault_line' THEN 'LINE_CLEAR_REQUIRED' WHEN x.event IN ('CRITICAL_FAULT', 'ESTOP_ASSERTED', 'PAUSE_FAILED', 'PAUSE_TIMEOUT') THEN 'EQUIPMENT_CHECK_REQUIRED' WHEN r.rule IS NOT NULL AND starts_with(x.event, 'RESET_SUCC') THEN 'NONE' ELSE f.recovery END
+    FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1
+    LEFT JOIN rules r ON r.state = f.state AND r.event = CASE WHEN x.call = 'run_failed' AND f.state = 'READY' THEN 'START_FAILED' ELSE x.event END
+      AND (x.guard OR x.call NOT IN ('initialization_done', 'run', 'resume', 'resume_automatic', 'reset')) AND (f.pending OR x.call <> 'running') AND (f.pause = 'DEVICE_RECOVERY_AUTO' OR x.call <> 'resume_automatic'))
+SELECT session_id, arrival, call, rule IS NOT NULL AS accepted, rule, state, pending, pause, recovery,
+  CASE WHEN rule IS NULL THEN '' WHEN call = 'initialize' THEN 'START_WORKERS' WHEN call IN ('run', 'resume', 'resume_automatic') THEN 'RUN' WHEN call = 'reset' THEN 'RESET' WHEN call = 'fault_line' THEN 'STOP,CLEAR' WHEN call = 'estop' OR starts_with(call, 'fault') OR starts_with(call, 'pause') THEN 'STOP' ELSE '' END AS asked FROM fold WHERE n > 0""")
+def entry_points(t: Tables) -> DataFrame:
+    return system.entry_points(t.system_call).select("session_id", "arrival", "call", "accepted", "rule", "state", "pending", "pause", "recovery", "asked")
 
 
 @query("st01_sensor_registry")

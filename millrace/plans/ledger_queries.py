@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly as A
 from ..operators import ledger as G
 from ..operators import supervision as S
+from ..operators import system
 from ..sources.tables import Tables
 from ..streaming import machines as M
 from ..streaming.fold import fold
@@ -139,9 +140,15 @@ def late_operations(t: Tables) -> DataFrame:
     return rows.select("goal_no", F.array_sort(F.map_keys("d")).alias("keys"), F.col("d")["operation"].alias("operation"), F.col("d")["correlation_id"].alias("correlation_id"))
 
 
-@query("st42_queue_pauses")
+@query("st42_queue_pauses", """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS n FROM queue_message),
+fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS action, 'FREE' AS state FROM (SELECT DISTINCT session_id FROM queue_message) s
+  UNION ALL SELECT f.session_id, x.n, x.arrival, CASE WHEN x.frozen THEN 'IGNORED' WHEN f.state = 'FREE' AND x.kind = 'BLOCKED' THEN 'PAUSE' WHEN f.state <> 'FREE' AND x.kind = 'ACCEPTING' AND x.paused THEN 'RESUME' WHEN f.state = 'RECOVERED' AND x.kind = 'STOPPED' AND x.paused THEN 'RESUME'
+      WHEN f.state = 'FULL' AND x.kind = 'ACCEPTING' THEN 'WAIT' ELSE 'NONE' END,
+    CASE WHEN x.frozen THEN f.state WHEN f.state = 'FREE' AND x.kind = 'BLOCKED' THEN 'FULL' WHEN f.state <> 'FREE' AND x.kind = 'ACCEPTING' AND x.paused THEN 'FREE' WHEN f.state = 'RECOVERED' AND x.kind = 'STOPPED' AND x.paused THEN 'FREE'
+      WHEN f.state = 'FULL' AND x.kind = 'ACCEPTING' THEN 'RECOVERED' ELSE f.state END FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1)
+SELECT session_id, arrival, action, state FROM fold WHERE n > 0""")
 def queue_pauses(t: Tables) -> DataFrame:
-    return fold(t.queue_message, "session_id", "arrival", M.QueuePauses).select("session_id", "arrival", "action", "state")
+    return system.queue_pauses(t.queue_message).select("session_id", "arrival", "action", "state")
 
 
 @query("f26_model_identity", "SELECT entry_no, CASE WHEN NOT starts_with(path, '/') THEN 'path' WHEN coalesce(version, '') = '' THEN 'version' WHEN NOT regexp_full_match(lower(expected), '[0-9a-f]{64}') THEN 'digest' WHEN lower(expected) <> actual THEN 'differs' END AS error FROM model_entry")

@@ -140,6 +140,13 @@ FIXTURES: dict[str, str] = {
             WHEN 12 THEN 'RESUME_REQUEST' WHEN 13 THEN 'DEVICE_RECOVERED' WHEN 14 THEN 'RESUME_FAILED' WHEN 15 THEN 'CRITICAL_FAULT' WHEN 16 THEN 'RESET_REQUEST' WHEN 17 THEN 'RESET_SUCCEEDED_EMPTY_LINE'
             WHEN 18 THEN 'RESET_SUCCEEDED_IN_PLACE' WHEN 19 THEN 'RESET_FAILED' WHEN 20 THEN 'RESET_TIMEOUT' ELSE 'ESTOP_ASSERTED' END AS event
         FROM {events}""",
+    # calls of the system machine's entry points, in the order in which a line meets them, with what their guards say
+    "system_call": """
+        SELECT 's' || CAST(user_id % 5 AS {text}) AS session_id, event_id AS arrival, event_id % 7 <> 0 AS guard,
+          CASE CAST(event_id % 31 AS INT) WHEN 0 THEN 'initialize' WHEN 1 THEN 'initialization_done' WHEN 2 THEN 'run' WHEN 3 THEN 'running' WHEN 4 THEN 'pause' WHEN 5 THEN 'stopped' WHEN 6 THEN 'resume' WHEN 7 THEN 'running' WHEN 8 THEN 'pause_automatic'
+            WHEN 9 THEN 'stopped' WHEN 10 THEN 'resume_automatic' WHEN 11 THEN 'running' WHEN 12 THEN 'pause_failed' WHEN 13 THEN 'reset' WHEN 14 THEN 'reset_in_place' WHEN 15 THEN 'resume' WHEN 16 THEN 'running' WHEN 17 THEN 'pause_manual' WHEN 18 THEN 'pause_storage'
+            WHEN 19 THEN 'run_failed' WHEN 20 THEN 'fault_line' WHEN 21 THEN 'reset' WHEN 22 THEN 'reset_cleared' WHEN 23 THEN 'run' WHEN 24 THEN 'estop' WHEN 25 THEN 'fault_equipment' WHEN 26 THEN 'reset_failed' WHEN 27 THEN 'initialization_failed'
+            WHEN 28 THEN 'pause_timeout' WHEN 29 THEN 'reset_timeout' ELSE 'initialization_timeout' END AS call FROM {events}""",
     "inference_job": """
         SELECT event_id AS job_id, user_id AS fifo_sequence, CAST(1 + event_id % 2 AS INT) AS station_id, event_id * 1000000 AS enqueued_ns, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(500 + event_id % 2500 AS BIGINT) END AS timeout_ms,
           CASE WHEN event_id % 6 = 0 THEN 'CUDA out of memory at layer' WHEN event_id % 6 = 1 THEN 'bad shape' ELSE '' END AS failure_text FROM {events}""",
