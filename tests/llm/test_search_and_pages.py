@@ -7,6 +7,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,66 @@ def test_long_texts_of_every_shape_are_pseudonymised(spark):
     rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     assert len(rows) == len(shapes) and time.perf_counter() - start < 120
     assert all(len(rows[i].text) == len(t) for i, t in enumerate(shapes)) and rows[len(shapes) - 1].n_values == 2_000 and rows[2].n_values == 1 and rows[2].text != shapes[2]
+
+
+def test_top_k_beyond_double_precision(spark):
+    """Sums above 2**53 are exact, sums up to a long's range are found, and what a long can't hold is an error."""
+    big = 2**26
+    rows = [(i, [big, big, i, 1]) for i in range(60)] + [(100 + i, [2**30, -(2**30) + i, 1, 0]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    ask = [(900, [2**28, 1, 1, -3]), (901, [-(2**31), 2**31 - 1, 7, 7])]
+    got = topk.top_k(vectors, spark.createDataFrame(ask, "query_id long, v array<long>"), 20, shard_rows=30)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_topk(rows, ask, 20)
+    edge = spark.createDataFrame([(1, [2**61, 2**61]), (2, [2**61, 2**61 - 1])], "vec_id long, v array<long>")
+    one = spark.createDataFrame([(900, [1, 2])], "query_id long, v array<long>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(edge, one, 20).orderBy("rank").collect()] == [(1, 3 * 2**61), (2, 3 * 2**61 - 2)]
+    with pytest.raises(Exception, match="more than 64 bits"):
+        topk.top_k(edge, spark.createDataFrame([(900, [2, 2])], "query_id long, v array<long>"), 20).count()
+    with pytest.raises(Exception, match="more than 62 bits"):
+        topk.integer_vectors(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<float>")).collect()
+    wide = spark.createDataFrame([(20 * i, [1e9, float(i)]) for i in range(2)] + [(i, [1e6, float(i)]) for i in range(1, 9)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="more than 64 bits"):
+        topk.top_k(topk.integer_vectors(wide), topk.ask(topk.integer_vectors(wide), F.col("vec_id") % 20 == 0), 20).count()
+
+
+def boxed(cells, rows, of):
+    """Cells with the boxes and shards of the rows, one shard each."""
+    v = np.array([v for _, v in rows])
+    cells.numbers = np.unique(of)
+    cells.low, cells.high = (np.array([f(v[of == c], 0) for c in cells.numbers], float) for f in (np.min, np.max))
+    cells.shards = dict.fromkeys(cells.numbers.tolist(), 1)
+    return cells
+
+
+def test_cells_leave_shards_out(spark):
+    """Clustered vectors: a query goes to the cells that its kth score lets it, and the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-2000, 2000, (12, 5))
+    rows = [(i, [int(x) for x in centres[i % 12] + rng.integers(-9, 9, 5)]) for i in range(1200)]
+    ask = [(5000 + i, [int(x) for x in centres[i % 12]]) for i in range(24)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(vectors, spark.createDataFrame(ask, "query_id long, v array<long>"), 20, shard_rows=60)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_topk(rows, ask, 20)
+    cells = topk.Cells(np.array([v for _, v in rows]), 20)
+    of = cells.of(np.array([v for _, v in rows]))
+    assert len(np.unique(of)) == 20 and np.bincount(of).max() <= 150
+    where = topk._elsewhere(boxed(cells, rows, of), 1)
+    asked = next(topk._home(boxed(cells, rows, of), 1)(iter([pa.record_batch([pa.array([i for i, _ in ask]), pa.array([v for _, v in ask])], names=["query_id", "v"])])))
+    kth = [sorted((sum(a * b for a, b in zip(v, w, strict=True)) for _, w in rows), reverse=True)[19] for _, v in ask]
+    sent = sum(b.num_rows for b in where(iter([asked.set_column(5, "kth", pa.array(kth, pa.int64()))])))
+    assert sent < len(ask) * 19 / 2
+
+
+def test_cells_of_equal_rows():
+    same = topk.Cells(np.full((50, 3), 7), 8)
+    assert (same.of(np.array([[7, 7, 7], [0, 0, 0]])) == 0).all()
+    two = topk.Cells(np.array([[0, 1]] * 30 + [[5, 1]]), 8)
+    assert len(set(two.of(np.array([[0, 1], [5, 1]])).tolist())) == 2
+
+
+def test_top_k_of_one_hot_vector(spark):
+    """A vector that a third of the rows share, in several shards of one cell; ties go to the smaller id."""
+    rows = [(i, [3, 4]) for i in range(300)] + [(1000 + i, [i, -i]) for i in range(40)]
+    ask = [(0, [3, 4]), (20, [3, 4]), (9999, [-1, 0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(4), spark.createDataFrame(ask, "query_id long, v array<long>"), 20, shard_rows=32)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_topk(rows, ask, 20)
