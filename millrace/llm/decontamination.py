@@ -14,8 +14,10 @@ Minima of a partition's windows come from those of the next smaller one, and who
 Items are indexed in blocks of bounded number and words (``BLOCK_ITEMS``, ``BLOCK_WORDS``), each a broadcast of its own. A task hashes a chunk of documents
 once and holds it against one block after another, of which it keeps one in memory. ``PASS_BLOCKS`` blocks make a pass over the documents.
 
-Null and empty items and documents have no shingles: they hold nothing and are held by nothing. A text with fewer words than a shingle is
-one shingle, which only an equal text has. Repeated items and documents are compared each on their own.
+An item with fewer words than a shingle is one shingle of its own width, which is looked up at every place of every document.
+
+Null and empty items and documents have no shingles: they hold nothing and are held by nothing. Repeated items and documents are compared each on their own.
+Texts of any length are searched whole. Empty tables, of documents or items, give an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, words_of
+from .common import SHINGLE_WORDS, shingle_hashes, words_of
 
 SHARE = (80, 100)
 HASHES = 48
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 4_000_000
 PASS_BLOCKS = 32
+#: Places of a filter for each item.
+FILTER_ROOM = 16
 BATCH = 256
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,46 +47,66 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass
 class ItemIndex:
-    """Shingles of the items, and for each partition and hash the items' minima, sorted, with a filter of their first ``bits`` bits."""
+    """Shingles of the items, and for each partition and hash the items' minima, sorted, with a filter of some of their first bits.
+
+    Bytes grow with the items' words and number alone: a filter has ``FILTER_ROOM`` to twice as many places for each item of its partition.
+    """
 
     ids: list
     sets: list[np.ndarray]
-    words: list[list[bytes]]
+    texts: list[bytes]  # words with one space between
     minima: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # partition: values, items, filter
-    bits: int = 12
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # number of words below a shingle's: hashes, items
 
     def shingles(self, item: int) -> dict[int, bytes]:
-        words = self.words[item]
+        words = self.texts[item].split(b" ")
         return dict(zip(shingle_hashes(words).tolist(), grams(words), strict=True))
 
+    def size(self) -> int:
+        """Bytes of the arrays and texts."""
+        arrays = [*self.sets, *(x for hashes in self.minima.values() for row in hashes for x in row), *(x for row in self.short.values() for x in row)]
+        return sum(x.nbytes for x in arrays) + sum(map(len, self.texts))
+
 
 def grams(words: list[bytes]) -> list[bytes]:
     k = min(5, len(words))
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
 
 
+def _top_bits(seen: np.ndarray) -> np.uint64:
+    """How far a minimum is shifted to give its place in a filter."""
+    return np.uint64(65 - len(seen).bit_length())
+
+
 def build_index(rows: list[tuple]) -> ItemIndex:
     """Index of (id, text) rows."""
-    index = ItemIndex([], [], [], {}, min(max((64 * len(rows)).bit_length(), 12), 21))
+    index = ItemIndex([], [], [], {}, {})
     parts: dict[int, list[int]] = {}
+    short: dict[int, list[int]] = {}
     for item_id, text in rows:
         words = words_of(text or "")
-        hashes = shingle_hashes(words)
-        if not len(hashes):
+        if not words:
             continue
-        kept = np.unique(hashes)
-        parts.setdefault(int(len(kept)).bit_length() - 1, []).append(len(index.ids))
+        kept = np.unique(shingle_hashes(words))
+        if len(words) < SHINGLE_WORDS:
+            short.setdefault(len(words), []).append(len(index.ids))
+        else:
+            parts.setdefault(int(len(kept)).bit_length() - 1, []).append(len(index.ids))
         index.ids.append(item_id)
         index.sets.append(kept)
-        index.words.append(words)
+        index.texts.append(b" ".join(words))
+    for width, members in sorted(short.items()):
+        values = np.concatenate([index.sets[i] for i in members])
+        order = np.argsort(values, kind="stable")
+        index.short[width] = values[order], np.array(members, np.int32)[order]
     for c, members in sorted(parts.items()):
         index.minima[c] = []
         for m in MULTIPLIERS:
             values = np.array([(index.sets[i] * m).min() for i in members], np.uint64)
             order = np.argsort(values, kind="stable")
-            seen = np.zeros(1 << index.bits, bool)
-            seen[values >> np.uint64(64 - index.bits)] = True
-            index.minima[c].append((values[order], np.array(members)[order], seen))
+            seen = np.zeros(1 << max(8, (FILTER_ROOM * len(members)).bit_length()), bool)
+            seen[values >> _top_bits(seen)] = True
+            index.minima[c].append((values[order], np.array(members, np.int32)[order], seen))
     return index
 
 
@@ -121,7 +145,7 @@ def candidates(index: ItemIndex, hashes: list[np.ndarray]) -> set[tuple[int, int
             after[last] = _NONE
             windows = np.minimum(level, after)
             values, items, seen = index.minima[c][j]
-            maybe = np.flatnonzero(seen[windows >> np.uint64(64 - index.bits)])
+            maybe = np.flatnonzero(seen[windows >> _top_bits(seen)])
             if len(maybe):
                 a, b = np.searchsorted(values, windows[maybe]), np.searchsorted(values, windows[maybe], "right")
                 for w, i, k in zip(maybe[b > a], a[b > a], b[b > a], strict=True):
@@ -144,6 +168,14 @@ def match_batch(index: ItemIndex, words: list[list[bytes]], hashes: list[np.ndar
         shared = sum(b" ".join(words[d][p : p + k]) == shingles[i][int(h)] for p, h in zip(order[at[hit]].tolist(), wanted[hit].tolist(), strict=True))
         if shared * SHARE[1] >= SHARE[0] * len(wanted):
             out.append((d, i, len(wanted), int(shared)))
+    for width, (values, items) in index.short.items():
+        for d, own in enumerate(words):
+            have = shingle_hashes(own, width) if len(own) >= width else own
+            if not len(have):
+                continue
+            a, b = np.searchsorted(values, have), np.searchsorted(values, have, "right")
+            found = {int(i) for p in np.flatnonzero(b > a) for i in items[a[p] : b[p]] if b" ".join(own[p : p + width]) == index.texts[i]}
+            out += [(d, i, 1, 1) for i in sorted(found)]
     return out
 
 

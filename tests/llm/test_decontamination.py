@@ -21,7 +21,7 @@ def test_index_of_many_items_is_small():
 def test_short_items_inside_long_documents(spark):
     items = [(1, "alpha Beta gamma"), (2, "one"), (3, "alpha beta gamma"), (4, "not there at all"), (5, "a b c d"), (6, "five words stand here now"), (7, None), (8, " ")]
     filler = "some other words and so on " * 400
-    docs = [(1, filler + "ALPHA beta  gamma" + filler), (2, "alpha beta delta gamma"), (3, "one"), (4, "x" * 100_000 + " one"), (5, "A b c d e"), (6, "ones alphabeta"), (7, None), (8, "")]
+    docs = [(1, filler + "ALPHA beta  gamma " + filler), (2, "alpha beta delta gamma"), (3, "one"), (4, "x" * 100_000 + " one"), (5, "A b c d e"), (6, "ones alphabeta"), (7, None), (8, "")]
     held = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in D.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert held == {(1, 1, 1, 1), (1, 3, 1, 1), (3, 2, 1, 1), (4, 2, 1, 1), (5, 5, 1, 1)}
     left = D.without_items(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"))
