@@ -183,25 +183,26 @@ def compile_trees(samples: dict[str, list[bytes]], order: int = ORDER) -> Langua
 
 
 def fit(docs: DataFrame, learn: Column, *, per_language: int = 500, languages: int = 5, clip: int = 4096, order: int = ORDER) -> LanguageModel:
-    """Learn every language from a bounded sample: of each that ``learn`` admits, ``per_language`` documents in the order of a hash of
-    the id; with more than ``languages`` languages so many fewer that all have ``per_language * languages`` together, one each at least.
+    """Learn every language from a bounded sample: of each that ``learn`` admits, ``per_language`` rows in the order of a hash of
+    id and text; with more than ``languages`` languages so many fewer that all have ``per_language * languages`` together, one each at least.
+    Rows that agree in id, language and text teach once, so the bound holds however often an id or a row is repeated.
     Of a text with more than ``clip`` characters it takes pieces of that total from all over the text. Documents with
-    null or empty text or null language teach nothing. Without any, the model knows no language and every text is ``und``.
+    null or empty text or null language teach nothing. Without any, as in an empty table, the model knows no language and every text is ``und``.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & learn)
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    place = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 40)).alias("h")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & learn)
+    known = rows.select("lang", place)
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))
     many = sizes.count()
     share = max(1, min(per_language, per_language * languages // max(many, 1)))
-    # the hash is even, so twice the share (and some for small numbers) of a language lies below this bound; only those are ranked, and no language is one task
+    # the hash is even, so twice the share (and some for small numbers) of a language's distinct rows lies below this bound; only those are ranked, and no language is one task
     below = F.least(F.lit(1.0), (2.0 * share + 64) / F.col("size"))
-    place = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40))
-    some = known.select("lang", "doc_id", place.alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") < below * (1 << 40))
-    rank = W.partitionBy("lang").orderBy("h", "doc_id")
-    ids = some.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= share)
-    texts = docs.where(F.length("text") > 0).select("doc_id", "lang", "text")
-    picked = texts.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", spread(F.col("text"), clip).alias("pieces"))
+    some = known.join(F.broadcast(sizes), "lang").where(F.col("h") < below * (1 << 40)).select("lang", "h").distinct()
+    ids = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= share)
+    texts = rows.select("doc_id", "lang", "text", place)
+    picked = texts.join(F.broadcast(ids.select("lang", "h")), ["lang", "h"]).select("doc_id", "lang", "h", spread(F.col("text"), clip).alias("pieces")).dropDuplicates(["lang", "h"])
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(picked.collect()):
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(r["lang"], []).extend(x.encode("utf-8", "surrogatepass") for x in r["pieces"])
     return compile_trees(samples, order)
 

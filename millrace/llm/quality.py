@@ -113,9 +113,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_label: int = 2400, clip: int = 16384, room: int = 256 << 10, piece: int = 4096) -> QualityModel:
-    """Fit on a bounded sample: ``per_label`` documents of each label, in the order of a hash of the id, among the rows
-    of ``labels`` for which ``learn`` holds, and ``clip`` characters of each, from all over a longer text. Half fill the dictionaries, half fit the curve,
-    weighted to the labels' true shares. The sample reaches the driver, at most ``2 * per_label * clip`` characters.
+    """Fit on a bounded sample: rows of ``per_label`` documents of each label, in the order of a hash of the id, among the rows
+    of ``labels`` for which ``learn`` holds; of those rows, where ids repeat, ``per_label`` in the order of a hash of id and text; and ``clip`` characters of each, from all over a longer text.
+    Half fill the dictionaries, half fit the curve, weighted to the labels' true shares. The sample reaches the driver, at most ``2 * per_label * clip`` characters, however often an id
+    or a row is repeated; rows that agree in id and text teach once. An empty table teaches nothing: every text then gets the score 0.5.
 
     Labels other than 0 and 1, and labels of null ids or null texts, teach nothing. Of several labels of a document, the greatest counts.
     """
@@ -126,9 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_label: int = 2
     for q in (0, 1):
         part = known.where(F.col("quality") == q).select("doc_id", "quality", order.alias("o")).orderBy("o", "doc_id").limit(per_label)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0).withColumn("row", F.xxhash64("doc_id", "text"))
+    # ids may repeat: rows are ranked too, before any text is read
+    ranked = texts.select("doc_id", "row").join(F.broadcast(sample), "doc_id").distinct()
+    picked = None
+    for q in (0, 1):
+        part = ranked.where(F.col("quality") == q).orderBy("row", "doc_id").limit(per_label)
+        picked = part if picked is None else picked.unionByName(part)
     parts = F.array_join(spread(F.col("text"), clip), "").alias("text")
-    rows = sorted(texts.join(F.broadcast(sample), "doc_id").select("o", "doc_id", "quality", parts).collect())
+    rows = sorted(texts.join(F.broadcast(picked), ["doc_id", "row"]).select("o", "doc_id", "row", "quality", parts).dropDuplicates(["doc_id", "row"]).collect())
     ordered = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     model = QualityModel(book(ordered[1][::2], room, piece), book(ordered[0][::2], room, piece))
     tools = model.compressors()

@@ -35,3 +35,55 @@ def test_quality_sample_reaches_the_end_of_long_texts(spark, monkeypatch):
     monkeypatch.undo()
     parts = quality.spread_bytes(b"a" * 5000 + b"end", 160)
     assert len(parts) == 160 and parts.endswith(b"end")
+
+
+def test_one_id_with_very_many_rows(spark, monkeypatch):
+    """The samples are bounded in rows, and a language or label of one id alone is learned."""
+    many = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("kala maja puu number "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    same = spark.range(20_000).select(F.lit(6).cast("long").alias("doc_id"), F.lit("stein haus baum und wieder stein").alias("text"), F.lit("bb").alias("lang"))
+    docs = many.unionByName(same).repartition(6)
+    got, real = [], language.compile_trees
+    monkeypatch.setattr(language, "compile_trees", lambda samples, order: got.append({k: len(v) for k, v in samples.items()}) or real(samples, order))
+    model = language.fit(docs, F.lit(True), per_language=50, languages=2)
+    assert got == [{"aa": 50, "bb": 1}]
+    assert language.predict_batch(model, ["maja kala puu", "haus und stein"])[0] == ["aa", "bb"]
+
+    texts, plain = [], quality.book
+    monkeypatch.setattr(quality, "book", lambda parts, room, piece: texts.append(len(parts)) or plain(parts, room, piece))
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, quality int")
+    quality.fit(docs, labels, F.lit(True), per_label=40)
+    assert texts == [20, 1]
+
+
+def test_quality_scores_match_plain_compression(spark, data):
+    """Scores worked out block by block with zstandard's own calls, and the curve by hand."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{data}/labels.parquet"), quality.fold_of(F.col("doc_id"), 5) != 0)
+    found = {r.doc_id: r.score for r in quality.op1_quality_compression(spark, data).collect()}
+    params = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(found)
+    for r in rows[:60]:
+        sizes, data_bytes = [], (r.text or "").encode()
+        for book in (model.good, model.bad):
+            total = 0
+            for at in range(0, len(data_bytes), 512):
+                total += len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(book), compression_params=params).compress(data_bytes[at : at + 512])) - 2
+            sizes.append(total)
+        good, bad = sizes
+        d, rate = ((bad - good) / (bad + good), math.log(min(good, bad) / len(data_bytes))) if data_bytes else (0.0, 0.0)
+        w = model.weights
+        assert abs(found[r.doc_id] - 1 / (1 + math.exp(-(w[0] * d + w[1] * rate + w[2] * rate * rate + w[3] * d * rate + w[4])))) < 1e-9
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    some = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    assert [r.score for r in quality.score(spark, some, model).collect()] == [0.5, 0.5]
+    assert [r.lang_pred for r in language.identify(spark, some, language.fit(docs, F.lit(True))).collect()] == ["und", "und"]
