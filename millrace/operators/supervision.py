@@ -52,6 +52,8 @@ def readiness(workers: DataFrame, session: str, epoch: int, version: str, timeou
         & (F.col("interface_version") == version)
         & (F.col("command_epoch") == epoch)
         & (F.col("beat_sequence") >= F.col("status_sequence"))
+        & F.col("status_ready")
+        & F.col("master_alive")
         & (F.col("status_health") == READY)
         & (F.col("beat_health") == READY)
         & (F.col("received_ns") > 0)

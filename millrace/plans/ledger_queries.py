@@ -64,7 +64,7 @@ def sensor_actions(t: Tables) -> DataFrame:
     return judged.select("sensor_id", "arrival", "outcome", action.alias("action"))
 
 
-@query("st18_worker_readiness", "SELECT check_no, coalesce(action_ready AND status_verified AND status_instance = beat_instance AND status_session = 'live' AND beat_session = 'live' AND interface_version = '2.0' AND command_epoch = 7 AND beat_sequence >= status_sequence AND status_health = 1 AND beat_health = 1 AND received_ns > 0 AND now_ns - received_ns <= 100, false) AS ready FROM worker_state")
+@query("st18_worker_readiness", "SELECT check_no, coalesce(action_ready AND status_verified AND status_instance = beat_instance AND status_session = 'live' AND beat_session = 'live' AND interface_version = '2.0' AND command_epoch = 7 AND beat_sequence >= status_sequence AND status_ready AND master_alive AND status_health = 1 AND beat_health = 1 AND received_ns > 0 AND now_ns - received_ns <= 100, false) AS ready FROM worker_state")
 def ready(t: Tables) -> DataFrame:
     return S.readiness(t.worker_state, "live", 7, "2.0", 100).select("check_no", "ready")
 

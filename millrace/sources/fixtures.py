@@ -211,9 +211,18 @@ FIXTURES: dict[str, str] = {
         SELECT event_id AS goal_no, CASE WHEN event_id % 19 = 0 THEN '' ELSE 'P-1' END AS product_id, CASE WHEN event_id % 23 = 0 THEN '' ELSE 'cap-' || CAST(event_id AS {text}) END AS capture_id, CAST(event_id % 4 AS INT) AS station_id,
           CASE WHEN event_id % 29 = 0 THEN 'CAM1,CAM0,CAM2' WHEN event_id % 4 = 2 THEN 'CAM3' ELSE 'CAM0,CAM1,CAM2' END AS camera_list, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'c' END AS command_id, event_id % 37 = 0 AS cancelled, event_id % 41 = 0 AS shutdown FROM {events}""",
     "worker_state": """
-        SELECT event_id AS check_no, event_id % 13 <> 1 AS action_ready, event_id % 17 <> 1 AS status_verified, 'i1' AS status_instance, CASE WHEN event_id % 19 = 0 THEN 'i2' ELSE 'i1' END AS beat_instance, CASE WHEN event_id % 23 = 0 THEN '' ELSE 'live' END AS status_session,
+        SELECT event_id AS check_no, event_id % 13 <> 1 AS action_ready, event_id % 17 <> 1 AS status_verified, event_id % 47 <> 2 AS status_ready, event_id % 53 <> 2 AS master_alive, 'i1' AS status_instance, CASE WHEN event_id % 19 = 0 THEN 'i2' ELSE 'i1' END AS beat_instance, CASE WHEN event_id % 23 = 0 THEN '' ELSE 'live' END AS status_session,
           CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'live' END AS beat_session, CASE WHEN event_id % 31 = 0 THEN '1.0' ELSE '2.0' END AS interface_version, CAST(7 - CAST(floor(event_id % 37 / 36) AS BIGINT) AS BIGINT) AS command_epoch, event_id AS status_sequence,
           event_id + 2 - event_id % 7 % 4 AS beat_sequence, CAST(1 + CAST(floor(event_id % 41 / 40) AS INT) AS INT) AS status_health, CAST(1 + CAST(floor(event_id % 43 / 42) AS INT) AS INT) AS beat_health, event_id * 1000 AS received_ns, event_id * 1000 + event_id % 110 AS now_ns FROM {events}""",
+    # messages of workers that start, with a status of the present command epoch, but for some that lag
+    "worker_message": """
+        SELECT worker, arrival, at_ms, kind, code, instance, number, CAST(1 + sum(CASE WHEN kind = 'EPOCH' THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY arrival) - CASE WHEN arrival % 23 = 0 THEN 1 ELSE 0 END AS BIGINT) AS epoch FROM (
+          SELECT 'w' || CAST(user_id % 13 AS {text}) || CASE WHEN event_id % 2 = 0 THEN '/control' ELSE '/vision' END AS worker, event_id AS arrival, 1000 + event_id * 20 AS at_ms,
+            CASE CAST(draw AS INT) WHEN 0 THEN 'START' WHEN 1 THEN 'GOAL' WHEN 2 THEN 'RESULT' WHEN 3 THEN 'STATUS' WHEN 4 THEN 'BEAT' WHEN 5 THEN 'GOAL' WHEN 6 THEN 'RESULT' WHEN 7 THEN 'STATUS' WHEN 8 THEN 'BEAT' WHEN 9 THEN 'STATUS' WHEN 10 THEN 'EPOCH' ELSE 'BEAT' END AS kind,
+            CAST(CASE CAST(draw AS INT) WHEN 1 THEN CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END WHEN 5 THEN 0 WHEN 2 THEN CASE WHEN event_id % 11 = 0 THEN 1 WHEN event_id % 13 = 0 THEN 2 ELSE 0 END WHEN 3 THEN CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 17 = 0 THEN 2 ELSE 0 END
+              WHEN 4 THEN CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END ELSE 0 END AS INT) AS code,
+            CASE WHEN event_id % 53 = 0 THEN 'i2' ELSE 'i1' END AS instance, CASE WHEN event_id % 41 = 0 THEN CAST(0 AS BIGINT) WHEN draw IN (3, 7, 9) THEN event_id - 150 ELSE event_id END AS number
+          FROM (SELECT *, event_id * 5 % 13 AS draw FROM {events}) e) m""",
     "serial_command": """
         SELECT event_id AS sequence, event_id * 10 AS sent_ms FROM {events} WHERE event_id % 9 <> 4""",
     "serial_answer": """
