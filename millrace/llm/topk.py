@@ -4,11 +4,12 @@ Vectors are turned into integers and dealt into cells by the median splits of a
 bounding box goes to all tasks. A cell of more than ``SHARD_ROWS`` rows is dealt further into shards by hash. A shard's tree is built once,
 by median splits of the widest dimension with a tight box for each node, and stored.
 
-The best score that a query can reach in a box is ``sum(max(q * low, q * high))``. A query first searches one shard of the cell with the greatest bound; its kth
+The best score that a query can reach in a box is ``sum(max(q * low, q * high))``. A query first searches one shard of its own cell; its kth
 score there goes along to the shards of all cells whose bound reaches it, and to no others. In a shard, nodes are opened from the root while
 their bound reaches the kth score so far, and leaves are visited in the order of their bounds, best first; a query stops at the first leaf below its kth score.
 
-A task reads a shard's tree and then streams the queries that come to it through it, so neither trees nor vectors are copied for blocks of queries.
+A task reads a shard's tree and then streams the queries that come to it through it, in blocks. Where more than ``TASK_QUERIES`` queries may come to a shard, they are
+dealt into several tasks, and the tree goes to those that have some.
 
 Scores are exact: in double precision where no sum can reach 2**53, in 64-bit integers where none can reach 2**63, else in whole numbers of any size; a
 score that a long can't hold is an error, as is a component of 2**62 or more.
@@ -35,7 +36,7 @@ from pyspark.sql import Window as W
 
 from .common import forget, materialise
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF, CELLS, SAMPLE = 4096, 1024, 256, 256, 8192
+SHARD_ROWS, BLOCK_QUERIES, LEAF, CELLS, SAMPLE, TASK_QUERIES = 4096, 1024, 256, 256, 8192, 4096
 NONE = np.iinfo(np.int64).min
 
 
@@ -65,8 +66,9 @@ class KDTree:
                 order[start:end] = order[start:end][split]
                 todo += [(start, start + middle, node, 0), (start + middle, end, node, 1)]
         self.low, self.high = np.array(low, float), np.array(high, float)
-        self.rows, self.ids = rows[order], ids[order]
         self.most = int(max(self.high[0].max(), -self.low[0].min())) if rows.size else 0
+        least = next((k for k in (np.int16, np.int32) if self.most < np.iinfo(k).max), np.int64)
+        self.rows, self.ids = rows[order].astype(least), ids[order]
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -87,7 +89,7 @@ def products(queries: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     if most < 1 << 53:
         return (queries.astype(float) @ rows.astype(float).T).astype(np.int64)
     if most < 1 << 63:
-        return queries @ rows.T
+        return queries @ rows.astype(np.int64).T
     whole = queries.astype(object) @ rows.T.astype(object)
     if whole.size and (whole.max() >= 1 << 63 or whole.min() <= NONE):
         raise OverflowError("an inner product needs more than 64 bits")
@@ -259,7 +261,7 @@ def _stream(k: int, block: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree = None, None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2, 7)], 1)  # shard and block
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if tuple(keys[low]) != key:
@@ -279,14 +281,16 @@ def _stream(k: int, block: int):  # noqa: ANN202
 
 
 def _home(cells: Cells | None, others: int):  # noqa: ANN202
-    """query_id, v -> the query at one shard of the cell with the greatest bound."""
+    """query_id, v -> the query at one shard of its own cell; where that has no rows, of the cell with the greatest bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for who, rows in _matrices(batch.column(1)):
                 if cells is not None and rows.shape[1] == cells.width and len(cells.numbers):
-                    cell = cells.numbers[bounds(rows, cells.low, cells.high).argmax(1)]
+                    cell = cells.of(rows)
+                    empty = ~np.isin(cell, cells.numbers)
+                    cell[empty] = cells.numbers[bounds(rows[empty], cells.low, cells.high).argmax(1)]
                     count = np.array([cells.shards[c] for c in cell.tolist()])
                 else:
                     cell, count = np.full(len(who), -1), np.full(len(who), others)
@@ -317,7 +321,7 @@ def _elsewhere(cells: Cells | None, others: int):  # noqa: ANN202
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, task_queries: int = TASK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best inner products of each query.
 
     ``vectors``: vec_id long, v array of long; ``queries``: query_id long, v array of long, each id once.
@@ -328,7 +332,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = S
     cells, others = None, 1
     if sizes["all"]:
         main = sizes["main"]["width"]
-        sample = [r["v"] for r in vectors.where(F.size("v") == main).orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v").collect()]
+        # rows below an even hash; repeated rows share it and count once
+        own = vectors.where(F.size("v") == main).select("v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)).alias("h"))
+        bound = min(1 << 40, (SAMPLE << 40) // sizes["main"]["n"] + 1)
+        sample = [r["v"] for r in own.where(F.col("h") < bound).dropDuplicates(["h"]).collect() or own.limit(1).collect()]  # some SAMPLE rows
         cells = Cells(np.array(sample, np.int64), min(CELLS, math.ceil(sizes["main"]["n"] / shard_rows)))
         others = max(1, math.ceil((sizes["all"] - sizes["main"]["n"]) / shard_rows))
     placed = materialise(vectors.mapInArrow(_place(cells), "width int, cell int, row long, vec_id long, v binary"))
@@ -345,12 +352,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = S
     trees = materialise(sharded.groupBy("width", "cell", "shard").applyInPandas(_trees, _ASK), "none")
     forget(placed)
 
+    at_home = materialise(queries.select("query_id", "v").mapInArrow(_home(cells, others), _ASK))
+    blocks = math.ceil(at_home.count() / task_queries)
+    key = ["width", "cell", "shard"]
+
     def meet(asked: DataFrame) -> DataFrame:
-        both = trees.unionByName(asked)
-        key = ["width", "cell", "shard"]
-        return both.repartition(*key).sortWithinPartitions(*key, F.col("tree").isNull()).mapInArrow(_stream(k, block_queries), "query_id long, vec_id long, score long")
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int"))
+        if blocks > 1:
+            asked = materialise(asked)
+            copies = trees.join(asked.select(*key, "block").distinct(), key)
+        else:
+            copies = trees.withColumn("block", F.lit(0))
+        rows = copies.unionByName(asked).repartition(*key, "block").sortWithinPartitions(*key, "block", F.col("tree").isNull())
+        return rows.mapInArrow(_stream(k, block_queries), "query_id long, vec_id long, score long")
 
-    at_home = materialise(queries.select("query_id", "v").mapInArrow(_home(cells, others), _ASK))
     first = materialise(meet(at_home))
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("found"))
     known = at_home.join(kth, "query_id", "left").select("width", "cell", "shard", "query_id", "v", F.coalesce("found", F.lit(int(NONE))).alias("kth"))

@@ -31,7 +31,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, shard_rows, block_queries
     rows += [(1000 + i, [5, 5, 5, 5, 5, 5]) for i in range(60)] + [(7, rows[3][1]), (8, [1, 2])]
     vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
     ask = [(i, v) for i, v in rows[:150:10]] + [(1000, [5] * 6), (5000, [-1] * 6)]
-    got = topk.top_k(vectors, spark.createDataFrame(ask, "query_id long, v array<long>"), 20, shard_rows=shard_rows, block_queries=block_queries)
+    got = topk.top_k(vectors, spark.createDataFrame(ask, "query_id long, v array<long>"), 20, shard_rows=shard_rows, block_queries=block_queries, task_queries=block_queries)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_topk(rows, ask, 20)
 
 
