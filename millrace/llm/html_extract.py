@@ -3,11 +3,17 @@
 1. Each page's containers are scored: a block of text gives its plain (unlinked) characters to the container that holds it and half of
    them to the next one up. The best container is named by its path of generalised ``tag.class`` steps (no digits, no ids).
 2. In Spark, the pages of a host vote for paths; those with at least ``WINNER_SHARE`` of the votes win.
-3. Each page is extracted again from its most voted winning path that it has; a page with none uses its own best container.
+3. The same pages vote on what stands inside the article but isn't of it: a block belongs to the innermost container with a class around it, and where at least ``REPEATED`` different
+   pages, and two thirds of those that have a path, hold the same text of its own there, that text is noise on that host, whatever the name. They vote too on single blocks beside the winner (below).
+4. Each page is extracted again from its most voted winning path that it has, without the host's noise; a page with none uses its own best container.
+
+What stands directly in the container around the winner, titles and leads, belongs to the article, and so on up to the ``article`` or ``main`` around it or two
+steps; not if it is mostly links, nor if it is the same on at least ``REPEATED`` different pages of the host and half of those that have something there, nor in ``body``.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by tag, role or class,
-inside the article and inside a paragraph too. A class or id names noise if each of its parts is a noise word or a word of layout, and one a noise word:
-``cookie-banner`` and ``ad_slot_2`` do, ``banner-story`` and ``share-prices`` don't. A ``header`` inside an ``article`` or ``main`` belongs to the article.
+inside the article and inside a paragraph too. A class or id names noise if each of its parts is a noise word or a word of layout, and one a noise word; if its last part that isn't
+layout is the name of a part of a page, whatever stands before it (``reader-comments``, ``cookie-policy-banner``); or if some part can only be an advert's (``sponsored-post``).
+``banner-story`` and ``share-prices`` don't. A ``header`` inside an ``article`` or ``main`` belongs to the article.
 Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by one space.
 
 Pages are read once from left to right, in time and memory that grow with their length, whatever they hold. From a tag whose quotes never end, quotes
@@ -24,18 +30,21 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_rows, materialise
+from .common import arrow_rows, forget, materialise
 from .url_filter import split_url
 
 #: Share of a host's votes that makes a path a winner.
 WINNER_SHARE = 0.2
 #: Winning paths of one host; shares sum to 1.
 MAX_WINNERS = 5
+#: Different pages of a host that make a text the host's.
+REPEATED = 3
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +62,10 @@ NOISE = frozenset(
 )
 #: Words of layout that name no content.
 LAYOUT = frozenset("area bar block box button buttons col column container content div frame global header holder icon icons inner item items left link links list main outer page panel right row section site slot small space text title top bottom unit user widget widgets wrap wrapper zone x y l r".split())
+#: Names of parts of a page that stay what they are after any other word.
+HEADS = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe signup login pagination pager popup modal consent".split())
+#: Words that only adverts have.
+ADVERT = frozenset("ad ads adv advert adverts advertisement advertisements advertorial adsense sponsor sponsors sponsored sponsorship promo promos promoted".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 #: Elements whose content isn't markup.
@@ -68,7 +81,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 def is_noise(name: str) -> bool:
     """Whether a class or id names what isn't the article."""
     parts = _PART.findall(_CAMEL.sub(" ", name).lower())
-    return any(p in NOISE for p in parts) and all(p in NOISE or p in LAYOUT for p in parts)
+    named = [p for p in parts if p not in LAYOUT]
+    return bool(named) and (named[-1] in HEADS or any(p in ADVERT for p in named) or (any(p in NOISE for p in named) and all(p in NOISE for p in named)))
 
 
 def _step(tag: str, attributes: str) -> tuple[str, bool]:
@@ -278,66 +292,141 @@ class Page:
         few = [c for c in few if self.depth[c] == least]
         return min(few, key=self.path) if len(few) > 1 else few[0]
 
-    def under(self, top: int) -> list[str]:
-        """Texts of the blocks in a container."""
+    def subtree(self, top: int) -> list[bool]:
+        """Which containers lie in ``top``."""
         inside = [False] * len(self.up)
         inside[top] = True
         for c in range(top + 1, len(self.up)):
             inside[c] = inside[self.up[c]]
-        return [text for c, text, _ in self.blocks if inside[c]]
-
-
-def extract(page: str | None, winners: list[str] | None) -> str:
+        return inside
+
+    def around(self, top: int) -> list[int]:
+        """Containers around ``top`` whose own blocks belong to the article."""
+        found = []
+        while len(found) < 2 and (top := self.up[top]) > 0 and (tag := self.steps[top].split(".")[0]) not in ("html", "body"):
+            found.append(top)
+            if tag in ("article", "main"):
+                break
+        return found
+
+    def owners(self, top: int) -> list[int]:
+        """For each container inside ``top`` the innermost one with a class that holds it, itself included; -1 if there is none."""
+        inside, own = self.subtree(top), [-1] * len(self.up)
+        for c in range(top + 1, len(self.up)):
+            if inside[c]:
+                own[c] = c if "." in self.steps[c] else own[self.up[c]]
+        return own
+
+    def text(self, top: int, noise: frozenset[int] = frozenset(), repeated: frozenset[int] = frozenset()) -> str:
+        """Text of the blocks in a container and of those directly around it. ``noise``: codes of owners whose blocks are left out; ``repeated``: digests of blocks around it that are the host's."""
+        inside, beside = self.subtree(top), set(self.around(top))
+        if noise and (gone := {c for c, code in enumerate(self.codes()) if code in noise}):
+            inside = [x and o not in gone for x, o in zip(inside, self.owners(top), strict=True)]
+        return " ".join(text for c, text, plain in self.blocks if inside[c] or (c in beside and 2 * plain >= len(text) and (not repeated or _digest(text) not in repeated)))
+
+    def codes(self) -> list[int]:
+        """A number for the path of each container, the same on every page."""
+        out = [0]
+        for up, step in zip(self.up[1:], self.steps[1:], strict=True):
+            out.append(_digest(f"{out[up]}>{step}"))
+        return out
+
+    def inner(self, top: int) -> Iterator[tuple[int, int]]:
+        """Code of each owner inside ``top`` and the digest of what it owns."""
+        own, codes, texts = self.owners(top), self.codes(), {}
+        for c, text, _ in self.blocks:
+            if own[c] >= 0:
+                texts.setdefault(own[c], []).append(text)
+        for c, parts in texts.items():
+            yield codes[c], _digest(" ".join(parts))
+
+    def beside(self, top: int) -> Iterator[tuple[int, int]]:
+        """Code of the container and digest of each block directly around ``top``."""
+        around, codes = set(self.around(top)), self.codes()
+        for c, text, _ in self.blocks:
+            if c in around:
+                yield codes[c], _digest(text)
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def extract(page: str | None, winners: list[str] | None, noise: list[int] | None = None, repeated: list[int] | None = None) -> str:
     """Text of the page under the first winning path that holds any of its text, else under its own best one."""
     read = Page(page or "")
     for path in winners or []:
-        if (top := read.find(path)) is not None and (texts := read.under(top)):
-            return " ".join(texts)
+        if (top := read.find(path)) is not None and (text := read.text(top, frozenset(noise or ()), frozenset(repeated or ()))):
+            return text
     top = read.best()
-    return "" if top is None else " ".join(read.under(top))
+    return "" if top is None else read.text(top, frozenset(noise or ()), frozenset(repeated or ()))
+
+
+BEST, INNER, BESIDE = 0, 1, 2
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path: each page's vote."""
+    """host, kind, path, digest, page: each page's best container (``BEST``), the texts of the containers inside it and of the blocks around it. ``page`` is the digest of the best container's
+    text: pages with one article have one vote on what is noise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow_rows(batches, ["url", "html"], 512):
-            hosts, paths = [], []
+            found = []
             for url, page in zip(rows["url"], rows["html"], strict=True):
                 read = Page(page or "")
                 if (top := read.best()) is not None:
-                    hosts.append(split_url(url)[0])
-                    paths.append(read.path(top))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
+                    host, whole = split_url(url)[0], _digest(read.text(top))
+                    found.append((host, BEST, read.path(top), 0, whole))
+                    found += [(host, INNER, str(code), digest, whole) for code, digest in read.inner(top)]
+                    found += [(host, BESIDE, str(code), digest, whole) for code, digest in read.beside(top)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=["host", "kind", "path", "digest", "page"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, path string")
+    return pages.select("url", "html").mapInArrow(run, "host string, kind int, path string, digest long, page long")
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """vote_host, winners: the host's winning paths, the most voted first."""
-    counted = votes(pages).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    return _winners(votes(pages))
+
+
+def _winners(cast: DataFrame) -> DataFrame:
+    counted = cast.where(F.col("kind") == BEST).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("host"))).withColumn("r", F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), "path")))
     won = ranked.where((F.col("r") == 1) | ((F.col("share") >= WINNER_SHARE) & (F.col("r") <= MAX_WINNERS)))
     listed = won.groupBy(F.col("host").alias("vote_host")).agg(F.sort_array(F.collect_list(F.struct("r", "path"))).alias("w"))  # at most MAX_WINNERS
     return listed.select("vote_host", F.col("w.path").alias("winners"))
 
 
+def repeated_parts(cast: DataFrame) -> DataFrame:
+    """vote_host, noise, repeated: codes of paths inside the winners, and digests of blocks around them, that are the same on many different pages of a host."""
+    each = cast.where(F.col("kind") != BEST).select("host", "kind", "path", "digest", "page").distinct()
+    same = each.groupBy("host", "kind", "path", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATED)
+    pages = each.select("host", "kind", "path", "page").distinct().groupBy("host", "kind", "path").agg(F.count(F.lit(1)).alias("all"))
+    share = F.when(F.col("kind") == INNER, F.col("n") * 3 >= F.col("all") * 2).otherwise(F.col("n") * 2 >= F.col("all"))
+    found = same.join(pages, ["host", "kind", "path"]).where(share)
+    return found.groupBy(F.col("host").alias("vote_host")).agg(F.collect_set(F.when(F.col("kind") == INNER, F.col("path").cast("long"))).alias("noise"), F.collect_set(F.when(F.col("kind") == BESIDE, F.col("digest"))).alias("repeated"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the main text of ``html`` (a column of that name is replaced)."""
-    winners = materialise(winning_paths(pages))
+    cast = materialise(votes(pages))
+    winners = materialise(_winners(cast).join(repeated_parts(cast), "vote_host", "left"))
+    forget(cast)
     kept = [n for n in pages.columns if n != "text"]
     rest = F.regexp_extract(F.expr("substr(url, locate('://', url) + 3)"), "^[^/?#]*", 0)
     host = F.when(F.locate("://", F.col("url")) > 0, F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lit(""))
     # Spark broadcasts the winners if their files are small; else it joins by host and splits hot hosts
     joined = pages.withColumn("vote_key", F.coalesce(host, F.lit(""))).join(winners, F.col("vote_key") == F.col("vote_host"), "left")
     schema = T.StructType([*[pages.schema[n] for n in kept], T.StructField("text", T.StringType())])
+    names = ["html", "__winners", "__noise", "__repeated"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page, won) for rows in arrow_rows([batch], ["html", "winners"], 512) for page, won in zip(rows["html"], rows["winners"], strict=True)]
+            texts = [extract(*x) for rows in arrow_rows([batch], names, 512) for x in zip(*(rows[n] for n in names), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], pa.array(texts, pa.string())], names=schema.names)
 
-    return joined.select(*kept, "winners").mapInArrow(run, schema)
+    return joined.select(*(pages[n] for n in kept), *(winners[n].alias(f"__{n}") for n in ("winners", "noise", "repeated"))).mapInArrow(run, schema)
 
 
 def op5_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

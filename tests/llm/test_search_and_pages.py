@@ -293,3 +293,37 @@ def test_top_k_of_one_hot_vector(spark):
     ask = [(0, [3, 4]), (20, [3, 4]), (9999, [-1, 0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(4), spark.createDataFrame(ask, "query_id long, v array<long>"), 20, shard_rows=32)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_topk(rows, ask, 20)
+
+
+def test_class_names_of_noise():
+    for name in ("sponsored-post", "article-ad", "promo-message", "cookie-policy-banner", "reader-comments", "postComments", "ad_slot_2", "cookie-banner", "entryFooter"):
+        assert H.is_noise(name), name
+    for name in ("banner-story", "share-prices", "content", "post", "article-header", "entry-content", "comment-piece", "news-alert", "adverse-effects", "main"):
+        assert not H.is_noise(name), name
+
+
+def test_leads_and_titles_around_the_winner():
+    body = "<p>" + "article words " * 9 + "</p>"
+    words = ("article words " * 9).strip()
+    assert H.extract(f'<html><body><p>site</p><main><h1>Title</h1><p>Lead</p><div class="body">{body}</div><p>Last</p></main></body></html>', None) == f"Title Lead {words} Last"
+    assert H.extract(f'<html><body><article><h1>Title</h1><section><div class="x">{body}</div></section></article></body></html>', None) == f"Title {words}"
+    assert H.extract(f'<html><body><main><p><a href="/">All our stories in one list</a></p><div class="body">{body}</div></main></body></html>', None) == words
+    assert H.extract(f'<html><body><p>site</p><div class="body">{body}</div></body></html>', None) == words
+
+
+def test_hosts_vote_on_noise_of_any_name(spark):
+    """A notice of an unknown class and a slogan beside the article are the host's; leads and boxes that differ from page to page stay."""
+    page = '<html><body><div class="shell"><p>We print since 1901</p><h1>Title {0}</h1><div class="story"><p>{1}</p><div class="zz-plonk"><p>Read our terms of use before you go on</p></div><div class="box"><p>Fact {0}</p></div><p>end {0}</p></div></div></body></html>'
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, f"http://h.example/{i}", page.format(i, words(i))) for i in range(8)]
+    rows += [(100 + i, "http://copies.example/", page.format(1, words(1))) for i in range(8)]  # one page many times: one vote
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, noise string")).collect()}
+    assert all(got[i] == f"Title {i} {words(i)} Fact {i} end {i}" for i in range(8))
+    whole = f"We print since 1901 Title 1 {words(1)} Read our terms of use before you go on Fact 1 end 1"
+    assert all(got[100 + i] == whole for i in range(8))
+
+
+def test_many_inner_containers_in_linear_time():
+    page = "<html><body><article>" + "".join(f'<div class="c{"x" * (i % 50)}"><p>text {i}</p></div>' for i in range(20_000)) + "</article></body></html>"
+    start = time.perf_counter()
+    assert H.extract(page, None).endswith("text 19999") and time.perf_counter() - start < 5
