@@ -49,7 +49,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """The index file: six counts, digests, offsets, splits, verdicts, path lengths, texts. Equal keys: block goes before allow."""
+    """The index file: six counts, digests, offsets, splits, verdicts, path lengths, host lengths, texts. Equal keys: block goes before allow."""
     kept: dict[bytes, tuple[int, int]] = {}
     for host, path, verdict in rules:
         h, p = host.translate(_LOWER).encode(), path.encode()
@@ -60,16 +60,17 @@ def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
             raise ValueError(f"more than {MAX_RULES} rules in an index")
     keys = list(kept)
     values = digest(keys)
-    order = np.lexsort((np.array(keys, object).astype("S") if keys else values, values))
+    order = np.array(sorted(range(len(keys)), key=lambda i: (values[i], keys[i])), int)
     keys = [keys[i] for i in order]
     offsets = np.zeros(len(keys) + 1, np.uint64)
     np.cumsum([len(k) for k in keys], out=offsets[1:])
     splits = np.array([kept[k][0] for k in keys], np.uint64)
     verdicts = np.array([kept[k][1] for k in keys], np.uint64)
     lengths = np.unique(np.array([len(k) - kept[k][0] for k in keys], np.uint64))
+    hosts = np.unique(splits)
     text = b"".join(keys)
-    head = np.array([len(keys), len(lengths), len(text), 0, 0, 0], np.uint64)
-    return b"".join([*(a.tobytes() for a in (head, values[order], offsets, splits, verdicts, lengths)), text])
+    head = np.array([len(keys), len(lengths), len(text), len(hosts), 0, 0], np.uint64)
+    return b"".join([*(a.tobytes() for a in (head, values[order], offsets, splits, verdicts, lengths, hosts)), text])
 
 
 @dataclass
@@ -81,14 +82,15 @@ class DigestArray:
     splits: np.ndarray
     verdicts: np.ndarray
     lengths: np.ndarray
+    hosts: np.ndarray
     text: np.ndarray
 
     @classmethod
     def map(cls, path: str) -> DigestArray:
         words = np.memmap(path, np.uint8, "r")
-        n, k, size = (int(x) for x in words[: 8 * _HEAD].view(np.uint64)[:3])
+        n, k, size, m = (int(x) for x in words[: 8 * _HEAD].view(np.uint64)[:4])
         at, parts = 8 * _HEAD, []
-        for count in (n, n + 1, n, n, k):
+        for count in (n, n + 1, n, n, k, m):
             parts.append(words[at : at + 8 * count].view(np.uint64))
             at += 8 * count
         return cls(*parts, words[at : at + size])
@@ -101,13 +103,14 @@ class DigestArray:
         probes: list[bytes] = []
         owner: list[int] = []
         splits: list[int] = []
-        lengths = self.lengths.tolist()
+        lengths, hosts = self.lengths.tolist(), self.hosts.tolist()
         for i, (host, path) in enumerate(parts):
             if not host:
                 continue
             p = path.encode("utf-8", "surrogatepass")
-            labels = host.split(".")
-            tails = [".".join(labels[j:]).encode("utf-8", "surrogatepass") for j in range(len(labels))]
+            whole = host.encode("utf-8", "surrogatepass")
+            # suffixes of the lengths that rules have, where a label begins; the longest first
+            tails = [whole[len(whole) - n :] for n in reversed(hosts) if n == len(whole) or (n < len(whole) and whole[-n - 1 : len(whole) - n] == b".")]
             for n in lengths:
                 if n > len(p):
                     break

@@ -166,3 +166,23 @@ def test_shingles():
 def test_folds(spark, folds):
     rows = spark.range(50).select("id", fold_of(F.col("id"), folds).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % folds for r in rows)
+
+
+def test_long_hosts_cost_little(tmp_path):
+    """A host of very many labels is probed at the lengths that rules have, and nothing else."""
+    import time
+    import tracemalloc
+
+    path = tmp_path / "index"
+    path.write_bytes(url_filter.build(url_filter.RULES))
+    array = url_filter.DigestArray.map(str(path))
+    urls = ["http://" + "a." * 50_000 + "example.org/es/x", "http://" + "." * 100_000 + "com/de/", "http://" + "x" * 100_000 + "org/", "http://" + "a." * 50_000 + "org"]
+    tracemalloc.start()
+    start = time.perf_counter()
+    got = array.judge(urls)
+    assert time.perf_counter() - start < 1 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert got["rule"] == ["example.org/es/", "com/de/", None, None]
+    long_rule = ("b." * 5000 + "net", "/", "block")
+    path.write_bytes(url_filter.build([*url_filter.RULES, long_rule]))
+    assert url_filter.DigestArray.map(str(path)).judge([f"x://c.{long_rule[0]}/p", f"x://c{long_rule[0]}/p"])["verdict"] == ["block", "allow"]
