@@ -9,8 +9,6 @@ from pyspark.sql import Window as W
 from ..functions.numbers import euclidean, ratio, softmax_weight, top_k_count
 
 VIEWS, PATCHES = 4, 16
-#: Rows of a bank that may be sent to every task; a larger bank is joined block by block.
-BANK_ROWS = 100_000
 #: Vectors of a block where all meet all, the least number of blocks, and vectors that ask at a time.
 BLOCK_ROWS, LEAST_BLOCKS, CHUNK = 16_384, 4, 256
 # The candidates of the model selection.
@@ -39,20 +37,6 @@ def patches(embeddings: DataFrame) -> DataFrame:
     return rows.select("vec_id", "split", F.floor(F.col("pos") / PATCHES).cast("int").alias("view"), (F.col("pos") % PATCHES).cast("int").alias("patch"), F.col("value").cast("double").alias("value"))
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
-    """vec_id, bank_id, distance, rank: the k nearest bank vectors. The bank goes to every task if it is small enough, counted first."""
-    side = F.broadcast(bank) if bank.limit(BANK_ROWS + 1).count() <= BANK_ROWS else bank
-    pairs = queries.join(side).select("vec_id", "bank_id", euclidean(F.col("embedding"), F.col("bank_vec")).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy("distance", "bank_id"))).where(F.col("rank") <= k)
-
-
-def nearest_distance(queries: DataFrame, bank: DataFrame) -> DataFrame:
-    """vec_id, distance, bank_id of the nearest: a plain minimum, without ranking."""
-    side = F.broadcast(bank) if bank.limit(BANK_ROWS + 1).count() <= BANK_ROWS else bank
-    pairs = queries.join(side).select("vec_id", F.struct(euclidean(F.col("embedding"), F.col("bank_vec")).alias("distance"), "bank_id").alias("d"))
-    return pairs.groupBy("vec_id").agg(F.min("d").alias("d")).select("vec_id", "d.distance", "d.bank_id")
-
-
 def _nearest_in_block(asking, held, k: int):  # noqa: ANN001, ANN202
     """The k nearest of ``held`` for each vector of ``asking`` but itself, as a pandas frame. Products find the candidates; their distances are sums of squared differences."""
     import numpy as np
@@ -247,18 +231,6 @@ def timing_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most")).select(*by, "mean", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p95"), F.get("q", F.lit(2)).alias("p99"), "least", "most")
 
 
-def greedy_coreset(vectors: list[list[float]], size: int, start: int = 0) -> list[int]:
-    """k-center greedy: each next point is the one farthest from those chosen; ties go to the first. On a bounded sample in memory."""
-    import numpy as np
-
-    x = np.asarray(vectors, float)
-    chosen, far = [start], ((x - x[start]) ** 2).sum(1)
-    while len(chosen) < min(size, len(x)):
-        chosen.append(int(np.argmax(far)))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return chosen
-
-
 def parallelism_choice(rows: DataFrame, key: str, faster: float = 0.95) -> DataFrame:
     """key, streams: of the measured numbers of streams, in their order, the last that is memory-safe, has a median of at most ``faster`` of the best's so far and no worse p95.
 
@@ -268,3 +240,15 @@ def parallelism_choice(rows: DataFrame, key: str, faster: float = 0.95) -> DataF
     better = lambda best, x: (x["median_ms"] <= best["median_ms"] * faster) & (x["p95_ms"] <= best["p95_ms"])
     best = F.aggregate(F.slice("c", 2, 1 << 20), F.element_at("c", 1), lambda best, x: F.when(better(best, x), x).otherwise(best))
     return listed.where(F.element_at("c", 1)["streams"] == 1).select(key, best["streams"].alias("streams"))
+
+
+def ordered_digest(rows: DataFrame, by: list[str], name: str, order: list[str], line: Column, digits: int = 3) -> DataFrame:
+    """by, digest: SHA-256 over the lines of each group, in two steps, so that no task sees all of a group.
+
+    Rows go in chunks by the first ``digits`` hexadecimal digits of the SHA-256 of ``name``. A chunk's digest is over its lines in ``order``, each with a line end;
+    the group's is over ``chunk digest`` lines in the order of the chunks. How rows are partitioned doesn't matter; one row more, less or changed does.
+    """
+    end = lambda c: F.concat(c, F.lit("\n"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"]), "")
+    chunks = rows.groupBy(*by, F.substring(F.sha2(F.col(name).cast("binary"), 256), 1, digits).alias("chunk")).agg(F.sha2(joined(F.struct(*order, end(line).alias("line"))), 256).alias("digest"))
+    return chunks.groupBy(*by).agg(F.sha2(joined(F.struct("chunk", end(F.concat_ws(" ", "chunk", "digest")).alias("line"))), 256).alias("digest"))

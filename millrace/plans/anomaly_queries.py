@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..functions.numbers import finite, top_k_count
 from ..operators import anomaly as A
+from ..operators import coreset, grids
 from ..sources.stored import stored
 from ..operators.supervision import key_set_differences
 from ..sources.tables import Tables
@@ -266,9 +267,39 @@ def missing_files(t: Tables) -> DataFrame:
     return key_set_differences(side("CAM_A_1"), side("CAM_A_3")).select(F.col("key").alias("filename"), "side")
 
 
-@query("a23_dataset_provenance", "SELECT split, count(DISTINCT vec_id) AS products, count(*) AS files FROM dataset_file GROUP BY split")
+@query("a23_dataset_provenance", """WITH chunks AS (SELECT split, substr(sha256(filename), 1, 3) AS chunk, sha256(string_agg(view || '/' || filename || chr(10), '' ORDER BY filename, view)) AS digest FROM dataset_file GROUP BY ALL)
+SELECT f.split, f.products, f.files, c.digest FROM (SELECT split, count(DISTINCT vec_id) AS products, count(*) AS files FROM dataset_file GROUP BY split) f
+JOIN (SELECT split, sha256(string_agg(chunk || ' ' || digest || chr(10), '' ORDER BY chunk)) AS digest FROM chunks GROUP BY split) c ON c.split = f.split""")
 def provenance(t: Tables) -> DataFrame:
-    return t.dataset_file.groupBy("split").agg(F.count_distinct("vec_id").alias("products"), F.count(F.lit(1)).alias("files"))
+    counted = t.dataset_file.groupBy("split").agg(F.count_distinct("vec_id").alias("products"), F.count(F.lit(1)).alias("files"))
+    return counted.join(A.ordered_digest(t.dataset_file, ["split"], "filename", ["filename", "view"], F.concat_ws("/", "view", "filename")), "split")
+
+
+@query("c26_largest_component", """WITH RECURSIVE cells AS (SELECT vec_id, v.view, p.patch, p.patch % 4 AS x, p.patch // 4 AS y FROM embeddings, range(4) v(view), range(16) p(patch) WHERE embedding[v.view * 16 + p.patch + 1] >= 0.02),
+reach AS (SELECT vec_id, view, patch AS start, patch, x, y FROM cells UNION SELECT r.vec_id, r.view, r.start, c.patch, c.x, c.y FROM reach r JOIN cells c ON c.vec_id = r.vec_id AND c.view = r.view AND abs(c.x - r.x) <= 1 AND abs(c.y - r.y) <= 1),
+labels AS (SELECT vec_id, view, patch, x, y, min(start) AS label FROM reach GROUP BY ALL), sizes AS (SELECT vec_id, view, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM labels GROUP BY ALL),
+best AS (SELECT *, count(*) OVER (PARTITION BY vec_id, view) AS components, row_number() OVER (PARTITION BY vec_id, view ORDER BY area DESC, label) AS r FROM sizes)
+SELECT e.vec_id, CAST(v.view AS INT) AS view, CAST(coalesce(components, 0) AS INT) AS components, CAST(coalesce(area, 0) AS INT) AS area, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(width AS INT) AS width, CAST(height AS INT) AS height
+FROM embeddings e CROSS JOIN range(4) v(view) LEFT JOIN best b ON b.vec_id = e.vec_id AND b.view = v.view AND b.r = 1""")
+def largest_component(t: Tables) -> DataFrame:
+    """Foreground of the 4 x 4 patch map of every vector and view: how many parts, and area and box of the largest."""
+    views = t.embeddings.select("vec_id", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.slice("embedding", v * A.PATCHES + 1, A.PATCHES).alias("map")) for v in range(A.VIEWS)))).alias("m")).select("vec_id", "m.view", "m.map")
+    grid = grids.bits(F.col("map"), A.PATCHES, lambda x: x >= 0.02)
+    return views.select("vec_id", "view", grids.largest_component(grid, 4, 4).alias("c")).select("vec_id", "view", "c.*")
+
+
+#: Vectors of the registered memory bank.
+BANK_SIZE = 48
+
+
+@query("m14_memory_bank", f"""WITH RECURSIVE points AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+greedy AS (SELECT 1 AS k, vec_id, v, CAST('infinity' AS DOUBLE) AS far, CAST(-1 AS BIGINT) AS center, first_value(vec_id) OVER (ORDER BY vec_id) AS pick, first_value(v) OVER (ORDER BY vec_id) AS pick_v FROM points
+  UNION ALL SELECT k, vec_id, v, far, center, first_value(vec_id) OVER w AS pick, first_value(v) OVER w AS pick_v FROM (SELECT k + 1 AS k, vec_id, v, CASE WHEN vec_id = pick THEN -1 ELSE least(far, list_sum(list_transform(list_zip(v, pick_v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END AS far,
+      CASE WHEN list_sum(list_transform(list_zip(v, pick_v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) < far THEN pick ELSE center END AS center FROM greedy WHERE k <= {BANK_SIZE}) g WINDOW w AS (ORDER BY far DESC, vec_id))
+SELECT CAST(p.k AS INT) AS rank, p.pick AS vec_id, m.members, round(m.radius, 6) AS radius FROM (SELECT DISTINCT k, pick FROM greedy WHERE k <= {BANK_SIZE}) p JOIN (SELECT center, count(*) AS members, sqrt(greatest(max(far), 0)) AS radius FROM greedy WHERE k = {BANK_SIZE + 1} GROUP BY center) m ON m.center = p.pick""")
+def memory_bank(t: Tables) -> DataFrame:
+    """The bank that greedy chooses from all vectors, with what lies nearest to each of its members."""
+    return rounded(coreset.memory_bank(t.embeddings, BANK_SIZE))
 
 
 @query("t10_sorted_products", "SELECT DISTINCT filename FROM dataset_file WHERE split = 'test' ORDER BY filename")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from millrace.functions import text as X
 from millrace.functions.numbers import finite, softmax_weight, top_k_count
 from millrace.operators import anomaly as A
+from millrace.operators.coreset import k_center
 from millrace.operators import events as E
 from millrace.operators import execution
 from millrace.operators import ledger as L
@@ -180,8 +181,9 @@ def test_scores_match_numpy(spark, data):
     assert abs(found[0].percentile - q) < 1e-6 and all(abs(r.threshold - t[r.view]) < 1e-9 for r in found)
 
 
-def test_coreset_spreads():
-    assert A.greedy_coreset([[0], [1], [10], [11], [5]], 3) == [0, 3, 4]
+def test_coreset_spreads(spark):
+    points = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate([0, 1, 10, 11, 5])], "vec_id long, embedding array<float>")
+    assert k_center(points, 3)[0] == [0, 3, 4]
 
 
 def test_append_states_and_acks(spark):
