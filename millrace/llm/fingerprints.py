@@ -103,10 +103,13 @@ def edited_texts(rows: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """id, hash, side, term, n: words of the text (side 0) and of the edited text (side 1) by hash."""
-    sides = texts.select("id", "hash", F.posexplode(F.array("text", "edited")).alias("side", "text"))
+    """id, hash, side, told, term, n: words of the text (side 0) and of the edited text (side 1) by hash. Side 2 has one row: the edited text's SHA-256 in ``told``.
+
+    The digest goes along as if it were a text, so that the edited texts are made once."""
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    sides = texts.select("id", "hash", F.posexplode(F.array(F.col("text"), F.col("edited"), digest)).alias("side", "text"))
     each = sides.select("id", "hash", "side", F.explode(words(F.col("text"))).alias("word")).where(F.col("word") != "")
-    return each.groupBy("id", "hash", "side", F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("id", "hash", "side", F.when(F.col("side") == 2, F.col("word")).alias("told"), F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,9 +118,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     order = neighbours(rows)
     key = ["id", "hash"]
     texts = edited_texts(rows, order)
-    by_side = signatures(word_counts(texts), [*key, "side"])
-    signed = by_side.groupBy(*key).agg(*(F.max(F.when(F.col("side") == side, F.col("signature"))).alias(name) for side, name in ((0, "own"), (1, "edited"))))
-    found = materialise(texts.select(*key, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(signed, key, "left"))
+    by_side = signatures(word_counts(texts), [*key, "side", "told"])
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("signature")))
+    found = materialise(by_side.groupBy(*key).agg(of(0).alias("own"), of(1).alias("edited"), F.max("told").alias("edited_sha256")))
     following = found.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("own").alias("next"))
     judged = found.join(order, key).join(following, ["next_id", "next_hash"])
     result = ["doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next")]
