@@ -28,38 +28,45 @@ def _cameras(images: DataFrame, *fine: Column) -> DataFrame:
 
 
 def complete_results(images: DataFrame) -> DataFrame:
-    """capture_no, complete: a result that has its ids and at least one attempt, each required camera once and no other, and whole images."""
-    whole = is_sha256_hex(F.col("sha256")) & (F.col("file_path") != "") & (F.col("file_size") > 0) & (F.col("pixel_format") == PIXEL_FORMAT)
-    found = _cameras(images, (F.col("frame_batch_id") != "") & (F.col("attempt_count") >= 1), whole)
+    """capture_no, complete: a result that has its batch, its inference job and at least one attempt, each required camera once and no other, and whole images of some size."""
+    whole = is_sha256_hex(F.col("sha256")) & (F.col("file_path") != "") & (F.col("file_size") > 0) & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("pixel_format") == PIXEL_FORMAT)
+    found = _cameras(images, (F.col("frame_batch_id") != "") & (F.col("inference_job_id") != "") & (F.col("attempt_count") >= 1), whole)
     return found.select("capture_no", (F.col("fine0") & F.col("fine1") & (F.col("named") == _required(F.col("station_id")))).alias("complete"))
 
 
 def batch_errors(images: DataFrame) -> DataFrame:
     """capture_no, error: the first rule of a capture batch that is broken, null if none."""
     found = _cameras(
-        images, F.col("requested_ns") > 0, F.col("returned_ns") >= F.col("requested_ns"), F.col("lost_packets") == 0, F.col("file_path").startswith("/"), is_sha256_hex(F.col("sha256")), F.col("file_size") > 0
-    )
+        images, F.col("requested_ns") > 0, F.col("returned_ns") >= F.col("requested_ns"), F.col("lost_packets") == 0, F.col("file_path").startswith("/"), is_sha256_hex(F.col("sha256")), F.col("file_size") > 0,
+        F.col("requested_wall_ns") > 0, F.col("returned_wall_ns") >= F.col("requested_wall_ns"), F.col("pixel_format") == PIXEL_FORMAT,
+    )
     named = F.col("named")
     return found.select(
         "capture_no",
         F.when(~F.col("fine0"), "trigger missing")
         .when(~F.col("fine1"), "trigger order")
+        .when(~F.col("fine6"), "wall clock missing")
+        .when(~F.col("fine7"), "wall clock order")
         .when(F.size(F.array_distinct(named)) != F.size(named), "duplicate camera")
         .when(named != _required(F.col("station_id")), "cameras differ")
         .when(~F.col("fine2"), "packet loss")
         .when(~F.col("fine3"), "path not absolute")
         .when(~F.col("fine4"), "digest")
         .when(~F.col("fine5"), "file size")
+        .when(~F.col("fine8"), "pixel format")
         .alias("error"),
     )
 
 
 def valid_outputs(views: DataFrame) -> DataFrame:
-    """job_id, valid: as many views as the station has, verdicts PASS or NG, the verdict NG if any view's is, finite scores."""
-    finite = F.col("view_score").isNotNull() & ~F.isnan("view_score") & (F.abs("view_score") < float("inf"))
-    made = views.groupBy("job_id", "station_id", "verdict").agg(F.count(F.lit(1)).alias("views"), F.bool_and(F.col("view_verdict").isin(PASS, NG)).alias("known"), F.max(F.col("view_verdict") == NG).alias("any_ng"), F.bool_and(finite).alias("finite"))
-    wanted, derived = F.when(F.col("station_id") == 1, 3).otherwise(1), F.when(F.col("any_ng"), NG).otherwise(PASS)
-    return made.select("job_id", ((F.col("views") == wanted) & F.col("known") & (F.col("verdict") == derived) & F.col("finite")).alias("valid"))
+    """job_id, valid: as many views and image paths as the station has, verdicts PASS or NG, the verdict NG if any view's is, finite scores, the result's own too."""
+    finite = lambda n: F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    every = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    wanted = F.when(F.col("station_id") == 1, 3).otherwise(1)
+    made = views.groupBy("job_id", "station_id", "verdict").agg(
+        F.count(F.lit(1)).alias("views"), every(F.col("view_verdict").isin(PASS, NG) & finite("view_score") & finite("score") & (F.col("image_paths") == wanted)).alias("fine"), F.max(F.col("view_verdict") == NG).alias("any_ng")
+    )
+    return made.select("job_id", ((F.col("views") == wanted) & F.col("fine") & (F.col("verdict") == F.when(F.col("any_ng"), NG).otherwise(PASS))).alias("valid"))
 
 
 def beat_outcomes(beats: DataFrame, session: str) -> DataFrame:

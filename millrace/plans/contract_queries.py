@@ -14,18 +14,18 @@ NAMED = "list(camera_id ORDER BY camera_id)"
 REQUIRED = "CASE station_id WHEN 1 THEN ['CAM0', 'CAM1', 'CAM2'] ELSE ['CAM3'] END"
 
 
-@query("f11_capture_result", f"SELECT capture_no, bool_and(frame_batch_id <> '' AND attempt_count >= 1 AND {HEX} AND file_path <> '' AND file_size > 0 AND pixel_format = 'MONO8_PNG') AND {NAMED} = {REQUIRED} AS complete FROM capture_image GROUP BY capture_no, station_id")
+@query("f11_capture_result", f"SELECT capture_no, bool_and(frame_batch_id <> '') AND bool_and(inference_job_id <> '') AND min(width) > 0 AND min(height) > 0 AND bool_and(attempt_count >= 1 AND {HEX} AND file_path <> '' AND file_size > 0 AND pixel_format = 'MONO8_PNG') AND {NAMED} = {REQUIRED} AS complete FROM capture_image GROUP BY capture_no, station_id")
 def results(t: Tables) -> DataFrame:
     return K.complete_results(t.capture_image)
 
 
-@query("f13_capture_batch", f"""SELECT capture_no, CASE WHEN NOT bool_and(requested_ns > 0) THEN 'trigger missing' WHEN NOT bool_and(returned_ns >= requested_ns) THEN 'trigger order' WHEN count(DISTINCT camera_id) <> count(*) THEN 'duplicate camera' WHEN {NAMED} <> {REQUIRED} THEN 'cameras differ'
-  WHEN max(lost_packets) > 0 THEN 'packet loss' WHEN NOT bool_and(starts_with(file_path, '/')) THEN 'path not absolute' WHEN NOT bool_and({HEX}) THEN 'digest' WHEN min(file_size) <= 0 THEN 'file size' END AS error FROM capture_image GROUP BY capture_no, station_id""")
+@query("f13_capture_batch", f"""SELECT capture_no, CASE WHEN NOT bool_and(requested_ns > 0) THEN 'trigger missing' WHEN NOT bool_and(returned_ns >= requested_ns) THEN 'trigger order' WHEN min(requested_wall_ns) <= 0 THEN 'wall clock missing' WHEN max(requested_wall_ns - returned_wall_ns) > 0 THEN 'wall clock order' WHEN count(DISTINCT camera_id) <> count(*) THEN 'duplicate camera' WHEN {NAMED} <> {REQUIRED} THEN 'cameras differ'
+  WHEN max(lost_packets) > 0 THEN 'packet loss' WHEN NOT bool_and(starts_with(file_path, '/')) THEN 'path not absolute' WHEN NOT bool_and({HEX}) THEN 'digest' WHEN min(file_size) <= 0 THEN 'file size' WHEN count(*) FILTER (WHERE pixel_format <> 'MONO8_PNG') > 0 THEN 'pixel format' END AS error FROM capture_image GROUP BY capture_no, station_id""")
 def batches(t: Tables) -> DataFrame:
     return K.batch_errors(t.capture_image)
 
 
-@query("f12_model_output", "SELECT job_id, count(*) = CASE station_id WHEN 1 THEN 3 ELSE 1 END AND bool_and(view_verdict IN (1, 2)) AND verdict = CASE WHEN bool_or(view_verdict = 2) THEN 2 ELSE 1 END AND bool_and(coalesce(isfinite(view_score), false)) AS valid FROM model_view GROUP BY job_id, station_id, verdict")
+@query("f12_model_output", "SELECT job_id, count(*) = CASE station_id WHEN 1 THEN 3 ELSE 1 END AND bool_and(view_verdict IN (1, 2)) AND verdict = CASE WHEN bool_or(view_verdict = 2) THEN 2 ELSE 1 END AND bool_and(coalesce(isfinite(view_score), false)) AND count(*) FILTER (WHERE score IS NULL OR NOT isfinite(score)) = 0 AND min(image_paths) = max(image_paths) AND max(image_paths) = CASE station_id WHEN 1 THEN 3 ELSE 1 END AS valid FROM model_view GROUP BY job_id, station_id, verdict")
 def outputs(t: Tables) -> DataFrame:
     return K.valid_outputs(t.model_view)
 

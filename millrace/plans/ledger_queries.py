@@ -51,7 +51,14 @@ def cycle(t: Tables) -> DataFrame:
     return fold(rows, "station", "arrival", M.StationCycle).select("product_id", "station_id", "arrival", "outcome", "state")
 
 
-@query("st30_actuation_substate")
+@query("st30_actuation_substate", """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY arrival) AS n FROM actuation_event),
+fold AS (SELECT product_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS outcome, 'AT_SENSOR3' AS state, '' AS job, '' AS command FROM (SELECT DISTINCT product_id FROM actuation_event) p
+  UNION ALL SELECT product_id, n, arrival, outcome, CASE WHEN outcome <> 'OK' THEN state WHEN event = 'BEGIN' THEN 'BEGUN' WHEN event = 'ACCEPTED' THEN 'ACTUATING' ELSE 'DONE' END, CASE WHEN outcome = 'OK' AND event = 'BEGIN' THEN actuator_job ELSE job END, CASE WHEN outcome = 'OK' AND event = 'BEGIN' THEN given ELSE command END
+  FROM (SELECT f.product_id, x.n, x.arrival, x.event, x.actuator_job, x.command AS given, f.state, f.job, f.command,
+    CASE WHEN x.event <> 'BEGIN' AND x.command <> f.command THEN 'IDENTITY' WHEN x.event = 'BEGIN' AND f.state = 'BEGUN' THEN CASE WHEN x.actuator_job = f.job AND x.command = f.command THEN 'REPEAT' ELSE 'IDENTITY' END
+      WHEN x.event = 'BEGIN' AND f.state <> 'AT_SENSOR3' THEN 'REFUSED' WHEN x.event = 'COMPLETED' AND f.state = 'DONE' THEN 'REFUSED' ELSE 'OK' END AS outcome
+    FROM fold f JOIN numbered x ON x.product_id = f.product_id AND x.n = f.n + 1) s)
+SELECT product_id, arrival, outcome, state FROM fold WHERE n > 0""")
 def actuation_steps(t: Tables) -> DataFrame:
     return fold(t.actuation_event, "product_id", "arrival", M.ActuationSteps).select("product_id", "arrival", "outcome", "state")
 

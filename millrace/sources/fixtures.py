@@ -168,11 +168,13 @@ FIXTURES: dict[str, str] = {
         SELECT event_id AS capture_no, CAST(2 - (event_id + 1) % 2 AS INT) AS station_id, k AS image_no, 'CAM' || CAST(CASE WHEN event_id % 2 = 1 THEN 3 WHEN event_id % 46 = 0 AND k = 2 THEN 1 WHEN event_id % 58 = 0 AND k = 2 THEN 3 ELSE k END AS {text}) AS camera_id,
           CASE WHEN event_id % 53 = 0 THEN '' ELSE 'b' || CAST(event_id AS {text}) END AS frame_batch_id, CAST(CASE WHEN event_id % 61 = 0 THEN 0 ELSE 1 END AS INT) AS attempt_count, CASE WHEN event_id % 47 = 0 AND k = 0 THEN 'zz' ELSE sha256_hex(props) END AS sha256,
           CASE WHEN event_id % 59 = 0 THEN 0 ELSE 1000 END AS file_size, CASE WHEN event_id % 67 = 0 THEN 'RGB8' ELSE 'MONO8_PNG' END AS pixel_format, event_id * 1000 AS requested_ns, event_id * 1000 + CASE WHEN event_id % 71 = 0 THEN -5 ELSE 80 END AS returned_ns,
-          CAST(CASE WHEN event_id % 79 = 0 AND k = 0 THEN 2 ELSE 0 END AS INT) AS lost_packets, CASE WHEN event_id % 83 = 0 THEN 'img/' ELSE '/data/' END || CAST(event_id AS {text}) || '.png' AS file_path
+          CAST(CASE WHEN event_id % 79 = 0 AND k = 0 THEN 2 ELSE 0 END AS INT) AS lost_packets, CASE WHEN event_id % 43 = 0 THEN '' ELSE 'job' || CAST(event_id AS {text}) END AS inference_job_id, CASE WHEN event_id % 97 = 0 THEN 0 ELSE 2048 END AS width, CASE WHEN event_id % 101 = 0 AND k = 0 THEN -1 ELSE 1536 END AS height,
+          CASE WHEN event_id % 103 = 0 THEN 0 ELSE 1700000000000000000 + event_id END AS requested_wall_ns, 1700000000000000000 + event_id - CASE WHEN event_id % 107 = 0 THEN 3 ELSE -3 END AS returned_wall_ns, CASE WHEN event_id % 83 = 0 THEN 'img/' ELSE '/data/' END || CAST(event_id AS {text}) || '.png' AS file_path
         FROM {events} e, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) w WHERE (event_id % 2 = 0 OR k = 0) AND NOT (event_id % 62 = 0 AND k = 1)""",
     "model_view": """
         SELECT event_id AS job_id, CAST(2 - (event_id + 1) % 2 AS INT) AS station_id, k AS view_no, CAST(CASE WHEN event_id % 73 = 0 THEN 7 WHEN (event_id + k) % 5 = 0 THEN 2 ELSE 1 END AS INT) AS view_verdict,
-          CASE WHEN event_id % 89 = 0 AND k = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS view_score, CAST(CASE WHEN event_id % 37 = 0 THEN 2 WHEN event_id % 5 = 0 OR event_id % 2 = 0 AND event_id % 5 IN (3, 4) THEN 2 ELSE 1 END AS INT) AS verdict
+          CASE WHEN event_id % 89 = 0 AND k = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS view_score, CASE WHEN event_id % 83 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 97 = 0 THEN NULL ELSE value END AS score,
+          CAST(CASE WHEN event_id % 101 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS INT) AS image_paths, CAST(CASE WHEN event_id % 37 = 0 THEN 2 WHEN event_id % 5 = 0 OR event_id % 2 = 0 AND event_id % 5 IN (3, 4) THEN 2 ELSE 1 END AS INT) AS verdict
         FROM {events} e, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) w WHERE (event_id % 2 = 0 OR k = 0) AND NOT (event_id % 62 = 0 AND k = 1)""",
     "master_beat": """
         SELECT 'n' || CAST(user_id % 7 AS {text}) AS node_id, event_id AS arrival, CASE WHEN event_id % 31 = 0 THEN '1.0' ELSE '2.0' END AS interface_version, CASE WHEN event_id % 29 = 0 THEN 'old' ELSE 'live' END AS session_id,

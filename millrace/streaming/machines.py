@@ -7,62 +7,63 @@ that has ended gives the rows of the batch.
 from __future__ import annotations
 
 import json
-from collections import OrderedDict
 
 from ..operators.flow import FAULTS, TRANSITIONS
 
 
 class SensorRegistry:
-    """Sequence and identity checks of sensor events. A refused event changes nothing, so a gap blocks all that follows it."""
+    """Sequence and identity checks of sensor events: a list of what can be wrong, looked through in order. A refused event changes nothing, so a gap blocks all that follows it.
+
+    An accepted event is known by its id until ``capacity`` later ones were accepted.
+    """
 
     columns = ("outcome",)
+    # outcome, when: of an event, the digest that its id is known by, and how far it lies beyond the sensor's last sequence (None for a sensor's first)
+    refusals = (
+        ("DUPLICATE", lambda event, digest, step: digest == event["digest"]),
+        ("CONFLICT", lambda event, digest, step: digest is not None),
+        ("OUT_OF_ORDER", lambda event, digest, step: not event["event_id"] or event["sequence"] < 1 or (step is not None and step < 1)),
+        ("SEQUENCE_GAP", lambda event, digest, step: step is not None and step > 1),
+    )
 
     def __init__(self, saved: str | None = None, capacity: int = 8192) -> None:
-        state = json.loads(saved) if saved else {"last": {}, "seen": []}
-        self.last: dict[str, int] = state["last"]
-        self.seen: OrderedDict[str, str] = OrderedDict(map(tuple, state["seen"]))
+        self.last, self.seen = json.loads(saved) if saved else ({}, {})
         self.capacity = capacity
 
     def saved(self) -> str:
-        return json.dumps({"last": self.last, "seen": list(self.seen.items())})
+        return json.dumps([self.last, self.seen])
 
     def take(self, row: dict) -> tuple[str]:
-        known = self.seen.get(row["event_id"])
-        if known is not None:
-            return ("DUPLICATE" if known == row["digest"] else "CONFLICT",)
-        last = self.last.get(row["sensor_id"])
-        if not row["event_id"] or row["sequence"] <= 0 or (last is not None and row["sequence"] <= last):
-            return ("OUT_OF_ORDER",)
-        if last is not None and row["sequence"] > last + 1:
-            return ("SEQUENCE_GAP",)
-        self.last[row["sensor_id"]] = row["sequence"]
-        self.seen[row["event_id"]] = row["digest"]
-        if len(self.seen) > self.capacity:
-            self.seen.popitem(last=False)
-        return ("ACCEPTED",)
+        sensor, last = row["sensor_id"], self.last.get(row["sensor_id"])
+        facts = (row, self.seen.get(row["event_id"]), None if last is None else row["sequence"] - last)
+        outcome = next((name for name, holds in self.refusals if holds(*facts)), "ACCEPTED")
+        if outcome == "ACCEPTED":
+            self.last[sensor] = row["sequence"]
+            self.seen[row["event_id"]] = row["digest"]
+            for oldest in list(self.seen)[: len(self.seen) - self.capacity] if len(self.seen) > self.capacity else ():
+                del self.seen[oldest]
+        return (outcome,)
 
 
 class IdempotencyStore:
-    """NEW, REPLAY or CONFLICT of a command's id and digest; the least recently used ids are forgotten beyond the capacity."""
+    """NEW, REPLAY or CONFLICT of a command's id and digest, for streams. An id is forgotten when ``capacity`` others were used since its own last use."""
 
     columns = ("state",)
 
     def __init__(self, saved: str | None = None, capacity: int = 4096) -> None:
-        self.known: OrderedDict[str, str] = OrderedDict(map(tuple, json.loads(saved))) if saved else OrderedDict()
+        self.digests: dict[str, str] = json.loads(saved) if saved else {}  # in the order of their last use
         self.capacity = capacity
 
     def saved(self) -> str:
-        return json.dumps(list(self.known.items()))
+        return json.dumps(self.digests)
 
     def take(self, row: dict) -> tuple[str]:
-        key, digest = row["command_id"], row["payload_digest"]
-        if key in self.known:
-            self.known.move_to_end(key)
-            return ("REPLAY" if self.known[key] == digest else "CONFLICT",)
-        self.known[key] = digest
-        if len(self.known) > self.capacity:
-            self.known.popitem(last=False)
-        return ("NEW",)
+        offered = row["payload_digest"]
+        first = self.digests.pop(row["command_id"], None)
+        self.digests[row["command_id"]] = offered if first is None else first
+        if len(self.digests) > self.capacity:
+            del self.digests[next(iter(self.digests))]
+        return ("NEW" if first is None else ("CONFLICT", "REPLAY")[first == offered],)
 
 
 class SystemMachine:
@@ -215,12 +216,12 @@ class StationCycle(_Steps):
 
 
 class ActuationSteps(_Steps):
-    """Actuation of one product from Sensor3 on. Accepted and completed may come in either order; the completed one is done."""
+    """Actuation of one product from Sensor3 on. Accepted and completed may come in either order; an acceptance says that it is under way, also after its end."""
 
     first = "AT_SENSOR3"
     table = {
         "BEGIN": ((), ("actuator_job", "command"), {"AT_SENSOR3": "BEGUN"}, ("BEGUN",)),
-        "ACCEPTED": (("command",), (), {"BEGUN": "ACTUATING", "ACTUATING": "ACTUATING"}, ()),
+        "ACCEPTED": (("command",), (), {"BEGUN": "ACTUATING", "ACTUATING": "ACTUATING", "DONE": "ACTUATING"}, ()),
         "COMPLETED": (("command",), ("actuation_id",), {"BEGUN": "DONE", "ACTUATING": "DONE"}, ()),
     }
 

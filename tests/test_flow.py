@@ -84,6 +84,7 @@ def test_register_and_step_tables():
     act = lambda event, command="k", job="j": {"event": event, "actuator_job": job, "command": command, "actuation_id": "a"}
     m = M.ActuationSteps()
     assert [m.take(r)[0] for r in (act("ACCEPTED"), act("BEGIN"), act("BEGIN"), act("BEGIN", job="z"), act("ACCEPTED", "x"), act("ACCEPTED"), act("COMPLETED"), act("COMPLETED"))] == ["IDENTITY", "OK", "REPEAT", "IDENTITY", "IDENTITY", "OK", "OK", "REFUSED"]
+    assert m.take(act("ACCEPTED")) == ("OK", "ACTUATING") and m.take(act("COMPLETED")) == ("OK", "DONE")
 
 
 @pytest.mark.parametrize("kind", [M.SensorRegistry, M.SystemMachine, M.ReorderBuffer])
