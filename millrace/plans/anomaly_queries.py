@@ -133,30 +133,42 @@ def grid(t: Tables) -> DataFrame:
 
 
 def measured(t: Tables) -> DataFrame:
-    """All candidates in one plan: every normalization and aggregation over the same gathered maps."""
-    rows = A.patches(t.embeddings).where("split < 4")
+    """All candidates in one plan: every normalization and aggregation over the same gathered maps. Split 0 calibrates, 1 gives the thresholds, 2 is normal, 3 and 4 are anomalies.
+
+    No table holds latencies of candidates, so none are among the keys of the selection."""
+    rows = A.patches(t.embeddings)
     keys = ["method", "option", "kind", "level"]
     scores = stored(A.view_scores(A.normalized(rows.where("split > 0"), A.calibration(rows.where("split = 0")))))
     found = A.search_thresholds(scores.where("split = 1"), 0.1, keys)
-    pred = A.predictions(scores.where("split IN (2, 3)"), found, keys).withColumn("truth", (F.col("split") == 3).cast("int"))
+    pred = A.predictions(scores.where("split > 1"), found, keys).withColumn("truth", (F.col("split") > 2).cast("int"))
     names = F.create_map(*[F.lit(x) for pair in A.COMPLEXITY.items() for x in pair])
     out = A.metrics(pred, keys).withColumn("complexity", F.element_at(names, F.col("method")))
-    # a timing sample of each candidate: the events that fall to its number in the order of the grid
-    order = W.orderBy("method", "option", "kind", "level")  # 342 rows
-    named = out.withColumn("candidate_id", F.concat_ws("/", "method", F.col("option").cast("string"), "kind", F.col("level").cast("string"))).withColumn("number", F.row_number().over(order) - 1)
-    count = len(A.normalizations()) * len(A.aggregations())
-    timing = t.events.groupBy(F.pmod("event_id", F.lit(count)).alias("number")).agg(F.percentile("value", F.lit(0.95)).alias("p95_ms"))
-    return named.join(F.broadcast(timing), "number", "left").drop("number")  # a row for each candidate
+    return out.withColumn("candidate_id", F.concat_ws("/", "method", F.col("option").cast("string"), "kind", F.col("level").cast("string")))
+
+
+PERCENTILES = ", ".join(f"{{'kind': 'percentile', 'level': {p}, 'score': quantile_cont(z, {p / 100:.10f})}}" for p in A.MAP_PERCENTILES)
+SHARES = ", ".join(f"{{'kind': 'top_k_percent_average', 'level': {p}, 'score': list_avg(list_slice(list_reverse_sort(list(z)), 1, CAST(greatest(1, ceil(count(*) * {p} / 100.0)) AS INT)))}}" for p in A.TOP_K_PERCENTS)
+#: Thresholds as lists, and of every product how many of them it exceeds in its worst view: those are the first ones, since they rise.
+CANDIDATES = f"""WITH {CALIBRATION}, z AS (SELECT c.method, c.option, p.vec_id, p.split, p.view, (p.value - c.center) / c.denominator AS z FROM patches p JOIN calibration c ON c.view = p.view AND c.patch = p.patch WHERE p.split > 0),
+gathered AS (SELECT method, option, vec_id, split, view, [{PERCENTILES}, {SHARES}] AS listed FROM z GROUP BY method, option, vec_id, split, view),
+scores AS (SELECT method, option, CAST(s.kind AS VARCHAR) AS kind, CAST(s.level AS DOUBLE) AS level, vec_id, split, view, CAST(s.score AS DOUBLE) AS score FROM (SELECT method, option, vec_id, split, view, unnest(listed) AS s FROM gathered) g),
+tables AS (SELECT method, option, kind, level, view, quantile_cont(score, [{", ".join(f"{(90.0 + i * 0.01) / 100:.8f}" for i in range(1001))}]) AS t FROM scores WHERE split = 1 GROUP BY ALL),
+worst AS (SELECT s.method, s.option, s.kind, s.level, s.vec_id, max(len(list_filter(x.t, lambda v: v < s.score))) AS e FROM scores s JOIN tables x USING (method, option, kind, level, view) WHERE s.split = 1 GROUP BY ALL),
+unsafe AS (SELECT method, option, kind, level, max(len(list_filter(t, lambda v: v <= 0))) AS u, count(*) AS views FROM tables GROUP BY ALL),
+pick AS (SELECT method, option, kind, level, greatest(coalesce(list_reverse_sort(list(e))[CAST(floor(count(*) / 10.0 + 1e-9) AS INT) + 1], 0), any_value(u)) AS i FROM worst JOIN unsafe USING (method, option, kind, level) GROUP BY ALL HAVING any_value(views) = 4 AND count(*) >= 100),
+pred AS (SELECT s.method, s.option, s.kind, s.level, s.vec_id, s.split > 2 AS truth, bool_or(s.score > x.t[p.i + 1]) AS ng FROM scores s JOIN tables x USING (method, option, kind, level, view) JOIN pick p USING (method, option, kind, level) WHERE s.split > 1 AND p.i <= 1000 GROUP BY ALL),
+measured AS (SELECT method || '/' || CASE WHEN option < 0.001 THEN CAST(CAST(option * 10000 AS INT) AS VARCHAR) || '.0E-4' ELSE CAST(option AS VARCHAR) END || '/' || kind || '/' || CAST(level AS VARCHAR) AS candidate_id,
+  count(*) FILTER (WHERE NOT truth AND NOT ng) AS tn, count(*) FILTER (WHERE NOT truth AND ng) AS fp, count(*) FILTER (WHERE truth AND NOT ng) AS fn, count(*) FILTER (WHERE truth AND ng) AS tp, CASE method WHEN 'std_floor' THEN 0 WHEN 'epsilon' THEN 1 WHEN 'shrinkage' THEN 2 ELSE 3 END AS complexity FROM pred GROUP BY method, option, kind, level)"""
 
 
-@query("m08_candidate_metrics")
+@query("m08_candidate_metrics", f"{CANDIDATES} SELECT * FROM measured")
 def candidates(t: Tables) -> DataFrame:
     return measured(t).select("candidate_id", "tn", "fp", "fn", "tp", "complexity")
 
 
-@query("t06_candidate_selection")
+@query("t06_candidate_selection", f"{CANDIDATES} SELECT candidate_id, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr, complexity FROM measured ORDER BY recall DESC, fpr, complexity, candidate_id LIMIT 1")
 def selection(t: Tables) -> DataFrame:
-    return A.best_candidate(measured(t)).select("candidate_id", "recall", "fpr", "complexity")
+    return rounded(A.best_candidate(measured(t)).select("candidate_id", "recall", "fpr", "complexity"))
 
 
 METRICS = "SELECT tn, fp, fn, tp, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(fp / (fp + tn), 6) AS fpr, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM (SELECT count(*) FILTER (WHERE truth = 0 AND predicted = 0) AS tn, count(*) FILTER (WHERE truth = 0 AND predicted = 1) AS fp, count(*) FILTER (WHERE truth = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE truth = 1 AND predicted = 1) AS tp FROM prediction) c"
