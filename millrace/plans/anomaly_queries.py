@@ -125,11 +125,11 @@ def evaluation(t: Tables) -> DataFrame:
     return A.metrics(rows, ["k"]).select("tn", "fp", "fn", "tp")
 
 
-@query("m07_candidate_grid", "SELECT n.method, count(*) AS candidates FROM (VALUES " + ", ".join(f"('{m}', {v})" for m, v in A.normalizations()) + ") n(method, option), (VALUES " + ", ".join(f"('{m}', {v})" for m, v in A.aggregations()) + ") a(kind, level) GROUP BY n.method")
+@query("m07_candidate_grid", f"WITH {CALIBRATION}, fit AS (SELECT method, option FROM calibration GROUP BY method, option HAVING min(denominator) > 0) SELECT method, count(*) * {len(A.aggregations())} AS candidates FROM fit GROUP BY method")
 def grid(t: Tables) -> DataFrame:
-    a = t.spark.createDataFrame(A.normalizations(), "method string, option double")
-    b = t.spark.createDataFrame(A.aggregations(), "kind string, level double")
-    return a.join(F.broadcast(b)).groupBy("method").agg(F.count(F.lit(1)).alias("candidates"))  # eighteen rows each
+    """Candidates of each normalization whose denominators are positive everywhere, under every aggregation."""
+    calibrated = A.calibration(A.patches(t.embeddings).where("split = 0")).groupBy("method", "option").agg(F.min("denominator").alias("least"))
+    return calibrated.where("least > 0").groupBy("method").agg((F.count(F.lit(1)) * len(A.aggregations())).alias("candidates"))
 
 
 def measured(t: Tables) -> DataFrame:
@@ -342,10 +342,9 @@ def names(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.product_id(session, F.col("event_id")).alias("product_id"), X.safe_reason(F.concat_ws(" ", "event_type", "props")).alias("reason"))
 
 
-@query("c25_library_versions", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ok' WHEN event_id % 3 = 1 THEN 'suffix' ELSE 'mismatch' END AS state FROM events")
+@query("c25_library_versions", "SELECT entry_no, CASE WHEN installed = required THEN 'ok' WHEN split_part(installed, '+', 1) = split_part(required, '+', 1) THEN 'suffix' ELSE 'mismatch' END AS state FROM version_pair")
 def versions(t: Tables) -> DataFrame:
-    installed = F.when(F.col("event_id") % 3 == 0, "2.1.0+cu12").when(F.col("event_id") % 3 == 1, "2.1.0+cpu").otherwise("2.2.0")
-    return t.events.select("event_id", X.library_check(F.lit("2.1.0+cu12"), installed).alias("state"))
+    return t.version_pair.select("entry_no", X.library_check(F.col("required"), F.col("installed")).alias("state"))
 
 
 @query("c07_serial_frames")

@@ -190,15 +190,22 @@ def missing(t: Tables) -> DataFrame:
 VALUES = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in L.TRANSITIONS + [(s, e, r, "FAULT_STOP") for s in L.SYSTEM_STATES for e, r in L.FAULTS])
 
 
-@query("c29_allowed_events", f"SELECT state, count(*) AS events, min(event) AS first_event FROM (VALUES {VALUES}) v(state, event, rule, next_state) GROUP BY state")
+MACHINE = f"""WITH RECURSIVE rules(state, event, rule, next_state) AS (VALUES {VALUES}), numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS n FROM system_event),
+fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS event, 'BOOT' AS state, CAST(NULL AS VARCHAR) AS rule, 'BOOT' AS next_state FROM (SELECT DISTINCT session_id FROM system_event) s
+  UNION ALL SELECT f.session_id, x.n, x.arrival, x.event, f.next_state, r.rule, coalesce(r.next_state, f.next_state) FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1 LEFT JOIN rules r ON r.state = f.next_state AND r.event = x.event)
+"""
+
+
+@query("c29_allowed_events", f"""{MACHINE}, seen AS (SELECT state, count(*) AS met, count(rule) AS taken FROM fold WHERE n > 0 GROUP BY state) SELECT r.state, count(*) AS events, min(r.event) AS first_event, any_value(coalesce(s.met, 0)) AS met, any_value(coalesce(s.taken, 0)) AS taken FROM rules r LEFT JOIN seen s ON s.state = r.state GROUP BY r.state""")
 def allowed(t: Tables) -> DataFrame:
-    return L.transitions(t.spark).groupBy("state").agg(F.count(F.lit(1)).alias("events"), F.min("event").alias("first_event"))
+    """Of each state: the events that it takes, and how many of those that the sessions met there were taken."""
+    seen = system.system_states(t.system_event).groupBy("state").agg(F.count(F.lit(1)).alias("met"), F.count("rule").alias("taken"))
+    listed = L.transitions(t.spark).groupBy("state").agg(F.count(F.lit(1)).alias("events"), F.min("event").alias("first_event"))
+    none = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    return listed.join(seen, "state", "left").select("state", "events", "first_event", none("met"), none("taken"))
 
 
-@query("st17_system_machine", f"""WITH RECURSIVE rules(state, event, rule, next_state) AS (VALUES {VALUES}), numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS n FROM system_event),
-fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS event, 'BOOT' AS state, CAST(NULL AS VARCHAR) AS rule, 'BOOT' AS next_state FROM (SELECT DISTINCT session_id FROM system_event) s
-  UNION ALL SELECT f.session_id, x.n, x.arrival, x.event, f.next_state, r.rule, coalesce(r.next_state, f.next_state) FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1 LEFT JOIN rules r ON r.state = f.next_state AND r.event = x.event)
-SELECT session_id, arrival, event, state, rule, next_state FROM fold WHERE n > 0""")
+@query("st17_system_machine", f"""{MACHINE} SELECT session_id, arrival, event, state, rule, next_state FROM fold WHERE n > 0""")
 def machine(t: Tables) -> DataFrame:
     return system.system_states(t.system_event).select("session_id", "arrival", "event", "state", "rule", "next_state")
 

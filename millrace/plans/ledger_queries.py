@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import top_k_count
 from ..operators import anomaly as A
 from ..operators import ledger as G
 from ..operators import supervision as S
@@ -183,9 +184,8 @@ def spatial(t: Tables) -> DataFrame:
     return S.spatial_errors(t.spatial_patch, A.PATCHES)
 
 
-@query("c32_policy_counts", "WITH o(percent) AS (VALUES " + ", ".join(f"(CAST({p} AS DOUBLE))" for p in A.TOP_K_PERCENTS) + "), g AS (SELECT view, count(DISTINCT patch) AS patches FROM (SELECT CAST(floor(i / 16) AS INT) AS view, i % 16 AS patch FROM (SELECT unnest(range(0, 64)) AS i) r) x GROUP BY view) SELECT percent, view, CAST(greatest(1, ceil(patches * percent / 100)) AS BIGINT) AS effective FROM o, g")
+@query("c32_policy_counts", "WITH o(percent) AS (VALUES " + ", ".join(f"(CAST({p} AS DOUBLE))" for p in A.TOP_K_PERCENTS) + "), g AS (SELECT view, count(DISTINCT patch) AS patches FROM (SELECT CAST(floor(i / 16) AS INT) AS view, i % 16 AS patch FROM (SELECT unnest(range(0, len(embedding))) AS i FROM embeddings) r) x GROUP BY view) SELECT percent, view, CAST(greatest(1, ceil(patches * percent / 100)) AS BIGINT) AS effective FROM o, g")
 def policy_counts(t: Tables) -> DataFrame:
-    """How many patches of a view's grid each top-k option averages."""
-    options = F.explode(F.array(*map(F.lit, A.TOP_K_PERCENTS)))
-    grid = t.spark.range(A.VIEWS).select(F.col("id").cast("int").alias("view"), options.alias("percent"))
-    return grid.select("percent", "view", F.greatest(F.lit(1), F.ceil(F.lit(A.PATCHES) * F.col("percent") / 100)).cast("long").alias("effective"))
+    """How many patches of a view's grid each top-k option averages; the grids are those of the vectors."""
+    grids = A.patches(t.embeddings).groupBy("view").agg(F.count_distinct("patch").alias("patches"))
+    return grids.select("view", "patches", F.explode(F.array(*map(F.lit, A.TOP_K_PERCENTS))).alias("percent")).select("percent", "view", top_k_count(F.col("patches"), F.col("percent")).cast("long").alias("effective"))

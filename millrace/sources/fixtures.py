@@ -244,6 +244,9 @@ FIXTURES: dict[str, str] = {
           CASE WHEN CAST(floor(event_id / 16) AS BIGINT) % 17 = 0 THEN 0.0 ELSE 1.5 END AS scale_reference, CAST(CASE WHEN CAST(floor(event_id / 16) AS BIGINT) % 13 = 0 THEN 1 ELSE 40 END AS INT) AS sample_count FROM {events} WHERE event_id % 229 <> 0""",
     "queue_message": """
         SELECT 's' || CAST(user_id % 5 AS {text}) AS session_id, event_id AS arrival, CASE CAST(event_id * 7 % 5 AS INT) WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'ACCEPTING' WHEN 2 THEN 'STOPPED' WHEN 3 THEN 'BLOCKED' ELSE 'ACCEPTING' END AS kind, event_id % 3 = 0 AS paused, event_id % 23 = 0 AS frozen FROM {events}""",
+    "version_pair": """
+        SELECT event_id AS entry_no, '2.' || CAST(user_id % 4 AS {text}) || '.0' || CASE WHEN event_id % 3 = 0 THEN '+cu12' ELSE '' END AS required,
+          '2.' || CAST(CASE WHEN event_id % 5 = 0 THEN event_id ELSE user_id END % 4 AS {text}) || '.0' || CASE WHEN event_id % 2 = 0 THEN '+cu12' WHEN event_id % 7 = 0 THEN '+cpu' ELSE '' END AS installed FROM {events}""",
     "model_entry": """
         SELECT event_id AS entry_no, CASE WHEN event_id % 11 = 0 THEN 'models/' ELSE '/models/' END || CAST(event_id % 9 AS {text}) AS path, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN NULL ELSE 'm1' END AS version,
           CASE WHEN event_id % 19 = 0 THEN 'zz' WHEN event_id % 3 = 0 THEN upper(sha256_hex(props)) ELSE sha256_hex(props) END AS expected, CASE WHEN event_id % 23 = 0 THEN sha256_hex('other') ELSE sha256_hex(props) END AS actual, event_id % 4 AS worker_count, event_id % 2 = 0 AS serialize_access FROM {events}""",
