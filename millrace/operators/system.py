@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.machines import QueuePauses
+from ..streaming.machines import EdgeDetector, QueuePauses
 from .automata import explored, numbered, states_before
 from .flow import FAULTS, SYSTEM_STATES, TRANSITIONS
 
@@ -131,3 +131,12 @@ def queue_pauses(messages: DataFrame) -> DataFrame:
     found = states_before(messages.withColumn("__symbol", F.coalesce(known, F.lit(len(symbols) - 1))), "session_id", "arrival", "__symbol", table, "__state")
     text = _lookup({(states.index(s), symbols.index(x)): v for (s, x), v in moves.items()}, len(symbols))
     return found.withColumn("action", F.when(F.coalesce("frozen", F.lit(False)), "IGNORED").otherwise(text("rule"))).withColumn("state", text("next")).drop("__symbol", "__state")
+
+
+def detections(samples: DataFrame) -> DataFrame:
+    """``samples`` (sensor_id, sample_no, distance_cm, conveyor_running) with detected: the hysteresis of ``EdgeDetector`` as a machine of two states, armed or not."""
+    d, limits = F.col("distance_cm"), EdgeDetector
+    clear, near = F.lit(0), F.when((d <= limits.near) & ((F.col("sensor_id") == 3) | F.coalesce("conveyor_running", F.lit(False))), 1).otherwise(2)
+    symbol = F.when(d.isNull() | F.isnan(d), clear).when(~d.between(limits.least, limits.most), 2).when(d >= limits.clear, clear).otherwise(near)
+    found = states_before(samples.withColumn("__symbol", symbol), "sensor_id", "sample_no", "__symbol", [[0, 0], [1, 1], [0, 1]], "__state")
+    return found.withColumn("detected", (F.col("__symbol") == 1) & (F.col("__state") == 0)).drop("__symbol", "__state")

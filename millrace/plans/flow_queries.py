@@ -230,7 +230,16 @@ def entry_points(t: Tables) -> DataFrame:
     return system.entry_points(t.system_call).select("session_id", "arrival", "call", "accepted", "rule", "state", "pending", "pause", "recovery", "asked")
 
 
-@query("st01_sensor_registry")
+#: One event of each sensor at a time, with the ids and digests of what was accepted.
+REGISTRY = """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY arrival) AS n FROM sensor_event),
+fold AS (SELECT sensor_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, CAST(0 AS BIGINT) AS sequence, '' AS outcome, CAST(NULL AS BIGINT) AS last, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS digests FROM (SELECT DISTINCT sensor_id FROM sensor_event) s
+  UNION ALL SELECT sensor_id, n, arrival, sequence, outcome, CASE WHEN outcome = 'ACCEPTED' THEN sequence ELSE last END, CASE WHEN outcome = 'ACCEPTED' THEN list_append(ids, event_id) ELSE ids END, CASE WHEN outcome = 'ACCEPTED' THEN list_append(digests, digest) ELSE digests END
+  FROM (SELECT f.sensor_id, x.n, x.arrival, x.sequence, x.event_id, x.digest, f.last, f.ids, f.digests, CASE WHEN list_contains(f.ids, x.event_id) THEN CASE WHEN f.digests[list_position(f.ids, x.event_id)] = x.digest THEN 'DUPLICATE' ELSE 'CONFLICT' END
+      WHEN x.event_id = '' OR x.sequence < 1 OR x.sequence <= f.last THEN 'OUT_OF_ORDER' WHEN x.sequence > f.last + 1 THEN 'SEQUENCE_GAP' ELSE 'ACCEPTED' END AS outcome
+    FROM fold f JOIN numbered x ON x.sensor_id = f.sensor_id AND x.n = f.n + 1) s)"""
+
+
+@query("st01_sensor_registry", f"{REGISTRY} SELECT sensor_id, outcome, count(*) AS n FROM fold WHERE n > 0 GROUP BY sensor_id, outcome")
 def registry(t: Tables) -> DataFrame:
     return fold(t.sensor_event.withColumn("session_id", F.lit("live")).withColumn("line", F.col("sensor_id")), "line", "arrival", M.SensorRegistry).groupBy("sensor_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -243,10 +252,11 @@ def idempotency(t: Tables) -> DataFrame:
     return t.command.select("command_no", state.alias("state"))
 
 
-@query("st16_edge_detector")
+@query("st16_edge_detector", """WITH told AS (SELECT *, CASE WHEN distance_cm IS NULL THEN 'CLEAR' WHEN distance_cm < 1.5 OR distance_cm > 80 THEN 'NONE' WHEN distance_cm >= 12 THEN 'CLEAR' WHEN distance_cm <= 10 AND (sensor_id = 3 OR conveyor_running) THEN 'NEAR' ELSE 'NONE' END AS said FROM distance_sample),
+judged AS (SELECT *, said = 'NEAR' AND coalesce(last_value(CASE WHEN said <> 'NONE' THEN said END IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY sample_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'CLEAR') = 'CLEAR' AS detected FROM told)
+SELECT sensor_id, count(*) AS samples, count(*) FILTER (WHERE detected) AS detections FROM judged GROUP BY sensor_id""")
 def edges(t: Tables) -> DataFrame:
-    found = fold(t.distance_sample, "sensor_id", "sample_no", M.EdgeDetector, {"detected": T.BooleanType()})
-    return found.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("detected").alias("detections"))
+    return system.detections(t.distance_sample).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("detected").alias("detections"))
 
 
 @query("st12_reorder_buffer")

@@ -13,6 +13,7 @@ from ..operators import system
 from ..sources.tables import Tables
 from ..streaming import machines as M
 from ..streaming.fold import fold
+from .flow_queries import REGISTRY
 from .registry import query
 
 #: The same rules by subqueries over the rows before, without a window of outcomes.
@@ -41,12 +42,27 @@ def locked(t: Tables) -> DataFrame:
     return G.locked_products(G.station_outcomes(t.ledger_message))
 
 
-@query("st04_ledger_register")
+@query("st04_ledger_register", """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS n FROM registration),
+fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS outcome, CAST(0 AS BIGINT) AS last, CAST([] AS VARCHAR[]) AS ids, CAST([] AS BIGINT[]) AS places FROM (SELECT DISTINCT session_id FROM registration) s
+  UNION ALL SELECT session_id, n, arrival, outcome, CASE WHEN outcome = 'REGISTERED' THEN fifo_sequence ELSE last END, CASE WHEN outcome = 'REGISTERED' THEN list_append(ids, product_id) ELSE ids END, CASE WHEN outcome = 'REGISTERED' THEN list_append(places, fifo_sequence) ELSE places END
+  FROM (SELECT f.session_id, x.n, x.arrival, x.product_id, x.fifo_sequence, f.last, f.ids, f.places, CASE WHEN x.product_id = '' OR x.fifo_sequence < 1 THEN 'INVALID' WHEN list_contains(f.ids, x.product_id) THEN CASE WHEN f.places[list_position(f.ids, x.product_id)] = x.fifo_sequence THEN 'KNOWN' ELSE 'ID_CONFLICT' END
+      WHEN list_contains(f.places, x.fifo_sequence) THEN 'SEQUENCE_CONFLICT' WHEN x.fifo_sequence <= f.last THEN 'NOT_RISING' ELSE 'REGISTERED' END AS outcome
+    FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1) s)
+SELECT session_id, arrival, outcome FROM fold WHERE n > 0""")
 def register(t: Tables) -> DataFrame:
     return fold(t.registration, "session_id", "arrival", M.LedgerRegister).select("session_id", "arrival", "outcome")
 
 
-@query("st05_station_cycle")
+@query("st05_station_cycle", """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY product_id, station_id ORDER BY arrival) AS n FROM cycle_event),
+fold AS (SELECT product_id, station_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, '' AS outcome, 'PENDING' AS state, '' AS pos, '' AS cap, '' AS cmd FROM (SELECT DISTINCT product_id, station_id FROM cycle_event) s
+  UNION ALL SELECT product_id, station_id, n, arrival, outcome, CASE WHEN outcome <> 'OK' THEN state ELSE CASE event WHEN 'BEGIN' THEN 'POSITIONING' WHEN 'SETTLED' THEN 'POSITION_SETTLED' WHEN 'REQUESTED' THEN 'CAPTURE_REQUESTED' WHEN 'SUCCEEDED' THEN 'CAPTURE_COMPLETED' WHEN 'RESET' THEN 'PENDING' ELSE 'FAILED' END END,
+    CASE WHEN outcome = 'OK' AND event = 'RESET' THEN '' WHEN outcome = 'OK' AND event = 'BEGIN' THEN position_command ELSE pos END, CASE WHEN outcome = 'OK' AND event = 'RESET' THEN '' WHEN outcome = 'OK' AND event = 'BEGIN' THEN capture_id ELSE cap END, CASE WHEN outcome = 'OK' AND event = 'RESET' THEN '' WHEN outcome = 'OK' AND event = 'REQUESTED' THEN capture_command ELSE cmd END
+  FROM (SELECT f.*  EXCLUDE (n, arrival, outcome), x.n, x.arrival, x.event, x.position_command, x.capture_id, x.capture_command,
+    CASE WHEN x.event = 'BEGIN' THEN CASE WHEN f.state = 'PENDING' THEN 'OK' ELSE 'REFUSED' END WHEN x.event = 'RESET' THEN CASE WHEN f.state IN ('CAPTURE_COMPLETED', 'FAILED') THEN 'REFUSED' ELSE 'OK' END
+      WHEN x.event = 'SETTLED' THEN CASE WHEN x.position_command <> f.pos THEN 'IDENTITY' WHEN f.state = 'POSITIONING' THEN 'OK' ELSE 'REPEAT' END
+      WHEN x.capture_id <> f.cap THEN 'IDENTITY' WHEN x.event = 'REQUESTED' THEN CASE WHEN f.state = 'CAPTURE_REQUESTED' THEN CASE WHEN x.capture_command = f.cmd THEN 'REPEAT' ELSE 'IDENTITY' END WHEN f.state = 'POSITION_SETTLED' THEN 'OK' ELSE 'REFUSED' END ELSE 'OK' END AS outcome
+    FROM fold f JOIN numbered x ON x.product_id = f.product_id AND x.station_id = f.station_id AND x.n = f.n + 1) s)
+SELECT product_id, station_id, arrival, outcome, state FROM fold WHERE n > 0""")
 def cycle(t: Tables) -> DataFrame:
     rows = t.cycle_event.withColumn("station", F.concat_ws("/", F.col("product_id").cast("string"), F.col("station_id").cast("string")))
     return fold(rows, "station", "arrival", M.StationCycle).select("product_id", "station_id", "arrival", "outcome", "state")
@@ -64,7 +80,7 @@ def actuation_steps(t: Tables) -> DataFrame:
     return fold(t.actuation_event, "product_id", "arrival", M.ActuationSteps).select("product_id", "arrival", "outcome", "state")
 
 
-@query("st02_sensor_actions")
+@query("st02_sensor_actions", f"{REGISTRY} SELECT sensor_id, arrival, outcome, CASE WHEN outcome = 'ACCEPTED' AND sequence % 2 = 1 THEN 'PROCESS' WHEN outcome IN ('ACCEPTED', 'DUPLICATE') THEN 'IGNORE' ELSE 'FAULT_STOP' END AS action FROM fold WHERE n > 0")
 def sensor_actions(t: Tables) -> DataFrame:
     """The registry judges first; only of what it accepts the edges count."""
     judged = fold(t.sensor_event.withColumn("line", F.col("sensor_id")), "line", "arrival", M.SensorRegistry)

@@ -73,6 +73,14 @@ def test_machines_agree_with_their_folds(many):
     assert told == {(k, i): machines.setdefault(k, M.QueuePauses()).take({"kind": kind, "paused": p, "frozen": f}) for k, i, kind, p, f in messages}
 
 
+def test_detections_agree_with_their_fold(many):
+    draw = random.Random(6)
+    rows = [(draw.choice([1, 2, 3]), i, draw.choice([None, float("nan"), 0.5, 1.5, 5.0, 10.0, 11.0, 12.0, 50.0, 90.0]), draw.random() < 0.7) for i in range(900)]
+    found = {(r.sensor_id, r.sample_no): r.detected for r in S.detections(many.createDataFrame(rows, "sensor_id int, sample_no long, distance_cm double, conveyor_running boolean")).collect()}
+    machines = {}
+    assert found == {(k, i): machines.setdefault(k, M.EdgeDetector()).take({"sensor_id": k, "distance_cm": d, "conveyor_running": c})[0] for k, i, d, c in rows}
+
+
 def test_entry_points_by_hand(spark):
     steps = [
         ("run", True, False, "BOOT", False, "", "NONE", ""),
