@@ -116,6 +116,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+#: The same words in DuckDB's SQL, of a column ``text``.
+WORDS_SQL = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words that spreads all bits."""
     x = (x ^ (x >> np.uint64(32))) * _ODD[1]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, shingle_hashes, words_of
+from .common import SHINGLE_WORDS, WORDS_SQL, shingle_hashes, words_of
 
 SHARE = (80, 100)
 HASHES = 48
@@ -273,3 +273,13 @@ def op6_decontaminate_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return contained_items(docs, items).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+#: Shingles of items and documents joined as text.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE text IS NOT NULL),
+grams AS (SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda p: array_to_string(w[p : p + 4], ' '))) AS g FROM i WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS n_item FROM grams GROUP BY item_id),
+held AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, CAST(len(w) - width + 2 AS BIGINT)), lambda p: array_to_string(w[p : p + width - 1], ' '))) AS g FROM d, (SELECT DISTINCT width FROM grams) x)
+SELECT h.doc_id, s.item_id, s.n_item, count(*) AS n_shared, count(*) / s.n_item AS containment FROM held h JOIN grams g ON g.width = h.width AND g.g = h.g JOIN sizes s ON s.item_id = g.item_id GROUP BY h.doc_id, s.item_id, s.n_item HAVING count(*) * 100 >= 80 * s.n_item
+"""

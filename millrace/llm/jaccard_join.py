@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, filter_place, forget, id_filter, materialise, mix64, shingle_set, sizes_of, words_of
+from .common import WORDS_SQL, arrow_rows, filter_place, forget, id_filter, materialise, mix64, shingle_set, sizes_of, words_of
 from .components import components
 
 PERCENT = 80
@@ -635,3 +635,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op9_jaccard_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: All pairs that share a shingle, and what can be reached over the links.
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda p: array_to_string(w[p : p + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs p JOIN sizes s ON s.doc_id = p.x JOIN sizes t ON t.doc_id = p.y WHERE 100 * c >= 80 * (s.n + t.n - c)), ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.y FROM reach r JOIN ends b ON b.x = r.other)
+SELECT r.doc_id, any_value(coalesce(s.n, 0)) AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -28,4 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_digests": url_filter.ORACLE_SQL, "op4_topk_kdtree": topk.ORACLE_SQL, "op11_rolling_median": rolling_median.ORACLE_SQL}
+    return {
+        "op2_url_digests": url_filter.ORACLE_SQL,
+        "op4_topk_kdtree": topk.ORACLE_SQL,
+        "op6_decontaminate_minhash": decontamination.ORACLE_SQL,
+        "op9_jaccard_partition": jaccard_join.ORACLE_SQL,
+        "op11_rolling_median": rolling_median.ORACLE_SQL,
+    }
