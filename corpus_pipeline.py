@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard_join, packing, pii, quality
-from millrace.llm.common import fold_of, materialise, with_row_key, without_ids
+from millrace.llm.common import fold_of, forget, materialise, with_row_key, without_ids
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,6 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written to shared storage and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
