@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import execution as X
+from ..operators import manifest as M
 from ..sources.tables import Tables
 from .registry import query
 
@@ -81,3 +82,53 @@ def snapshots(t: Tables) -> DataFrame:
 @query("st29_sensor_identities", "SELECT arrival, CASE WHEN sensor_event <> arg_min(sensor_event, arrival) OVER w THEN 'CONFLICT' WHEN arrival > min(arrival) OVER w THEN 'KEPT' ELSE 'RECORDED' END AS outcome FROM sensor_pass WINDOW w AS (PARTITION BY product_id, sensor_index)")
 def sensor_identities(t: Tables) -> DataFrame:
     return X.sensor_identities(t.sensor_pass).select("arrival", "outcome")
+
+
+VIEW_LIST = "['CAM_A_1', 'CAM_A_2', 'CAM_A_3', 'CAM_B_1']"
+
+
+def _each(condition: str, names: tuple[str, ...] = ("CAM_A_1", "CAM_A_2", "CAM_A_3", "CAM_B_1")) -> str:
+    """The condition with every name in place of @."""
+    return "(" + " AND ".join(f"coalesce({condition.replace('@', n)}, FALSE)" for n in names) + ")"
+
+
+def _same_keys(path: str, names: str) -> str:
+    return f"list_sort(json_keys(text, '$.{path}')) = list_sort({names})"
+
+
+N = "CAST(json_extract(text, '$.{}') AS DOUBLE)"
+T = "json_extract_string(text, '$.{}')"
+C = "json_extract(text, '$.candidate_selection.candidates')"
+PICK = f"list_filter(CAST({C} AS JSON[]), lambda c: json_extract_string(c, '$.candidate_id') = {T.format('candidate_selection.selected_candidate_id')})"
+MANIFEST = {
+    "format": f"{N.format('format_version')} = 3",
+    "identity": f"{T.format('algorithm')} = 'patchcore' AND {T.format('artifact_name')} = 'm1'",
+    "views": f"CAST(json_extract(text, '$.view_names') AS VARCHAR[]) = {VIEW_LIST}",
+    "view keys": " AND ".join(_same_keys(p, VIEW_LIST) for p in ("thresholds", "patch_grid_shapes", "memory_bank_shapes", "calibration_b_scores")),
+    "policy": _same_keys("spatial_scoring_policy", "['normalization', 'aggregation', 'decision']"),
+    "option": f"{N.format('spatial_scoring_policy.normalization.epsilon_ratio')} IN (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.2)",
+    "decision": f"{T.format('spatial_scoring_policy.decision.comparison')} = 'strict_greater_than' AND {N.format('spatial_scoring_policy.decision.target_product_fpr')} = 0.1",
+    "threshold": _each(N.format("thresholds.@") + " > 0"),
+    "scores": _each("json_array_length(text, '$.calibration_b_scores.@') >= 3 AND len(list_filter(CAST(json_extract(text, '$.calibration_b_scores.@') AS DOUBLE[]), lambda x: x IS NULL)) = 0"),
+    "shapes": _each("list_min(CAST(json_extract(text, '$.patch_grid_shapes.@') AS BIGINT[])) >= 1 AND list_min(CAST(json_extract(text, '$.memory_bank_shapes.@') AS BIGINT[])) >= 1"),
+    "selection": f"len({PICK}) = 1",
+    "candidate": f"json_extract_string({PICK}[1], '$.status') = 'valid' AND CAST(json_extract({PICK}[1], '$.eligible_for_selection') AS BOOLEAN) AND json_extract({PICK}[1], '$.thresholds') = json_extract(text, '$.thresholds') AND CAST(json_extract({PICK}[1], '$.threshold_percentile') AS DOUBLE) = {N.format('spatial_scoring_policy.decision.threshold_percentile')} AND CAST(json_extract({PICK}[1], '$.calibration_product_fpr') AS DOUBLE) <= 0.1 AND CAST(json_extract({PICK}[1], '$.validation_metrics.fpr') AS DOUBLE) <= 0.1",
+    "provenance": _each(f"{N.format('dataset_provenance.@.file_count')} = 4 * {N.format('dataset_provenance.@.product_count')} AND regexp_full_match({T.format('dataset_provenance.@.sha256')}, '[0-9a-f]{{64}}')", ("calibration_a", "calibration_b", "validation_normal", "validation_anomaly")),
+    "libraries": "list_has_all(json_keys(text, '$.library_versions'), ['torch', 'torchvision'])",
+    "samples": f"{N.format('calibration_b_sample_policy.actual')} = json_array_length(text, '$.calibration_b_scores.CAM_A_1')",
+    "benchmark": f"{N.format('parallel_benchmark.selected_parallel_count')} BETWEEN 1 AND 3 AND CAST({T.format('parallel_benchmark.all_view_memory_safety.memory_safe')} AS BOOLEAN)",
+}
+RULES = " ".join(f"WHEN NOT coalesce({rule}, FALSE) THEN '{name}'" for name, rule in MANIFEST.items())
+
+
+@query("f21_manifest", f"SELECT manifest_no, CASE WHEN NOT json_valid(text) OR coalesce(json_type(CASE WHEN json_valid(text) THEN text END), '') <> 'OBJECT' THEN 'root' ELSE (SELECT CASE {RULES} END) END AS error FROM (SELECT manifest_no, text AS raw, CASE WHEN json_valid(text) THEN text ELSE '{{}}' END AS text FROM manifest) m".replace("NOT json_valid(text) OR", "NOT json_valid(raw) OR"))
+def manifests(t: Tables) -> DataFrame:
+    """The first rule that each manifest breaks, with three scores a view as enough."""
+    return M.with_manifest_error(t.manifest, F.lit("m1"), 3).select("manifest_no", "error")
+
+
+@query("c28_json_safe", "SELECT event_id, '{\"' || CAST(event_id % 7 AS VARCHAR) || '\":{\"' || CAST(user_id AS VARCHAR) || '\":[{\"n\":' || CAST(event_id AS VARCHAR) || ',\"none\":null},null]}}' AS text FROM events")
+def safe_json(t: Tables) -> DataFrame:
+    """Maps within maps whose keys are numbers."""
+    listed = F.array(F.struct(F.col("event_id").alias("n"), F.lit(None).cast("string").alias("none")), F.lit(None))
+    return t.events.select("event_id", M.json_safe(F.create_map(F.col("event_id") % 7, F.create_map(F.col("user_id"), listed))).alias("text"))

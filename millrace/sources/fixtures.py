@@ -244,6 +244,10 @@ FIXTURES: dict[str, str] = {
           CASE WHEN CAST(floor(event_id / 16) AS BIGINT) % 17 = 0 THEN 0.0 ELSE 1.5 END AS scale_reference, CAST(CASE WHEN CAST(floor(event_id / 16) AS BIGINT) % 13 = 0 THEN 1 ELSE 40 END AS INT) AS sample_count FROM {events} WHERE event_id % 229 <> 0""",
     "queue_message": """
         SELECT 's' || CAST(user_id % 5 AS {text}) AS session_id, event_id AS arrival, CASE CAST(event_id * 7 % 5 AS INT) WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'ACCEPTING' WHEN 2 THEN 'STOPPED' WHEN 3 THEN 'BLOCKED' ELSE 'ACCEPTING' END AS kind, event_id % 3 = 0 AS paused, event_id % 23 = 0 AS frozen FROM {events}""",
+    # manifests of artifacts, each kind of damage for one prime
+    "manifest": """
+        SELECT event_id AS manifest_no, CASE WHEN event_id % 127 = 0 THEN '[' || t || ']' WHEN event_id % 131 = 0 THEN substr(t, 2) ELSE replace(t, 'DIGEST', CASE WHEN event_id % 137 = 0 THEN 'XYZ' ELSE h END) END AS text FROM (
+          SELECT event_id, h, replace(replace(replace(replace(replace(t, CASE WHEN event_id % 101 = 0 THEN '"actual":3' ELSE '#' END, '"actual":4'), CASE WHEN event_id % 103 = 0 THEN '"selected_parallel_count":2' ELSE '#' END, '"selected_parallel_count":4'), CASE WHEN event_id % 107 = 0 THEN '"memory_safe":true' ELSE '#' END, '"memory_safe":false'), CASE WHEN event_id % 109 = 0 THEN '"thresholds":{{"CAM_A_1":1.5,"CAM_A_2":1.5,"CAM_A_3":1.5,"CAM_B_1":1.5}},"threshold_p' ELSE '#' END, '"thresholds":{{"CAM_A_1":1.5,"CAM_A_2":1.5,"CAM_A_3":1.5,"CAM_B_1":2.5}},"threshold_p'), CASE WHEN event_id % 113 = 0 THEN '"artifact_name":"m1"' ELSE '#' END, '"artifact_name":7') AS t FROM (SELECT event_id, h, replace(replace(replace(replace(replace(t, CASE WHEN event_id % 73 = 0 THEN '"candidate_id":"c6"' ELSE '#' END, '"candidate_id":"c7"'), CASE WHEN event_id % 79 = 0 THEN '"status":"valid"' ELSE '#' END, '"status":"stale"'), CASE WHEN event_id % 83 = 0 THEN '"fpr":0.08' ELSE '#' END, '"fpr":0.3'), CASE WHEN event_id % 89 = 0 THEN '"file_count":100' ELSE '#' END, '"file_count":99'), CASE WHEN event_id % 97 = 0 THEN '"torch":"2.1",' ELSE '#' END, '') AS t FROM (SELECT event_id, h, replace(replace(replace(replace(replace(t, CASE WHEN event_id % 53 = 0 THEN '"epsilon_ratio":0.1}}' ELSE '#' END, '"epsilon_ratio":7}}'), CASE WHEN event_id % 59 = 0 THEN '"target_product_fpr":0.1' ELSE '#' END, '"target_product_fpr":0.2'), CASE WHEN event_id % 61 = 0 THEN '"CAM_B_1":1.5}},"patch' ELSE '#' END, '"CAM_B_1":-1.5}},"patch'), CASE WHEN event_id % 67 = 0 THEN '"CAM_A_2":[0.5,0.25,1.0]' ELSE '#' END, '"CAM_A_2":[0.5,null,1.0]'), CASE WHEN event_id % 71 = 0 THEN '"CAM_A_1":[4,4]' ELSE '#' END, '"CAM_A_1":[4,0]') AS t FROM (SELECT event_id, h, replace(replace(replace(replace(replace(t, CASE WHEN event_id % 31 = 0 THEN '"format_version":3' ELSE '#' END, '"format_version":2'), CASE WHEN event_id % 37 = 0 THEN '"algorithm":"patchcore"' ELSE '#' END, '"algorithm":"other"'), CASE WHEN event_id % 41 = 0 THEN '"CAM_A_3","CAM_B_1"]' ELSE '#' END, '"CAM_B_1","CAM_A_3"]'), CASE WHEN event_id % 43 = 0 THEN '"thresholds":{{"CAM_A_1":1.5,' ELSE '#' END, '"thresholds":{{"CAM_X":1.5,'), CASE WHEN event_id % 47 = 0 THEN '"decision":{{' ELSE '#' END, '"choice":{{') AS t FROM (SELECT event_id, sha256_hex(props) AS h, '{{"format_version":3,"algorithm":"patchcore","artifact_name":"m1","view_names":["CAM_A_1","CAM_A_2","CAM_A_3","CAM_B_1"],"thresholds":{{"CAM_A_1":1.5,"CAM_A_2":1.5,"CAM_A_3":1.5,"CAM_B_1":1.5}},"patch_grid_shapes":{{"CAM_A_1":[4,4],"CAM_A_2":[4,4],"CAM_A_3":[4,4],"CAM_B_1":[4,4]}},"memory_bank_shapes":{{"CAM_A_1":[48,16],"CAM_A_2":[48,16],"CAM_A_3":[48,16],"CAM_B_1":[48,16]}},"calibration_b_scores":{{"CAM_A_1":[0.5,0.25,1.0],"CAM_A_2":[0.5,0.25,1.0],"CAM_A_3":[0.5,0.25,1.0],"CAM_B_1":[0.5,0.25,1.0]}},"spatial_scoring_policy":{{"normalization":{{"method":"epsilon","epsilon_ratio":0.1}},"aggregation":{{"method":"percentile","percentile":99.5}},"decision":{{"comparison":"strict_greater_than","view_score_normalization":"divide_by_threshold","target_product_fpr":0.1,"threshold_percentile":97.5}}}},"candidate_selection":{{"selected_candidate_id":"c7","candidates":[{{"candidate_id":"c6","status":"failed"}},{{"candidate_id":"c7","status":"valid","eligible_for_selection":true,"thresholds":{{"CAM_A_1":1.5,"CAM_A_2":1.5,"CAM_A_3":1.5,"CAM_B_1":1.5}},"threshold_percentile":97.5,"calibration_product_fpr":0.05,"validation_metrics":{{"fpr":0.08}}}}]}},"dataset_provenance":{{"calibration_a":{{"product_count":25,"file_count":100,"sha256":"DIGEST"}},"calibration_b":{{"product_count":25,"file_count":100,"sha256":"DIGEST"}},"validation_normal":{{"product_count":25,"file_count":100,"sha256":"DIGEST"}},"validation_anomaly":{{"product_count":25,"file_count":100,"sha256":"DIGEST"}}}},"library_versions":{{"torch":"2.1","torchvision":"0.16"}},"calibration_b_sample_policy":{{"minimum":100,"recommended":1000,"actual":3}},"parallel_benchmark":{{"selected_parallel_count":2,"reserve_mib":512,"warmup_runs":3,"benchmark_runs":20,"min_speedup_percent":5.0,"candidates":[1,2,3],"all_view_memory_safety":{{"memory_safe":true}}}}}}' AS t FROM {events}) d0) d5) d10) d15) m""",
     "version_pair": """
         SELECT event_id AS entry_no, '2.' || CAST(user_id % 4 AS {text}) || '.0' || CASE WHEN event_id % 3 = 0 THEN '+cu12' ELSE '' END AS required,
           '2.' || CAST(CASE WHEN event_id % 5 = 0 THEN event_id ELSE user_id END % 4 AS {text}) || '.0' || CASE WHEN event_id % 2 = 0 THEN '+cu12' WHEN event_id % 7 = 0 THEN '+cpu' ELSE '' END AS installed FROM {events}""",
