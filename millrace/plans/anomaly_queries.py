@@ -347,7 +347,11 @@ def versions(t: Tables) -> DataFrame:
     return t.version_pair.select("entry_no", X.library_check(F.col("required"), F.col("installed")).alias("state"))
 
 
-@query("c07_serial_frames")
+#: The check value bit by bit over the bytes of a body.
+CRC = "list_reduce(list_prepend(65535, list_transform(range(1, length(body) + 1), lambda p: CAST(ascii(body[p]) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(CAST(c AS BIGINT), b * 256), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 32768 <> 0 THEN xor(x * 2, 4129) ELSE x * 2 END & 65535))"
+
+
+@query("c07_serial_frames", f"SELECT event_id, body || '|' || printf('%04X', {CRC}) || chr(10) AS line, CAST(CASE WHEN event_id % 9 = 0 THEN 0 ELSE len(string_split(body, '|')) END AS INT) AS fields FROM serial_line")
 def frames(t: Tables) -> DataFrame:
     rows = t.serial_line
     line = X.encode_frame(F.col("body"))

@@ -259,7 +259,12 @@ def edges(t: Tables) -> DataFrame:
     return system.detections(t.distance_sample).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("detected").alias("detections"))
 
 
-@query("st12_reorder_buffer")
+@query("st12_reorder_buffer", """WITH RECURSIVE numbered AS (SELECT 's' || CAST(user_id % 5 AS VARCHAR) AS session_id, event_id * 37 % 301 + 1 AS place, event_id AS arrival, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events WHERE event_id % 311 <> 7),
+fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, CAST([] AS BIGINT[]) AS released, CAST([] AS BIGINT[]) AS held, CAST(1 AS BIGINT) AS next FROM (SELECT DISTINCT session_id FROM numbered) s
+  UNION ALL SELECT session_id, n, arrival, range(next, missing), list_filter(waiting, lambda x: x >= missing), missing
+  FROM (SELECT *, list_min(list_filter(range(next, next + len(waiting) + 1), lambda x: NOT list_contains(waiting, x))) AS missing FROM (
+    SELECT f.session_id, x.n, x.arrival, f.next, CASE WHEN x.place < f.next OR list_contains(f.held, x.place) THEN f.held ELSE list_append(f.held, x.place) END AS waiting FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1) a) b)
+SELECT session_id, arrival, released FROM fold WHERE len(released) > 0""")
 def reorder(t: Tables) -> DataFrame:
     rows = t.events.where("event_id % 311 <> 7").select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("session_id"), (F.col("event_id") * 37 % 301 + 1).alias("fifo_sequence"), F.col("event_id").alias("arrival"))
     return fold(rows, "session_id", "arrival", M.ReorderBuffer, {"released": T.ArrayType(T.LongType())}).where(F.size("released") > 0).select("session_id", "arrival", "released")
