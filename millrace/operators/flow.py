@@ -161,3 +161,20 @@ def neighbours(line: DataFrame, order: str, value: str, width: int = 100_000) ->
     line_up = W.orderBy("stretch")
     across = ends.select(F.col("last")[order].alias(order), (-F.col("last")["col2"]).alias(value), F.lead(F.col("first")[order]).over(line_up).alias("follows"), (-F.lead(F.col("first")["col2"]).over(line_up)).alias("next_state"))
     return inside.unionByName(across.where("follows IS NOT NULL"))
+
+
+def retirement(messages: DataFrame, removals: DataFrame, keep_ms: int = 600_000, tombstones: int = 4096) -> DataFrame:
+    """``messages`` (session_id, product_id, at_ms) with life: ACTIVE before the product's removal, REMOVED while its record is kept, RETIRED while its tombstone is, then FORGOTTEN.
+
+    ``removals``: session_id, product_id, removed_ms, one row for each product that was removed. A record is kept for ``keep_ms``; then a tombstone takes its place, and a session
+    keeps the last ``tombstones`` of them, in the order of their retirement, then of their names. A product retires at its time, whether or not messages come. Only counts by window, no state.
+    """
+    own = W.partitionBy("session_id").orderBy("retired_ms", "product_id")
+    gone = removals.select("session_id", "product_id", "removed_ms", (F.col("removed_ms") + keep_ms).alias("retired_ms"))
+    placed = gone.withColumn("place", F.row_number().over(own))
+    moments = messages.select("session_id", "at_ms").distinct().select("session_id", "at_ms", F.lit(0).alias("retired")).unionByName(gone.select("session_id", F.col("retired_ms").alias("at_ms"), F.lit(1).alias("retired")))
+    upto = W.partitionBy("session_id").orderBy("at_ms").rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = moments.withColumn("passed", F.sum("retired").over(upto)).where("retired = 0").select("session_id", "at_ms", "passed")
+    rows = messages.join(counted, ["session_id", "at_ms"]).join(placed, ["session_id", "product_id"], "left")
+    life = F.when(F.col("removed_ms").isNull() | (F.col("at_ms") < F.col("removed_ms")), "ACTIVE").when(F.col("at_ms") < F.col("retired_ms"), "REMOVED").when(F.col("place") > F.col("passed") - tombstones, "RETIRED").otherwise("FORGOTTEN")
+    return rows.withColumn("life", life).select(*messages.columns, "life")

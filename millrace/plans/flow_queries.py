@@ -66,6 +66,18 @@ def late(t: Tables) -> DataFrame:
     return classified(t).select("message_id", "outcome", "defect")
 
 
+#: Tombstones of the registered query: few, so that some products are forgotten.
+TOMBSTONES = 8
+
+
+@query("st13_retirement", f"""WITH gone AS (SELECT *, removed_ms + 600000 AS retired_ms, row_number() OVER (PARTITION BY session_id ORDER BY removed_ms, product_id) AS place FROM removal)
+SELECT m.message_id, CASE WHEN g.removed_ms IS NULL OR m.at_ms < g.removed_ms THEN 'ACTIVE' WHEN m.at_ms < g.retired_ms THEN 'REMOVED' WHEN g.place > (SELECT count(*) FROM gone x WHERE x.session_id = m.session_id AND x.retired_ms <= m.at_ms) - {TOMBSTONES} THEN 'RETIRED' ELSE 'FORGOTTEN' END AS life
+FROM product_message m LEFT JOIN gone g ON g.session_id = m.session_id AND g.product_id = m.product_id""")
+def retired(t: Tables) -> DataFrame:
+    """What the line still knows of each message's product."""
+    return L.retirement(t.product_message, t.removal, tombstones=TOMBSTONES).select("message_id", "life")
+
+
 @query("st11_outcome_actions", f"SELECT action, count(*) AS n FROM ({MESSAGES}) x JOIN (VALUES " + ", ".join(f"('{o}', '{a}')" for o, a in L.ACTIONS) + ") a(o, action) ON a.o = x.outcome GROUP BY action")
 def actions(t: Tables) -> DataFrame:
     table = t.spark.createDataFrame(L.ACTIONS, "outcome string, action string")

@@ -120,6 +120,10 @@ FIXTURES: dict[str, str] = {
         SELECT product_id, station_id, max(capture_id) AS active_capture_id FROM {station_terminal} WHERE revision % 31 <> 0 AND revision % 29 <> 0 GROUP BY product_id, station_id""",
     "retired_product": """
         SELECT product_id, fifo_sequence FROM {product_terminal} WHERE fifo_sequence % 34 = 0""",
+    "removal": """
+        SELECT 's' || CAST(user_id % 5 AS {text}) AS session_id, 'P-' || lpad(CAST(user_id AS {text}), 6, '0') AS product_id, min(event_id) * 1000 + user_id % 7 AS removed_ms FROM {events} WHERE user_id % 4 <> 1 GROUP BY user_id""",
+    "product_message": """
+        SELECT event_id AS message_id, 's' || CAST(user_id % 5 AS {text}) AS session_id, 'P-' || lpad(CAST(user_id AS {text}), 6, '0') AS product_id, event_id * 1000 AS at_ms FROM {events}""",
     "station_message": """
         SELECT event_id AS message_id, 'P-' || lpad(CAST(user_id AS {text}), 6, '0') AS product_id, user_id AS fifo_sequence, CAST(CASE WHEN event_id % 211 = 0 THEN 7 ELSE 1 + event_id % 2 END AS INT) AS station_id_raw,
           'cap-' || CAST(CASE WHEN event_id % 5 = 0 THEN event_id ELSE event_id - event_id % 5 END AS {text}) AS capture_id_near, 'cap-' || CAST(event_id AS {text}) AS capture_id,
