@@ -178,3 +178,12 @@ def retirement(messages: DataFrame, removals: DataFrame, keep_ms: int = 600_000,
     rows = messages.join(counted, ["session_id", "at_ms"]).join(placed, ["session_id", "product_id"], "left")
     life = F.when(F.col("removed_ms").isNull() | (F.col("at_ms") < F.col("removed_ms")), "ACTIVE").when(F.col("at_ms") < F.col("retired_ms"), "REMOVED").when(F.col("place") > F.col("passed") - tombstones, "RETIRED").otherwise("FORGOTTEN")
     return rows.withColumn("life", life).select(*messages.columns, "life")
+
+
+def oldest_in_states(ledger: DataFrame) -> DataFrame:
+    """physical_state, oldest, behind: of the products not removed, the first of each state, and the first of those before it that are in a lower one (null if none is)."""
+    active = ledger.where("NOT removed")
+    oldest = active.groupBy("physical_state").agg(F.min("fifo_sequence").alias("oldest"))
+    limits = F.broadcast(oldest.withColumnRenamed("physical_state", "state"))  # a row for each state that there is
+    late = active.join(limits, (F.col("fifo_sequence") < F.col("oldest")) & (F.col("physical_state") < F.col("state"))).groupBy("state").agg(F.min_by("product_id", "fifo_sequence").alias("behind"))
+    return oldest.join(late.withColumnRenamed("state", "physical_state"), "physical_state", "left").select("physical_state", "oldest", "behind")

@@ -235,6 +235,25 @@ def ng(t: Tables) -> DataFrame:
     return rounded(t.events.select("event_id", (v > 50).alias("ng"), (v / 50).alias("score"), (v / 50 >= 1 - 0.05).alias("ng_with_margin")))
 
 
+@query("f18_margin_predicate", "SELECT event_id, CASE WHEN threshold <= 0.000001 THEN 'threshold' END AS error, CASE WHEN threshold > 0.000001 THEN raw / threshold >= 1.0 - margin END AS ng FROM raw_score")
+def margin(t: Tables) -> DataFrame:
+    """A score at its boundary counts as NG; a threshold that is no more than the epsilon is an error."""
+    fine = F.col("threshold") > 0.000001
+    return t.raw_score.select("event_id", F.when(~fine, "threshold").alias("error"), F.when(fine, F.col("raw") / F.when(fine, F.col("threshold")) >= 1.0 - F.col("margin")).alias("ng"))
+
+
+@query("s09_png_index", """WITH p AS (SELECT split, view, filename FROM image_file WHERE lower(filename) LIKE '%.png'), c AS (SELECT split, view, lower(filename) AS folded, count(DISTINCT filename) AS names FROM p GROUP BY ALL)
+SELECT *, CASE WHEN files = 0 THEN 'empty' WHEN collision IS NOT NULL THEN 'collision' END AS error FROM (
+  SELECT f.split, f.view, (SELECT count(DISTINCT filename) FROM p WHERE p.split = f.split AND p.view = f.view) AS files, (SELECT min(folded) FROM c WHERE c.split = f.split AND c.view = f.view AND names > 1) AS collision
+  FROM (SELECT DISTINCT split, view FROM image_file) f) g""")
+def png_index(t: Tables) -> DataFrame:
+    """Folders by their PNG files, whatever the suffix's case: none, or names that differ in their case alone, are errors."""
+    name = F.when(F.lower("filename").endswith(".png"), F.col("filename"))
+    folded = t.image_file.groupBy("split", "view", F.lower(name).alias("folded")).agg(F.count_distinct(name).alias("names"))
+    found = folded.groupBy("split", "view").agg(F.sum("names").alias("files"), F.min(F.when(F.col("names") > 1, F.col("folded"))).alias("collision"))
+    return found.withColumn("error", F.when(F.col("files") == 0, "empty").when(F.col("collision").isNotNull(), "collision"))
+
+
 @query("a11_or_over_views", "SELECT user_id, bool_or(value > 99) AS ng, round(max(value / 50), 6) AS station_score FROM events GROUP BY user_id")
 def any_view(t: Tables) -> DataFrame:
     return rounded(t.events.groupBy("user_id").agg(F.bool_or(F.col("value") > 99).alias("ng"), F.max(F.col("value") / 50).alias("station_score")))

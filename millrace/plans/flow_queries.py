@@ -142,6 +142,13 @@ def oldest(t: Tables) -> DataFrame:
     return t.ledger.where("NOT removed").groupBy("physical_state").agg(F.min("fifo_sequence").alias("oldest"), F.min_by("product_id", "fifo_sequence").alias("product_id"))
 
 
+@query("t09_oldest_or_behind", """WITH a AS (SELECT * FROM ledger WHERE NOT removed), o AS (SELECT physical_state, min(fifo_sequence) AS oldest FROM a GROUP BY physical_state)
+SELECT physical_state, oldest, (SELECT arg_min(product_id, fifo_sequence) FROM a WHERE a.fifo_sequence < o.oldest AND a.physical_state < o.physical_state) AS behind FROM o""")
+def oldest_or_behind(t: Tables) -> DataFrame:
+    """The oldest product of each state, and the first earlier product that hasn't come as far: then the state is not to be served."""
+    return L.oldest_in_states(t.ledger)
+
+
 @query("t05_queue_order", "SELECT job_id FROM inference_job ORDER BY fifo_sequence, enqueued_ns, station_id")
 def queue_order(t: Tables) -> DataFrame:
     return t.inference_job.orderBy("fifo_sequence", "enqueued_ns", "station_id").select("job_id")

@@ -82,6 +82,12 @@ def capture_candidates(t: Tables) -> DataFrame:
     return t.capture_timing.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("acquisition_ms") * 2 + F.col("save_ms") + F.col("validation_ms")).alias("mean_candidate_ms"))
 
 
+@query("s07_capture_samples", "SELECT capture_id, round(acquisition_ms * 2 + save_ms + validation_ms, 6) AS timeout_candidate_ms FROM capture_timing WHERE session_id = 's3'")
+def capture_samples(t: Tables) -> DataFrame:
+    candidate = F.col("acquisition_ms") * 2 + F.col("save_ms") + F.col("validation_ms")
+    return t.capture_timing.where("session_id = 's3'").select("capture_id", F.round(candidate, 6).alias("timeout_candidate_ms"))
+
+
 @query("a27_product_totals", f"SELECT session_id, count(product_total_ms) AS n, avg(product_total_ms) AS mean_ms, quantile_disc(product_total_ms, 0.999) AS p999_ms FROM ({REPORT}) r GROUP BY session_id")
 def totals(t: Tables) -> DataFrame:
     return session_report(t).groupBy("session_id").agg(F.count("product_total_ms").alias("n"), F.avg("product_total_ms").alias("mean_ms"), F.expr("percentile_disc(0.999) WITHIN GROUP (ORDER BY product_total_ms)").alias("p999_ms"))

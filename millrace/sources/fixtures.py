@@ -167,6 +167,12 @@ FIXTURES: dict[str, str] = {
         SELECT vec_id, CASE v WHEN 0 THEN 'CAM_A_1' WHEN 1 THEN 'CAM_A_2' WHEN 2 THEN 'CAM_A_3' ELSE 'CAM_B_1' END AS view, CASE vec_id % 5 WHEN 0 THEN 'calibration_set_A' WHEN 1 THEN 'calibration_set_B' WHEN 2 THEN 'validation_normal' WHEN 3 THEN 'validation_anomaly' ELSE 'test' END AS split,
           'p' || CAST(vec_id AS {text}) || CASE WHEN vec_id % 77 = 0 THEN '.PNG' WHEN vec_id % 79 = 0 THEN '.txt' ELSE '.png' END AS filename
         FROM {embeddings} e, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) w WHERE NOT (vec_id % 101 = 0 AND v = 2)""",
+    # image folders: some names differ in their case alone, some folders hold other files only
+    "image_file": """
+        SELECT split, view, filename FROM {dataset_file} UNION ALL SELECT split, view, 'P' || substr(filename, 2) AS filename FROM {dataset_file} WHERE vec_id % 97 = 3 AND view <> 'CAM_B_1'
+        UNION ALL SELECT 'notes' AS split, view, 'n' || CAST(vec_id AS {text}) || '.txt' AS filename FROM {dataset_file} WHERE vec_id % 50 = 0""",
+    "raw_score": """
+        SELECT event_id, value AS raw, CASE WHEN event_id % 31 = 0 THEN 0.0 WHEN event_id % 37 = 0 THEN value ELSE 20.0 + user_id % 40 END AS threshold, CAST(event_id % 11 AS DOUBLE) / 100 AS margin FROM {events}""",
     # images of capture results: three cameras at station 1, one at station 2
     "capture_image": """
         SELECT event_id AS capture_no, CAST(2 - (event_id + 1) % 2 AS INT) AS station_id, k AS image_no, 'CAM' || CAST(CASE WHEN event_id % 2 = 1 THEN 3 WHEN event_id % 46 = 0 AND k = 2 THEN 1 WHEN event_id % 58 = 0 AND k = 2 THEN 3 ELSE k END AS {text}) AS camera_id,
