@@ -29,6 +29,7 @@ these bits by chance stay as rare as they are in one group; they cost a comparis
 
 Null and empty texts and texts without words have no shingles and link with nothing. A text with fewer than five words is one shingle.
 Rows with a null id are counted but link with nothing. Rows of one id are one node: it links where any of its rows does.
+Only doc_id and text are read; other columns, whatever their names, don't go on. An empty table gives an empty one.
 """
 
 from __future__ import annotations

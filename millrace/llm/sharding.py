@@ -10,6 +10,7 @@ most ``2 * shards * grain`` items at any size of input, and every group still la
 
 Null texts are one group, empty texts another; each row counts its UTF-8 bytes plus 8. Repeated rows each get a slot of their own.
 A group larger than an equal share takes a shard alone, and the rest is levelled over the other shards.
+Only doc_id and text are read; other columns, whatever their names, don't go on. An empty table gives an empty one; null ids pass through.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ counts only if the stored full text is equal, so that collisions never decide. T
 
 A url that no rule fits gets the method's own verdict: it isn't listed, so it is allowed.
 Null urls and urls without ``://`` have empty host and path and fit no rule. Repeated rows get equal results.
+Other columns pass through, but for those named host, path, rule and verdict, which are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
