@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,12 @@ from .common import arrow_rows, materialise
 
 #: Tokens of both sides and rows in a chunk; entries of a memo; bits of a token id in a key.
 CHUNK_TOKENS, CHUNK_ROWS, MEMO, BITS = 1 << 22, 1 << 15, 150_000, 20
+#: Stretches that are tokenized as one text, and the fewer ones tried where such a text fails; characters of a stretch that is too long for that; bits of a slot in front of the transitions.
+JOINED, LONG, SLOT_BITS = (100, 10), 200, 17
+
+
+#: A space that starts no stretch, since it follows white space or the space put before the text; a text cut at the others.
+BEHIND_SPACE, AT_WORDS = re.compile(r"(?:\A|\s) ").search, re.compile(r"(?<=\S) ").split
 
 
 def byte_of_character() -> dict[str, int]:
@@ -82,21 +89,22 @@ class SentencePiece:
 
 
 class Transducer:
-    """Steps through the tokens of both sides; ``bytes_a`` and ``bytes_b`` spell the ids."""
+    """Steps through the tokens of both sides; ``bytes_a`` and ``bytes_b`` spell the ids. A state's number is odd where A leads; 0 is the empty suffix."""
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]) -> None:
         self.bytes_a, self.bytes_b = bytes_a, bytes_b
         self._clear()
 
     def _clear(self) -> None:
-        self.states: list[tuple[bool, bytes]] = [(False, b"")]
-        self.number = {self.states[0]: 0}
-        self.a_leads = [False]
+        self.rests = [b""]
+        self.number = {(False, b""): 0}
         self.memo: dict[int, int] = {}
+        # the last transition asked for in each slot
+        self.slot_keys, self.slot_states = np.full(1 << SLOT_BITS, -1), np.zeros(1 << SLOT_BITS, np.int64)
 
     def _after(self, state: int, token: int) -> int:
         """The next state, or -1 if the bytes differ. A's token is fed where A doesn't lead, B's where it does."""
-        a_leads, rest = self.states[state]
+        a_leads, rest = bool(state & 1), self.rests[state >> 1]
         fed = self.bytes_b[token] if a_leads else self.bytes_a[token]
         if rest.startswith(fed) and fed:
             after = (a_leads, rest[len(fed) :])
@@ -107,22 +115,75 @@ class Transducer:
         if not after[1]:
             return 0
         if after not in self.number:
-            self.number[after] = len(self.states)
-            self.states.append(after)
-            self.a_leads.append(after[0])
+            self.number[after] = len(self.rests) << 1 | after[0]
+            self.rests.append(after[1])
         return self.number[after]
 
+    def _all_after(self, keys: np.ndarray) -> np.ndarray:
+        """The next states of many transitions, by slots; those that lie in no slot by the memo."""
+        slots = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        after, memo = self.slot_states[slots], self.memo
+        other = np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(other):
+            asked = keys[other]
+            for key in [key for key in set(asked.tolist()) if key not in memo]:
+                memo[key] = self._after(key >> BITS, key & (1 << BITS) - 1)
+            after[other] = [memo[key] for key in asked.tolist()]
+            # of several keys for a slot only the last stays
+            last = dict(zip(slots[other].tolist(), other.tolist(), strict=True))
+            kept = np.fromiter(last.values(), np.int64, len(last))
+            self.slot_keys[slots[kept]], self.slot_states[slots[kept]] = keys[kept], after[kept]
+        return after
+
+    def run_all(self, a: np.ndarray, b: np.ndarray, borders_a: np.ndarray, borders_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Many stretches in step: each is what lies between two borders of ``a`` and of ``b``, on either side at least one id.
+
+        Whether each stretch is spelled alike by both sides; ends of the groups in ``a`` and in ``b``, in order (a stretch that isn't is one group);
+        the links in order, and the stretch of each."""
+        if len(self.memo) > MEMO:
+            self._clear()
+        both, good = np.concatenate([a, b]), np.ones(len(borders_a) - 1, bool)
+        at = np.arange(len(good))
+        i, j, to_i, to_j = borders_a[:-1].copy(), borders_b[:-1].copy(), borders_a[1:], borders_b[1:]
+        state = np.zeros(len(good), np.int64)
+        ends: list[tuple[np.ndarray, ...]] = []
+        links: list[tuple[np.ndarray, ...]] = []
+        while len(at):
+            leads = (state & 1).astype(bool)
+            over = np.where(leads, j == to_j, i == to_i)
+            if over.any():
+                good[at[over & ((state != 0) | (j != to_j))]] = False
+                at, i, j, to_i, to_j, state, leads = (x[~over] for x in (at, i, j, to_i, to_j, state, leads))
+            token = both[np.where(leads, j + len(a), i)]
+            met = np.flatnonzero(state)
+            links.append((at[met], np.where(leads[met], a[i[met] - 1] << BITS | token[met], token[met] << BITS | b[j[met] - 1])))
+            i, j = i + ~leads, j + leads
+            state = self._all_after(state << BITS | token)
+            closed = np.flatnonzero(state == 0)
+            ends.append((at[closed], i[closed], j[closed]))
+            if (state < 0).any():
+                good[at[state < 0]] = False
+                at, i, j, to_i, to_j, state = (x[state >= 0] for x in (at, i, j, to_i, to_j, state))
+        stretch, ends_a, ends_b = (np.concatenate(x) for x in zip(*ends, strict=True))
+        bad = np.flatnonzero(~good)
+        kept = good[stretch]
+        stretch, ends_a, ends_b = np.append(stretch[kept], bad), np.append(ends_a[kept], borders_a[bad + 1]), np.append(ends_b[kept], borders_b[bad + 1])
+        in_order = np.argsort(stretch, kind="stable")
+        of, pairs = (np.concatenate(x) for x in zip(*links, strict=True))
+        order = np.argsort(of, kind="stable")
+        return good, ends_a[in_order], ends_b[in_order], pairs[order], of[order]
+
     def run(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
         """Ends of the groups in both lists of ids, and the links (id of A << BITS | id of B) in order; None if the sides spell different bytes."""
         if len(self.memo) > MEMO:
             self._clear()
-        memo, leads, get = self.memo, self.a_leads, self.memo.get
+        memo, get = self.memo, self.memo.get
         state = i = j = 0
         n, m = len(a), len(b)
         ends: list[tuple[int, int]] = []
         links: list[int] = []
         while True:
-            if leads[state]:
+            if state & 1:
                 if j == m:
                     return None
                 token = b[j]
@@ -150,16 +211,24 @@ class Aligner:
     """Both tokenizers and the transducer between them; made once in a worker. ``files``: A's file, B's model.
 
     Both sides have a token's start at every space that follows something other than white space, so a group closes there: the stretches between are
-    aligned by themselves and remembered, in two generations of ``MEMO`` stretches.
+    aligned by themselves and remembered, in two generations of ``MEMO`` stretches. For the same reason new stretches are tokenized many at a time, as
+    one text, and cut apart at their bytes; the transducer then runs through all of them in step.
     """
 
     def __init__(self, files: tuple[str, str]) -> None:
         self.a, self.b = ByteBpe(files[0]), SentencePiece(files[1])
         self.between = Transducer(self.a.bytes, self.b.bytes)
-        self.stretches = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?|\s+").findall if self.b.by_word else lambda t: [t]
+        self.long_a, self.long_b = (np.array([len(x) for x in side.bytes]) for side in (self.a, self.b))
+        self.words = [f"{i}{end}" for side, ends in ((self.a, ",|"), (self.b, ",;\n")) for end in ends for i in range(len(side.bytes))]
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
+    def stretches(self, text: str) -> list[str]:
+        """Stretches of a text that a space is put before, each without the space that it starts with."""
+        if not self.b.by_word:
+            return [text]
+        return text.split(" ") if not BEHIND_SPACE(text) else AT_WORDS(text)
+
     def align(self, texts: list[str]) -> list[tuple[list[int], list[int], list[tuple[int, int]], list[int]] | None]:
         """Ids of A and B, group ends and links of texts that start with a space; None where a side's bytes differ from the text."""
         out = []
@@ -169,20 +238,72 @@ class Aligner:
         return out
 
     def _learn(self, stretches: list[str]) -> None:
-        for t, found in zip(stretches, self.align(stretches), strict=True):
+        alone: list[str] = []
+        short: list[str] = []
+        for t in stretches:
+            # white space at the end would run into the next stretch; B spells U+2581 as a space, so that a text with it fails
+            (short if 0 < len(t) <= LONG and not t[-1].isspace() and "\u2581" not in t and self.b.by_word else alone).append(t)
+        for size in JOINED:
+            short = self._learn_joined([short[at : at + size] for at in range(0, len(short), size)])
+        alone += short
+        for t, found in zip(alone, self.align([f" {t}" for t in alone]), strict=True):
             self.young[t] = found and (len(found[0]), len(found[1]), len(found[2]), as_text(*found[:3]), np.array(found[3], "<i8").tobytes())
 
+    def _learn_joined(self, blocks: list[list[str]]) -> list[str]:
+        """Learns the stretches of each block from one text; those of the blocks where a side's bytes differ somewhere are returned."""
+        failed: list[str] = []
+        learned: list[str] = []
+        parts: list[tuple[list[int], list[int], np.ndarray, np.ndarray]] = []
+        texts = ["".join([f" {t}" for t in block]) for block in blocks]
+        for block, text, a, b in zip(blocks, texts, self.a(texts), self.b(texts), strict=True):
+            borders = np.cumsum([0, *(len(t.encode("utf-8", "surrogatepass")) + 1 for t in block)])
+            if b"".join([self.a.bytes[i] for i in a]) == text.encode("utf-8", "surrogatepass"):
+                ends = [np.concatenate([[0], np.cumsum(long[ids])]) for long, ids in ((self.long_a, a), (self.long_b, b))]
+                cuts = [np.searchsorted(e, borders) for e in ends]
+                if all(e[-1] == borders[-1] and (e[c] == borders).all() for e, c in zip(ends, cuts, strict=True)):
+                    learned += block
+                    parts.append((a, b, *cuts))
+                    continue
+            failed += block
+        if not parts:
+            return failed
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in list(zip(*parts, strict=True))[:2])
+        borders_a, borders_b = (np.cumsum([0, *chain.from_iterable(np.diff(p[side]).tolist() for p in parts)]) for side in (2, 3))
+        good, ends_a, ends_b, links, of = self.between.run_all(a, b, borders_a, borders_b)
+        said = self._as_texts(a, b, ends_a, ends_b, borders_b)
+        groups = np.diff(np.searchsorted(ends_a, borders_a, side="right"))
+        linked, whole = np.cumsum([0, *np.bincount(of, minlength=len(good)) * 8]).tolist(), links.astype("<i8").tobytes()
+        for t, ok, n, m, g, text, at, to in zip(learned, good.tolist(), np.diff(borders_a).tolist(), np.diff(borders_b).tolist(), groups.tolist(), said, linked, linked[1:], strict=False):
+            if ok:
+                self.young[t] = (n, m, g, text, whole[at:to])
+            else:
+                failed.append(t)
+        return failed
+
+    def _as_texts(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, borders_b: np.ndarray) -> list[str]:
+        """Groups of all stretches, as ``as_text`` writes them."""
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[ends_a - 1] = last_b[ends_b - 1] = 1
+        last_b[borders_b[1:] - 1] = 2
+        # before an id of A stand the ids of B of all earlier groups, before one of B those of A of its own group too
+        before_a = np.repeat(np.append(0, ends_b[:-1]), np.diff(ends_a, prepend=0))
+        before_b = np.repeat(ends_a, np.diff(ends_b, prepend=0))
+        words = np.empty(len(a) + len(b), np.int64)
+        n, m = len(self.long_a), len(self.long_b)
+        words[np.arange(len(a)) + before_a] = a + n * last_a
+        words[np.arange(len(b)) + before_b] = 2 * n + b + m * last_b
+        return "".join(map(self.words.__getitem__, words.tolist())).split("\n")[:-1]
+
     def figures(self, texts: list[str | None]) -> list[tuple[int, int, int, str, bytes] | None]:
         """For each text numbers of tokens of A and B and of groups, groups as text, links; None for a text without tokens."""
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        split = [self.stretches(f" {t}") if t else [] for t in texts]
+        split = [self.stretches(t) if t else [] for t in texts]
         new = {x for part in split for x in part if x not in young}
-        for x in [x for x in new if x in old]:
-            young[x] = old[x]
-            new.discard(x)
-        self._learn(list(new))
+        known = [x for x in new if x in old]
+        young.update((x, old[x]) for x in known)
+        self._learn(list(new.difference(known)))
         out = []
         for part in split:
             found = [young[x] for x in part]

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -102,6 +103,74 @@ def test_memo_in_generations(monkeypatch):
     assert [small.figures([t]) for t in texts] == [A.aligner(FILES).figures([t]) for t in texts]
 
 
+def test_new_stretches_share_texts(monkeypatch):
+    """Both tokenizers get new words a hundred at a time; one text for each went beyond the CPU budget."""
+    small, sent = A.Aligner(FILES), []
+    for side in ("a", "b"):
+        monkeypatch.setattr(small, side, Counted(getattr(small, side), sent))
+    words = [f"w{n}ord{n * 7}," for n in range(1000)]
+    assert small.figures([" ".join(words)]) == A.aligner(FILES).figures([" ".join(words)])
+    assert sum(sent) <= 2 * 11
+
+
+class Counted:
+    """A side that notes how many texts it is given."""
+
+    def __init__(self, side, sent):
+        self.side, self.sent = side, sent
+
+    def __call__(self, texts):
+        self.sent.append(len(texts))
+        return self.side(texts)
+
+    def __getattr__(self, name):
+        return getattr(self.side, name)
+
+
+@pytest.mark.parametrize("odd", ["\u2581x", "\ufb01n", "e\u0301", "tail\x1c", "\n", "x" * 300, "\u4e2d\u6587", "<s>"])
+def test_odd_stretch_leaves_its_neighbours(odd):
+    texts = [f"{odd[::-1]}a{n} b{n},{n}" if n % 2 else f"c{n}" for n in range(150)]
+    texts[70:70] = [odd, f"d {odd}", f"{odd} e"]
+    found = A.Aligner(FILES).figures(texts)
+    for text, f in zip(texts, found, strict=True):
+        a, b, groups, links = plain(text)
+        said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        assert (f or (0, 0, 0, "", b"")) == (len(a), len(b), len(groups), said, b"".join((i << A.BITS | j).to_bytes(8, "little") for i, j in links))
+
+
+def test_side_that_changes_letters(monkeypatch):
+    """Joined texts fail where a side's normalisation changes a letter; that stretch alone has no tokens."""
+    small, sound = A.Aligner(FILES), A.aligner(FILES)
+    monkeypatch.setattr(small, "b", Lowered(small.b, []))
+    texts = [f"a{n} Q{n}" if n % 40 == 7 else f"a{n} q{n}" for n in range(400)]
+    found = small.figures(texts)
+    assert found == [None if "Q" in t else f for t, f in zip(texts, sound.figures(texts), strict=True)]
+
+
+class Lowered(Counted):
+    def __call__(self, texts):
+        return self.side([t.replace("Q", "q") for t in texts])
+
+
+def test_in_step_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(A, "SLOT_BITS", 2)  # transitions push each other out
+    side_a, side_b = [b"", b"a", b"ab", b"b", b"bc", b"c", b"abc"], [b"", b"ab", b"c", b"a", b"bca", b"b", b"ca"]
+    draw = np.random.default_rng(5)
+    made = [(draw.integers(1, 7, draw.integers(1, 6)).tolist(), draw.integers(1, 7, draw.integers(1, 6)).tolist()) for _ in range(3000)]
+    made += [([6, 6], [1, 6, 1, 2]), ([0], [0]), ([1, 4], [1, 2]), ([2], [1])] * 3
+    both = A.Transducer(side_a, side_b)
+    borders = [np.cumsum([0, *(len(m[k]) for m in made)]) for k in (0, 1)]
+    good, ends_a, ends_b, links, of = both.run_all(*(np.concatenate([m[k] for m in made]) for k in (0, 1)), *borders)
+    alone = [A.Transducer(side_a, side_b).run(*m) for m in made]
+    assert good.tolist() == [x is not None for x in alone] and 20 < good.sum() < len(made)
+    ends = list(zip(ends_a.tolist(), ends_b.tolist(), strict=True))
+    for n, x in enumerate(alone):
+        low, high, start = borders[0][n], borders[0][n + 1], (borders[0][n], borders[1][n])
+        of_it = [(i - start[0], j - start[1]) for i, j in ends if low < i <= high]
+        assert of_it == (x[0] if x else [(len(made[n][0]), len(made[n][1]))])
+        assert not x or links[of == n].tolist() == x[1]
+
+
 @pytest.mark.parametrize("rows", [0])
 def test_empty_table(spark, rows):
     found = A.link_counts(spark.createDataFrame([], "doc_id long, text string"), FILES)
