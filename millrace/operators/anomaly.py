@@ -232,6 +232,25 @@ def timing_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most")).select(*by, "mean", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p95"), F.get("q", F.lit(2)).alias("p99"), "least", "most")
 
 
+def continuous_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by, and under each name the interpolated quantile of ``value`` at that share; groups without a value have no row.
+
+    Between neighbours low * (1 - t) + high * t is rounded once after the product of high, as SQL engines do; ``percentile`` rounds both products, and where two quantiles are compared the last bit decides.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    own = W.partitionBy(*by)
+    placed = counted.select(*by, value, F.sum("__n").over(own.orderBy(value)).alias("__upto"), (F.sum("__n").over(own) - 1).alias("__last"))
+    at = lambda place: F.min(F.when(F.col("__upto") > place, F.col(value)))
+    ends = {n: F.col("__last") * F.lit(q) for n, q in shares.items()}
+    found = placed.groupBy(*by, "__last").agg(*[c for n, p in ends.items() for c in (at(F.floor(p)).alias(f"__low_{n}"), at(F.ceil(p)).alias(f"__high_{n}"))])
+
+    def between(n: str) -> Column:
+        low, high, t = F.col(f"__low_{n}"), F.col(f"__high_{n}"), ends[n] - F.floor(ends[n])
+        return F.when(t == 0, low).otherwise(F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - t, high * t).cast("double"))
+
+    return found.select(*by, *[between(n).alias(n) for n in shares])
+
+
 def parallelism_choice(rows: DataFrame, key: str, faster: float = 0.95) -> DataFrame:
     """key, streams: of the measured numbers of streams, in their order, the last that is memory-safe, has a median of at most ``faster`` of the best's so far and no worse p95.
 

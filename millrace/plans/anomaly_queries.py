@@ -393,8 +393,8 @@ two AS (SELECT *, coalesce(m2 <= m1 * 0.95 AND p2 <= p1, false) AS take2 FROM wi
 def parallelism(t: Tables) -> DataFrame:
     streams = (1 + F.col("event_id") % 3).cast("int")
     safe = (F.col("user_id") % 11 != 0) | (streams == 1)
-    rows = t.events.groupBy(F.col("user_id").alias("model_no"), streams.alias("streams"), safe.alias("memory_safe")).agg(F.percentile("value", F.lit(0.5)).alias("median_ms"), F.percentile("value", F.lit(0.95)).alias("p95_ms"))
-    return A.parallelism_choice(rows, "model_no")
+    rows = t.events.select(F.col("user_id").alias("model_no"), streams.alias("streams"), safe.alias("memory_safe"), "value")
+    return A.parallelism_choice(A.continuous_quantiles(rows, ["model_no", "streams", "memory_safe"], "value", {"median_ms": 0.5, "p95_ms": 0.95}), "model_no")
 
 
 @query("c18_enum_names", "SELECT station_id, verdict, CASE verdict WHEN 1 THEN 'PASS' WHEN 2 THEN 'NG' WHEN 3 THEN 'FORCED_NG' END AS verdict_name, count(*) AS n FROM station_terminal GROUP BY 1, 2, 3")

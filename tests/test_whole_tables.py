@@ -2,6 +2,7 @@
 
 import binascii
 
+import duckdb
 import numpy as np
 
 from millrace.plans import catalogue, registry
@@ -60,3 +61,17 @@ def test_every_vector_meets_all_others(spark, data):
             found.setdefault(r.vec_id, []).append((r.bank_id, round(r.distance, 6)))
         assert found == expected
     assert {r.vec_id for r in QUERIES["j08_nearest_bank_vector"](spark, data).collect()} == {r.vec_id for r in rows}
+
+
+def test_last_bit_of_quantiles_decides(spark):
+    """Two values a stream whose 95th percentiles are equal but for the rounding: the choice is that of the SQL."""
+    streams = {1: ((129.31, 151.54), (47.61, 155.84)), 2: ((63.92, 83.18), (44.92, 84.18)), 3: ((186.11, 219.39), (79.71, 224.99)), 4: ((47.91, 58.44), (15.61, 60.14)), 5: ((8.0, 9.0), (7.0, 7.0)), 6: ((5.0, None), (5.0, 1.0))}
+    rows = [(3 * i + stream, model, v) for model, measured in streams.items() for stream, values in enumerate(measured) for i, v in enumerate(values)]
+    made = Tables(spark, "")
+    made._made["events"] = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    found = {(r.model_no, r.streams) for r in QUERIES_OF["a25_parallelism_choice"](made).collect()}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, value DOUBLE)")
+    duck.executemany("INSERT INTO events VALUES (?, ?, ?)", rows)
+    expected = set(duck.execute(catalogue.oracle_sql()["a25_parallelism_choice"]).fetchall())
+    assert found == expected and len(expected) == len(streams)
