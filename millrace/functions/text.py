@@ -56,16 +56,26 @@ def library_check(required: Column, installed: Column) -> Column:
     return F.when(required == installed, "ok").when(base_version(required) == base_version(installed), "suffix").otherwise("mismatch")
 
 
+def _crc_after(byte: int) -> int:
+    """What eight steps with the polynomial 0x1021 make of a byte that stands on top."""
+    c = byte << 8
+    for _ in range(8):
+        c = (c << 1 ^ 0x1021 if c & 0x8000 else c << 1) & 0xFFFF
+    return c
+
+
+CRC_OF_BYTE = [_crc_after(b) for b in range(256)]
+
+
 def crc16(text: Column) -> Column:
-    """CRC-16 with polynomial 0x1021 from 0xFFFF over ASCII text, by a fold over its bits inside the JVM."""
-    bits = F.sequence(F.lit(1), F.lit(8))
+    """CRC-16 with polynomial 0x1021 from 0xFFFF over ASCII text, by a fold over its characters inside the JVM. ``text`` is evaluated once for each of its mentions here, not for each character."""
+    table = F.array(*map(F.lit, CRC_OF_BYTE))  # a literal, once the plan is optimized
 
-    def byte(crc: Column, i: Column) -> Column:
-        start = crc.bitwiseXOR(F.shiftleft(F.ascii(F.substr(text, i, F.lit(1))), 8))
-        return F.aggregate(bits, start, lambda c, _: F.when(c.bitwiseAND(F.lit(0x8000)) != 0, F.shiftleft(c, 1).bitwiseXOR(F.lit(0x1021))).otherwise(F.shiftleft(c, 1)).bitwiseAND(F.lit(0xFFFF)))
+    def step(crc: Column, c: Column) -> Column:
+        at = F.shiftright(crc, 8).bitwiseXOR(F.ascii(c)).bitwiseAND(F.lit(0xFF))
+        return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFF00)).bitwiseXOR(F.get(table, at))
 
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0xFFFF), byte)
+    return F.aggregate(F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>")), F.lit(0xFFFF), step)
 
 
 def encode_frame(*fields: Column) -> Column:
@@ -75,10 +85,14 @@ def encode_frame(*fields: Column) -> Column:
 
 def decode_frame(line: Column) -> Column:
     """Fields of a frame, null if it is too short or its check value is wrong."""
+
+    def fields(parts: Column) -> Column:
+        listed = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+        given = F.conv(F.when(F.element_at(parts, -1).rlike("^[0-9A-Fa-f]+$"), F.element_at(parts, -1)), 16, 10).cast("bigint")
+        return F.when((F.size(parts) >= 2) & (given == crc16(F.array_join(listed, "|"))), listed)
+
     parts = F.split(F.trim(F.regexp_replace(line, "[\\r\\n]+$", "")), "\\|")
-    body = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "|")
-    given = F.conv(F.when(F.element_at(parts, -1).rlike("^[0-9A-Fa-f]+$"), F.element_at(parts, -1)), 16, 10).cast("bigint")
-    return F.when((F.size(parts) >= 2) & (given == crc16(body)), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
+    return F.get(F.transform(F.array(parts), fields), F.lit(0))  # as a variable, so that the line is taken apart once
 
 
 @F.pandas_udf(StringType())

@@ -372,10 +372,9 @@ CRC = "list_reduce(list_prepend(65535, list_transform(range(1, length(body) + 1)
 
 @query("c07_serial_frames", f"SELECT event_id, body || '|' || printf('%04X', {CRC}) || chr(10) AS line, CAST(CASE WHEN event_id % 9 = 0 THEN 0 ELSE len(string_split(body, '|')) END AS INT) AS fields FROM serial_line")
 def frames(t: Tables) -> DataFrame:
-    rows = t.serial_line
-    line = X.encode_frame(F.col("body"))
-    broken = F.when(F.col("event_id") % 9 == 0, F.regexp_replace(line, "SENSOR", "SENSOB")).otherwise(line)
-    return rows.select("event_id", line.alias("line"), F.coalesce(F.size(X.decode_frame(broken)), F.lit(0)).alias("fields"))
+    rows = t.serial_line.select("event_id", X.encode_frame(F.col("body")).alias("line"))
+    broken = F.when(F.col("event_id") % 9 == 0, F.regexp_replace("line", "SENSOR", "SENSOB")).otherwise(F.col("line"))
+    return rows.select("event_id", "line", F.coalesce(F.size(X.decode_frame(broken)), F.lit(0)).alias("fields"))
 
 
 @query("c01_canonical_json")

@@ -120,6 +120,17 @@ def test_frames(spark):
     assert back.f == ["E", "SENSOR", "7"] and back.g is None and back.h is None
 
 
+def test_frames_look_at_their_text_once(spark):
+    """A text that stands inside the fold would be worked out again for each character; one of a Python function can't stand there at all."""
+    texts = ['{"a":"' + chr(c) * 40 + '"}' for c in (33, 65, 126)] + [None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(X.canonical_json("t").alias("t"), X.crc16(X.canonical_json("t")).alias("c"), X.encode_frame(X.canonical_json("t")).alias("line"))
+    rows = frame.select("*", X.decode_frame(X.canonical_json(F.lit('{"a":1}'))).alias("none"), X.decode_frame("line").alias("back")).collect()
+    assert [r.c for r in rows] == [crc(t or "") for t in texts]
+    assert [(r.none, r.back) for r in rows] == [(None, [t or ""]) for t in texts]
+    every = "".join(map(chr, range(1, 128)))
+    assert spark.createDataFrame([(every,)], "t string").select(X.crc16(F.col("t")).alias("c")).first().c == crc(every)
+
+
 def test_scalar_functions(spark):
     one = spark.range(1)
     r = one.select(X.is_uuid4(F.lit("123E4567-e89b-42d3-a456-426614174000")).alias("a"), X.is_uuid4(F.lit("123e4567-e89b-12d3-a456-426614174000")).alias("b"), X.is_safe_name(F.lit("..")).alias("c"), X.is_safe_name(F.lit("model-1.2")).alias("d"), finite(F.lit(float("nan"))).alias("e"), finite(F.lit(2.0)).alias("f")).first()
