@@ -20,35 +20,45 @@ MOST_PARALLEL = 3
 
 
 class Document:
-    """A JSON text, the variant that it was parsed to, and ways to look into it; a path that isn't there gives null."""
+    """Ways to look into a variant; a path that isn't there gives null. What is looked up is a column of its own in ``found``, so that a row is asked once for each, however many rules name it."""
 
-    def __init__(self, text: Column, root: Column) -> None:
-        self.text, self.root = text, root
+    def __init__(self, root: Column) -> None:
+        self.root, self.found = root, {}
+
+    def _once(self, name: str, value: Column) -> Column:
+        column = f"__{name.replace('.', '/')}"
+        self.found.setdefault(column, value)
+        return F.col(column)
 
     def get(self, path: str, kind: str) -> Column:
-        return F.try_variant_get(self.root, f"$.{path}", kind)
+        return self._once(f"{kind} {path}", F.try_variant_get(self.root, f"$.{path}", kind))
 
-    def kind(self, path: str) -> Column:
-        """The SQL type of what stands there, as text."""
-        return F.schema_of_variant(self.get(path, "variant") if path else self.root)
+    def is_array(self, path: str) -> Column:
+        return self.get(path, "array<variant>").isNotNull()
 
-    def is_object(self, path: str) -> Column:
-        return F.coalesce(self.kind(path).startswith("OBJECT"), F.lit(False))
+    def is_object(self) -> Column:
+        return self._once("object", F.try_variant_get(self.root, "$", "struct<format_version: variant>").isNotNull())  # with that member or without
 
     def keys(self, path: str) -> Column:
-        """Sorted keys of an object; none of anything else."""
-        return F.sort_array(F.coalesce(F.json_object_keys(F.get_json_object(self.text, f"$.{path}" if path else "$")), F.array().cast("array<string>")))
+        """Sorted keys of an object, null of anything else."""
+        members = F.try_variant_get(self.root, f"$.{path}", "map<string,variant>")
+        return self._once(f"keys {path}", F.sort_array(F.map_keys(members)))
 
     def has_keys(self, path: str, names: list[str]) -> Column:
-        return self.is_object(path) & (self.keys(path) == F.array(*map(F.lit, sorted(names))))
+        return self.keys(path) == F.array(*map(F.lit, sorted(names)))
 
     def number(self, path: str) -> Column:
         """A JSON number; a number in quotes is none."""
-        return F.when(~F.coalesce(self.kind(path).startswith("STRING"), F.lit(True)), self.get(path, "double"))
+        at = F.try_variant_get(self.root, f"$.{path}", "variant")
+        return self._once(f"number {path}", F.when(~F.coalesce(F.schema_of_variant(at).startswith("STRING"), F.lit(True)), at.try_cast("double")))
 
     def numbers(self, path: str) -> Column:
         return self.get(path, "array<double>")
 
+    def text(self, path: str) -> Column:
+        """What stands there, as JSON."""
+        return self._once(f"text {path}", F.to_json(F.try_variant_get(self.root, f"$.{path}", "variant")))
+
 
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
@@ -60,24 +70,24 @@ def _all(conditions: list[Column]) -> Column:
 def with_manifest_error(manifests: DataFrame, name: Column, least_scores: int = SAMPLES["minimum"]) -> DataFrame:
     """``manifests`` with error: the first rule that a manifest (``text``) breaks, null if it breaks none; a null text breaks the first. ``name``: the artifact's own."""
     parsed = manifests.withColumn("__v", F.try_parse_json("text"))  # once
-    text, d = F.col("text"), Document(F.col("text"), F.col("__v"))
+    d = Document(F.col("__v"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     shape = lambda path: (F.size(d.numbers(path)) == 2) & F.forall(d.numbers(path), lambda x: x.isNotNull() & (x >= 1) & (x == F.floor(x)))
     scores = lambda v: (F.size(d.numbers(f"calibration_b_scores.{v}")) >= least_scores) & F.forall(d.numbers(f"calibration_b_scores.{v}"), finite)
     chosen = d.get("candidate_selection.selected_candidate_id", "string")
     listed = F.coalesce(d.get("candidate_selection.candidates", "array<variant>"), F.array().cast("array<variant>"))
-    matches = F.filter(listed, lambda c: F.coalesce(F.try_variant_get(c, "$.candidate_id", "string") == chosen, F.lit(False)))
+    matches = F.col("__matches")  # of the listed candidates, after the look-ups
     of = lambda path, kind: F.try_variant_get(F.get(matches, F.lit(0)), f"$.{path}", kind)
     record = lambda split, field, kind: d.get(f"dataset_provenance.{split}.{field}", kind)
     b = "parallel_benchmark"
     rules = {
-        "root": d.is_object(""),
+        "root": d.is_object(),
         "format": d.number("format_version") == FORMAT,
         "identity": (d.get("algorithm", "string") == ALGORITHM) & (d.get("artifact_name", "string") == name),
         "views": d.get("view_names", "array<string>") == F.array(*map(F.lit, VIEWS)),
         "view keys": _all([d.has_keys(path, VIEWS) for path in BY_VIEW]),
         "policy": d.has_keys("spatial_scoring_policy", POLICY),
-        "option": normalization_error(F.get_json_object(text, "$.spatial_scoring_policy.normalization")).isNull() & aggregation_error(F.get_json_object(text, "$.spatial_scoring_policy.aggregation")).isNull(),
+        "option": normalization_error(d.text("spatial_scoring_policy.normalization")).isNull() & aggregation_error(d.text("spatial_scoring_policy.aggregation")).isNull(),
         "decision": (d.get("spatial_scoring_policy.decision.comparison", "string") == "strict_greater_than") & (d.get("spatial_scoring_policy.decision.view_score_normalization", "string") == "divide_by_threshold") & (d.number("spatial_scoring_policy.decision.target_product_fpr") == TARGET),
         "threshold": _all([finite(d.number(f"thresholds.{v}")) & (d.number(f"thresholds.{v}") > 0) for v in VIEWS]),
         "scores": _all([scores(v) for v in VIEWS]),
@@ -101,14 +111,16 @@ def with_manifest_error(manifests: DataFrame, name: Column, least_scores: int =
         & (d.get(f"{b}.benchmark_runs", "long") >= 1)
         & (d.get(f"{b}.min_speedup_percent", "double") >= 0)
         & (d.get(f"{b}.min_speedup_percent", "double") < 100)
-        & d.kind(f"{b}.candidates").startswith("ARRAY")
+        & d.is_array(f"{b}.candidates")
         & d.get(f"{b}.all_view_memory_safety.memory_safe", "boolean"),
     }
     error = None
     for rule, holds in rules.items():
         broken = ~F.coalesce(holds, F.lit(False))
         error = F.when(broken, rule) if error is None else error.when(broken, rule)
-    return parsed.withColumn("error", error).drop("__v")
+    looked_up = parsed.select(*manifests.columns, *[c.alias(n) for n, c in d.found.items()])
+    matched = F.filter(listed, lambda c: F.coalesce(F.try_variant_get(c, "$.candidate_id", "string") == chosen, F.lit(False)))
+    return looked_up.withColumn("__matches", matched).select(*manifests.columns, error.alias("error"))
 
 
 def json_safe(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,37 +94,61 @@ def _listed(method: Column, value: Column, options: list[tuple[str, float]]) ->
     return F.coalesce(found, F.lit(False))
 
 
+def _told(parts: dict[str, Column], judge: Callable[[Column], Column]) -> Column:
+    """``judge`` of a struct of ``parts``, each worked out once however often it is named."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])), judge), F.lit(0))
+
+
+def _option(text: Column, fields: Iterable[str], judge: Callable[[Column], Column]) -> Column:
+    """``judge`` of an option's sorted keys, its method, and the fields named."""
+
+    def parts(o: Column) -> Column:
+        keys = F.array_sort(F.coalesce(F.json_object_keys(o["text"]), F.array().cast("array<string>")))
+        return _told({"keys": keys, "method": F.coalesce(F.get_json_object(o["text"], "$.method"), F.lit("")), **{f: F.get_json_object(o["text"], f"$.{f}") for f in fields}}, judge)
+
+    return _told({"text": text}, parts)
+
+
 def normalization_error(text: Column) -> Column:
     """Why a normalization option is refused, null if it isn't: its keys, its value, or that it is no candidate."""
-    method = F.coalesce(F.get_json_object(text, "$.method"), F.lit(""))
-    field = F.element_at(F.create_map(*[F.lit(x) for pair in OPTION_FIELDS.items() for x in pair]), method)
-    keys = F.array_sort(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")))
-    raw = F.lit(None).cast("string")
-    for m, f in OPTION_FIELDS.items():
-        raw = F.when(method == m, F.get_json_object(text, f"$.{f}")).otherwise(raw)
-    value = raw.try_cast("double")
-    return (
-        F.when(F.coalesce(keys != F.array_sort(F.array(F.lit("method"), field)), F.lit(True)), "keys")
-        .when(value.isNull() | F.isnan(value) | (value <= 0) | (value == float("inf")), "value")
-        .when(~_listed(method, value, normalizations()), "candidate")
-    )
+
+    def valued(o: Column) -> Column:
+        raw = F.lit(None).cast("string")
+        for m, f in OPTION_FIELDS.items():
+            raw = F.when(o["method"] == m, o[f]).otherwise(raw)
+        field = F.element_at(F.create_map(*[F.lit(x) for pair in OPTION_FIELDS.items() for x in pair]), o["method"])
+        return _told({"keys": o["keys"], "method": o["method"], "field": field, "value": raw.try_cast("double")}, error)
+
+    def error(o: Column) -> Column:
+        value = o["value"]
+        return (
+            F.when(F.coalesce(o["keys"] != F.array_sort(F.array(F.lit("method"), o["field"])), F.lit(True)), "keys")
+            .when(value.isNull() | F.isnan(value) | (value <= 0) | (value == float("inf")), "value")
+            .when(~_listed(o["method"], value, normalizations()), "candidate")
+        )
+
+    return _option(text, dict.fromkeys(OPTION_FIELDS.values()), valued)
 
 
 def aggregation_error(text: Column) -> Column:
     """The same of an aggregation option."""
-    method = F.coalesce(F.get_json_object(text, "$.method"), F.lit(""))
-    keys = F.array_sort(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")))
     names = lambda *n: F.array(*[F.lit(x) for x in sorted(n)])
-    get = lambda n: F.get_json_object(text, f"$.{n}")
-    share = method == "top_k_percent_average"
-    value = F.when(share, get("top_k_percent")).otherwise(get("percentile")).try_cast("double")
-    return (
-        F.when(~method.isin("percentile", "top_k_percent_average"), "method")
-        .when(keys != F.when(share, names("method", "top_k_percent", "rounding", "minimum_patch_count")).otherwise(names("method", "percentile")), "keys")
-        .when(~_listed(method, value, aggregations()), "candidate")
-        .when(share & F.coalesce(get("rounding") != "ceil", F.lit(True)), "rounding")
-        .when(share & F.coalesce(get("minimum_patch_count").try_cast("double") != 1, F.lit(True)), "minimum")
-    )
+
+    def valued(o: Column) -> Column:
+        share = o["method"] == "top_k_percent_average"
+        value = F.when(share, o["top_k_percent"]).otherwise(o["percentile"]).try_cast("double")
+        return _told({"share": share, "value": value, **{n: o[n] for n in ("keys", "method", "rounding", "minimum_patch_count")}}, error)
+
+    def error(o: Column) -> Column:
+        return (
+            F.when(~o["method"].isin("percentile", "top_k_percent_average"), "method")
+            .when(o["keys"] != F.when(o["share"], names("method", "top_k_percent", "rounding", "minimum_patch_count")).otherwise(names("method", "percentile")), "keys")
+            .when(~_listed(o["method"], o["value"], aggregations()), "candidate")
+            .when(o["share"] & F.coalesce(o["rounding"] != "ceil", F.lit(True)), "rounding")
+            .when(o["share"] & F.coalesce(o["minimum_patch_count"].try_cast("double") != 1, F.lit(True)), "minimum")
+        )
+
+    return _option(text, ("top_k_percent", "percentile", "rounding", "minimum_patch_count"), valued)
 
 
 def preprocessing_error(text: Column) -> Column:

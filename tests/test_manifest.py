@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import flow, manifest
+from millrace.operators import flow, manifest, supervision
 
 V = manifest.VIEWS
 FINE = {
@@ -49,6 +49,28 @@ def test_every_rule_alone(spark):
     assert manifest.with_manifest_error(spark.createDataFrame(rows[:1], "no int, text string, want string"), F.lit("a")).first().error == "scores"
 
 
+def test_no_place_is_looked_up_again(spark):
+    """However many rules name a place, the text is parsed once and each place is looked up once."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        judged = manifest.with_manifest_error(spark.createDataFrame([(1, "{}")], "id long, text string"), F.lit("a"))
+        plan = judged._jdf.queryExecution().optimizedPlan().toString().lower()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(manifest.VIEWS) < plan.count("variant_get(__v") < 100
+    assert plan.count("parsejson(") == 1 and "get_json_object(text" not in plan
+
+
+def test_options_are_read_once(spark):
+    texts = ['{"method":"epsilon","epsilon_ratio":0.1}', '{"method":"mad","epsilon_ratio":0.1}', '{"method":"epsilon","epsilon_ratio":0.3}', '{"method":"epsilon","epsilon_ratio":"x"}', "[]", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(supervision.normalization_error(F.col("t")).alias("e"))
+    assert [r.e for r in rows.collect()] == [None, "keys", "candidate", "value", "keys", "keys"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") <= 5
+    texts = ['{"method":"percentile","percentile":99.5}', '{"method":"percentile","percentile":12}', '{"method":"other"}', '{"method":"percentile"}', '{"method":"top_k_percent_average","top_k_percent":5,"rounding":"ceil","minimum_patch_count":1}', '{"method":"top_k_percent_average","top_k_percent":5,"rounding":"floor","minimum_patch_count":1}', '{"method":"top_k_percent_average","top_k_percent":5,"rounding":"ceil","minimum_patch_count":2}', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(supervision.aggregation_error(F.col("t")).alias("e"))
+    assert [r.e for r in rows.collect()] == [None, "candidate", "method", "keys", None, "rounding", "minimum", "method"]
+
+
 def test_nested_values(spark):
     row = spark.range(1).select(manifest.json_safe(F.create_map(F.lit(3), F.array(F.create_map(F.lit(1.5), F.lit(None).cast("string"))))).alias("t")).first()
     assert json.loads(row.t) == {"3": [{"1.5": None}]}
