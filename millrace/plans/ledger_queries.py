@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import top_k_count
 from ..operators import anomaly as A
 from ..operators import ledger as G
+from ..operators import registers
 from ..operators import supervision as S
 from ..operators import system
 from ..sources.tables import Tables
@@ -50,7 +51,7 @@ fold AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival
     FROM fold f JOIN numbered x ON x.session_id = f.session_id AND x.n = f.n + 1) s)
 SELECT session_id, arrival, outcome FROM fold WHERE n > 0""")
 def register(t: Tables) -> DataFrame:
-    return fold(t.registration, "session_id", "arrival", M.LedgerRegister).select("session_id", "arrival", "outcome")
+    return registers.registered(t.registration).select("session_id", "arrival", "outcome")
 
 
 @query("st05_station_cycle", """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY product_id, station_id ORDER BY arrival) AS n FROM cycle_event),
