@@ -84,7 +84,7 @@ def actuation_steps(t: Tables) -> DataFrame:
 @query("st02_sensor_actions", f"{REGISTRY} SELECT sensor_id, arrival, outcome, CASE WHEN outcome = 'ACCEPTED' AND sequence % 2 = 1 THEN 'PROCESS' WHEN outcome IN ('ACCEPTED', 'DUPLICATE') THEN 'IGNORE' ELSE 'FAULT_STOP' END AS action FROM fold WHERE n > 0")
 def sensor_actions(t: Tables) -> DataFrame:
     """The registry judges first; only of what it accepts the edges count."""
-    judged = fold(t.sensor_event.withColumn("line", F.col("sensor_id")), "line", "arrival", M.SensorRegistry)
+    judged = registers.sensor_outcomes(t.sensor_event)
     action = F.when(F.col("outcome") == "DUPLICATE", "IGNORE").when(F.col("outcome") != "ACCEPTED", "FAULT_STOP").when(F.col("sequence") % 2 == 1, "PROCESS").otherwise("IGNORE")
     return judged.select("sensor_id", "arrival", "outcome", action.alias("action"))
 

@@ -73,3 +73,17 @@ def test_no_session_in_one_task(spark, data):
     """The query gathers no session: its plan hands no group to Python."""
     found = QUERIES["st04_ledger_register"](Tables(spark, data))
     assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["st01_sensor_registry", "st02_sensor_actions"])
+def test_ids_from_long_ago_are_known(spark, data, name):
+    """After 8192 more accepted events an id is still known, and no sensor is handed to one task."""
+    made = Tables(spark, data)
+    made._made["sensor_event"] = spark.createDataFrame(LONG, "sensor_id string, arrival long, event_id string, sequence long, digest string")
+    found = QUERIES[name](made)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    if name == "st01_sensor_registry":
+        assert {(r.outcome, r.n) for r in rows} == {("ACCEPTED", 9000), ("DUPLICATE", 10)}
+    else:
+        assert [(r.outcome, r.action) for r in sorted(rows, key=lambda r: r.arrival)[9000:]] == [("DUPLICATE", "IGNORE")] * 10
