@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from ..functions.numbers import expired
 from ..functions.text import is_sha256_hex, is_uuid4
 from ..operators import flow as L
-from ..operators import system
+from ..operators import registers, system
 from ..sources.tables import Tables
 from ..streaming import machines as M
 from ..streaming.fold import fold
@@ -260,7 +260,7 @@ fold AS (SELECT sensor_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival,
 
 @query("st01_sensor_registry", f"{REGISTRY} SELECT sensor_id, outcome, count(*) AS n FROM fold WHERE n > 0 GROUP BY sensor_id, outcome")
 def registry(t: Tables) -> DataFrame:
-    return fold(t.sensor_event.withColumn("session_id", F.lit("live")).withColumn("line", F.col("sensor_id")), "line", "arrival", M.SensorRegistry).groupBy("sensor_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return registers.sensor_outcomes(t.sensor_event).groupBy("sensor_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st03_idempotency_store", "SELECT command_no, CASE WHEN lag(payload_digest) OVER w IS NULL THEN 'NEW' WHEN first_value(payload_digest) OVER w = payload_digest THEN 'REPLAY' ELSE 'CONFLICT' END AS state FROM command WINDOW w AS (PARTITION BY operator_no, command_id ORDER BY command_no)")
